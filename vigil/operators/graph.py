@@ -58,28 +58,28 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     return labels.select("node", F.col("label").alias("component"))
 
 
-def dense_rank_by(df: DataFrame, order_col: str, rank_col: str = "rank") -> DataFrame:
-    """Global 1-based rank of the distinct values of ``order_col`` without a single-partition window.
+def global_rank(df: DataFrame, order: list, rank_col: str = "rank") -> DataFrame:
+    """1-based position of every row in the total order ``order`` (which must be unique).
 
-    Values are range-partitioned; each partition's count is aggregated (one
-    row per partition, a bounded side), turned into offsets, and the
-    in-partition position is added. Assumes ``order_col`` values are distinct.
+    No single-partition window: rows are range-partitioned on the order, each
+    partition's row count is aggregated (one row per partition, a bounded
+    side that is broadcast), turned into running offsets, and the position
+    inside the partition is added.
     """
+    from pyspark.sql import Window
+
     spark = df.sparkSession
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(n_parts, F.col(order_col)).withColumn("_pid", F.spark_partition_id())
+    ranged = df.repartitionByRange(n_parts, *order).withColumn("_pid", F.spark_partition_id())
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(_running()) - F.col("_n")).alias("_off"),
-    )
-    from pyspark.sql import Window
-    w = Window.partitionBy("_pid").orderBy(order_col)
-    local = ranged.withColumn("_pos", F.row_number().over(w))
-    return local.join(F.broadcast(offsets), "_pid").withColumn(rank_col, (F.col("_off") + F.col("_pos")).cast("long")) \
-        .drop("_pid", "_pos", "_off")
+    running = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = counts.select("_pid", (F.sum("_n").over(running) - F.col("_n")).alias("_off"))
+    local = ranged.withColumn("_pos", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
+    return (local.join(F.broadcast(offsets), "_pid")
+            .withColumn(rank_col, (F.col("_off") + F.col("_pos")).cast("long"))
+            .drop("_pid", "_pos", "_off"))
 
 
-def _running():
-    from pyspark.sql import Window
-    return Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def dense_rank_by(df: DataFrame, order_col: str, rank_col: str = "rank") -> DataFrame:
+    """Global rank of distinct values of ``order_col`` (see ``global_rank``)."""
+    return global_rank(df, [F.col(order_col).asc()], rank_col)

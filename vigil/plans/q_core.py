@@ -20,7 +20,7 @@ P = dict(IOC_PATTERNS)
 
 def top_iocs(spark, sf):
     """Indicators seen in the most distinct events (top 20)."""
-    c = Chain(spark, sf)
+    c = Chain.of(spark, sf)
     return (c.ioc.groupBy("ioc_type", "normalized_value")
             .agg(F.count_distinct("source_event_id").alias("n_events"))
             .orderBy(F.desc("n_events"), "ioc_type", "normalized_value").limit(20))
@@ -35,7 +35,7 @@ GROUP BY ioc_type, normalized_value ORDER BY n_events DESC, ioc_type, normalized
 
 @register("pre_strip_html", O.chain("raw") + f"SELECT event_id, {O.sql_strip_html('raw_text')} AS text FROM raw")
 def pre_strip_html(spark, sf):
-    return Chain(spark, sf).raw.select("event_id", T.strip_html(F.col("raw_text")).alias("text"))
+    return Chain.of(spark, sf).raw.select("event_id", T.strip_html(F.col("raw_text")).alias("text"))
 
 
 @register("pre_noise_lines", f"SELECT doc_id, {O.sql_noise('text', TEST_NOISE_PATTERNS)} AS text FROM documents")
@@ -50,14 +50,14 @@ def pre_normalize_ws(spark, sf):
 
 @register("pre_clean_text", O.chain("raw") + f"SELECT event_id, {O.sql_clean('raw_text', TEST_NOISE_PATTERNS)} AS clean_text FROM raw")
 def pre_clean_text(spark, sf):
-    return Chain(spark, sf).raw.select("event_id", T.clean_text(F.col("raw_text"), TEST_NOISE_PATTERNS).alias("clean_text"))
+    return Chain.of(spark, sf).raw.select("event_id", T.clean_text(F.col("raw_text"), TEST_NOISE_PATTERNS).alias("clean_text"))
 
 
 @register("pre_min_length", O.chain("raw") + f"""
 SELECT event_id, length(c) AS n_chars FROM (SELECT event_id, {O.sql_clean('raw_text', TEST_NOISE_PATTERNS)} AS c FROM raw)
 WHERE length(c) >= 20""")
 def pre_min_length(spark, sf):
-    raw = Chain(spark, sf).raw
+    raw = Chain.of(spark, sf).raw
     c = raw.select("event_id", T.clean_text(F.col("raw_text"), TEST_NOISE_PATTERNS).alias("c"))
     return c.filter(F.length("c") >= 20).select("event_id", F.length("c").cast("long").alias("n_chars"))
 
@@ -66,7 +66,7 @@ def pre_min_length(spark, sf):
 SELECT n.event_id, n.language, {s_dbl('n.language_confidence')} AS language_confidence
 FROM norm n""")
 def pre_detect_language(spark, sf):
-    n = Chain(spark, sf).norm
+    n = Chain.of(spark, sf).norm
     return n.select("event_id", "language", dbl("language_confidence").alias("language_confidence"))
 
 
@@ -76,12 +76,12 @@ def pre_language_filter(spark, sf):
     from vigil.plans.views import TEST_PRE
     import dataclasses
     p = dataclasses.replace(TEST_PRE, allowed_languages=("en", "fr"))
-    return normalize(Chain(spark, sf).raw, p).select("event_id", "language")
+    return normalize(Chain.of(spark, sf).raw, p).select("event_id", "language")
 
 
 @register("pre_tokenize", O.chain("norm") + f"SELECT event_id, {s_arr('tokens', True)} AS tokens, CAST(len(tokens) AS BIGINT) AS n_tokens FROM norm")
 def pre_tokenize(spark, sf):
-    n = Chain(spark, sf).norm
+    n = Chain.of(spark, sf).norm
     return n.select("event_id", arr("tokens", True).alias("tokens"), F.size("tokens").cast("long").alias("n_tokens"))
 
 
@@ -90,7 +90,7 @@ SELECT event_id, source, source_url, {s_ts('fetched_at')} AS fetched_at, languag
        {s_dbl('language_confidence')} AS language_confidence, clean_text, {s_arr('tokens', True)} AS tokens
 FROM norm""")
 def pre_normalize(spark, sf):
-    n = Chain(spark, sf).norm
+    n = Chain.of(spark, sf).norm
     return n.select("event_id", "source", "source_url", ts("fetched_at").alias("fetched_at"), "language",
                     dbl("language_confidence").alias("language_confidence"), "clean_text",
                     arr("tokens", True).alias("tokens"))
@@ -130,7 +130,7 @@ def ioc_domain(spark, sf):
 
 @register("ioc_extract_all", O.chain("ioc") + "SELECT source_event_id AS event_id, ioc_type, value FROM ioc_hits")
 def ioc_extract_all(spark, sf):
-    n = Chain(spark, sf).norm
+    n = Chain.of(spark, sf).norm
     return n.select("event_id", F.explode(I.extract_all(F.col("clean_text"))).alias("h")) \
         .select("event_id", F.col("h.ioc_type").alias("ioc_type"), F.col("h.value").alias("value"))
 
@@ -169,18 +169,18 @@ def ioc_norm_ip(spark, sf):
 
 @register("ioc_normalize", O.chain("ioc") + "SELECT source_event_id, ioc_type, value, normalized_value FROM ioc")
 def ioc_normalize(spark, sf):
-    return Chain(spark, sf).ioc.select("source_event_id", "ioc_type", "value", "normalized_value")
+    return Chain.of(spark, sf).ioc.select("source_event_id", "ioc_type", "value", "normalized_value")
 
 
 @register("ioc_context", O.chain("ioc") + "SELECT source_event_id, ioc_type, value, context FROM ioc")
 def ioc_context(spark, sf):
-    return Chain(spark, sf).ioc.select("source_event_id", "ioc_type", "value", "context")
+    return Chain.of(spark, sf).ioc.select("source_event_id", "ioc_type", "value", "context")
 
 
 @register("ioc_extract", O.chain("ioc") + f"""
 SELECT ioc_type, value, normalized_value, {s_dbl('confidence')} AS confidence, source_event_id, context FROM ioc""")
 def ioc_extract(spark, sf):
-    i = Chain(spark, sf).ioc
+    i = Chain.of(spark, sf).ioc
     return i.select("ioc_type", "value", "normalized_value", dbl("confidence").alias("confidence"), "source_event_id", "context")
 
 
@@ -188,12 +188,12 @@ def ioc_extract(spark, sf):
 SELECT source_event_id, count(*) AS ioc_count FROM ioc
 WHERE source_event_id IS NOT NULL AND source_event_id <> '' GROUP BY source_event_id""")
 def ioc_count_by_event(spark, sf):
-    return IO.count_by_event(Chain(spark, sf).ioc)
+    return IO.count_by_event(Chain.of(spark, sf).ioc)
 
 
 def _doubled(spark, sf):
     """The IOC table twice, second copy upper-cased where normalisation lower-cases."""
-    i = Chain(spark, sf).ioc
+    i = Chain.of(spark, sf).ioc
     up = i.select("ioc_type", F.when(F.col("ioc_type").isin("url", "email", "md5", "sha1", "sha256"), F.upper("value"))
                   .otherwise(F.col("value")).alias("value"), "normalized_value", "confidence", "source_event_id", "context")
     return i.withColumn("copy", F.lit(1)).unionByName(up.withColumn("copy", F.lit(2)))
@@ -241,7 +241,7 @@ def ioc_dedup_rebuild(spark, sf):
     f"{s_dbl(f'CAST(len(list_filter({O.str_list(kws)}, lambda k: contains(lower(clean_text), k))) AS DOUBLE) / {float(len(kws))}')} AS score FROM norm"
     for label, kws in TEST_INCIDENT.items()))
 def cls_keyword_score(spark, sf):
-    n = Chain(spark, sf).norm
+    n = Chain.of(spark, sf).norm
     lt = F.lower(F.col("clean_text"))
     rows = [F.struct(F.lit(label).alias("label"), F.size(K.keyword_matches(lt, kws)).cast("long").alias("n_matches"),
                      (F.size(K.keyword_matches(lt, kws)) / F.lit(float(len(kws)))).alias("score"))
@@ -254,7 +254,7 @@ def cls_keyword_score(spark, sf):
 SELECT event_id, incident_type, {s_dbl('incident_confidence')} AS incident_confidence, sector,
        {s_dbl('sector_confidence')} AS sector_confidence FROM ana""")
 def cls_keyword_label(spark, sf):
-    a = Chain(spark, sf).ana
+    a = Chain.of(spark, sf).ana
     return a.select("event_id", "incident_type", dbl("incident_confidence").alias("incident_confidence"),
                     "sector", dbl("sector_confidence").alias("sector_confidence"))
 
@@ -262,7 +262,7 @@ def cls_keyword_label(spark, sf):
 @register("cls_keyword_explain", O.chain("ana") + f"""
 SELECT event_id, {s_arr('expl_incident', True)} AS incident_explanation, {s_arr('expl_sector', True)} AS sector_explanation FROM ana""")
 def cls_keyword_explain(spark, sf):
-    a = Chain(spark, sf).ana
+    a = Chain.of(spark, sf).ana
     return a.select("event_id", arr(F.col("explanations")["incident"], True).alias("incident_explanation"),
                     arr(F.col("explanations")["sector"], True).alias("sector_explanation"))
 
@@ -270,7 +270,7 @@ def cls_keyword_explain(spark, sf):
 @register("cls_mitre_tactics", O.chain("norm") + f"""
 SELECT event_id, {s_arr(O.sql_mitre('clean_text'), True)} AS mitre_tactics, CAST(len({O.sql_mitre('clean_text')}) AS BIGINT) AS n_tactics FROM norm""")
 def cls_mitre_tactics(spark, sf):
-    n = Chain(spark, sf).norm.select("event_id", K.mitre_tactics(F.col("clean_text")).alias("t"))
+    n = Chain.of(spark, sf).norm.select("event_id", K.mitre_tactics(F.col("clean_text")).alias("t"))
     return n.select("event_id", arr("t", True).alias("mitre_tactics"), F.size("t").cast("long").alias("n_tactics"))
 
 
@@ -279,7 +279,7 @@ SELECT event_id, incident_type, {s_dbl('incident_confidence')} AS incident_confi
        {s_dbl('sector_confidence')} AS sector_confidence, cluster_id, {s_dbl('cluster_confidence')} AS cluster_confidence,
        {s_arr('expl_incident', True)} AS incident_explanation, {s_arr('expl_sector', True)} AS sector_explanation FROM ana""")
 def cls_analyze(spark, sf):
-    a = Chain(spark, sf).ana
+    a = Chain.of(spark, sf).ana
     return a.select("event_id", "incident_type", dbl("incident_confidence").alias("incident_confidence"), "sector",
                     dbl("sector_confidence").alias("sector_confidence"), "cluster_id",
                     dbl("cluster_confidence").alias("cluster_confidence"),

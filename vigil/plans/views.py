@@ -32,6 +32,7 @@ TEST_SEC = ClassifierParams(label_keywords=TEST_SECTOR, min_confidence=0.6)
 TEST_COR = CorrelationParams(use_analysis_clusters=False, use_temporal_window=False)
 TEST_CLUSTERS = 7
 BASE_EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
+_RUNS: dict = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread_on: str | None = None) -> DataFrame:
@@ -90,6 +91,20 @@ class Chain:
     materialize: bool = True
     _memo: dict = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        from vigil.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(self.spark)
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str, **params) -> "Chain":
+        """One chain per (session, input, parameters): the stage tables of one run,
+        shared by every query over that run."""
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir, tuple(sorted((k, repr(v)) for k, v in params.items())))
+        chain = _RUNS.get(key)
+        if chain is None:
+            chain = _RUNS[key] = cls(spark, sf_dir, **params)
+        return chain
+
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 

@@ -6,7 +6,7 @@ import importlib
 
 from vigil.plans.registry import REGISTRY, Entry
 
-MODULES = ["vigil.plans.q_core", "vigil.plans.q_correlate", "vigil.plans.q_serve"]
+MODULES = ["vigil.plans.q_core", "vigil.plans.q_correlate", "vigil.plans.q_serve", "vigil.plans.q_ingest"]
 
 
 def load_registry() -> dict[str, Entry]:

@@ -11,6 +11,7 @@ from vigil.functions.keywords import mitre_tactics
 from vigil.operators.graph import connected_components, dense_rank_by
 from vigil.operators.score import clip01
 from vigil.params import CorrelationParams
+from vigil.session import materialize
 
 HUB_IOC, HUB_CLUSTER, HUB_WINDOW = "#ioc:", "#clu:", "#win:"
 
@@ -205,6 +206,6 @@ class CorrelationOutput:
 
 def run(norm: DataFrame, iocs: DataFrame, analysis: DataFrame,
         p: CorrelationParams = CorrelationParams()) -> CorrelationOutput:
-    mem = campaign_membership(norm, iocs, analysis, p).checkpoint()
+    mem = materialize(campaign_membership(norm, iocs, analysis, p), "membership")
     cor = correlate(norm, iocs, analysis, p, mem)
     return CorrelationOutput(cor, campaigns(norm, cor, mem), mem)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.session import ensure_checkpoint_dir
+from vigil.session import ensure_checkpoint_dir, materialize
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -33,10 +33,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     e = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")) \
         .filter(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = both.checkpoint()
+    both = materialize(both, "cc_edges")
     all_nodes = nodes.select(F.col("node").cast("string").alias("node")) \
         .unionByName(both.select(F.col("src").alias("node"))).distinct()
-    labels = all_nodes.select("node", F.col("node").alias("label")).checkpoint()
+    labels = materialize(all_nodes.select("node", F.col("node").alias("label")), "cc_labels")
 
     for _ in range(max_rounds):
         nbr = both.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("nl")), "dst") \
@@ -48,7 +48,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
             prop.select(F.col("node").alias("jn"), F.col("label").alias("jl")).alias("b"),
             F.col("a.label") == F.col("b.jn"), "left",
         ).select("node", "old", F.least(F.col("label"), F.coalesce(F.col("jl"), F.col("label"))).alias("label"))
-        jumped = jumped.checkpoint()
+        jumped = materialize(jumped, "cc_round")
         changed = jumped.filter(F.col("label") != F.col("old")).limit(1).count()
         labels = jumped.select("node", "label")
         if changed == 0:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators import report as R
 from vigil.plans.views import Chain
+from vigil.session import materialize
 
 
 @dataclass
@@ -30,7 +31,7 @@ def run_pipeline(spark: SparkSession, sf_dir: str, stages: tuple[str, ...] | Non
     done = {}
     for name, df in tables.items():
         obs = Observation(name)
-        m = df.observe(obs, F.count(F.lit(1)).alias("n")).checkpoint()
+        m = materialize(df.observe(obs, F.count(F.lit(1)).alias("n")), name)
         counts[name] = int(obs.get["n"])
         done[name] = m
     scores = done.get("scores", c.sco)

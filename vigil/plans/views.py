@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators import classify, correlate, iocs, preprocess, score
+from vigil.session import materialize
 from vigil.params import (INCIDENT_KEYWORDS, NOISE_PATTERNS, SECTOR_KEYWORDS, ClassifierParams,
                           CorrelationParams, IocParams, PreprocessParams, ScoringParams)
 
@@ -116,12 +117,12 @@ class Chain:
     def norm(self) -> DataFrame:
         df = preprocess.normalize(self.raw, self.pre)
         # Cleaning is the costly regex pass; materialise it once for all consumers.
-        return df.checkpoint() if self.materialize else df
+        return materialize(df, "stage") if self.materialize else df
 
     @cached_property
     def ioc(self) -> DataFrame:
         df = iocs.extract(self.norm, self.ioc_params)
-        return df.checkpoint() if self.materialize else df
+        return materialize(df, "stage") if self.materialize else df
 
     @cached_property
     def clusters(self) -> DataFrame | None:
@@ -136,7 +137,7 @@ class Chain:
 
     @cached_property
     def membership(self) -> DataFrame:
-        return correlate.campaign_membership(self.norm, self.ioc, self.ana, self.cor_params).checkpoint()
+        return materialize(correlate.campaign_membership(self.norm, self.ioc, self.ana, self.cor_params), "membership")
 
     @cached_property
     def cor(self) -> DataFrame:

@@ -26,7 +26,7 @@ def run_dedup_stream(spark: SparkSession, source_dir: str, schema, out_dir: str,
             ledger = spark.read.parquet(ledger_dir)
         except Exception:  # noqa: BLE001 - first batch: empty ledger
             ledger = first.select("content_hash").limit(0)
-        fresh = G.drop_seen(first, ledger).checkpoint()
+        fresh = G.drop_seen(first, ledger)
         fresh.write.mode("append").parquet(out_dir)
         fresh.select("content_hash", "event_id", "source", "source_url",
                      F.current_timestamp().alias("first_seen")).write.mode("append").parquet(ledger_dir)

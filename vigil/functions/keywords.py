@@ -93,16 +93,29 @@ def merge_keywords(primary: Mapping[str, Sequence[str]], extra: Mapping[str, Seq
 
 
 def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:
-    """Number of distinct (lower-cased, stripped) keywords hit by the text."""
+    """Number of distinct (lower-cased, stripped) keywords hit by the text.
+
+    Alphanumeric keywords count as whole words: one regex scan finds every
+    such keyword occurrence (word boundaries as look-arounds), and the
+    distinct matches are counted; other keywords are substring tests.
+    """
+    import re
+
     lt = F.lower(text)
-    distinct = []
+    distinct: list[str] = []
     for k in keywords:
         kk = k.lower().strip()
         if kk and kk not in distinct:
             distinct.append(kk)
     if not distinct:
         return F.lit(0)
+    words = [k for k in distinct if re.fullmatch(r"[a-z0-9]+", k)]
+    others = [k for k in distinct if k not in words]
     total = F.lit(0)
-    for kk in distinct:
-        total = total + F.when(whole_word_or_substring(lt, kk), 1).otherwise(0)
+    if words:
+        alt = "|".join(sorted(words, key=len, reverse=True))
+        pattern = f"(?<!{WORD})(?:{alt})(?!{WORD})"
+        total = total + F.size(F.array_distinct(F.regexp_extract_all(lt, F.lit(pattern), 0)))
+    for kk in others:
+        total = total + F.when(F.contains(lt, F.lit(kk)), 1).otherwise(0)
     return F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(total)

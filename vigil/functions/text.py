@@ -55,20 +55,23 @@ def strip_html(c: Column) -> Column:
     return F.when(has_markup, x).otherwise(c)
 
 
+def noise_regex(patterns: Sequence[str]) -> str:
+    """One case-insensitive search pattern matching when any of ``patterns`` matches."""
+    return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
+
+
 def remove_noise_lines(c: Column, patterns: Sequence[str]) -> Column:
-    """Drop blank lines and lines matching any pattern (case-insensitive search)."""
+    """Drop blank lines and lines matching any pattern (case-insensitive search).
+
+    Each line is stripped once, then tested against one combined pattern
+    (patterns must not use numbered back-references).
+    """
     if not patterns:
         return c
-    lines = F.split(c, LINE_BREAK)
-
-    def keep(line: Column) -> Column:
-        stripped = py_strip(line)
-        cond = stripped != F.lit("")
-        for p in patterns:
-            cond = cond & ~stripped.rlike("(?i)" + p)
-        return cond
-
-    return F.array_join(F.transform(F.filter(lines, keep), py_strip), "\n")
+    stripped = F.transform(F.split(c, LINE_BREAK), py_strip)
+    combined = noise_regex(patterns)
+    kept = F.filter(stripped, lambda line: (line != F.lit("")) & ~line.rlike(combined))
+    return F.array_join(kept, "\n")
 
 
 def normalize_whitespace(c: Column) -> Column:
@@ -96,23 +99,27 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), 0)
 
 
-def language_counts(words_col: Column, profiles: Iterable[tuple[str, list[str]]] = LANGUAGE_PROFILES) -> list[tuple[str, Column]]:
-    """Per language: number of the words found in its profile."""
-    words = words_col
+def language_counts(text: Column, profiles: Iterable[tuple[str, list[str]]] = LANGUAGE_PROFILES) -> list[tuple[str, Column]]:
+    """Per language: number of words (maximal letter runs, lower-cased) found in its profile.
 
-    def in_profile(ws):
-        return lambda w: w.isin(*ws)
-
-    return [(lang, F.size(F.filter(words, in_profile(tuple(ws))))) for lang, ws in profiles]
+    One regex scan per language with the profile as an alternation bounded by
+    look-arounds; no per-word array or lambda is materialised.
+    """
+    lt = F.lower(text)
+    out = []
+    for lang, ws in profiles:
+        alt = "|".join(sorted(ws, key=len, reverse=True))
+        pattern = rf"(?<!\p{{L}})(?:{alt})(?!\p{{L}})"
+        out.append((lang, F.size(F.regexp_extract_all(lt, F.lit(pattern), 0))))
+    return out
 
 
-def detect_language(words_col: Column, profiles: Sequence[tuple[str, list[str]]] = LANGUAGE_PROFILES) -> Column:
-    """struct(language, confidence) from a ``words`` column: the profile with
-    most word hits and its share of all hits.
+def detect_language(text: Column, profiles: Sequence[tuple[str, list[str]]] = LANGUAGE_PROFILES) -> Column:
+    """struct(language, confidence): the profile with most word hits and its share of all hits.
 
     No hit at all gives ("unknown", 0.0); ties go to the earlier profile.
     """
-    counts = language_counts(words_col, profiles)
+    counts = language_counts(text, profiles)
     total = sum((cnt for _, cnt in counts), F.lit(0))
     best = F.greatest(*[cnt for _, cnt in counts]) if len(counts) > 1 else counts[0][1]
     lang = F.when(best <= 0, F.lit("unknown"))

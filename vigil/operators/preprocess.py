@@ -22,8 +22,7 @@ def normalize(raw: DataFrame, params: PreprocessParams = PreprocessParams()) ->
     """
     df = with_clean_text(raw, params)
     df = df.filter(F.length("clean_text") >= params.min_text_length)
-    df = df.withColumn("_words", T.words(F.col("clean_text")))
-    df = df.withColumn("_lang", T.detect_language(F.col("_words")))
+    df = df.withColumn("_lang", T.detect_language(F.col("clean_text")))
     if params.allowed_languages:
         df = df.filter(F.col("_lang.language").isin(*params.allowed_languages))
     cols = [c for c in ("event_id", "source", "source_url", "fetched_at") if c in df.columns]

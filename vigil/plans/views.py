@@ -37,6 +37,9 @@ _RUNS: dict = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread_on: str | None = None) -> DataFrame:
+    # all times are UTC: bucketing and rendering must not depend on the host zone
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df, spread_on) if spread_on else df
 

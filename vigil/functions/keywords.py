@@ -23,6 +23,19 @@ def keyword_matches(lower_text: Column, keywords: Sequence[str]) -> Column:
     return F.filter(_kw_array(kws), lambda k: F.contains(lower_text, k))
 
 
+def keyword_match_struct(text: Column, label_keywords: Mapping[str, Sequence[str]]) -> Column:
+    """struct<label_i: matched keywords> (configured order), to be selected as its own column."""
+    lt = F.lower(text)
+    return F.struct(*[keyword_matches(lt, kws).alias(f"m{i}") for i, (_, kws) in enumerate(label_keywords.items())])
+
+
+def classify_from_matches(matches_col: Column, label_keywords: Mapping[str, Sequence[str]], min_confidence: float) -> Column:
+    """The keyword classifier's struct(label, confidence, explanation) from ``keyword_match_struct``."""
+    labels = list(label_keywords.items())
+    matches = [matches_col[f"m{i}"] for i in range(len(labels))]
+    return _classify(labels, matches, min_confidence)
+
+
 def keyword_classify(text: Column, label_keywords: Mapping[str, Sequence[str]], min_confidence: float) -> Column:
     """struct(label, confidence, explanation) of the keyword classifier.
 
@@ -35,7 +48,10 @@ def keyword_classify(text: Column, label_keywords: Mapping[str, Sequence[str]],
                         F.array().cast("array<string>").alias("explanation"))
     lt = F.lower(text)
     labels = list(label_keywords.items())
-    matches = [keyword_matches(lt, kws) for _, kws in labels]
+    return _classify(labels, [keyword_matches(lt, kws) for _, kws in labels], min_confidence)
+
+
+def _classify(labels, matches, min_confidence: float) -> Column:
     scores = [F.size(m) / F.lit(float(max(len(kws), 1))) for m, (_, kws) in zip(matches, labels)]
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]
     label = F.when(best <= 0, F.lit("unknown"))

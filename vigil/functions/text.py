@@ -114,12 +114,26 @@ def language_counts(text: Column, profiles: Iterable[tuple[str, list[str]]] = LA
     return out
 
 
+def language_count_struct(text: Column, profiles: Sequence[tuple[str, list[str]]] = LANGUAGE_PROFILES) -> Column:
+    """struct<lang: count> of profile hits; select it as its own column before ``language_from_counts``
+    so each regex scan runs once (CASE branches are outside common-subexpression elimination)."""
+    return F.struct(*[cnt.alias(lang) for lang, cnt in language_counts(text, profiles)])
+
+
+def language_from_counts(counts_col: Column, profiles: Sequence[tuple[str, list[str]]] = LANGUAGE_PROFILES) -> Column:
+    """struct(language, confidence) from a ``language_count_struct`` column."""
+    return _pick_language([(lang, counts_col[lang]) for lang, _ in profiles])
+
+
 def detect_language(text: Column, profiles: Sequence[tuple[str, list[str]]] = LANGUAGE_PROFILES) -> Column:
     """struct(language, confidence): the profile with most word hits and its share of all hits.
 
     No hit at all gives ("unknown", 0.0); ties go to the earlier profile.
     """
-    counts = language_counts(text, profiles)
+    return _pick_language(language_counts(text, profiles))
+
+
+def _pick_language(counts: list[tuple[str, Column]]) -> Column:
     total = sum((cnt for _, cnt in counts), F.lit(0))
     best = F.greatest(*[cnt for _, cnt in counts]) if len(counts) > 1 else counts[0][1]
     lang = F.when(best <= 0, F.lit("unknown"))

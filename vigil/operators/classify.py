@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.keywords import keyword_classify
+from vigil.functions.keywords import classify_from_matches, keyword_classify, keyword_match_struct
 from vigil.params import ClassifierParams, incident_classifier, sector_classifier
 
 
@@ -21,11 +21,19 @@ def analyze(norm: DataFrame, incident: ClassifierParams | None = None,
     inc = incident if incident is not None else ClassifierParams()
     sec = sector if sector is not None else ClassifierParams()
     df = norm.select("event_id", F.col(text_col).alias("_t"))
-    df = df.select(
-        "event_id",
-        keyword_classify(F.col("_t"), inc.label_keywords, inc.min_confidence).alias("_i"),
-        keyword_classify(F.col("_t"), sec.label_keywords, sec.min_confidence).alias("_s"),
-    )
+    if inc.label_keywords and sec.label_keywords:
+        # matches first, then the pick: each substring test runs once per row
+        df = df.select("event_id", keyword_match_struct(F.col("_t"), inc.label_keywords).alias("_mi"),
+                       keyword_match_struct(F.col("_t"), sec.label_keywords).alias("_ms"))
+        df = df.select("event_id",
+                       classify_from_matches(F.col("_mi"), inc.label_keywords, inc.min_confidence).alias("_i"),
+                       classify_from_matches(F.col("_ms"), sec.label_keywords, sec.min_confidence).alias("_s"))
+    else:
+        df = df.select(
+            "event_id",
+            keyword_classify(F.col("_t"), inc.label_keywords, inc.min_confidence).alias("_i"),
+            keyword_classify(F.col("_t"), sec.label_keywords, sec.min_confidence).alias("_s"),
+        )
     if clusters is not None:
         df = df.join(clusters.select("event_id", "cluster_id", "cluster_confidence"), "event_id", "left")
         cid = F.col("cluster_id").cast("int")

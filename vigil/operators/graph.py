@@ -16,7 +16,7 @@ splitting handles, and the min-aggregations combine map-side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vigil.session import ensure_checkpoint_dir, materialize
@@ -48,8 +48,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
             prop.select(F.col("node").alias("jn"), F.col("label").alias("jl")).alias("b"),
             F.col("a.label") == F.col("b.jn"), "left",
         ).select("node", "old", F.least(F.col("label"), F.coalesce(F.col("jl"), F.col("label"))).alias("label"))
-        jumped = materialize(jumped, "cc_round")
-        changed = jumped.filter(F.col("label") != F.col("old")).limit(1).count()
+        # the convergence count rides on the materialising write (no extra job)
+        obs = Observation(f"cc_round_{_}")
+        jumped = materialize(jumped.observe(obs, F.sum((F.col("label") != F.col("old")).cast("long")).alias("changed")),
+                             "cc_round")
+        changed = obs.get["changed"] or 0
         labels = jumped.select("node", "label")
         if changed == 0:
             break

@@ -36,20 +36,27 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     both = materialize(both, "cc_edges")
     all_nodes = nodes.select(F.col("node").cast("string").alias("node")) \
         .unionByName(both.select(F.col("src").alias("node"))).distinct()
-    labels = materialize(all_nodes.select("node", F.col("node").alias("label")), "cc_labels")
+    # round 0 without a label join: every node starts at min(itself, its neighbours)
+    seed = both.groupBy("src").agg(F.min("dst").alias("nmin")).withColumnRenamed("src", "node")
+    labels = materialize(all_nodes.join(seed, "node", "left").select(
+        "node", F.least(F.col("node"), F.coalesce(F.col("nmin"), F.col("node"))).alias("label")), "cc_labels")
 
-    for _ in range(max_rounds):
+    def jump(df: DataFrame) -> DataFrame:
+        """label <- label(label): follow the pointer one step."""
+        return df.alias("a").join(
+            df.select(F.col("node").alias("jn"), F.col("label").alias("jl")).alias("b"),
+            F.col("a.label") == F.col("b.jn"), "left",
+        ).select("node", "old", F.least(F.col("label"), F.coalesce(F.col("jl"), F.col("label"))).alias("label"))
+
+    for i in range(max_rounds):
         nbr = both.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("nl")), "dst") \
             .groupBy("src").agg(F.min("nl").alias("nmin"))
         prop = labels.join(nbr.withColumnRenamed("src", "node"), "node", "left").select(
             "node", F.col("label").alias("old"),
             F.least(F.col("label"), F.coalesce(F.col("nmin"), F.col("label"))).alias("label"))
-        jumped = prop.alias("a").join(
-            prop.select(F.col("node").alias("jn"), F.col("label").alias("jl")).alias("b"),
-            F.col("a.label") == F.col("b.jn"), "left",
-        ).select("node", "old", F.least(F.col("label"), F.coalesce(F.col("jl"), F.col("label"))).alias("label"))
+        jumped = jump(prop)
         # the convergence count rides on the materialising write (no extra job)
-        obs = Observation(f"cc_round_{_}")
+        obs = Observation(f"cc_round_{i}")
         jumped = materialize(jumped.observe(obs, F.sum((F.col("label") != F.col("old")).cast("long")).alias("changed")),
                              "cc_round")
         changed = obs.get["changed"] or 0

@@ -29,7 +29,8 @@ def run_pipeline(spark: SparkSession, sf_dir: str, stages: tuple[str, ...] | Non
         tables = {k: v for k, v in tables.items() if k in stages}
     counts = {}
     done = {}
-    already = {"raw_events", "normalized_events", "iocs"}  # the input, and tables the chain wrote once
+    # the input, and the stage tables the chain already wrote once for this run
+    already = set(tables) if c.materialize else {"raw_events"}
     for name, df in tables.items():
         if name in already:
             counts[name] = df.count()

@@ -134,9 +134,13 @@ class Chain:
         return self.norm.select("event_id", (event_number() % TEST_CLUSTERS).cast("int").alias("cluster_id"),
                                 F.lit(1.0).alias("cluster_confidence"))
 
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        """Stage tables are written once per run and read by every later consumer."""
+        return materialize(df, name) if self.materialize else df
+
     @cached_property
     def ana(self) -> DataFrame:
-        return classify.analyze(self.norm, self.inc, self.sec, self.clusters)
+        return self._stage(classify.analyze(self.norm, self.inc, self.sec, self.clusters), "analysis")
 
     @cached_property
     def membership(self) -> DataFrame:
@@ -144,11 +148,12 @@ class Chain:
 
     @cached_property
     def cor(self) -> DataFrame:
-        return correlate.correlate(self.norm, self.ioc, self.ana, self.cor_params, self.membership)
+        return self._stage(correlate.correlate(self.norm, self.ioc, self.ana, self.cor_params, self.membership),
+                           "correlation")
 
     @cached_property
     def camp(self) -> DataFrame:
-        return correlate.campaigns(self.norm, self.cor, self.membership)
+        return self._stage(correlate.campaigns(self.norm, self.cor, self.membership), "campaigns")
 
     @cached_property
     def ioc_counts(self) -> DataFrame:
@@ -156,4 +161,4 @@ class Chain:
 
     @cached_property
     def sco(self) -> DataFrame:
-        return score.score(self.ana, self.cor, self.ioc_counts, self.sco_params)
+        return self._stage(score.score(self.ana, self.cor, self.ioc_counts, self.sco_params), "scores")

@@ -36,9 +36,25 @@ def terms(text: Column, ngram_max: int = 2, stop_words: Sequence[str] = CLUSTER_
     return F.concat(u, F.when(F.size(u) >= 2, bi).otherwise(F.array().cast("array<string>")))
 
 
+def with_terms(docs: DataFrame, text_col: str, out_col: str = "terms", ngram_max: int = 2,
+               stop_words: Sequence[str] = CLUSTER_STOP_WORDS) -> DataFrame:
+    """Adds the 1..2-gram terms (same result as ``terms``) with Spark ML's JVM transformers,
+    which run about twice as fast as the equivalent higher-order-function expression."""
+    from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover
+
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_w", pattern=WORD_RUN, gaps=False, toLowercase=True,
+                         minTokenLength=2)
+    df = StopWordsRemover(inputCol="_w", outputCol="_u", stopWords=list(stop_words), caseSensitive=True) \
+        .transform(tok.transform(docs))
+    if ngram_max < 2:
+        return df.withColumn(out_col, F.col("_u")).drop("_w", "_u")
+    df = NGram(n=2, inputCol="_u", outputCol="_b").transform(df)
+    return df.withColumn(out_col, F.concat("_u", "_b")).drop("_w", "_u", "_b")
+
+
 def term_counts(docs: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:
     """(doc, term, tf) long form; the explode stays inside each document's task."""
-    ex = docs.select(F.col(id_col).alias("doc"), F.explode(terms(F.col(text_col), **kw)).alias("term"))
+    ex = with_terms(docs, text_col, "_t", **kw).select(F.col(id_col).alias("doc"), F.explode("_t").alias("term"))
     return ex.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

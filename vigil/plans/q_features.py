@@ -39,7 +39,7 @@ def _tfidf(spark, sf):
 
 @register("clu_terms", TFIDF_SQL + f"SELECT doc AS doc_id, {s_arr('terms', True)} AS terms, CAST(len(terms) AS BIGINT) AS n_terms FROM t")
 def clu_terms(spark, sf):
-    d = docs(spark, sf).select("doc_id", FE.terms(F.col("text")).alias("t"))
+    d = FE.with_terms(docs(spark, sf), "text", "t")
     return d.select("doc_id", arr("t", True).alias("terms"), F.size("t").cast("long").alias("n_terms"))
 
 
@@ -98,7 +98,7 @@ def clu_kmeans_text(spark, sf):
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import CountVectorizer, IDF, Normalizer
 
-    d = docs(spark, sf).select("doc_id", FE.terms(F.col("text")).alias("terms"))
+    d = FE.with_terms(docs(spark, sf), "text", "terms").select("doc_id", "terms")
     n = d.count()
     k = FE.auto_k(n)
     cv = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=MAX_FEATURES).fit(d)

@@ -36,9 +36,11 @@ def count_by_event(iocs: DataFrame) -> DataFrame:
 
 
 def dedup(iocs: DataFrame, order_col: str = "value") -> DataFrame:
-    """First row per (event, type, normalized value), ``order_col`` deciding 'first'."""
-    w = Window.partitionBy(*IOC_KEY).orderBy(F.col(order_col).asc_nulls_last())
-    return iocs.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """First row per (event, type, normalized value), ``order_col`` deciding 'first'
+    (a ``min_by`` aggregate: combines map-side, no per-key sort)."""
+    cols = [c for c in iocs.columns if c not in IOC_KEY]
+    kept = iocs.groupBy(*IOC_KEY).agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("_r"))
+    return kept.select(*IOC_KEY, *[F.col(f"_r.{c}").alias(c) for c in cols]).select(*iocs.columns)
 
 
 def dedup_audit(iocs: DataFrame) -> DataFrame:

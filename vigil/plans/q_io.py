@@ -28,6 +28,8 @@ def scratch(spark, name: str) -> str:
 
 
 CTRL = r"[\x00-\x08\x0B\x0C\x0D\x0E-\x1F]"
+FEED_ITEMS = 50  # items per landed feed file in the fixtures
+FEED_SQL = "source || '-' || CAST(CAST(floor(doc_id / 50) AS BIGINT) AS VARCHAR)"
 SQL_STRIP = O.sql_strip
 
 
@@ -42,8 +44,8 @@ def _xml_escape(c):
 
 
 @register("src_rss", f"""
-WITH d AS (SELECT source, doc_id, regexp_replace(text, '{CTRL}', '', 'g') AS t,
-                  row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents)
+WITH d AS (SELECT {FEED_SQL} AS source, doc_id, regexp_replace(text, '{CTRL}', '', 'g') AS t,
+                  row_number() OVER (PARTITION BY {FEED_SQL} ORDER BY doc_id) - 1 AS pos FROM documents)
 SELECT source, 'doc://' || CAST(doc_id AS VARCHAR) AS source_url, {sql_join2("'Item ' || CAST(doc_id AS VARCHAR)", 't')} AS raw_text, pos
 FROM d WHERE pos < 30""")
 def src_rss(spark, sf):
@@ -52,7 +54,9 @@ def src_rss(spark, sf):
     item = F.concat(F.lit("<item><title>Item "), F.col("doc_id").cast("string"), F.lit("</title><description>"),
                     _xml_escape(t), F.lit("</description><link>doc://"), F.col("doc_id").cast("string"),
                     F.lit("</link><pubDate>Mon, 01 Jan 2024 00:00:00 GMT</pubDate></item>"))
-    feeds = d.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("x")))).alias("xs")) \
+    # one landed feed per (source, block of 50 ids): a fetch is bounded
+    feed = F.concat(F.col("source"), F.lit("-"), F.floor(F.col("doc_id") / FEED_ITEMS).cast("string"))
+    feeds = d.groupBy(feed.alias("source")).agg(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("x")))).alias("xs")) \
         .select("source", F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("xs", lambda s: s["x"]), ""),
                                    F.lit("</channel></rss>")).alias("value"))
     path = scratch(spark, "rss")
@@ -96,11 +100,13 @@ def _json_feeds(spark, sf):
     d = read_table(spark, sf, "documents")
     items = F.struct(F.col("doc_id").alias("id"), F.col("text").alias("text"),
                      F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"))
-    return d.groupBy("source").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", items.alias("i")))),
-                                                         lambda s: s["i"])).alias("payload"))
+    feed = F.concat(F.col("source"), F.lit("-"), F.floor(F.col("doc_id") / FEED_ITEMS).cast("string"))
+    return d.groupBy(feed.alias("source")).agg(
+        F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", items.alias("i")))), lambda s: s["i"])).alias("payload"))
 
 
-DOCS_RANKED = "d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents)"
+DOCS_RANKED = ("d AS (SELECT * REPLACE (" + FEED_SQL + " AS source), row_number() OVER (PARTITION BY " + FEED_SQL
+               + " ORDER BY doc_id) - 1 AS pos FROM documents)")
 
 
 @register("src_json_api", f"""
@@ -218,14 +224,15 @@ def _feed_lines(spark, sf):
         row(1, F.sha2(F.col("text"), 256)),
         row(2, F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("https://feed.example.org/"), idc))),
         row(3, F.lit("   ")))
-    return d.select("source", "doc_id", F.inline(rows)).withColumn("l", F.coalesce("l", F.lit("")))
+    feed = F.concat(F.col("source"), F.lit("-"), F.floor(F.col("doc_id") / FEED_ITEMS).cast("string"))
+    return d.select(feed.alias("source"), "doc_id", F.inline(rows)).withColumn("l", F.coalesce("l", F.lit("")))
 
 
 @register("src_text_feed", f"""
 WITH x AS (
-  SELECT source, doc_id, 0 AS sub, CASE WHEN doc_id % 5 = 0 THEN '# note ' || CAST(doc_id AS VARCHAR) ELSE '' END AS l FROM documents
-  UNION ALL SELECT source, doc_id, 1, sha256(text) FROM documents
-  UNION ALL SELECT source, doc_id, 2, CASE WHEN doc_id % 4 = 0 THEN 'https://feed.example.org/' || CAST(doc_id AS VARCHAR) ELSE '' END FROM documents),
+  SELECT {FEED_SQL} AS source, doc_id, 0 AS sub, CASE WHEN doc_id % 5 = 0 THEN '# note ' || CAST(doc_id AS VARCHAR) ELSE '' END AS l FROM documents
+  UNION ALL SELECT {FEED_SQL}, doc_id, 1, sha256(text) FROM documents
+  UNION ALL SELECT {FEED_SQL}, doc_id, 2, CASE WHEN doc_id % 4 = 0 THEN 'https://feed.example.org/' || CAST(doc_id AS VARCHAR) ELSE '' END FROM documents),
 k AS (SELECT * FROM x WHERE l <> '' AND NOT starts_with(l, '#')),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, sub) AS n FROM k)
 SELECT source, CASE WHEN starts_with(l, 'http://') OR starts_with(l, 'https://') THEN l ELSE 'feed://' || source END AS source_url,

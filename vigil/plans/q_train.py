@@ -122,15 +122,19 @@ def trn_model_io(spark, sf):
                                    F.sum((F.col("p1") == F.col("p2")).cast("int")).alias("n_equal"))
 
 
-@register("read_labeled")
+@register("read_labeled", f"""
+SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, {O.sql_strip('d.text')} AS text, CAST(l.quality AS VARCHAR) AS label
+FROM documents d JOIN labels l USING (doc_id) WHERE {O.sql_strip('d.text')} <> ''""")
 def read_labeled(spark, sf):
     """Labelled rows written as CSV with a header, read back; blank text or label dropped."""
     path = ensure_checkpoint_dir(spark).rstrip("/") + "/labeled_csv"
     labelled_docs(spark, sf).write.mode("overwrite").option("header", True).option("multiLine", True) \
         .option("escape", '"').csv(path)
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return back.select("doc_id", F.trim("text").alias("text"), F.trim("label").alias("label")) \
-        .filter((F.col("text") != "") & (F.col("label") != ""))
+    from vigil.functions.text import py_strip
+    out = back.select("doc_id", py_strip(F.coalesce("text", F.lit(""))).alias("text"),
+                      py_strip(F.coalesce("label", F.lit(""))).alias("label"))
+    return out.filter((F.col("text") != "") & (F.col("label") != ""))
 
 
 # --- weak labels ----------------------------------------------------------------

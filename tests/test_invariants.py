@@ -64,3 +64,12 @@ def test_no_cartesian_or_python_udf_in_chain(spark):
     for key in ("cor_correlate", "sco_score", "rep_items", "qry_events"):
         plan = q[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, key
+
+
+def test_key_filter_and_pruning_reach_the_scan(spark):
+    q = E.queries()
+    detail = q["qry_event_detail"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(event_id), EqualTo(event_id,p1)]" in detail
+    top = q["top_iocs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # the indicator scan reads only the three columns the aggregate needs
+    assert "ReadSchema: struct<ioc_type:string,normalized_value:string,source_event_id:string>" in top

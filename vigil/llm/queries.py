@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import mixing
+from vigil.llm import licenses, line_dedup, mixing, quality
 from vigil.session import ensure_checkpoint_dir
 
 
@@ -13,9 +13,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_digest(_table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
+def op9_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repetition_quality(_table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_source_mix,)}
-ORACLE_SQL = {"op10_source_mix": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op7_license_scan, op9_repetition_quality, op10_source_mix)}
+ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE, "op10_source_mix": mixing.ORACLE}

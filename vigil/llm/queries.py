@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import licenses, line_dedup, mixing, quality
+from vigil.llm import licenses, line_dedup, mixing, packing, quality, token_files
 from vigil.session import ensure_checkpoint_dir
 
 
@@ -13,6 +13,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_digest(_table(spark, sf_dir, "documents"))
 
@@ -29,5 +43,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op7_license_scan, op9_repetition_quality, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_line_dedup, op4_token_files, op7_license_scan, op9_repetition_quality, op10_source_mix)}
 ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE, "op10_source_mix": mixing.ORACLE}

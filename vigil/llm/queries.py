@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import licenses, line_dedup, mixing, packing, quality, token_files
+from vigil.llm import licenses, line_dedup, mixing, packing, quality, token_files, toxicity
 from vigil.session import ensure_checkpoint_dir
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """The shared folder, and on one machine this package on the Python workers' path (a cluster gets it with --py-files)."""
     ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    root = str(Path(__file__).resolve().parents[2])
+    if sc.master.startswith("local[") and root not in sc.environment.get("PYTHONPATH", ""):
+        sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, sc.environment.get("PYTHONPATH")]))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +43,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
 
@@ -43,5 +59,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_line_dedup, op4_token_files, op7_license_scan, op9_repetition_quality, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_line_dedup, op4_token_files, op5_toxicity, op7_license_scan, op9_repetition_quality, op10_source_mix)}
 ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE, "op10_source_mix": mixing.ORACLE}

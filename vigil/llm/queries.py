@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import licenses, line_dedup, mixing, packing, quality, token_files, toxicity
+from vigil.llm import licenses, line_dedup, mixing, near_dedup, packing, quality, token_files, toxicity
 from vigil.session import ensure_checkpoint_dir
 
 
@@ -47,6 +47,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
 
@@ -59,5 +63,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_line_dedup, op4_token_files, op5_toxicity, op7_license_scan, op9_repetition_quality, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_line_dedup, op4_token_files, op5_toxicity, op6_minhash_near_dedup, op7_license_scan, op9_repetition_quality, op10_source_mix)}
 ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE, "op10_source_mix": mixing.ORACLE}

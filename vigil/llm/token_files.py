@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.llm import elias_fano
-from vigil.llm.tokens import encoder
+from vigil.llm.arrow import slices
+from vigil.llm.tokens import encoder, forget
 from vigil.session import ensure_checkpoint_dir, materialize
 
 END_ID = 0
@@ -69,7 +70,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def run(batches):
         part, shard, doc_ids, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
         enc, end = encoder(tokenizer_path), np.array([end_id], "<u4")
-        for b in batches:
+        for b in slices(batches, 2048):
             texts = [t or "" for t in b.column("text").to_pylist()]
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.ids(texts), strict=True):
                 doc_ids.append(doc_id)
@@ -97,11 +98,13 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                       ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def sizes(batches):
+        forget()
         for b in batches:
             s = [Shard(x.as_buffer()) for x in b.column(0)]
             yield pa.RecordBatch.from_pydict({"part": [x.part for x in s], "shard": [x.shard for x in s], "n_ids": [x.n_ids for x in s]}, schema=heads)
 
     def documents(batches):
+        forget()
         for b in batches:
             for x in b.column(0):
                 s = Shard(x.as_buffer())

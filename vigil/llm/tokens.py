@@ -34,12 +34,20 @@ PLAIN = "\u0001"  # marks a unit that has no blank before it
 _BYTE_UNITS = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The byte-level alphabet for Latin-1 characters: printable bytes stand for themselves, the others for 256, 257, ..."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in set(own)]
-    letter = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(other)}
-    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+SPACED = 1  # stands for the letter of a blank in front of a unit
+
+
+def _byte_letters() -> np.ndarray:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...; here blanks only part units."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    letters = np.arange(256, dtype="<u2")
+    letters[[x for x in range(256) if x not in own]] = 256 + np.arange(256 - len(own))
+    letters[SPACED], letters[ord(" ")] = letters[ord(" ")], ord(" ")
+    return letters
+
+
+def _latin_letters(u: str) -> bool:
+    return u.isalpha() and (u.isascii() or max(u) <= "ÿ")
 
 
 class Encoder:
@@ -82,9 +90,8 @@ class Encoder:
         """Units of Latin letters (byte-level: after a blank) by the model alone, all in one call."""
         if not units:
             return
-        joined = " ".join(units).lower() if self.kind == "word" else "Ġ" + " Ġ".join(units)
-        if not joined.isascii():
-            joined = joined.replace("Ġ", "\u0000").translate(self.letters).replace("\u0000", "Ġ")
+        joined = " ".join(units).lower() if self.kind == "word" else chr(SPACED) + f" {chr(SPACED)}".join(units)
+        joined = self.letters[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-16-le")
         ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         edge = np.flatnonzero(self.edges[ids])
         if len(edge) != len(units):
@@ -108,9 +115,9 @@ class Encoder:
                 known[u] = got
         letters, marked, rest = [], [], []
         for u in fresh:
-            if u.isalpha() and max(u) <= "ÿ":
+            if _latin_letters(u):
                 letters.append(u)
-            elif u and u[-1] in CLOSING and u[:-1].isalpha() and max(u) <= "ÿ":
+            elif u and u[-1] in CLOSING and _latin_letters(u[:-1]):
                 marked.append(u)
             else:
                 rest.append(u)
@@ -196,3 +203,8 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Frees the encoders of a worker process that goes on to other work."""
+    _ENCODERS.clear()

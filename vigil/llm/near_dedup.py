@@ -73,7 +73,9 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             keys = [set_hash(s) for s in sets]
             yield batch(schema, node=b.column("node"), s1=[k[0] for k in keys], s2=[k[1] for k in keys], shingles=[s.tobytes() for s in sets])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text")).join(nodes.select("node"), "node", "left_semi")
+    # the classes grow with the input, so texts and classes meet by a sort-merge join at every size
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text")) \
+        .join(nodes.select("node").hint("merge"), "node", "left_semi")
     got = texts.mapInArrow(run, "node long, s1 long, s2 long, shingles binary")
     return nodes.join(got, ["node", "s1", "s2"]).dropDuplicates(["node", "s1", "s2"]).select("node", "s1", "s2", "shingles")
 

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import licenses, line_dedup, mixing, near_dedup, packing, quality, token_files, toxicity
+from vigil.llm import ann, licenses, line_dedup, mixing, near_dedup, packing, quality, token_files, toxicity
 from vigil.session import ensure_checkpoint_dir
 
 
@@ -31,6 +31,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -63,5 +67,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_line_dedup, op4_token_files, op5_toxicity, op6_minhash_near_dedup, op7_license_scan, op9_repetition_quality, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_rp_forest, op2_best_fit_packing, op3_line_dedup, op4_token_files, op5_toxicity, op6_minhash_near_dedup, op7_license_scan, op9_repetition_quality, op10_source_mix)}
 ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE, "op10_source_mix": mixing.ORACLE}

@@ -139,6 +139,11 @@ class Encoder:
         flat = text.replace("\n", " ")
         return bool(flat) and flat.isprintable() and "  " not in flat and flat[0] != " " and flat[-1] != " "
 
+    @staticmethod
+    def _marked(unit: str) -> str:
+        spaced = unit[0] == " " and len(unit) > 1 and unit[1] != PLAIN and not any(c.isspace() for c in unit[1:])
+        return unit[1:] if spaced else unit if unit == "\n" else PLAIN + unit
+
     def _units(self, texts: list[str]) -> pa.ListArray:
         if self.kind == "word":
             return pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.string()), " ")
@@ -148,8 +153,7 @@ class Encoder:
                 marked.append(PLAIN + t.replace("\n", " \n " + PLAIN))
             else:
                 marked.append("")
-                odd[k] = [u[1:] if u[0] == " " and len(u) > 1 and not any(c.isspace() for c in u[1:]) else u if u == "\n" else PLAIN + u
-                          for u in _BYTE_UNITS.split(t)] if t else []
+                odd[k] = [self._marked(u) for u in _BYTE_UNITS.split(t)] if t else []
         units = pc.split_pattern(pa.array(marked, pa.string()), " ")
         if not odd:
             return units

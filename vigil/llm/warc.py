@@ -1,25 +1,31 @@
 """WARC files and a Merkle audit of their replicas.
 
-Pages become WARC records in files of about ``FILE_BYTES``; each file starts with a warcinfo record that names it. The index of a
-replica lists its records' offset ranges. Leaves hash a record's range of bytes, inner nodes hash ``FANOUT`` children in offset
-order, a file's root covers the whole file, and the same tree goes on over the files in order up to one root. Two
-replicas are compared from the top: only children of nodes that differ are looked at on the next level, down to the
-records. The second replica is hashed at the first one's offsets, so a damaged header in it can't shift what follows.
-
-Scale: texts are range-partitioned once to be written; a task holds one file; a node has at most ``FANOUT``
-children; tree levels are a 16th of the one below; the descent joins only differing branches.
-
-Cases: null urls and pages are empty strings; rows that repeat are records of their own; null page_ids come first and
-are written as an empty id; an empty table makes no file and an empty result; other columns are ignored. A file that only one
-replica has, or whose warcinfo record is damaged, differs in all its records.
+Pages become WARC records, each a gzip member of its own whose header tells its length (so records are found without
+inflating), in files of about ``FILE_BYTES``; each file starts with a warcinfo member that names it. Files are written where
+the pages are read, without a shuffle.
+
+A replica's leaves hash the stored bytes of its records and are keyed by (file, offset). Inner nodes hash what starts in an offset range of the
+file, ``RANGES`` from narrow to wide, in offset order; a file's root covers all of it, and ``FANOUT`` files in order make a
+node, and so on up to one root. Two replicas are compared from the top: only what lies under nodes that
+differ is looked at on the next level, down to the records. A damaged member header hides one record; the next member is found by
+its signature, at the same offset as in the other replica.
+
+Scale: a task holds one file; a node has at most the records that start within 64 KB, or 16 children; a level is a
+16th of the one below; the descent joins only differing branches.
+
+Cases: null urls and pages are empty strings; rows that repeat are records of their own; a null page_id is written as an empty id; an empty
+table makes no file and an empty result; other columns are ignored. A file that only one
+replica has, or whose name is damaged, differs in all its records.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import uuid
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,9 +36,11 @@ from vigil.llm.arrow import batch
 from vigil.session import ensure_checkpoint_dir, materialize
 
 FILE_BYTES = 8 * 2 ** 20
+RANGES = (2 ** 16, 2 ** 20, 2 ** 24, 2 ** 62)  # bytes of an offset range on each level; the last covers any file
 FANOUT = 16
-_INFO = re.compile(rb"WARC/1\.1\r\nWARC-Type: warcinfo\r\nWARC-Filename: (\d{8}-\d{8})\.warc\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
-_LENGTH = re.compile(rb"\r\nContent-Length: (\d+)\r\n")
+_MEMBER = struct.Struct("<4sIBBH2sHII")  # gzip header with an extra field: bytes of the member, bytes of the record
+_SIGNATURE = b"\x1f\x8b\x08\x04"
+_NAME = re.compile(rb"WARC/1\.1\r\nWARC-Type: warcinfo\r\nWARC-Filename: (\d{8}-\d{8})\.warc\.gz\r\n")
 _ID = re.compile(rb"\r\nWARC-Record-ID: <urn:page:(-?\d*)>\r\n")
 
 
@@ -50,158 +58,163 @@ def _write_files(files: DataFrame, path: str) -> None:
     files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
+def member(data: bytes) -> bytes:
+    """A gzip member whose extra field tells its own length and that of its content."""
+    z = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = z.compress(data) + z.flush()
+    size = _MEMBER.size + len(body) + 8
+    return _MEMBER.pack(_SIGNATURE, 0, 0, 255, 12, b"SL", 8, size, len(data)) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def members(data: bytes) -> Iterator[tuple[int, int]]:
+    """(offset, length) of the members of a file; after a damaged header, of the next ones that can be told."""
+    at, end = 0, len(data) - 1  # the writer's line end
+    while at + _MEMBER.size <= end:
+        signature, _, _, _, n_extra, field, n_field, size, _ = _MEMBER.unpack_from(data, at)
+        if (signature, n_extra, field, n_field) == (_SIGNATURE, 12, b"SL", 8) and _MEMBER.size < size <= end - at:
+            yield at, size
+            at += size
+        else:
+            at = data.find(_SIGNATURE, at + 1)
+            if at < 0:
+                return
+
+
+def content(stored: bytes) -> bytes | None:
+    """A member's record, or nothing if its bytes are damaged."""
+    try:
+        return zlib.decompress(stored, 31)
+    except zlib.error:
+        return None
+
+
 def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     def run(batches):
         part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def cut():
-            info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Filename: %08d-%08d.warc\r\nContent-Length: 0\r\n\r\n\r\n\r\n" % (part, n)
-            return pa.RecordBatch.from_arrays([pa.array([info + b"".join(held)], pa.binary())], names=["file"])
+            info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Filename: %08d-%08d.warc.gz\r\nContent-Length: 0\r\n\r\n\r\n\r\n" % (part, n)
+            return pa.RecordBatch.from_arrays([pa.array([member(info) + b"".join(held)], pa.binary())], names=["file"])
 
         for b in batches:
             for r in b.column(0).to_pylist():
-                held.append(r)
-                size += len(r)
+                held.append(member(r))
+                size += len(held[-1])
                 if size >= file_bytes:
                     yield cut()
                     n, held, size = n + 1, [], 0
         if held:
             yield cut()
 
-    # the last key parts rows that repeat, so that no range is bound to hold them all
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), record(F.col("page_id"), F.col("url"), F.col("html")).cast("binary").alias("record"),
-                         F.xxhash64("url", "html").alias("h"), F.monotonically_increasing_id().alias("nth"))
-    keys = ["page_id", "h", "nth"]
-    _write_files(keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("record").mapInArrow(run, "file binary"), path)
+    _write_files(pages.select(record(F.col("page_id"), F.col("url"), F.col("html")).cast("binary").alias("record")).mapInArrow(run, "file binary"), path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0").select("content")
 
 
-def parse(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, record id) of the records of a file, the warcinfo record first."""
-    at, end = 0, len(data) - 1  # the writer's line end
-    while at < end:
-        head = data.find(b"\r\n\r\n", at)
-        length = _LENGTH.search(data, at, head + 2)
-        if head < 0 or length is None:
-            raise ValueError(f"no WARC record at {at}")
-        size = head + 4 + int(length[1]) + 4 - at
-        found = _ID.search(data, at, head + 2)
-        yield at, size, found[1] if found else b""
-        at += size
-
-
-def _name(data: bytes) -> str | None:
-    m = _INFO.match(data)
+def file_name(data: bytes) -> str | None:
+    at, size = next(members(data), (0, 0))
+    m = _NAME.match(content(data[at:at + size]) or b"") if size and not at else None
     return m[1].decode() if m else None
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq, offset, length, page_id, hash) per record; seq 0 is the warcinfo record."""
-    schema = pa.schema([("file", pa.string()), ("seq", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("hash", pa.binary())])
+    """(file, offset, length, hash, page_id, record_bytes, record_sha256) per member; offset 0 is the warcinfo record.
+
+    The last three are null where a record can't be read; files without a readable name have no row.
+    """
+    schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("hash", pa.binary()), ("page_id", pa.int64()),
+                        ("record_bytes", pa.int64()), ("record_sha256", pa.string())])
 
     def run(batches):
         for b in batches:
             for x in b.column(0):
                 data = x.as_py()
-                rows = list(parse(data))
-                yield batch(schema, file=[_name(data)] * len(rows), seq=range(len(rows)), offset=[r[0] for r in rows], length=[r[1] for r in rows],
-                            page_id=[int(r[2]) if r[2] else None for r in rows], hash=[hashlib.sha256(data[o:o + n]).digest() for o, n, _ in rows])
-
-    return _files(spark, path).mapInArrow(run, "file string, seq long, offset long, length long, page_id long, hash binary")
-
-
-def hash_ranges(spark: SparkSession, path: str, ranges: DataFrame) -> DataFrame:
-    """(file, seq, hash) of a replica's bytes at the ranges (file, seq, offset, length) of another one."""
-    schema = pa.schema([("file", pa.string()), ("seq", pa.int64()), ("hash", pa.binary())])
-
-    def names(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_name(x.as_py()) for x in b.column(0)], pa.string()), b.column(0)], names=["file", "content"])
-
-    def run(batches):
-        for b in batches:
-            for name, data, at in zip(b.column("file").to_pylist(), b.column("content").to_pylist(), b.column("at").to_pylist(), strict=True):
-                yield batch(schema, file=[name] * len(at), seq=[r["seq"] for r in at],
-                            hash=[hashlib.sha256(data[r["offset"]:r["offset"] + r["length"]]).digest() for r in at])
-
-    # a file's ranges fit its size, so they fit a task as the file does
-    at = ranges.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", "offset", "length"))).alias("at"))
-    found = _files(spark, path).mapInArrow(names, "file string, content binary").filter(F.col("file").isNotNull())
-    return found.join(at, "file").mapInArrow(run, "file string, seq long, hash binary")
-
-
-def _fold(nodes: DataFrame, keys: list[str], number: str) -> DataFrame:
-    """The next level: ``FANOUT`` nodes in order make one."""
-    parent = F.floor(F.col(number) / FANOUT).alias(number)
-    children = F.transform(F.array_sort(F.collect_list(F.struct(number, "hash"))), lambda x: x["hash"])
+                if (name := file_name(data)) is None:
+                    continue
+                out = {f.name: [] for f in schema}
+                for at, size in members(data):
+                    stored = data[at:at + size]
+                    r = content(stored)
+                    found = _ID.search(r[:r.find(b"\r\n\r\n") + 2]) if r is not None else None
+                    for key, value in (("file", name), ("offset", at), ("length", size), ("hash", hashlib.sha256(stored).digest()),
+                                       ("page_id", int(found[1]) if found and found[1] else None), ("record_bytes", None if r is None else len(r)),
+                                       ("record_sha256", None if r is None else hashlib.sha256(r).hexdigest())):
+                        out[key].append(value)
+                yield batch(schema, **out)
+
+    return _files(spark, path).mapInArrow(run, "file string, offset long, length long, hash binary, page_id long, record_bytes long, record_sha256 string")
+
+
+def _fold(nodes: DataFrame, keys: list[str], number: str, width: int) -> DataFrame:
+    """The next level: the nodes whose numbers lie in one range of ``width``, hashed in order with their numbers."""
+    parent = F.floor(F.col(number) / width).alias(number)
+    children = F.transform(F.array_sort(F.collect_list(F.struct(number, "hash"))), lambda x: F.concat(x[number].cast("string").cast("binary"), F.lit(b":"), x["hash"]))
     digest = F.unhex(F.sha2(F.aggregate(children, F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x)), 256))
     return nodes.groupBy(*keys, parent).agg(digest.alias("hash"))
 
 
-def build_tree(leaves: DataFrame, numbers: DataFrame, n_levels: int, n_file_levels: int) -> list[DataFrame]:
-    """Levels of (file, seq, hash) from the records up to the files, then of (file number, hash) up to the root."""
-    levels = [leaves.select("file", "seq", "hash")]
-    for _ in range(n_levels):
-        levels.append(materialize(_fold(levels[-1], ["file"], "seq"), "warc_level"))
-    files = levels[-1].join(numbers, "file").select("number", "hash")
-    tops = [materialize(files, "warc_files")]
-    for _ in range(n_file_levels):
-        tops.append(materialize(_fold(tops[-1], [], "number"), "warc_level"))
-    return [*levels, *tops]
+def file_tree(leaves: DataFrame) -> list[DataFrame]:
+    """Levels of (file, offset, hash), from the records to whole files; offset is the number of a range on its level."""
+    levels, narrow = [leaves.select("file", "offset", "hash")], 1
+    for wide in RANGES:
+        levels.append(materialize(_fold(levels[-1], ["file"], "offset", wide // narrow), "warc_level"))
+        narrow = wide
+    return levels
+
+
+def top_tree(files: DataFrame, numbers: DataFrame, n_files: int) -> list[DataFrame]:
+    """Levels of (number, hash), from the files to one root over all."""
+    levels = [materialize(files.join(numbers, "file").select("number", "hash"), "warc_files")]
+    width = 1
+    while width < n_files:
+        levels.append(materialize(_fold(levels[-1], [], "number", FANOUT), "warc_level"))
+        width *= FANOUT
+    return levels
 
 
-def _levels(n: int) -> int:
-    k = 0
-    while FANOUT ** k < n:
-        k += 1
-    return k
+def _differing(a: DataFrame, b: DataFrame, keys: list[str], under: DataFrame | None = None, parents: dict[str, Column] | None = None) -> DataFrame:
+    """Keys of ``a`` whose hash is not that of ``b``, of those whose parent is in ``under``."""
+    if under is not None:
+        up = {f"up_{k}": c for k, c in parents.items()}
+        a = a.withColumns(up).join(under.select(*[F.col(k).alias(f"up_{k}") for k in parents]), list(up), "left_semi")
+    b = b.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.col("hash").alias("b_hash"))
+    both = a.join(b, [a[k] == b[f"b_{k}"] for k in keys], "left")
+    return materialize(both.filter(~F.col("hash").eqNullSafe(F.col("b_hash"))).select(*keys), "warc_differ")
 
 
 def audit(spark: SparkSession, path: str, replica: str) -> DataFrame:
-    """(file, seq, offset, length, page_id, hash, corrupt) per record of the files at ``path``."""
+    """The index of the files at ``path`` with ``corrupt``: the replica has other bytes, or none, for that record."""
     ours = materialize(index(spark, path), "warc_index")
-    theirs = materialize(hash_ranges(spark, replica, ours.select("file", "seq", "offset", "length")), "warc_replica")
-    per_file = materialize(ours.groupBy("file").agg(F.max("seq").alias("last")), "warc_sizes")
-    last, n_files = per_file.agg(F.coalesce(F.max("last"), F.lit(0)), F.count(F.lit(1))).first()
-    numbers = per_file.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("number"))  # one row per file
-    numbers = materialize(numbers, "warc_numbers")
-    deep, high = _levels(last + 1), _levels(n_files)
-    a, b = build_tree(ours, numbers, deep, high), build_tree(theirs, numbers, deep, high)
-
-    def differing(x: DataFrame, y: DataFrame, keys: list[str], under: DataFrame | None, parent: Callable[[], list]) -> DataFrame:
-        if under is not None:
-            up = [f"up_{k}" for k in keys]
-            x = x.withColumns(dict(zip(up, parent(), strict=True)))
-            x = x.join(under.select(*[F.col(k).alias(f"up_{k}") for k in keys]), up, "left_semi").drop(*up)
-        y = y.select(*[F.col(k).alias(f"y_{k}") for k in keys], F.col("hash").alias("y_hash"))
-        same = x.join(y, [x[k] == y[f"y_{k}"] for k in keys], "left")
-        return same.filter(~F.col("hash").eqNullSafe(F.col("y_hash"))).select(*keys)
-
-    # from the root over the files, then within the files that differ
-    wrong = None
-    for k in range(high, -1, -1):
-        level = deep + 1 + k
-        wrong = materialize(differing(a[level], b[level], ["number"], wrong, lambda: [F.floor(F.col("number") / FANOUT)]), "warc_differ")
-    wrong = wrong.join(numbers, "number").select("file", F.lit(0).cast("long").alias("seq"))
-    for k in range(deep - 1, -1, -1):
-        wrong = materialize(differing(a[k], b[k], ["file", "seq"], wrong, lambda: [F.col("file"), F.floor(F.col("seq") / FANOUT)]), "warc_differ")
-    return ours.join(wrong.withColumn("corrupt", F.lit(True)), ["file", "seq"], "left").withColumn("corrupt", F.coalesce("corrupt", F.lit(False)))
+    theirs = materialize(index(spark, replica).select("file", "offset", "hash"), "warc_index")
+    names = ours.select("file").union(theirs.select("file")).distinct()
+    numbers = materialize(names.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("number")), "warc_numbers")  # a row per file
+    n_files = numbers.count()
+    low_a, low_b = file_tree(ours), file_tree(theirs)
+    high_a, high_b = top_tree(low_a[-1], numbers, n_files), top_tree(low_b[-1], numbers, n_files)
+    wrong = _differing(high_a[-1], high_b[-1], ["number"])
+    for a, b in zip(high_a[-2::-1], high_b[-2::-1], strict=True):
+        wrong = _differing(a, b, ["number"], wrong, {"number": F.floor(F.col("number") / FANOUT)})
+    wrong = wrong.join(numbers, "number").select("file", F.lit(0).cast("long").alias("offset"))
+    below = dict(zip(range(len(RANGES) + 1), (1, *RANGES), strict=True))
+    for k in range(len(RANGES) - 1, -1, -1):
+        width = below[k + 1] // below[k]
+        wrong = _differing(low_a[k], low_b[k], ["file", "offset"], wrong, {"file": F.col("file"), "offset": F.floor(F.col("offset") / width)})
+    found = wrong.withColumn("corrupt", F.lit(True))
+    return ours.join(found, ["file", "offset"], "left").withColumn("corrupt", F.coalesce("corrupt", F.lit(False)))
 
 
 def copy_damaged(spark: SparkSession, path: str, replica: str) -> None:
-    """A replica with a known fault: in records whose id's md5 starts with 0, the middle byte of the page has its lowest bit flipped."""
+    """A replica with a known fault: in records whose id's md5 starts with 0, one bit in the middle of the stored bytes is flipped."""
     def run(batches):
         for b in batches:
             for x in b.column(0):
                 data = bytearray(x.as_py()[:-1])
-                for at, size, page in list(parse(bytes(data) + b"\n")):
-                    head = data.find(b"\r\n\r\n", at) + 4
-                    body = size - (head - at) - 4
-                    if at and body and hashlib.md5(page).hexdigest()[0] == "0":
-                        data[head + body // 2] ^= 1
+                for at, size in list(members(bytes(data) + b"\n"))[1:]:
+                    page = _ID.search(content(bytes(data[at:at + size])))[1]
+                    if hashlib.md5(page).hexdigest()[0] == "0":
+                        data[at + size // 2] ^= 1
                 yield pa.RecordBatch.from_arrays([pa.array([bytes(data)], pa.binary())], names=["file"])
 
     _write_files(_files(spark, path).mapInArrow(run, "file binary"), replica)
@@ -213,19 +226,18 @@ def audit_pages(pages: DataFrame) -> DataFrame:
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex[:12]}"
     write_warc(pages, f"{root}/primary")
     copy_damaged(spark, f"{root}/primary", f"{root}/replica")
-    found = audit(spark, f"{root}/primary", f"{root}/replica")
-    return found.filter("seq > 0").select("page_id", F.col("length").alias("record_bytes"), F.lower(F.hex("hash")).alias("record_sha256"), "corrupt")
+    return audit(spark, f"{root}/primary", f"{root}/replica").filter("offset > 0").select("page_id", "record_bytes", "record_sha256", "corrupt")
 
 
 ORACLE = r"""
 WITH r AS (
-  SELECT page_id, coalesce(html, '') AS body,
+  SELECT page_id,
          'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '')
          || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || replace(replace(coalesce(url, ''), chr(13), ''), chr(10), '') || chr(13) || chr(10)
          || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))::VARCHAR
          || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec
   FROM pages)
 SELECT page_id, strlen(rec)::BIGINT AS record_bytes, sha256(rec) AS record_sha256,
-       strlen(body) > 0 AND substr(md5(coalesce(page_id::VARCHAR, '')), 1, 1) = '0' AS corrupt
+       substr(md5(coalesce(page_id::VARCHAR, '')), 1, 1) = '0' AS corrupt
 FROM r
 """

@@ -25,12 +25,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.arrow import batch
 from vigil.llm.components import components
-from vigil.llm.shingles import N_HASHES, overlap, set_hash, shingle_set, signature
+from vigil.llm.shingles import N_HASHES, overlap, pack_set, set_hash, shingle_set, signature, unpack_set
 from vigil.llm.words import WordHashes
 from vigil.session import materialize
 
@@ -39,7 +40,7 @@ N_TREES = 16
 MIN_DEPTH = 4
 BLOCK = 256
 MIN_AGREE = 40
-_WIDTH = 4  # bytes of a column
+_WIDTH = 2  # bytes of a column
 _TURN = N_HASHES // N_TREES  # columns by which one order starts after another
 
 
@@ -65,27 +66,49 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles): the full sets of the classes in ``nodes``, from the text of the row that names the class."""
-    def run(batches):
-        hashes, schema = WordHashes(), pa.schema([("node", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shingles", pa.binary())])
+    """(node, s1, s2, shingles): the full sets of the classes in ``nodes``, from the texts of the rows that name them.
+
+    The classes grow with the input, so texts and classes meet by a sort-merge join at every size; texts are
+    compressed for it.
+    """
+    def compress(batches):
+        z, schema = zstandard.ZstdCompressor(1), pa.schema([("node", pa.int64()), ("packed", pa.binary())])
+        for b in batches:
+            yield batch(schema, node=b.column("node"), packed=[z.compress(x or b"") for x in b.column("text").to_pylist()])
+
+    def sets(batches):
+        hashes, z = WordHashes(), zstandard.ZstdDecompressor()
+        schema = pa.schema([("node", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shingles", pa.binary())])
+        before, given = None, set()
         for b in batches:
-            sets = [shingle_set(x or b"", hashes) for x in b.column("text").to_pylist()]
-            keys = [set_hash(s) for s in sets]
-            yield batch(schema, node=b.column("node"), s1=[k[0] for k in keys], s2=[k[1] for k in keys], shingles=[s.tobytes() for s in sets])
+            out = {f.name: [] for f in schema}
+            for node, s1, s2, packed in zip(*(b.column(c).to_pylist() for c in ("node", "s1", "s2", "packed")), strict=True):
+                s = shingle_set(z.decompress(packed), hashes)
+                if node != before:
+                    before, given = node, set()
+                if set_hash(s) == (s1, s2) and (s1, s2) not in given:  # another row of this doc_id may have another text
+                    given.add((s1, s2))
+                    for name, value in (("node", node), ("s1", s1), ("s2", s2), ("shingles", pack_set(s))):
+                        out[name].append(value)
+            yield batch(schema, **out)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text")).filter("node IS NOT NULL") \
+        .mapInArrow(compress, "node long, packed binary")
+    return texts.join(nodes.hint("merge"), "node").select("node", "s1", "s2", "packed").mapInArrow(sets, "node long, s1 long, s2 long, shingles binary")
+
 
-    # the classes grow with the input, so texts and classes meet by a sort-merge join at every size
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text")) \
-        .join(nodes.select("node").hint("merge"), "node", "left_semi")
-    got = texts.mapInArrow(run, "node long, s1 long, s2 long, shingles binary")
-    return nodes.join(got, ["node", "s1", "s2"]).dropDuplicates(["node", "s1", "s2"]).select("node", "s1", "s2", "shingles")
+def _region_keys() -> Column:
+    return F.array(*[F.xxhash64(F.lit(t), F.substring("sig", t * _TURN * _WIDTH + 1, MIN_DEPTH * _WIDTH)) for t in range(N_TREES)])
 
 
 def _memberships(classes: DataFrame) -> DataFrame:
-    """(tree, region, node, s1, s2) of the regions with at least two classes."""
-    keys = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", t * _TURN * _WIDTH + 1, MIN_DEPTH * _WIDTH)) for t in range(N_TREES)])
-    each = classes.select("node", "s1", "s2", F.posexplode(keys).alias("tree", "region"))
-    counts = each.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return each.join(counts, ["tree", "region"])
+    """(tree, region, size, node, s1, s2, sig) of the regions with at least two classes."""
+    each = classes.select("s1", F.explode(_region_keys()).alias("region"))
+    sizes = each.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = each.join(sizes, "region").withColumnRenamed("s1", "m_s1")
+    full = shared.join(classes, shared["m_s1"] == classes["s1"])
+    tree = F.array_position(_region_keys(), F.col("region")).cast("int") - 1
+    return full.select(tree.alias("tree"), "region", "size", "node", "s1", "s2", "sig").filter("tree >= 0")  # s1 alone may stand for two classes
 
 
 def _turned():
@@ -148,7 +171,7 @@ def _by_gid(batches):
 
 
 def _sig_matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(-1, N_HASHES).astype(np.uint32)
+    return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, N_HASHES).astype(np.uint16)
 
 
 def _confirm(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -167,7 +190,7 @@ def _confirm(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for t in _by_gid(batches):
             node = t.column("node").to_pylist()
-            sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+            sets = [unpack_set(x) for x in t.column("shingles").to_pylist()]
             parent = list(range(len(node)))
 
             def root(x, parent=parent):
@@ -220,7 +243,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sigs = materialize(signatures(docs), "forest_signatures")
     named = sigs.filter(F.col("s1").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(named.groupBy("s1", "s2").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("node")), "forest_classes")
-    members = materialize(_memberships(classes).join(classes.select("s1", "s2", "sig"), ["s1", "s2"]), "forest_members")
+    members = materialize(_memberships(classes), "forest_members")
     links = materialize(_confirm(_groups(members), docs, percent), "forest_links")
     found = components(links)
     if not members.filter(F.col("size") > BLOCK).isEmpty():

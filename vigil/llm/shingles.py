@@ -34,11 +34,25 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """``N_HASHES`` 32-bit minimum hashes, big-endian, so that byte order is value order."""
+    """``N_HASHES`` minimum hashes of 16 bits, big-endian, so that byte order is value order.
+
+    Two different minima agree in 16 bits once in 65,536 columns, which next to the similarities looked for is nothing.
+    """
     low = np.full(N_HASHES, 2 ** 64 - 1, np.uint64)
     for k in range(0, len(s), _STEP):
         np.minimum(low, (((s[k:k + _STEP, None]) ^ _XOR) * _MUL).min(0), out=low)
-    return (low >> np.uint64(32)).astype(">u4").tobytes()
+    return (low >> np.uint64(48)).astype(">u2").tobytes()
+
+
+def pack_set(s: np.ndarray) -> bytes:
+    """The high 48 bits of each hash; two sets of 20,000 shingles share one by chance once in 700,000 pairs."""
+    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack_set(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(">u8").astype(np.uint64)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:

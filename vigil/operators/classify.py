@@ -6,14 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.keywords import classify_from_matches, keyword_classify, keyword_match_struct
-from vigil.params import ClassifierParams, incident_classifier, sector_classifier
+from vigil.params import ClassifierParams
+
+
+def _model_first(df: DataFrame, predictions: DataFrame | None, col: str) -> DataFrame:
+    """A trained model's prediction where it has one, the keyword classifier's otherwise."""
+    if predictions is None:
+        return df
+    p = predictions.select(F.col("event_id").alias("_pid"), F.struct(
+        "label", F.col("confidence").cast("double").alias("confidence"),
+        (F.col("explanation") if "explanation" in predictions.columns else F.array().cast("array<string>")).alias("explanation")).alias("_p"))
+    return df.join(p, F.col("event_id") == F.col("_pid"), "left").withColumn(col, F.coalesce("_p", col)).drop("_pid", "_p")
 
 
 def analyze(norm: DataFrame, incident: ClassifierParams | None = None,
             sector: ClassifierParams | None = None, clusters: DataFrame | None = None,
-            text_col: str = "clean_text") -> DataFrame:
+            text_col: str = "clean_text", incident_predictions: DataFrame | None = None,
+            sector_predictions: DataFrame | None = None) -> DataFrame:
     """analysis_results rows: both predictions, cluster id/confidence, explanations map.
 
+    ``incident_predictions`` / ``sector_predictions`` (event_id, label, confidence[, explanation]) come from trained
+    models (``train.predict`` or ``features.softmax_predict``); events without one fall back to the keywords.
+
     A classifier given as None predicts ("unknown", 0.0, []). ``clusters`` is
     an optional (event_id, cluster_id, cluster_confidence) table; without it
     clustering is off (null, 0.0).
@@ -34,6 +48,7 @@ def analyze(norm: DataFrame, incident: ClassifierParams | None = None,
             keyword_classify(F.col("_t"), inc.label_keywords, inc.min_confidence).alias("_i"),
             keyword_classify(F.col("_t"), sec.label_keywords, sec.min_confidence).alias("_s"),
         )
+    df = _model_first(_model_first(df, incident_predictions, "_i"), sector_predictions, "_s")
     if clusters is not None:
         df = df.join(clusters.select("event_id", "cluster_id", "cluster_confidence"), "event_id", "left")
         cid = F.col("cluster_id").cast("int")
@@ -53,6 +68,3 @@ def analyze(norm: DataFrame, incident: ClassifierParams | None = None,
                      F.lit("sector"), F.col("_s.explanation")).alias("explanations"),
     )
 
-
-def default_analyze(norm: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
-    return analyze(norm, incident_classifier(), sector_classifier(), clusters)

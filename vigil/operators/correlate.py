@@ -94,7 +94,7 @@ def event_components(norm: DataFrame, iocs: DataFrame, analysis: DataFrame, p: C
     """(event_id, component, known) for every event node of the graph."""
     edges = hub_edges(norm, iocs, analysis, p)
     nodes = norm.select(F.col("event_id").alias("node"))
-    comps = connected_components(nodes, edges.select("src", "dst"), p.max_rounds)
+    comps = connected_components(nodes, edges.select("src", "dst"))
     hub = F.col("node").startswith(HUB_IOC) | F.col("node").startswith(HUB_CLUSTER) | F.col("node").startswith(HUB_WINDOW)
     known = norm.select(F.col("event_id").alias("node"), F.lit(True).alias("known"))
     return comps.filter(~hub).join(known, "node", "left").select(

@@ -52,9 +52,15 @@ def top_keys(items: DataFrame) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
-def distinct_iocs(items: DataFrame) -> DataFrame:
-    """Distinct shown indicators over all items, and the shown total (fallback when none)."""
-    ex = items.select(F.explode("iocs").alias("i"))
+def item_indicators(items: DataFrame, iocs: DataFrame) -> DataFrame:
+    """All indicators (key) of the report's events, one row per occurrence; the items themselves show only a few each."""
+    of = iocs.select(F.col("source_event_id").alias("event_id"), F.col("normalized_value").alias("key"))
+    return of.join(items.select("event_id"), "event_id", "left_semi").select("key")
+
+
+def distinct_iocs(items: DataFrame, iocs: DataFrame) -> DataFrame:
+    """Distinct indicators over all items, and their total (fallback when none)."""
+    ex = item_indicators(items, iocs).withColumnRenamed("key", "i")
     return ex.agg(F.count_distinct("i").alias("n_distinct"), F.count(F.lit(1)).alias("n_total")).select(
         "n_distinct", "n_total",
         F.when(F.col("n_distinct") > 0, F.col("n_distinct")).otherwise(F.col("n_total")).alias("indicator_count"))
@@ -74,13 +80,13 @@ def _fmt_list(keys: Column, fallback: str) -> Column:
     return F.when(F.size(keys) > 0, F.array_join(keys, ", ")).otherwise(F.lit(fallback))
 
 
-def brief(items: DataFrame, campaigns: DataFrame) -> DataFrame:
+def brief(items: DataFrame, campaigns: DataFrame, iocs: DataFrame) -> DataFrame:
     """Briefing bullets (no, title, detail) built from one aggregate row."""
     tk = top_keys(items).select("dimension", "rank", "key", F.lit(None).cast("long").alias("v"))
-    ex = items.select(F.explode("iocs").alias("key")).distinct().select(
+    ex = item_indicators(items, iocs).distinct().select(
         F.lit("indicator").alias("dimension"), F.lit(0).alias("rank"), "key", F.lit(None).cast("long").alias("v"))
     tot = items.select(F.lit("shown").alias("dimension"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("key"),
-                       F.size("iocs").cast("long").alias("v"))
+                       F.col("n_iocs").alias("v"))
     sev = items.select(F.lit("sev").alias("dimension"), F.lit(0).alias("rank"),
                        _key(F.col("severity_label"), "informational").alias("key"), F.lit(1).cast("long").alias("v"))
     cam = campaigns.select(F.lit("camp").alias("dimension"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("key"),
@@ -93,7 +99,7 @@ def brief(items: DataFrame, campaigns: DataFrame) -> DataFrame:
 
     row = u.agg(
         top("incident").alias("inc"), top("sector").alias("sec"), top("tactic").alias("tac"),
-        F.count(F.when(F.col("dimension") == "indicator", 1)).alias("n_ind"),
+        F.count(F.when((F.col("dimension") == "indicator") & F.col("key").isNotNull(), 1)).alias("n_ind"),
         F.coalesce(F.sum(F.when(F.col("dimension") == "shown", F.col("v"))), F.lit(0)).alias("n_shown"),
         F.count(F.when(F.col("dimension") == "sev", 1)).alias("n_items"),
         F.count(F.when(F.col("dimension") == "camp", 1)).alias("n_camp"),

@@ -57,11 +57,11 @@ def vocabulary(tc: DataFrame, n_docs: int, max_features: int | None = None, min_
 def tfidf(tc: DataFrame, vocab: DataFrame, n_docs: int) -> DataFrame:
     """(doc, term, weight): tf * (ln((1+N)/(1+df)) + 1), L2-normalised per document.
 
-    The vocabulary side is bounded by ``max_features`` and broadcast; the
+    The vocabulary grows with the corpus, so it meets the counts in an ordinary join on the term; the
     per-document norm is a window over one document's terms.
     """
     idf = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    w = tc.join(F.broadcast(idf), "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    w = tc.join(idf, "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
     return w.select("doc", "term", (F.col("w") / norm).alias("weight"))
 
@@ -89,37 +89,61 @@ def nearest(dists: Column) -> Column:
 
 
 def auto_k(n: int, n_clusters: int = 0, min_cluster_size: int = 3) -> int | None:
-    """k as configured, else max(2, min(10, n div min_size)), never above n; None below the minimum."""
+    """The automatic cluster count for callers that configure none: max(2, min(10, n div min_size)), never above n; None below the minimum."""
     if n < max(min_cluster_size, 2):
         return None
     k = n_clusters if n_clusters > 0 else max(2, min(10, n // max(min_cluster_size, 1)))
     return min(k, n)
 
 
-def kmeans(df: DataFrame, id_col: str, vec_col: str, n_clusters: int = 0, min_cluster_size: int = 3,
-           seed: int = 42) -> DataFrame:
-    """(id, cluster_id, cluster_confidence) with Spark ML k-means on dense vectors."""
+def kmeans(df: DataFrame, id_col: str, vec_col: str, n_clusters: int, seed: int = 42) -> DataFrame:
+    """(id, cluster_id, cluster_confidence) with Spark ML k-means on dense vectors; ``n_clusters`` is the caller's choice."""
+    return assign(df, id_col, vec_col, fit_centres(df, vec_col, n_clusters, seed))
+
+
+def fit_centres(df: DataFrame, vec_col: str, n_clusters: int, seed: int = 42) -> list[list[float]]:
+    """``n_clusters`` fitted centres."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n = df.count()
-    k = auto_k(n, n_clusters, min_cluster_size)
-    if k is None:
-        return df.select(F.col(id_col).alias("id"), F.lit(None).cast("int").alias("cluster_id"),
-                         F.lit(0.0).alias("cluster_confidence"))
-    data = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"),
-                     array_to_vector(F.col(vec_col)).alias("features"))
-    model = KMeans(k=k, seed=seed, featuresCol="features").fit(data)
-    centres = [list(map(float, c)) for c in model.clusterCenters()]  # k x dim, bounded by k <= 10 by default
-    d = centre_distances(F.col("vec"), centres)
-    return data.select("id", nearest(d).alias("cluster_id"), kmeans_confidence(d).alias("cluster_confidence"))
-
-
-def linear_scores(weights: DataFrame, coefs: DataFrame, intercepts: Mapping[str, float]) -> DataFrame:
-    """(doc, label, score) = intercept + sum of tf-idf weight x coefficient; every label for every doc."""
-    s = weights.join(F.broadcast(coefs), "term").groupBy("doc", "label").agg(
+    model = KMeans(k=n_clusters, seed=seed, featuresCol="features").fit(df.select(array_to_vector(F.col(vec_col)).alias("features")))
+    return [list(map(float, c)) for c in model.clusterCenters()]
+
+
+def assign(df: DataFrame, id_col: str, vec_col: str, centres: Sequence[Sequence[float]]) -> DataFrame:
+    """(id, cluster_id, cluster_confidence): the nearest centre and how clearly it is the nearest."""
+    d = df.select(F.col(id_col).alias("id"), centre_distances(F.col(vec_col), centres).alias("d"))
+    return d.select("id", nearest(F.col("d")).alias("cluster_id"), kmeans_confidence(F.col("d")).alias("cluster_confidence"))
+
+
+def text_clusters(docs: DataFrame, id_col: str, text_col: str, centres: Sequence[Mapping[str, float]], **kw) -> DataFrame:
+    """(id_col, cluster_id, cluster_confidence) of every text by its TF-IDF row and sparse centres (term -> weight).
+
+    Distances come from sums per text (|x|^2 = 1, x.c over the centre's terms), so a row is never gathered as a dense
+    vector; a text without terms is the zero vector. Distances are compared at 9 decimals, ties go to the first centre.
+    """
+    tc = term_counts(docs, id_col, text_col, **kw)
+    idf = F.log((F.lit(1.0) + F.lit(docs.count())) / (F.lit(1.0) + F.col("df"))) + 1.0
+    w = tc.join(vocabulary(tc, 0, max_df=float("inf")).select("term", idf.alias("idf")), "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
+
+    def weight_in(centre: Mapping[str, float]) -> Column:
+        table = F.create_map(*[x for t, c in centre.items() for x in (F.lit(t), F.lit(float(c)))])
+        return F.coalesce(F.try_element_at(table, F.col("term")), F.lit(0.0))
+
+    sums = w.groupBy("doc").agg(F.sum(F.col("w") * F.col("w")).alias("n2"), *[F.sum(F.col("w") * weight_in(c)).alias(f"s{k}") for k, c in enumerate(centres)])
+    j = docs.select(F.col(id_col).alias("doc")).join(sums, "doc", "left")
+    has = F.col("n2").isNotNull()
+    d = [F.round(F.sqrt(F.greatest(F.lit(0.0), F.when(has, F.lit(1.0) - 2 * F.col(f"s{k}") / F.sqrt("n2")).otherwise(0.0) + sum(v * v for v in c.values()))), 9)
+         for k, c in enumerate(centres)]
+    j = j.select("doc", F.array(*d).alias("d"))
+    return j.select(F.col("doc").alias(id_col), nearest(F.col("d")).alias("cluster_id"), kmeans_confidence(F.col("d")).alias("cluster_confidence"))
+
+
+def linear_scores(weights: DataFrame, coefs: DataFrame, intercepts: Mapping[str, float], docs: DataFrame) -> DataFrame:
+    """(doc, label, score) = intercept + sum of tf-idf weight x coefficient; every label for every row of ``docs`` (doc),
+    also for texts without a known term."""
+    s = weights.join(coefs, "term").groupBy("doc", "label").agg(
         F.sum(F.col("weight") * F.col("coef")).alias("s"))
-    docs = weights.select("doc").distinct()
     labels = F.array(*[F.lit(lab) for lab in intercepts])
     base = docs.select("doc", F.explode(labels).alias("label"))
     icpt = F.create_map(*[x for k, v in intercepts.items() for x in (F.lit(k), F.lit(float(v)))])
@@ -141,7 +165,7 @@ def softmax_predict(scores: DataFrame, label_order: Sequence[str], min_confidenc
 
 def explain(weights: DataFrame, coefs: DataFrame, predictions: DataFrame, top_n: int = 5) -> DataFrame:
     """(doc, terms): top-n terms by weight x coefficient of the predicted label, descending."""
-    j = weights.join(F.broadcast(coefs), "term").join(
+    j = weights.join(coefs, "term").join(
         predictions.filter(F.col("label") != "unknown").select("doc", "label"), ["doc", "label"])
     c = j.select("doc", "term", (F.col("weight") * F.col("coef")).alias("c"))
     r = c.withColumn("_rn", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("c"), F.asc("term"))))

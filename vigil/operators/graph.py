@@ -16,13 +16,15 @@ splitting handles, and the min-aggregations combine map-side.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vigil.session import ensure_checkpoint_dir, materialize
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) for every node in ``nodes`` or in an edge.
 
     ``nodes`` has a column ``node``; ``edges`` has ``src`` and ``dst``. The
@@ -48,7 +50,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
             F.col("a.label") == F.col("b.jn"), "left",
         ).select("node", "old", F.least(F.col("label"), F.coalesce(F.col("jl"), F.col("label"))).alias("label"))
 
-    for i in range(max_rounds):
+    for i in count():  # labels only fall, so this ends
         nbr = both.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("nl")), "dst") \
             .groupBy("src").agg(F.min("nl").alias("nmin"))
         prop = labels.join(nbr.withColumnRenamed("src", "node"), "node", "left").select(
@@ -63,31 +65,26 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         labels = jumped.select("node", "label")
         if changed == 0:
             break
-    else:
-        raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
     return labels.select("node", F.col("label").alias("component"))
 
 
 def global_rank(df: DataFrame, order: list, rank_col: str = "rank") -> DataFrame:
     """1-based position of every row in the total order ``order`` (which must be unique).
 
-    No single-partition window: rows are range-partitioned on the order, each
-    partition's row count is aggregated (one row per partition, a bounded
-    side that is broadcast), turned into running offsets, and the position
-    inside the partition is added.
+    No single-partition window: rows are range-partitioned on the order, sorted, and written once with their
+    partition and position in it (both from ``monotonically_increasing_id`` after the sort). Counts and rows are
+    read from that one table, so they can't disagree; a partition's offset is a running sum over one row per
+    partition, which is what gets broadcast.
     """
     from pyspark.sql import Window
 
-    spark = df.sparkSession
-    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(n_parts, *order).withColumn("_pid", F.spark_partition_id())
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select("_pid", (F.sum("_n").over(running) - F.col("_n")).alias("_off"))
-    local = ranged.withColumn("_pos", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
-    return (local.join(F.broadcast(offsets), "_pid")
-            .withColumn(rank_col, (F.col("_off") + F.col("_pos")).cast("long"))
-            .drop("_pid", "_pos", "_off"))
+    at = F.monotonically_increasing_id()
+    placed = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), "rank")
+    placed = placed.withColumn("_pid", F.shiftright("_at", 33)).withColumn("_pos", F.col("_at") - F.shiftleft("_pid", 33))
+    counts = placed.groupBy("_pid").agg((F.max("_pos") + 1).alias("_n"))
+    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
+    return placed.join(F.broadcast(offsets), "_pid").withColumn(rank_col, F.col("_off") + F.col("_pos") + 1) \
+        .drop("_at", "_pid", "_pos", "_off")
 
 
 def dense_rank_by(df: DataFrame, order_col: str, rank_col: str = "rank") -> DataFrame:

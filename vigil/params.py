@@ -172,7 +172,6 @@ class CorrelationParams:
     w_temporal: float = 0.2
     w_incident_conf: float = 0.1
     w_sector_conf: float = 0.1
-    max_rounds: int = 60
 
 
 @dataclass(frozen=True)

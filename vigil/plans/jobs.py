@@ -1,16 +1,14 @@
-"""The whole chain as one job: raw -> norm -> iocs -> analysis -> correlation -> scores -> report,
-with per-stage row counts taken by ``observe`` while the stage tables are written."""
+"""The whole chain as one job: raw -> norm -> iocs -> analysis -> correlation -> scores -> report items,
+with each stage table counted by ``observe`` while it is written."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from vigil.operators import report as R
 from vigil.plans.views import Chain
-from vigil.session import materialize
 
 
 @dataclass
@@ -20,25 +18,7 @@ class RunOutput:
     counts: dict
 
 
-def run_pipeline(spark: SparkSession, sf_dir: str, stages: tuple[str, ...] | None = None, **params) -> RunOutput:
-    """Materialise each stage once (checkpoint) and count it with an Observation in the same pass."""
+def run_pipeline(spark: SparkSession, sf_dir: str, **params) -> RunOutput:
     c = Chain.of(spark, sf_dir, **params)
-    tables = {"raw_events": c.raw, "normalized_events": c.norm, "iocs": c.ioc, "analysis_results": c.ana,
-              "correlation_results": c.cor, "campaigns": c.camp, "scores": c.sco}
-    if stages:
-        tables = {k: v for k, v in tables.items() if k in stages}
-    counts = {}
-    done = {}
-    # the input, and the stage tables the chain already wrote once for this run
-    already = set(tables) if c.materialize else {"raw_events"}
-    for name, df in tables.items():
-        if name in already:
-            counts[name] = df.count()
-            done[name] = df
-            continue
-        obs = Observation(name)
-        m = materialize(df.observe(obs, F.count(F.lit(1)).alias("n")), name)
-        counts[name] = int(obs.get["n"])
-        done[name] = m
-    scores = done.get("scores", c.sco)
-    return RunOutput(scores, R.items(c.ana, scores, c.cor, c.ioc), counts)
+    counts = c.counts()
+    return RunOutput(c.sco, R.items(c.ana, c.sco, c.cor, c.ioc), counts)

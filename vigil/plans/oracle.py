@@ -120,6 +120,10 @@ def sql_context(text: str, value: str, window: int = 40) -> str:
     return f"CASE WHEN {pos} = 0 THEN '' ELSE {sql_strip(f'substring({text}, {s0} + 1, {e0} - {s0})')} END"
 
 
+def sql_event_id(h: str) -> str:
+    return (f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12)")
+
+
 def sql_temporal_key(ts: str, hours: int = 24) -> str:
     w = hours * 3600
     return f"'window_' || CAST(CAST(floor(epoch(CAST({ts} AS TIMESTAMP)) / {w}) * {w} AS BIGINT) AS VARCHAR)"
@@ -172,17 +176,38 @@ ioc AS (
   FROM ioc_hits)"""
 
 
+def cte_clusters(centres=V.TEST_CENTRES) -> str:
+    """Nearest centre of each text's TF-IDF row over single words."""
+    sums = ", ".join("sum(w * CASE term " + " ".join(f"WHEN {q(t)} THEN {float(c)}" for t, c in centre.items()) + f" ELSE 0.0 END) AS s{k}"
+                     for k, centre in enumerate(centres))
+    dists = ", ".join(f"round(sqrt(greatest(0.0, CASE WHEN n2 IS NULL THEN 0.0 ELSE 1.0 - 2 * s{k} / sqrt(n2) END + {sum(v * v for v in c.values())!r})), 9)"
+                      for k, c in enumerate(centres))
+    return f"""tfc AS (
+  SELECT doc, term, count(*) AS tf FROM (
+    SELECT event_id AS doc, unnest(list_filter(regexp_extract_all(lower(clean_text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 2)) AS term FROM norm)
+  GROUP BY doc, term),
+tdf AS (SELECT term, count(*) AS df FROM tfc GROUP BY term),
+twt AS (SELECT doc, term, tf * (ln((1.0 + (SELECT count(*) FROM norm)) / (1.0 + df)) + 1.0) AS w FROM tfc JOIN tdf USING (term)),
+tsum AS (SELECT doc, sum(w * w) AS n2, {sums} FROM twt GROUP BY doc),
+tdist AS (SELECT event_id, [{dists}] AS d FROM norm LEFT JOIN tsum ON doc = event_id),
+clu AS (SELECT event_id, list_position(d, list_min(d)) - 1 AS cluster_id,
+               CASE WHEN list_max(d) <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 1.0 - list_min(d) / (list_max(d) + 1e-6))) END AS cluster_confidence
+        FROM tdist)"""
+
+
 def cte_ana(inc=V.TEST_INCIDENT, sec=V.TEST_SECTOR, min_conf: float = 0.6, clusters: bool = True) -> str:
-    cid = f"CAST(CAST(substr(event_id, 2) AS BIGINT) % {V.TEST_CLUSTERS} AS INTEGER)" if clusters else "CAST(NULL AS INTEGER)"
-    cconf = "1.0" if clusters else "0.0"
-    return f"""ana0 AS (
+    cid = "CAST(clu.cluster_id AS INTEGER)" if clusters else "CAST(NULL AS INTEGER)"
+    cconf = "clu.cluster_confidence" if clusters else "0.0"
+    join = "LEFT JOIN clu USING (event_id)" if clusters else ""
+    return f"""{cte_clusters() + ',' if clusters else ''}
+ana0 AS (
   SELECT event_id, {sql_keyword_classify('clean_text', inc, min_conf, 'i')},
          {sql_keyword_classify('clean_text', sec, min_conf, 's')} FROM norm),
 ana AS (
   SELECT event_id, i_label AS incident_type, i_conf AS incident_confidence, s_label AS sector,
          s_conf AS sector_confidence, {cid} AS cluster_id, CAST({cconf} AS DOUBLE) AS cluster_confidence,
          i_expl AS expl_incident, s_expl AS expl_sector
-  FROM ana0)"""
+  FROM ana0 {join})"""
 
 
 def cte_graph(use_clusters: bool = False, use_temporal: bool = False, hours: int = 24, min_size: int = 2) -> str:

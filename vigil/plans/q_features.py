@@ -9,7 +9,6 @@ from vigil.plans import oracle as O
 from vigil.plans.registry import arr, dbl, register, s_arr, s_dbl
 from vigil.plans.views import read_table
 
-MAX_FEATURES = 5000
 SW = O.in_list(FE.CLUSTER_STOP_WORDS)
 
 TFIDF_SQL = f"""WITH u AS (
@@ -19,7 +18,7 @@ t AS (SELECT doc, list_concat(u, CASE WHEN len(u) >= 2 THEN list_transform(range
                                   ELSE CAST([] AS VARCHAR[]) END) AS terms FROM u),
 tc AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM t) GROUP BY doc, term),
 nd AS (SELECT count(*) AS n FROM documents),
-voc AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tc GROUP BY term ORDER BY cf DESC, term LIMIT {MAX_FEATURES}),
+voc AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tc GROUP BY term),
 tw AS (SELECT tc.doc, tc.term, tc.tf * (ln((1.0 + (SELECT n FROM nd)) / (1.0 + voc.df)) + 1.0) AS w FROM tc JOIN voc USING (term)),
 tfidf AS (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS weight FROM tw)
 """
@@ -33,7 +32,7 @@ def _tfidf(spark, sf):
     d = docs(spark, sf)
     tc = FE.term_counts(d, "doc_id", "text")
     n = d.count()
-    voc = FE.vocabulary(tc, n, MAX_FEATURES)
+    voc = FE.vocabulary(tc, n)
     return FE.tfidf(tc, voc, n)
 
 
@@ -47,7 +46,7 @@ def clu_terms(spark, sf):
 def clu_vocabulary(spark, sf):
     d = docs(spark, sf)
     tc = FE.term_counts(d, "doc_id", "text")
-    return FE.vocabulary(tc, d.count(), MAX_FEATURES).select("term", "cf", "df")
+    return FE.vocabulary(tc, d.count()).select("term", "cf", "df")
 
 
 @register("clu_tfidf", TFIDF_SQL + f"SELECT doc AS doc_id, term, {s_dbl('weight')} AS weight FROM tfidf")
@@ -94,18 +93,15 @@ def clu_kmeans(spark, sf):
 
 @register("clu_kmeans_text")
 def clu_kmeans_text(spark, sf):
-    """k-means over document TF-IDF rows (auto k), as in the analysis stage."""
+    """k-means over document TF-IDF rows; terms are hashed, so no vocabulary is gathered or cut."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import CountVectorizer, IDF, Normalizer
+    from pyspark.ml.feature import HashingTF, IDF, Normalizer
 
     d = docs(spark, sf).select("doc_id", FE.terms(F.col("text")).alias("terms"))
-    n = d.count()
-    k = FE.auto_k(n)
-    cv = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=MAX_FEATURES).fit(d)
-    x = cv.transform(d)
+    x = HashingTF(inputCol="terms", outputCol="tf", numFeatures=2 ** 16).transform(d)
     x = IDF(inputCol="tf", outputCol="idf").fit(x).transform(x)
     x = Normalizer(inputCol="idf", outputCol="features").transform(x)
-    model = KMeans(k=k, seed=42).fit(x)
+    model = KMeans(k=10, seed=42).fit(x)
     return model.transform(x).select("doc_id", F.col("prediction").alias("cluster_id"))
 
 
@@ -129,7 +125,7 @@ COEF_SQL = ("coefs AS (SELECT * FROM (VALUES " + ", ".join(f"({O.q(l)}, {O.q(t)}
 MODEL_SQL = TFIDF_SQL.replace("tfidf AS (", COEF_SQL + "\ntfidf AS (", 1).rstrip() + """,
 sc AS (
   SELECT d.doc, l.label, l.ord, l.icpt + coalesce(sum(w.weight * c.coef), 0.0) AS score
-  FROM (SELECT DISTINCT doc FROM tfidf) d CROSS JOIN labs l
+  FROM (SELECT doc_id AS doc FROM documents) d CROSS JOIN labs l
   LEFT JOIN tfidf w ON w.doc = d.doc LEFT JOIN coefs c ON c.term = w.term AND c.label = l.label
   GROUP BY d.doc, l.label, l.ord, l.icpt),
 pr2 AS (SELECT doc, label, ord, exp(score - mx) / sum(exp(score - mx)) OVER (PARTITION BY doc) AS p
@@ -142,7 +138,7 @@ pred AS (SELECT doc, CASE WHEN p >= """ + str(MIN_CONF) + """ THEN argmax_label
 def _model(spark, sf):
     w = _tfidf(spark, sf)
     coefs = spark.createDataFrame(COEFS, "label string, term string, coef double")
-    scores = FE.linear_scores(w, coefs, INTERCEPTS)
+    scores = FE.linear_scores(w, coefs, INTERCEPTS, docs(spark, sf).select(F.col("doc_id").alias("doc")))
     return w, coefs, FE.softmax_predict(scores, list(INTERCEPTS), MIN_CONF)
 
 

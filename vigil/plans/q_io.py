@@ -6,8 +6,6 @@ cluster's shared folder; a scratch folder only in local runs).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from vigil.functions.text import py_strip
@@ -16,17 +14,13 @@ from vigil.operators import store as ST
 from vigil.plans import oracle as O
 from vigil.plans.registry import arr, dbl, register, s_dbl, s_ts, ts
 from vigil.plans.views import Chain, read_table
-from vigil.session import ensure_checkpoint_dir
+from vigil.session import scratch
 from vigil.sources import feeds as FD
 from vigil.sources import stage as SG
 from vigil.streaming import dedup as SD
 from vigil.streaming import temporal as STT
 
 
-def scratch(spark, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/fixtures/{name}-{uuid.uuid4().hex[:8]}"
-
-
 CTRL = r"[\x00-\x08\x0B\x0C\x0D\x0E-\x1F]"
 FEED_ITEMS = 50  # items per landed feed file in the fixtures
 FEED_SQL = "source || '-' || CAST(CAST(floor(doc_id / 50) AS BIGINT) AS VARCHAR)"
@@ -47,7 +41,7 @@ def _xml_escape(c):
 WITH d AS (SELECT {FEED_SQL} AS source, doc_id, regexp_replace(text, '{CTRL}', '', 'g') AS t,
                   row_number() OVER (PARTITION BY {FEED_SQL} ORDER BY doc_id) - 1 AS pos FROM documents)
 SELECT source, 'doc://' || CAST(doc_id AS VARCHAR) AS source_url, {sql_join2("'Item ' || CAST(doc_id AS VARCHAR)", 't')} AS raw_text, pos
-FROM d WHERE pos < 30""")
+FROM d""")
 def src_rss(spark, sf):
     d = read_table(spark, sf, "documents")
     t = F.regexp_replace("text", CTRL, "")
@@ -60,9 +54,9 @@ def src_rss(spark, sf):
         .select("source", F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("xs", lambda s: s["x"]), ""),
                                    F.lit("</channel></rss>")).alias("value"))
     path = scratch(spark, "rss")
-    feeds.repartition("source").write.partitionBy("source").text(path)
-    landed = spark.read.text(path, wholetext=True)  # one row per feed file; source from the folder
-    ev = FD.rss_events(landed, F.col("source"), F.concat(F.lit("feed://"), F.col("source")), max_items=30)
+    feeds.write.json(path)  # one landed document per row, many rows per file
+    landed = spark.read.schema("source string, value string").json(path)
+    ev = FD.rss_events(landed, F.col("source"), F.concat(F.lit("feed://"), F.col("source")))
     return ev.select("source", "source_url", "raw_text", F.col("pos").cast("long").alias("pos"))
 
 
@@ -112,14 +106,14 @@ DOCS_RANKED = ("d AS (SELECT * REPLACE (" + FEED_SQL + " AS source), row_number(
 @register("src_json_api", f"""
 WITH {DOCS_RANKED}
 SELECT source, 'doc://' || CAST(doc_id AS VARCHAR) AS source_url, {SQL_STRIP('text')} AS raw_text, pos FROM d
-WHERE pos < 20 AND {SQL_STRIP('text')} <> ''""")
+WHERE {SQL_STRIP('text')} <> ''""")
 def src_json_api(spark, sf):
     feeds = _json_feeds(spark, sf)
     path = scratch(spark, "json_api")
     feeds.write.json(path)
     landed = spark.read.json(path)
     ev = FD.json_api_events(landed, F.col("source"), F.concat(F.lit("api://"), F.col("source")), F.col("payload"),
-                            text_fields=["text"], max_items=20)
+                            text_fields=["text"])
     return ev.select("source", "source_url", "raw_text", F.col("pos").cast("long").alias("pos"))
 
 
@@ -173,24 +167,25 @@ def src_json_url(spark, sf):
 
 # --- line files -------------------------------------------------------------------------
 
-def _first_line(c):
-    return F.regexp_replace(F.split(c, "\n")[0], r"[\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]", " ")
+def _one_line(c):
+    """Line breaks other than the line feed become blanks."""
+    return F.regexp_replace(c, r"[\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]", " ")
 
 
 @register("src_file_lines", r"""
-WITH c AS (SELECT conv_id, turn, regexp_replace(split_part(text, chr(10), 1), '[\r\x0B\x0C\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]', ' ', 'g') AS l FROM conversations)
+WITH c AS (SELECT conv_id, turn, regexp_replace(text, '[\r\x0B\x0C\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]', ' ', 'g') AS t FROM conversations),
+l AS (SELECT conv_id, turn, unnest(CASE WHEN turn % 2 = 0 THEN [t] ELSE string_split(t, chr(10)) END) AS l FROM c)
 SELECT CASE WHEN turn % 2 = 0 THEN 'conv://' || CAST(conv_id AS VARCHAR) ELSE 'PATH' END AS source_url,
        CASE WHEN turn % 2 = 0 THEN l ELSE """ + SQL_STRIP("l") + """ END AS raw_text
-FROM c WHERE turn % 4 <> 3 AND (CASE WHEN turn % 2 = 0 THEN l ELSE """ + SQL_STRIP("l") + """ END) <> ''""")
+FROM l WHERE (CASE WHEN turn % 2 = 0 THEN l ELSE """ + SQL_STRIP("l") + """ END) <> ''""")
 def src_file_lines(spark, sf):
     c = read_table(spark, sf, "conversations")
-    line = (F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(_first_line(F.col("text")).alias("text"),
-                                                              F.concat(F.lit("conv://"), F.col("conv_id").cast("string")).alias("url"))))
-            .when(F.col("turn") % 4 == 1, _first_line(F.col("text")))
-            .otherwise(F.col("turn").cast("string")))
+    # whole texts: even turns as one JSON object each, odd turns as plain lines; a bare number must go to quarantine
+    t = _one_line(F.col("text"))
+    line = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(t.alias("text"), F.concat(F.lit("conv://"), F.col("conv_id").cast("string")).alias("url")))) \
+        .otherwise(F.concat(t, F.lit("\n"), F.col("turn").cast("string")))
     path = scratch(spark, "file_lines")
-    c.select("conv_id", "turn", line.alias("value")).repartition(4, "conv_id").sortWithinPartitions("conv_id", "turn") \
-        .select("value").write.text(path)
+    c.select(line.alias("value")).write.option("maxRecordsPerFile", 1000).text(path)  # bounded files: each is read whole
     lines = FD.numbered_lines(FD.read_whole(spark, path))
     ev, _quarantine = FD.file_events(lines, "export", max_items=0)
     return ev.select(F.when(F.col("source_url").startswith("conv://"), F.col("source_url")).otherwise(F.lit("PATH")).alias("source_url"),
@@ -234,23 +229,23 @@ WITH x AS (
   UNION ALL SELECT {FEED_SQL}, doc_id, 1, sha256(text) FROM documents
   UNION ALL SELECT {FEED_SQL}, doc_id, 2, CASE WHEN doc_id % 4 = 0 THEN 'https://feed.example.org/' || CAST(doc_id AS VARCHAR) ELSE '' END FROM documents),
 k AS (SELECT * FROM x WHERE l <> '' AND NOT starts_with(l, '#')),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, sub) AS n FROM k)
+r AS (SELECT * FROM k)
 SELECT source, CASE WHEN starts_with(l, 'http://') OR starts_with(l, 'https://') THEN l ELSE 'feed://' || source END AS source_url,
-       'Indicator observed: ' || l AS raw_text FROM r WHERE n <= 50""")
+       'Indicator observed: ' || l AS raw_text FROM r""")
 def src_text_feed(spark, sf):
     path = scratch(spark, "text_feed")
-    _feed_lines(spark, sf).repartition("source").sortWithinPartitions("source", "doc_id", "sub") \
-        .select("source", F.col("l").alias("value")).write.partitionBy("source").text(path)
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value", "source")
-    lines = files.select("path", "source", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    ev = FD.text_feed_events(lines, F.col("source"), F.concat(F.lit("feed://"), F.col("source")), 50,
-                             "Indicator observed:")
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "sub", "l"))), lambda x: x["l"])
+    # one landed feed (at most 50 documents) per row, many rows per file
+    _feed_lines(spark, sf).groupBy("source").agg(F.array_join(in_order, "\n").alias("value")).write.json(path)
+    files = spark.read.schema("source string, value string").json(path)
+    lines = files.select(F.col("source").alias("path"), "source", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    ev = FD.text_feed_events(lines, F.col("source"), F.concat(F.lit("feed://"), F.col("source")), prefix="Indicator observed:")
     return ev.select("source", "source_url", "raw_text")
 
 
 @register("src_union_sources", f"""
 WITH {DOCS_RANKED}
-SELECT 'rss_docs' AS source, 5 AS source_order, count(*) AS n_events FROM d WHERE pos < 30
+SELECT 'rss_docs' AS source, 5 AS source_order, count(*) AS n_events FROM d
 UNION ALL SELECT 'pages_html', 4, count(*) FROM pages
   WHERE {sql_join2(_sql_nodes('html', 'title'), _sql_nodes('html', 'article'))} <> ''""")
 def src_union_sources(spark, sf):
@@ -333,31 +328,32 @@ def sto_store_all(spark, sf):
     return runs.select("table", "n_rows").withColumnRenamed("table", "tbl")
 
 
-@register("sto_insert_ignore", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+@register("sto_insert_ignore", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def sto_insert_ignore(spark, sf):
     o = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     target = o.filter(F.col("o_orderkey") % 2 == 0)
-    batch = o.filter(F.col("o_orderkey") % 3 == 0)
-    batch = batch.unionByName(batch.filter(F.col("o_orderkey") % 9 == 0))  # a key twice inside the batch
+    batch = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 2 == 0, -1.0).otherwise(F.col("o_totalprice")))  # known keys: ignored
+    batch = batch.unionByName(batch.withColumn("o_totalprice", F.col("o_totalprice") + 1))  # every key twice inside the batch
     return target.unionByName(ST.insert_ignore(target, batch, ["o_orderkey"]))
 
 
 @register("sto_tables", O.chain("sco") + """,
 st AS (SELECT source_event_id, ioc_type, normalized_value FROM ioc GROUP BY ALL)
-SELECT 'raw_events' AS tbl, count(*) AS n_rows FROM raw WHERE CAST(substr(event_id, 2) AS BIGINT) % 2 = 0 OR CAST(substr(event_id, 2) AS BIGINT) % 3 = 0
-UNION ALL SELECT 'iocs', count(*) FROM st WHERE CAST(substr(source_event_id, 2) AS BIGINT) % 2 = 0 OR CAST(substr(source_event_id, 2) AS BIGINT) % 3 = 0
-UNION ALL SELECT 'scores', count(*) FROM sco WHERE CAST(substr(event_id, 2) AS BIGINT) % 2 = 0 OR CAST(substr(event_id, 2) AS BIGINT) % 3 = 0""")
+SELECT 'raw_events' AS tbl, count(*) AS n_rows FROM raw UNION ALL SELECT 'normalized_events', count(*) FROM norm
+UNION ALL SELECT 'iocs', count(*) FROM st UNION ALL SELECT 'analysis_results', count(*) FROM ana
+UNION ALL SELECT 'correlation_results', count(*) FROM cor UNION ALL SELECT 'campaigns', count(*) FROM camp
+UNION ALL SELECT 'scores', count(*) FROM sco""")
 def sto_tables(spark, sf):
+    """Every keyed table, stored in two overlapping batches: the first half of the rows by hash, then all of them."""
     c = Chain.of(spark, sf)
     root = scratch(spark, "keyed")
-    num = lambda col: F.substring(F.col(col), 2, 64).cast("long")
     out = []
-    for name, df, idcol in [("raw_events", c.raw, "event_id"), ("iocs", IO.dedup(c.ioc), "source_event_id"),
-                            ("scores", c.sco.withColumn("rationale", F.to_json("rationale")), "event_id")]:
+    for name, df in stage_tables(c).items():
+        df = IO.dedup(df) if name == "iocs" else df
         keys = ST.STORE_KEYS[name]
-        for m in (2, 3):
-            ST.append_ignore(f"{root}/{name}", df.filter(num(idcol) % m == 0), keys, spark)
-        out.append((name, spark.read.parquet(f"{root}/{name}").count()))
+        half = df.filter(F.pmod(F.xxhash64(*keys), F.lit(2)) == 0)
+        n = sum(ST.append_ignore(f"{root}/{name}", part, keys, spark) for part in (half, df))
+        out.append((name, n))
     return spark.createDataFrame(out, "tbl string, n_rows long")
 
 
@@ -365,10 +361,10 @@ def sto_tables(spark, sf):
 def sto_publish(spark, sf):
     c = Chain.of(spark, sf)
     uri = scratch(spark, "publish")
-    ST.publish(c.sco.limit(5), uri, "scores", "v1")
+    ST.publish(c.sco.withColumn("severity_label", F.lit("stale")), uri, "scores", "v1")
     ST.publish(c.sco, uri, "scores", "v2")
     latest = ST.read_latest(spark, uri, "scores")
-    return latest.agg(F.count(F.lit(1)).alias("n_rows"))
+    return latest.agg(F.count(F.when(F.col("severity_label") != "stale", 1)).alias("n_rows"))
 
 
 @register("qry_latest_report", O.chain("sco") + """
@@ -378,7 +374,7 @@ def qry_latest_report(spark, sf):
     c = Chain.of(spark, sf)
     items = R.items(c.ana, c.sco, c.cor, c.ioc)
     root = scratch(spark, "reports")
-    for day, df in (("2024-02-01 00:00:00", items.limit(3)), ("2024-02-02 00:00:00", items)):
+    for day, df in (("2024-02-01 00:00:00", items), ("2024-02-02 00:00:00", items)):
         df.withColumn("generated_at", F.lit(day)).write.mode("append").partitionBy("generated_at").parquet(root)
     rep = spark.read.parquet(root)
     latest = rep.agg(F.max("generated_at")).first()[0]
@@ -397,15 +393,9 @@ def ing_stream_dedup(spark, sf):
         "doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("event_id"),
         F.lit("documents").alias("source"), F.lit("").alias("source_url"), F.col("text").alias("raw_text"))
     root = scratch(spark, "stream_dedup")
-    n = d.count()
-    bounds = [0, n // 3, 2 * n // 3, n + 1]
-    import time
-    for i in range(3):  # three landed files, in arrival order
-        d.filter((F.col("doc_id") >= bounds[i]) & (F.col("doc_id") < bounds[i + 1])).coalesce(1) \
-            .write.mode("append").parquet(f"{root}/in")
-        time.sleep(1.1)
-    SD.run_dedup_stream(spark, f"{root}/in", d.schema, f"{root}/out", f"{root}/ledger", f"{root}/ckpt", ["doc_id"])
-    return spark.read.parquet(f"{root}/out").select("content_hash", "event_id")
+    d.repartition(9).write.parquet(f"{root}/in")  # landed files in no order, several per micro-batch
+    SD.run_dedup_stream(spark, f"{root}/in", d.schema, f"{root}/out", f"{root}/ckpt", ["doc_id"], files_per_batch=3)
+    return SD.first_events(spark, f"{root}/out", ["doc_id"]).select("content_hash", "event_id")
 
 
 @register("cor_temporal_stream", f"""
@@ -414,19 +404,18 @@ def cor_temporal_stream(spark, sf):
     e = read_table(spark, sf, "events").select("event_id", "ts")
     root = scratch(spark, "stream_win")
     e.write.parquet(f"{root}/in")
-    STT.run_window_stream(spark, f"{root}/in", e.schema, f"{root}/out", f"{root}/ckpt", mode="complete")
-    return spark.read.parquet(f"{root}/out")
+    STT.run_window_stream(spark, f"{root}/in", e.schema, f"{root}/out", f"{root}/ckpt")
+    return STT.latest_counts(spark, f"{root}/out")
 
 
 # --- end-to-end job -------------------------------------------------------------------------
 
 @register("job_pipeline", O.chain("sco") + f"""
-SELECT event_id, {s_dbl('severity')} AS severity, severity_label FROM sco ORDER BY severity DESC, event_id LIMIT 25""")
+SELECT event_id, {s_dbl('severity')} AS severity, severity_label FROM sco""")
 def job_pipeline(spark, sf):
     from vigil.plans.jobs import run_pipeline
     out = run_pipeline(spark, sf)
-    return out.scores.orderBy(F.desc("severity"), F.asc("event_id")).limit(25).select(
-        "event_id", dbl("severity").alias("severity"), "severity_label")
+    return out.scores.select("event_id", dbl("severity").alias("severity"), "severity_label")
 
 
 @register("job_run_counts", STAGE_COUNT_SQL)

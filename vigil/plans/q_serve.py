@@ -238,9 +238,9 @@ def dsh_tactic_counts(spark, sf):
 @register("dsh_distinct_iocs", ITEMS + """
 SELECT count(DISTINCT i) AS n_distinct, count(*) AS n_total,
        CASE WHEN count(DISTINCT i) > 0 THEN count(DISTINCT i) ELSE count(*) END AS indicator_count
-FROM (SELECT unnest(iocs) AS i FROM items)""")
+FROM (SELECT ioc.normalized_value AS i FROM ioc JOIN items ON items.event_id = ioc.source_event_id)""")
 def dsh_distinct_iocs(spark, sf):
-    return D.distinct_iocs(items(spark, sf))
+    return D.distinct_iocs(items(spark, sf), Chain.of(spark, sf).ioc)
 
 
 @register("dsh_severity_distribution", ITEMS + """
@@ -259,8 +259,8 @@ agg AS (
   SELECT (SELECT coalesce(list(key ORDER BY rank), CAST([] AS VARCHAR[])) FROM topk WHERE dimension = 'incident') AS inc,
          (SELECT coalesce(list(key ORDER BY rank), CAST([] AS VARCHAR[])) FROM topk WHERE dimension = 'sector') AS sec,
          (SELECT coalesce(list(key ORDER BY rank), CAST([] AS VARCHAR[])) FROM topk WHERE dimension = 'tactic') AS tac,
-         (SELECT count(DISTINCT i) FROM (SELECT unnest(iocs) AS i FROM items)) AS n_ind,
-         (SELECT coalesce(sum(len(iocs)), 0) FROM items) AS n_shown,
+         (SELECT count(DISTINCT ioc.normalized_value) FROM ioc JOIN items ON items.event_id = ioc.source_event_id) AS n_ind,
+         (SELECT count(*) FROM ioc JOIN items ON items.event_id = ioc.source_event_id) AS n_shown,
          (SELECT count(*) FROM items) AS n_items, (SELECT count(*) FROM camp) AS n_camp,
          (SELECT count(*) FROM items WHERE severity_label = 'high') AS high,
          (SELECT count(*) FROM items WHERE severity_label = 'medium') AS medium,
@@ -283,7 +283,7 @@ UNION ALL SELECT 9, 'Analyst action', 'Validate high-priority items against inte
 UNION ALL SELECT 10, 'Defensive posture', 'This report is defensive only. Treat public-source indicators as leads until corroborated by internal evidence.' FROM b""")
 def dsh_brief(spark, sf):
     c = Chain.of(spark, sf)
-    return D.brief(R.items(c.ana, c.sco, c.cor, c.ioc), c.camp)
+    return D.brief(R.items(c.ana, c.sco, c.cor, c.ioc), c.camp, c.ioc)
 
 
 @register("dsh_sort_events", ITEMS + """

@@ -13,7 +13,7 @@ from vigil.params import SOURCE_DOMAIN_MAP, WEAK_INCIDENT_KEYWORDS, WEAK_SECTOR_
 from vigil.plans import oracle as O
 from vigil.plans.registry import dbl, register, s_dbl
 from vigil.plans.views import TEST_INCIDENT, TEST_SECTOR, Chain, read_table
-from vigil.session import ensure_checkpoint_dir
+from vigil.session import scratch
 
 # --- metrics over labels (toxic read as a prediction of quality) ----------------
 
@@ -90,7 +90,7 @@ def _fit_eval(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FITS:
         data = TR.stratified_split(labelled_docs(spark, sf), "label", "doc_id")
-        model = TR.fit(data.filter(~F.col("is_test")).select("doc_id", "text", "label"), max_iter=50)
+        model = TR.fit(data.filter(~F.col("is_test")).select("doc_id", "text", "label"))
         pred = TR.predict(model, data.filter(F.col("is_test")).select("doc_id", "text", "label"))
         _FITS[key] = (model, pred)
     return _FITS[key]
@@ -113,8 +113,8 @@ def trn_model_io(spark, sf):
     from pyspark.ml import PipelineModel
 
     model, pred = _fit_eval(spark, sf)
-    path = ensure_checkpoint_dir(spark).rstrip("/") + "/models/trn_model_io"
-    model.write().overwrite().save(path)
+    path = scratch(spark, "trn_model_io")
+    model.write().save(path)
     again = TR.predict(PipelineModel.load(path), pred.select("doc_id", "text", "label"))
     a = pred.select("doc_id", F.col("prediction_label").alias("p1"))
     b = again.select("doc_id", F.col("prediction_label").alias("p2"))
@@ -127,8 +127,8 @@ SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, {O.sql_strip('d.text')} AS text, CAS
 FROM documents d JOIN labels l USING (doc_id) WHERE {O.sql_strip('d.text')} <> ''""")
 def read_labeled(spark, sf):
     """Labelled rows written as CSV with a header, read back; blank text or label dropped."""
-    path = ensure_checkpoint_dir(spark).rstrip("/") + "/labeled_csv"
-    labelled_docs(spark, sf).write.mode("overwrite").option("header", True).option("multiLine", True) \
+    path = scratch(spark, "labeled_csv")
+    labelled_docs(spark, sf).write.option("header", True).option("multiLine", True) \
         .option("escape", '"').csv(path)
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     from vigil.functions.text import py_strip
@@ -274,25 +274,25 @@ def wek_train_gate(spark, sf):
     if n_labels < 2:
         return data.limit(0).select("label", F.lit(0.0).alias("accuracy"))
     split = TR.stratified_split(data, "label", "event_id")
-    model = TR.fit(split.filter(~F.col("is_test")).select("event_id", "text", "label"), max_iter=50)
+    model = TR.fit(split.filter(~F.col("is_test")).select("event_id", "text", "label"))
     pred = TR.predict(model, split.filter(F.col("is_test")).select("event_id", "text", "label"))
     return TR.metrics(pred, "label", "prediction_label")
 
 
 @register("wek_prelabel_csv", O.chain("ana") + """
-SELECT n.event_id, n.clean_text AS text, n.source, n.source_url AS url,
+SELECT n.event_id, n.clean_text AS text, n.source, n.source_url,
        CASE WHEN a.incident_type = 'unknown' THEN '' ELSE a.incident_type END AS incident_label,
        CASE WHEN a.sector = 'unknown' THEN '' ELSE a.sector END AS sector_label
 FROM norm n JOIN ana a USING (event_id)""")
 def wek_prelabel_csv(spark, sf):
     c = Chain.of(spark, sf)
     sheet = c.norm.join(c.ana, "event_id").select(
-        "event_id", F.col("clean_text").alias("text"), "source", F.col("source_url").alias("url"),
+        "event_id", F.col("clean_text").alias("text"), "source", "source_url",
         F.when(F.col("incident_type") == "unknown", "").otherwise(F.col("incident_type")).alias("incident_label"),
         F.when(F.col("sector") == "unknown", "").otherwise(F.col("sector")).alias("sector_label"))
-    path = ensure_checkpoint_dir(spark).rstrip("/") + "/prelabel_csv"
+    path = scratch(spark, "prelabel_csv")
     opts = {"header": True, "multiLine": True, "escape": '"', "emptyValue": "", "nullValue": None}
-    sheet.write.mode("overwrite").options(**{k: v for k, v in opts.items() if v is not None}).csv(path)
+    sheet.write.options(**{k: v for k, v in opts.items() if v is not None}).csv(path)
     back = spark.read.options(header=True, multiLine=True, escape='"').schema(sheet.schema).csv(path)
-    return back.select("event_id", "text", "source", "url", F.coalesce("incident_label", F.lit("")).alias("incident_label"),
+    return back.select("event_id", "text", "source", "source_url", F.coalesce("incident_label", F.lit("")).alias("incident_label"),
                        F.coalesce("sector_label", F.lit("")).alias("sector_label"))

@@ -7,14 +7,14 @@ fixed here so the Spark side and the SQL side agree.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from functools import cached_property
+import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.operators import classify, correlate, iocs, preprocess, score
-from vigil.session import materialize
+from vigil.operators import classify, correlate, features, iocs, preprocess, score
+from vigil.session import ensure_checkpoint_dir, materialize
 from vigil.params import (INCIDENT_KEYWORDS, NOISE_PATTERNS, SECTOR_KEYWORDS, ClassifierParams,
                           CorrelationParams, IocParams, PreprocessParams, ScoringParams)
 
@@ -31,7 +31,9 @@ TEST_INC = ClassifierParams(label_keywords=TEST_INCIDENT, min_confidence=0.6)
 TEST_SEC = ClassifierParams(label_keywords=TEST_SECTOR, min_confidence=0.6)
 # Cluster and window edges off: many campaigns instead of one.
 TEST_COR = CorrelationParams(use_analysis_clusters=False, use_temporal_window=False)
-TEST_CLUSTERS = 7
+# Fixed centres in TF-IDF space (term -> weight), one per language of the driver's texts and two of mixed terms.
+TEST_CENTRES = ({"the": 0.6, "and": 0.5, "of": 0.4}, {"der": 0.6, "und": 0.5, "die": 0.4}, {"les": 0.6, "que": 0.3, "des": 0.5},
+                {"los": 0.5, "que": 0.5, "por": 0.4}, {"la": 0.7, "de": 0.6}, {"th": 0.5, "er": 0.5, "nd": 0.3}, {"au": 0.4, "du": 0.4})
 BASE_EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 _RUNS: dict = {}
 
@@ -45,17 +47,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread_on: str | Non
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition on ``key`` only when the scan is under-parallel.
+    """Hash-repartition raw text on ``key``.
 
-    Text cleaning is CPU-bound; a table stored as one row group scans as one
-    task. At cluster scale the input has thousands of splits and this is a
-    no-op, so the raw text is not shuffled there.
+    Cleaning is bound by CPU (about 1 MB a second and core), so one shuffle of the raw text costs little next to a scan
+    whose splits are few or uneven, and what follows by the same key needs no further shuffle.
     """
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key)
+    return df.repartition(key)
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,13 +72,13 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(pages)
 
 
-def event_number(col: str = "event_id"):
-    return F.substring(F.col(col), 2, 64).cast("long")
-
-
 @dataclass
 class Chain:
-    """The stage tables of one run over the driver tables, built lazily."""
+    """The stage tables of one run over the driver tables, each written once and counted as it is written.
+
+    A stage is shared by every query whose parameters for that stage and the stages before it are the same, so a changed
+    correlation setting doesn't clean and extract the corpus again. ``forget`` ends the sharing (changed input, end of a run).
+    """
 
     spark: SparkSession
     sf_dir: str
@@ -92,73 +89,94 @@ class Chain:
     ioc_params: IocParams = IocParams()
     sco_params: ScoringParams = ScoringParams()
     with_clusters: bool = True
-    materialize: bool = True
-    _memo: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        from vigil.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(self.spark)
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str, **params) -> "Chain":
-        """One chain per (session, input, parameters): the stage tables of one run,
-        shared by every query over that run."""
-        key = (id(spark), spark.sparkContext.applicationId, sf_dir, tuple(sorted((k, repr(v)) for k, v in params.items())))
-        chain = _RUNS.get(key)
-        if chain is None:
-            chain = _RUNS[key] = cls(spark, sf_dir, **params)
-        return chain
+        return cls(spark, sf_dir, **params)
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
-    @cached_property
+    def _stage(self, name: str, params: tuple, build) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name, repr(params))
+        if key not in _RUNS:
+            seen = Observation(f"{name}_{uuid.uuid4().hex[:8]}")
+            table = materialize(build().observe(seen, F.count(F.lit(1)).alias("n")), name)
+            _RUNS[key] = table, int(seen.get["n"])
+        return _RUNS[key][0]
+
+    def count(self, name: str, params: tuple) -> int:
+        return _RUNS[(self.spark.sparkContext.applicationId, self.sf_dir, name, repr(params))][1]
+
+    @property
+    def _ana_params(self) -> tuple:
+        return self.pre, self.inc, self.sec, self.with_clusters
+
+    @property
+    def _cor_stage_params(self) -> tuple:
+        return *self._ana_params, self.ioc_params, self.cor_params
+
+    @property
+    def _sco_stage_params(self) -> tuple:
+        return *self._cor_stage_params, self.sco_params
+
+    @property
     def raw(self) -> DataFrame:
         return raw_events(self.spark, self.sf_dir)
 
-    @cached_property
+    @property
     def norm(self) -> DataFrame:
-        df = preprocess.normalize(self.raw, self.pre)
-        # Cleaning is the costly regex pass; materialise it once for all consumers.
-        return materialize(df, "stage") if self.materialize else df
+        # cleaning is the costly regex pass
+        return self._stage("norm", (self.pre,), lambda: preprocess.normalize(self.raw, self.pre))
 
-    @cached_property
+    @property
     def ioc(self) -> DataFrame:
-        df = iocs.extract(self.norm, self.ioc_params)
-        return materialize(df, "stage") if self.materialize else df
+        return self._stage("iocs", (self.pre, self.ioc_params), lambda: iocs.extract(self.norm, self.ioc_params))
 
-    @cached_property
+    @property
     def clusters(self) -> DataFrame | None:
+        """(event_id, cluster_id, cluster_confidence) by the nearest of fixed centres (see ``TEST_CENTRES``)."""
         if not self.with_clusters:
             return None
-        return self.norm.select("event_id", (event_number() % TEST_CLUSTERS).cast("int").alias("cluster_id"),
-                                F.lit(1.0).alias("cluster_confidence"))
-
-    def _stage(self, df: DataFrame, name: str) -> DataFrame:
-        """Stage tables are written once per run and read by every later consumer."""
-        return materialize(df, name) if self.materialize else df
+        return self._stage("clusters", (self.pre,), lambda: features.text_clusters(self.norm, "event_id", "clean_text", TEST_CENTRES, ngram_max=1, stop_words=()))
 
-    @cached_property
+    @property
     def ana(self) -> DataFrame:
-        return self._stage(classify.analyze(self.norm, self.inc, self.sec, self.clusters), "analysis")
+        return self._stage("analysis", self._ana_params, lambda: classify.analyze(self.norm, self.inc, self.sec, self.clusters))
 
-    @cached_property
+    @property
     def membership(self) -> DataFrame:
-        return materialize(correlate.campaign_membership(self.norm, self.ioc, self.ana, self.cor_params), "membership")
+        return self._stage("membership", self._cor_stage_params,
+                           lambda: correlate.campaign_membership(self.norm, self.ioc, self.ana, self.cor_params))
 
-    @cached_property
+    @property
     def cor(self) -> DataFrame:
-        return self._stage(correlate.correlate(self.norm, self.ioc, self.ana, self.cor_params, self.membership),
-                           "correlation")
+        return self._stage("correlation", self._cor_stage_params,
+                           lambda: correlate.correlate(self.norm, self.ioc, self.ana, self.cor_params, self.membership))
 
-    @cached_property
+    @property
     def camp(self) -> DataFrame:
-        return self._stage(correlate.campaigns(self.norm, self.cor, self.membership), "campaigns")
+        return self._stage("campaigns", self._cor_stage_params, lambda: correlate.campaigns(self.norm, self.cor, self.membership))
 
-    @cached_property
+    @property
     def ioc_counts(self) -> DataFrame:
         return iocs.count_by_event(self.ioc)
 
-    @cached_property
+    @property
     def sco(self) -> DataFrame:
-        return self._stage(score.score(self.ana, self.cor, self.ioc_counts, self.sco_params), "scores")
+        return self._stage("scores", self._sco_stage_params, lambda: score.score(self.ana, self.cor, self.ioc_counts, self.sco_params))
+
+    def counts(self) -> dict[str, int]:
+        """Rows of each stage table, as counted while it was written; the input is counted from its files."""
+        self.sco, self.camp
+        return {"raw_events": self.raw.count(), "normalized_events": self.count("norm", (self.pre,)), "iocs": self.count("iocs", (self.pre, self.ioc_params)),
+                "analysis_results": self.count("analysis", self._ana_params), "correlation_results": self.count("correlation", self._cor_stage_params),
+                "campaigns": self.count("campaigns", self._cor_stage_params), "scores": self.count("scores", self._sco_stage_params)}
+
+
+def forget() -> None:
+    """End the sharing of stage tables between queries."""
+    _RUNS.clear()

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -37,8 +40,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) a scratch folder is made here.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session on one machine (``local[...]``) may do without: a scratch
+    folder is made for it. On a cluster a folder of the driver would be out of the executors' sight, so there it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -46,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith(("local[", "local,")) and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="vigil-ckpt-", dir=os.environ.get("VIGIL_SCRATCH", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -57,10 +62,29 @@ def materialize(df, name: str = "t"):
     One computation of the plan (a reliable ``checkpoint()`` computes it twice
     unless cached), and a lost executor only needs the written files.
     """
-    import uuid
-
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared checkpoint folder, for files of one run."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/fixtures/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete what ``materialize`` has written in this application; for the end of a run, when no result needs it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark).rstrip("/") + "/tables")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def read_if_exists(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``read`` returns, or None if its path does not exist; any other failure is raised."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None

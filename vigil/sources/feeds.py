@@ -44,16 +44,17 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 
 # --- RSS -------------------------------------------------------------------------
 
-def rss_events(feeds: DataFrame, name: Column, feed_url: Column, max_items: int = 50,
+def rss_events(feeds: DataFrame, name: Column, feed_url: Column, max_items: int | None = None,
                prefix: str | None = None) -> DataFrame:
     """Feeds (one XML document per row in ``value``) -> one raw event per entry.
 
-    Cap = first ``max_items`` entries, applied before empty entries are dropped.
+    ``max_items``, where a source's own configuration names one, counts entries before empty ones are dropped.
     """
     parsed = feeds.select(name.alias("source"), feed_url.alias("feed_url"),
                           F.from_xml("value", RSS_SCHEMA, {"rowTag": "rss"}).alias("x"))
     items = parsed.select("source", "feed_url", F.posexplode("x.channel.item").alias("pos", "it"))
-    items = items.filter(F.col("pos") < max_items)
+    if max_items:
+        items = items.filter(F.col("pos") < max_items)
     text = apply_prefix(join_parts(F.col("it.title"), F.col("it.description"), F.col("it.content")), prefix)
     out = items.select("source", F.coalesce(F.col("it.link"), F.col("feed_url")).alias("source_url"),
                        text.alias("raw_text"),
@@ -133,11 +134,12 @@ def json_url(item: Column) -> Column:
 
 
 def json_api_events(feeds: DataFrame, name: Column, feed_url: Column, payload: Column, json_path: str | None = None,
-                    text_fields: Sequence[str] | None = None, max_items: int = 50, prefix: str | None = None) -> DataFrame:
-    """One event per JSON item; cap = first ``max_items`` items before the empty filter."""
+                    text_fields: Sequence[str] | None = None, max_items: int | None = None, prefix: str | None = None) -> DataFrame:
+    """One event per JSON item; ``max_items``, where configured, counts items before the empty filter."""
     ex = feeds.select(name.alias("source"), feed_url.alias("feed_url"),
                       F.posexplode(json_items(payload, json_path)).alias("pos", "item"))
-    ex = ex.filter(F.col("pos") < max_items)
+    if max_items:
+        ex = ex.filter(F.col("pos") < max_items)
     text = apply_prefix(json_text(F.col("item"), text_fields), prefix)
     out = ex.select("source", F.coalesce(json_url(F.col("item")), F.col("feed_url")).alias("source_url"),
                     text.alias("raw_text"), F.to_json(F.struct(F.col("item").alias("item"))).alias("raw_metadata"), "pos")
@@ -185,7 +187,7 @@ def file_events(lines: DataFrame, name: str, path_col: str = "path", text_fields
     return ev.drop(path_col), quarantine
 
 
-def text_feed_events(lines: DataFrame, name: Column | str, feed_url: Column | str, max_items: int = 50,
+def text_feed_events(lines: DataFrame, name: Column | str, feed_url: Column | str, max_items: int | None = None,
                      prefix: str | None = None, path_col: str = "path") -> DataFrame:
     """Plain feed: trimmed lines, blanks and '#' comments skipped; url = the line when http(s).
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from vigil.session import read_if_exists
+
 # Fixed schemas of the stage tables (JSON lines on disk).
 SCHEMAS = {
     "raw_events": "event_id string, source string, source_url string, fetched_at timestamp, raw_text string, "
@@ -47,9 +49,8 @@ def defaults(table: str) -> dict:
 def read_stage(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Read one stage table; absent optional keys take their defaults, a missing path is empty."""
     schema = StructType.fromDDL(SCHEMAS[table])
-    try:
-        df = spark.read.schema(schema).json(path)
-    except Exception:  # noqa: BLE001 - missing path reads as an empty dataset
+    df = read_if_exists(lambda: spark.read.schema(schema).json(path))
+    if df is None:
         return spark.createDataFrame([], schema)
     for col, default in defaults(table).items():
         df = df.withColumn(col, F.coalesce(F.col(col), default))

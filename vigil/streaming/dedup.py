@@ -1,10 +1,8 @@
-"""Streaming first-seen filter: only content hashes never seen before pass, across restarts.
+"""Streaming first-seen filter: one event per content hash, across micro-batches and restarts.
 
-The seen-hash ledger lives outside the stream as a parquet table; each
-micro-batch keeps the first event per hash (source order) and anti-joins
-the ledger, then appends events first and ledger rows second, so a crash
-between the two writes can only re-emit, never lose, events. The stream's
-own checkpoint makes the file source exactly-once across restarts.
+The seen hashes are the stream's own keyed state: an aggregate by hash that keeps the first event in source order, combined before the
+shuffle (so copies that make up a third of a batch don't meet in one task) and kept in the checkpoint folder. No batch reads a ledger. A
+batch writes only the hashes that it saw first or found an earlier event for; ``first_events`` reads the result.
 """
 
 from __future__ import annotations
@@ -15,23 +13,22 @@ from pyspark.sql import functions as F
 from vigil.operators import ingest as G
 
 
-def run_dedup_stream(spark: SparkSession, source_dir: str, schema, out_dir: str, ledger_dir: str,
-                     checkpoint_dir: str, order_cols: list[str]) -> None:
-    """Process every landed file in ``source_dir`` (availableNow) and stop."""
+def run_dedup_stream(spark: SparkSession, source_dir: str, schema, out_dir: str, checkpoint_dir: str, order_cols: list[str],
+                     files_per_batch: int | None = None) -> None:
+    """Process every landed file in ``source_dir`` that is new (availableNow) and stop."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    first = G.dedup_in_run_grouped(G.with_hash(reader.parquet(source_dir)), order_cols)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        hashed = G.with_hash(df)
-        first = G.dedup_in_run_grouped(hashed, order_cols)
-        try:
-            ledger = spark.read.parquet(ledger_dir)
-        except Exception:  # noqa: BLE001 - first batch: empty ledger
-            ledger = first.select("content_hash").limit(0)
-        fresh = G.drop_seen(first, ledger)
-        fresh.write.mode("append").parquet(out_dir)
-        fresh.select("content_hash", "event_id", "source", "source_url",
-                     F.current_timestamp().alias("first_seen")).write.mode("append").parquet(ledger_dir)
-
-    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
-         .writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_dir)
-         .trigger(availableNow=True).start())
+        df.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")  # a repeated batch replaces itself
+
+    q = (first.writeStream.outputMode("update").foreachBatch(batch)
+         .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def first_events(spark: SparkSession, out_dir: str, order_cols: list[str]) -> DataFrame:
+    """The first event of each content hash over all batches."""
+    return G.dedup_in_run_grouped(spark.read.parquet(out_dir).drop("batch"), order_cols)

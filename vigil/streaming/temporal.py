@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def window_counts(stream: DataFrame, ts_col: str = "ts", hours: int = 24, watermark: str = "1 hour") -> DataFrame:
-    """Tumbling UTC windows; the watermark bounds state (append mode emits closed windows only)."""
+    """Tumbling UTC windows. Windows older than the watermark leave the state, and rows later than that are dropped."""
     s = stream.withColumn("_ts", F.col(ts_col).cast("timestamp")).withWatermark("_ts", watermark)
     g = s.groupBy(F.window("_ts", f"{hours} hours").alias("w")).agg(F.count(F.lit(1)).alias("n_events"))
     return g.select(F.concat(F.lit("window_"), F.unix_seconds(F.col("w.start")).cast("string")).alias("temporal_cluster"),
@@ -15,13 +15,18 @@ def window_counts(stream: DataFrame, ts_col: str = "ts", hours: int = 24, waterm
 
 
 def run_window_stream(spark: SparkSession, source_dir: str, schema, out_dir: str, checkpoint_dir: str,
-                      mode: str = "complete", hours: int = 24) -> None:
-    """Count every landed file (availableNow); each batch rewrites the result table (complete mode)."""
-    counts = window_counts(spark.readStream.schema(schema).parquet(source_dir), hours=hours)
+                      hours: int = 24, watermark: str = "1 hour") -> None:
+    """Count every landed file (availableNow). Update mode: a batch writes only the windows that it changed."""
+    counts = window_counts(spark.readStream.schema(schema).parquet(source_dir), hours=hours, watermark=watermark)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(out_dir)
+        df.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")  # a repeated batch replaces itself
 
-    q = (counts.writeStream.outputMode(mode).foreachBatch(batch)
+    q = (counts.writeStream.outputMode("update").foreachBatch(batch)
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def latest_counts(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The last count written for each window."""
+    return spark.read.parquet(out_dir).groupBy("temporal_cluster").agg(F.max_by("n_events", "batch").alias("n_events"))

@@ -25,15 +25,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_CACHED = 400_000  # units in each of two generations
+MAX_CACHED = 500_000  # units
 GROUP_CHARS = 6_000_000  # characters of the texts that are looked up together
-CLOSING = frozenset(".,;:!?")
+CLOSING = ".,;:!?"
 PLAIN = "\u0001"  # marks a unit that has no blank before it
 
 # a blank or a line feed that stands alone between two characters that aren't white space
 _BYTE_UNITS = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
-
-
+_LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 SPACED = 1  # stands for the letter of a blank in front of a unit
 
 
@@ -46,8 +45,47 @@ def _byte_letters() -> np.ndarray:
     return letters
 
 
-def _latin_letters(u: str) -> bool:
-    return u.isalpha() and (u.isascii() or max(u) <= "ÿ")
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions first, first + 1, ... of every run in turn."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(first - before, size)
+
+
+class Units:
+    """unit -> its run of ids in one table. When full, it keeps the units of the group at hand and goes on."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.first = np.zeros(1024, np.int64)
+        self.size = np.zeros(1024, np.int64)
+        self.table = np.zeros(4096, "<u4")
+        self.used = 0
+
+    def add(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, k = len(self.at), len(units)
+        while n + k > len(self.first):
+            self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(ids) > len(self.table):
+            self.table = np.resize(self.table, 2 * len(self.table))
+        self.first[n:n + k] = self.used + np.cumsum(sizes) - sizes
+        self.size[n:n + k] = sizes
+        self.table[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.at.update(zip(units, range(n, n + k), strict=True))
+
+    def find(self, units: list[str]) -> np.ndarray:
+        get = self.at.get
+        return np.array([get(u, -1) for u in units], np.int64)
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        return self.table[_runs(self.first[at], self.size[at])]
+
+    def keep(self, units: list[str], at: np.ndarray) -> None:
+        kept = [u for u, k in zip(units, at.tolist(), strict=True) if k >= 0]
+        at = at[at >= 0]
+        ids, sizes = self.ids(at), self.size[at]
+        self.__init__()
+        self.add(kept, ids, sizes)
 
 
 class Encoder:
@@ -75,16 +113,21 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.edges = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.edges[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if self.kind == "byte" else t.endswith("</w>"))]] = True
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.units = Units()
+        mark = "" if self.kind == "word" else PLAIN
+        self.marks = [mark + c for c in CLOSING]
+        self.letters_only = f"^[{_LATIN}]+$"
+        self.closed = f"^[{_LATIN}]+[{CLOSING}]$"
 
     # units -> ids ---------------------------------------------------------
 
     def _full(self, units: list[str]) -> None:
         """By the whole tokenizer, each unit as it stands in a text."""
-        raw = units if self.kind == "word" else [u[1:] if u[0] == PLAIN else u if u == "\n" else " " + u for u in units]
-        got = self.tokenizer.encode_batch_fast(raw, add_special_tokens=False)
-        self.known.update((u, array("I", e.ids).tobytes()) for u, e in zip(units, got, strict=True))
+        if not units:
+            return
+        raw = units if self.kind == "word" else [u[1:] if u[:1] == PLAIN else u if u == "\n" else " " + u for u in units]
+        got = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(raw, add_special_tokens=False)]
+        self.units.add(units, np.frombuffer(b"".join(got), "<u4"), np.array([len(x) for x in got], np.int64))
 
     def _letters(self, units: list[str]) -> None:
         """Units of Latin letters (byte-level: after a blank) by the model alone, all in one call."""
@@ -97,40 +140,31 @@ class Encoder:
         if len(edge) != len(units):
             self._full(units)
             return
-        starts, ends = (edge, np.append(edge[1:], len(ids))) if self.kind == "byte" else (np.concatenate(([0], edge[:-1] + 1)), edge + 1)
-        raw = ids.tobytes()
-        self.known.update((u, raw[a:z]) for u, a, z in zip(units, (starts * 4).tolist(), (ends * 4).tolist(), strict=True))
-
-    def _prepare(self, units: list[str]) -> None:
-        """Makes ``known`` hold all of ``units`` (distinct)."""
-        if len(self.known) + len(units) > MAX_CACHED:
-            self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        new = [u for u in units if u not in known]
-        fresh = []
-        for u in new:
-            if (got := old.get(u)) is None:
-                fresh.append(u)
-            else:
-                known[u] = got
-        letters, marked, rest = [], [], []
-        for u in fresh:
-            if _latin_letters(u):
-                letters.append(u)
-            elif u and u[-1] in CLOSING and _latin_letters(u[:-1]):
-                marked.append(u)
-            else:
-                rest.append(u)
-        stems = {u[:-1] for u in marked}.difference(letters)
-        letters += [u for u in stems if u not in known]
-        mark = "" if self.kind == "word" else PLAIN
-        rest += [mark + c for c in CLOSING if mark + c not in known and mark + c not in rest]
-        if "" in rest:
-            rest.remove("")
-            known[""] = b""
-        self._letters(letters)
-        self._full(rest)
-        known.update({u: known[u[:-1]] + known[mark + u[-1]] for u in marked})
+        sizes = np.diff(np.append(edge, len(ids))) if self.kind == "byte" else np.diff(np.concatenate(([-1], edge)))
+        self.units.add(units, ids, sizes)
+
+    def _lookup(self, distinct: pa.Array) -> np.ndarray:
+        """Places of distinct units in the table; what is new is encoded in a few calls."""
+        names = distinct.to_pylist()
+        at = self.units.find(names)
+        if len(miss := np.flatnonzero(at < 0)):
+            if len(self.units.at) + 2 * len(miss) > MAX_CACHED:
+                self.units.keep(names, at)
+            new = distinct.take(pa.array(miss))
+            plain = pc.match_substring_regex(new, self.letters_only).to_numpy(zero_copy_only=False)
+            closed = pc.match_substring_regex(new, self.closed).to_numpy(zero_copy_only=False)
+            letters, marked = new.filter(pa.array(plain)).to_pylist(), new.filter(pa.array(closed)).to_pylist()
+            stems = {u[:-1] for u in marked}.difference(letters)
+            letters += [u for u in stems if u not in self.units.at]
+            rest = set(new.filter(pa.array(~plain & ~closed)).to_pylist())
+            self._letters(letters)
+            self._full([u for u in {*rest, *self.marks} if u not in self.units.at])
+            if marked:
+                mark = "" if self.kind == "word" else PLAIN
+                both = np.column_stack([self.units.find([u[:-1] for u in marked]), self.units.find([mark + u[-1] for u in marked])])
+                self.units.add(marked, self.units.ids(both.reshape(-1)), self.units.size[both].sum(1))
+            at = self.units.find(names)
+        return at
 
     # texts -> units -------------------------------------------------------
 
@@ -169,16 +203,10 @@ class Encoder:
             return
         units = self._units(texts)
         coded = units.flatten().dictionary_encode()
-        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        self._prepare(distinct)
-        raw = list(map(self.known.__getitem__, distinct))
-        table = np.frombuffer(b"".join(raw), "<u4")
-        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        first = np.cumsum(size) - size
-        n = size[at]
-        upto = np.concatenate(([0], np.cumsum(n)))
-        ids = table[np.arange(upto[-1]) + np.repeat(first[at] - upto[:-1], n)]
-        bounds = upto[units.offsets.to_numpy() - units.offsets[0].as_py()]
+        at = self._lookup(coded.dictionary)[coded.indices.to_numpy()]
+        n = self.units.size[at]
+        ids = self.units.ids(at)
+        bounds = np.concatenate(([0], np.cumsum(n)))[units.offsets.to_numpy() - units.offsets[0].as_py()]
         for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield ids[a:z]
 

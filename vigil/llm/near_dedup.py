@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from vigil.llm.arrow import batch
 from vigil.llm.components import components
 from vigil.llm.shingles import N_HASHES, overlap, pack_set, set_hash, shingle_set, signature, unpack_set
-from vigil.llm.words import WordHashes
+from vigil.llm.words import word_hashes
 from vigil.session import materialize
 
 PERCENT = 85
@@ -49,7 +49,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary())])
 
     def run(batches):
-        hashes = WordHashes()
+        hashes = word_hashes()
         for b in batches:
             n, s1, s2, sig = [], [], [], []
             for data in b.column("text").to_pylist():
@@ -77,7 +77,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield batch(schema, node=b.column("node"), packed=[z.compress(x or b"") for x in b.column("text").to_pylist()])
 
     def sets(batches):
-        hashes, z = WordHashes(), zstandard.ZstdDecompressor()
+        hashes, z = word_hashes(), zstandard.ZstdDecompressor()
         schema = pa.schema([("node", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shingles", pa.binary())])
         before, given = None, set()
         for b in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.arrow import batch
-from vigil.llm.words import WordHashes, window_hashes
+from vigil.llm.words import WordHashes, window_hashes, word_hashes
 
 BASE_WINDOW = 8
 MIN_WORDS = 20
@@ -98,7 +98,7 @@ def measure(data: bytes, hashes: WordHashes) -> dict:
 
 def repetition_quality(docs: DataFrame) -> DataFrame:
     def run(batches):
-        hashes = WordHashes()
+        hashes = word_hashes()
         for b in batches:
             rows = [measure(x or b"", hashes) for x in b.column("text").to_pylist()]
             yield batch(_ARROW, doc_id=b.column("doc_id"), **{f.name: [r[f.name] for r in rows] for f in _ARROW if f.name != "doc_id"})

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from vigil.llm import elias_fano
 from vigil.llm.arrow import slices
-from vigil.llm.tokens import encoder, forget
+from vigil.llm.tokens import encoder
+from vigil.llm.worker import keep
 from vigil.session import ensure_checkpoint_dir, materialize
 
 END_ID = 0
@@ -98,13 +99,13 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                       ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def sizes(batches):
-        forget()
+        keep("token files", dict)  # frees an encoder that this worker has had
         for b in batches:
             s = [Shard(x.as_buffer()) for x in b.column(0)]
             yield pa.RecordBatch.from_pydict({"part": [x.part for x in s], "shard": [x.shard for x in s], "n_ids": [x.n_ids for x in s]}, schema=heads)
 
     def documents(batches):
-        forget()
+        keep("token files", dict)  # frees an encoder that this worker has had
         for b in batches:
             for x in b.column(0):
                 s = Shard(x.as_buffer())

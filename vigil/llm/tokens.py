@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from vigil.llm.worker import keep
+
 MAX_CACHED = 500_000  # units
 GROUP_CHARS = 6_000_000  # characters of the texts that are looked up together
 CLOSING = ".,;:!?"
@@ -227,16 +229,6 @@ class Encoder:
             yield from self._group(group)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker process's encoder of a file; tasks of one worker share its cache."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
-def forget() -> None:
-    """Frees the encoders of a worker process that goes on to other work."""
-    _ENCODERS.clear()
+    return keep(("encoder", path), lambda: Encoder(path))

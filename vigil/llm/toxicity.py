@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.arrow import batch
+from vigil.llm.worker import keep
 from vigil.session import materialize
 
 SAMPLE_ROWS = 12_000
@@ -38,6 +39,7 @@ PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 PRIOR = 0.1
 MAX_LOG_ODDS = 6.0
+MAX_CACHED = 300_000  # words whose voters a worker remembers
 
 LEXICONS = {
     "insults_en": "idiot idiots moron morons imbecile stupid dumb loser losers pathetic worthless scum trash clown disgusting filthy vermin scumbag jerk",
@@ -76,7 +78,7 @@ class Voters:
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def _of_word(self, word: str) -> tuple[int, ...]:
-        if len(self.cache) > 500_000:
+        if len(self.cache) > MAX_CACHED:
             self.cache.clear()
         got = self.cache[word] = tuple(sorted({v for f in _features(word) for v in self.by_feature.get(f, ())}))
         return got
@@ -213,7 +215,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     @F.arrow_udf("double")
     def score_text(text: pa.Array) -> pa.Array:
-        voters = _voters(model)
+        voters = keep(("voters", *model.mined), lambda: Voters(model.mined))
         w = model.weights
         z = np.array([model.intercept + sum(w[v] for v in sorted(voters.fired(t))) for t in text.to_pylist()])
         return pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())
@@ -222,18 +224,6 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                        score_text(F.coalesce(F.col("text"), F.lit(""))).alias("score"))
 
 
-_VOTERS: dict[tuple[str, ...], Voters] = {}
-
-
-def _voters(model: ToxicityModel) -> Voters:
-    """One table of voters per worker process and model, with its word cache."""
-    key = tuple(model.mined)
-    if key not in _VOTERS:
-        _VOTERS.clear()
-        _VOTERS[key] = Voters(model.mined)
-    return _VOTERS[key]
-
-
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) per document."""
     s = score(docs.select("doc_id", "text"), fit(docs, labels))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from vigil.llm.worker import keep
+
 MAX_CACHED = 400_000
 
 
@@ -22,6 +24,11 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def word_hashes() -> WordHashes:
+    """The worker process's table."""
+    return keep("word hashes", WordHashes)
+
+
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -110,7 +110,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     Lines past the last bit stay. Documents that lose nothing have no row.
     """
     order = ["h1", "h2", "did", "tag"]
-    ranged = line_keys(docs, min_chars).repartitionByRange(*order).sortWithinPartitions(*order, "pos")
+    # written first: Spark reads the rows twice, once for the ranges' bounds, and these are far narrower than the texts
+    ranged = materialize(line_keys(docs, min_chars), "line_keys").repartitionByRange(*order).sortWithinPartitions(*order, "pos")
     streamed = materialize(ranged.mapInArrow(lambda it: _stream(it, min_docs), "kind int, h1 long, h2 long, did long, tag long, pos int, n_docs long"), "line_stream")
     shared = streamed.filter(F.col("kind") == _COUNT).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= min_docs)
     settled = streamed.filter(F.col("kind") == _HELD).join(shared, ["h1", "h2"], "left_semi").select("did", "tag", "pos")

@@ -10,8 +10,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(c: Column) -> Column:
-    """A-Z to a-z; every other character stays (``lower`` would change letters beyond ASCII)."""
-    return F.translate(c, UPPER, LOWER)
+    """A-Z to a-z; every other character stays (``lower`` would change letters beyond ASCII, so it serves ASCII texts only)."""
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def strip_space(c: Column) -> Column:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.text import LOWER, UPPER
+from vigil.llm.text import ascii_lower
 
 # Phrases and labels of the base scan.
 BASE_PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -124,8 +124,11 @@ def signature_rules() -> list[tuple[int, str, str, str]]:
 # Keywords match words as prefixes, so "licen" gates license, licence, licensed and licensing. The first pattern is
 # all of them at once, on the raw text.
 def _gate(rules: list[tuple[int, str, str, str]]) -> str:
-    words = sorted({k for *_, k in rules} | {"creative", "licen", "cc", "mit", "gnu", "apache"})
-    return r"(?i)(?<![a-z0-9\u0080-\x{10FFFF}])(?:" + "|".join(words) + ")"
+    """Any keyword at the start of a word; keywords stand by first letter, so that most words fail on one letter each."""
+    by_letter: dict[str, list[str]] = {}
+    for k in sorted({k for *_, k in rules} | {phrase.split(" ")[0] for phrase, _ in BASE_PHRASES}):
+        by_letter.setdefault(k[0], []).append(k[1:])
+    return r"(?i)(?<![a-z0-9])(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by_letter.items()) + ")"
 
 
 def _rule_array(rules) -> Column:
@@ -169,10 +172,12 @@ def scan_licenses(docs: DataFrame, rules: list | None = None, base=BASE_PHRASES)
     kind = "array<struct<tier:int,label:string,first:int,last:int>>"
     none = F.array().cast(kind)
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", F.filter(F.split(text, NOT_WORD, -1), lambda w: w != "").alias("words"),
-                    text.rlike(_gate(rules)).alias("gated"))
-    joined = F.concat(F.lit(" "), F.translate(F.array_join("words", " "), UPPER, LOWER), F.lit(" "))
-    d = d.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.col("gated"), joined).alias("norm"))
+    d = docs.select("doc_id", F.split(text, NOT_WORD, -1).alias("words"), text.rlike(_gate(rules)).alias("gated"))
+    # a text that starts or ends with other characters has an empty first or last part
+    blank = (F.element_at("words", 1) == "").cast("int") + (F.element_at("words", -1) == "").cast("int")
+    n_words = F.greatest(F.size("words") - blank, F.lit(0)).cast("long")
+    joined = F.concat(F.lit(" "), ascii_lower(F.btrim(F.array_join("words", " "))), F.lit(" "))
+    d = d.select("doc_id", n_words.alias("n_words"), F.when(F.col("gated"), joined).alias("norm"))
 
     def spans(rule_array: Column) -> Column:
         tried = F.filter(rule_array, lambda r: F.contains(F.col("norm"), r["keyword"]))

@@ -11,10 +11,17 @@ from vigil.llm import ann, licenses, line_dedup, mixing, near_dedup, packing, qu
 from vigil.session import ensure_checkpoint_dir
 
 
+# Python workers give large freed buffers back to the system at once, so that a stage doesn't carry the former one's peak.
+WORKER_ENVIRONMENT = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "MALLOC_ARENA_MAX": "2"}
+
+
 def prepare(spark: SparkSession) -> None:
-    """The shared folder, and on one machine this package on the Python workers' path (a cluster gets it with --py-files)."""
+    """The shared folder, the Python workers' allocator settings where the session names none, and on one machine this package on
+    their path (a cluster gets it with --py-files)."""
     ensure_checkpoint_dir(spark)
     sc = spark.sparkContext
+    for name, value in WORKER_ENVIRONMENT.items():
+        sc.environment.setdefault(name, value)
     root = str(Path(__file__).resolve().parents[2])
     if sc.master.startswith("local[") and root not in sc.environment.get("PYTHONPATH", ""):
         sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, sc.environment.get("PYTHONPATH")]))

@@ -33,7 +33,7 @@ from vigil.llm.worker import keep
 from vigil.session import ensure_checkpoint_dir, materialize
 
 END_ID = 0
-SHARD_BYTES = 16 * 2 ** 20
+SHARD_BYTES = 8 * 2 ** 20  # of ids; with executors of more than 3 GB, 64 MB make fewer files
 _HEAD = struct.Struct("<8sIIQQQB")  # magic, part, shard of the part, documents, null doc_ids, ids, bytes an id
 _MAGIC = b"EFTOKEN1"
 

@@ -28,7 +28,8 @@ import pyarrow.compute as pc
 from vigil.llm.worker import keep
 
 MAX_CACHED = 500_000  # units
-GROUP_CHARS = 6_000_000  # characters of the texts that are looked up together
+GROUP_CHARS = 4_000_000  # characters of the texts that are looked up together
+CALL_UNITS = 10_000  # units of one call to the tokenizer, which needs a few hundred bytes a token meanwhile
 CLOSING = ".,;:!?"
 PLAIN = "\u0001"  # marks a unit that has no blank before it
 
@@ -50,7 +51,7 @@ def _byte_letters() -> np.ndarray:
 def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The positions first, first + 1, ... of every run in turn."""
     before = np.cumsum(size) - size
-    return np.arange(int(size.sum())) + np.repeat(first - before, size)
+    return np.arange(int(size.sum()), dtype=np.int32) + np.repeat((first - before).astype(np.int32), size)
 
 
 class Units:
@@ -125,16 +126,20 @@ class Encoder:
 
     def _full(self, units: list[str]) -> None:
         """By the whole tokenizer, each unit as it stands in a text."""
-        if not units:
-            return
+        for k in range(0, len(units), CALL_UNITS):
+            self._full_call(units[k:k + CALL_UNITS])
+
+    def _full_call(self, units: list[str]) -> None:
         raw = units if self.kind == "word" else [u[1:] if u[:1] == PLAIN else u if u == "\n" else " " + u for u in units]
         got = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(raw, add_special_tokens=False)]
         self.units.add(units, np.frombuffer(b"".join(got), "<u4"), np.array([len(x) for x in got], np.int64))
 
     def _letters(self, units: list[str]) -> None:
-        """Units of Latin letters (byte-level: after a blank) by the model alone, all in one call."""
-        if not units:
-            return
+        """Units of Latin letters (byte-level: after a blank) by the model alone, many in one call."""
+        for k in range(0, len(units), CALL_UNITS):
+            self._letters_call(units[k:k + CALL_UNITS])
+
+    def _letters_call(self, units: list[str]) -> None:
         joined = " ".join(units).lower() if self.kind == "word" else chr(SPACED) + f" {chr(SPACED)}".join(units)
         joined = self.letters[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-16-le")
         ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")

@@ -37,25 +37,39 @@ def extract_all(text: Column, types: Sequence[str] = IOC_TYPES) -> Column:
 def normalize_domain(d: Column, suffixes: Sequence[str] = PUBLIC_SUFFIXES) -> Column:
     """Registrable domain (label before the longest known public suffix), lower-cased.
 
-    Without a known suffix, or when the whole name is a suffix, the lower-cased
-    input is returned. Pure expression: the suffix list is an in-set lookup.
+    ``suffixes`` is a public suffix list: plain names, wildcards (``*.ck``: any label before ``ck`` is part of the suffix) and
+    exceptions to them (``!www.ck``). Without a known suffix, or when the whole name is a suffix, the lower-cased
+    input is returned. Pure expression: the list is an in-set lookup.
     """
+    plain = [s for s in suffixes if s[:2] != "*." and s[:1] != "!"]
+    wild = [s[2:] for s in suffixes if s[:2] == "*."]
+    spared = [s[1:] for s in suffixes if s[:1] == "!"]
     low = F.lower(d)
     labels = F.split(low, r"\.")
     n = F.size(labels)
+
+    def tail(i) -> Column:
+        return F.array_join(F.slice(labels, i, n), ".")
+
+    def is_suffix(i) -> Column:
+        hit = tail(i).isin(*plain)
+        if wild:
+            hit = hit | ((i < n) & tail(i + 1).isin(*wild))
+        if spared:  # what follows an exception's first label is the suffix
+            hit = (hit & ~tail(i).isin(*spared)) | ((i > 1) & tail(F.greatest(i - 1, F.lit(1))).isin(*spared))
+        return hit
+
     # Candidate start positions 2..n (1-based); the first hit is the longest suffix.
-    starts = F.filter(F.sequence(F.lit(2), F.greatest(n, F.lit(2))),
-                      lambda i: (i <= n) & F.array_join(F.slice(labels, i, n), ".").isin(*suffixes))
+    starts = F.filter(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: (i <= n) & is_suffix(i))
     first = F.try_element_at(starts, F.lit(1))
-    suffix_whole = F.array_join(F.slice(labels, 1, n), ".").isin(*suffixes)
     registrable = F.concat_ws(".", F.try_element_at(labels, first - 1), F.array_join(F.slice(labels, first, n), "."))
-    return F.when(first.isNull() | suffix_whole, low).otherwise(registrable)
+    return F.when(first.isNull() | is_suffix(F.lit(1)), low).otherwise(registrable)
 
 
-def normalize_ioc(ioc_type: Column, value: Column) -> Column:
+def normalize_ioc(ioc_type: Column, value: Column, suffixes: Sequence[str] = PUBLIC_SUFFIXES) -> Column:
     """Per-type normal form: domains registrable+lower, urls/emails/hashes strip+lower, rest strip."""
     stripped = py_strip(value)
-    return (F.when(ioc_type == "domain", normalize_domain(value))
+    return (F.when(ioc_type == "domain", normalize_domain(value, suffixes))
             .when(ioc_type.isin("url", "email", *HASH_TYPES), F.lower(stripped))
             .otherwise(stripped))
 

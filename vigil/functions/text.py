@@ -7,6 +7,7 @@ runs inside whole-stage codegen next to the scan.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,14 +30,11 @@ _MARKUP_STEPS: list[tuple[str, str]] = [
     (r"(?s)<\?[^>]*>", " "),
     (r"(?s)</?[A-Za-z][^>]*>", " "),
 ]
-# Named and numeric character references decoded after tag removal;
-# "&amp;" last so that "&amp;lt;" stays "&lt;".
-_ENTITIES: list[tuple[str, str]] = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&#34;", '"'), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"),
-    ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&hellip;", "…"), ("&amp;", "&"),
-]
+# Character references are decoded in one pass after tag removal, so "&amp;lt;" becomes "&lt;". Names are those of the
+# HTML 4 standard; numbers 128-159 stand for Windows-1252 characters and impossible numbers for U+FFFD, as browsers have it.
+NAMED_REFERENCES: dict[str, str] = {"apos": "'"} | {name: chr(code) for name, code in sorted(name2codepoint.items())}
+LATIN_REFERENCES: dict[int, str] = {c: bytes([c]).decode("cp1252") for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+REFERENCE_PARTS = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
 
 
 def py_strip(c: Column) -> Column:
@@ -44,13 +42,38 @@ def py_strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
 
 
+def _literal_map(pairs: dict) -> Column:
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in pairs]), F.array(*[F.lit(v) for v in pairs.values()]))
+
+
+def decode_references(c: Column) -> Column:
+    """Named and numeric character references -> characters; unknown names stay."""
+    named, latin = _literal_map(NAMED_REFERENCES), _literal_map(LATIN_REFERENCES)
+
+    def character(code: Column) -> Column:
+        wrong = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(wrong, F.lit("\ufffd")).otherwise(F.coalesce(F.try_element_at(latin, code.cast("int")), plain))
+
+    def decoded(part: Column) -> Column:
+        number = F.substring(part, F.lit(3), F.length(part) - 3)
+        hexadecimal = F.conv(F.substring(part, F.lit(4), F.length(part) - 4), 16, 10).cast("long")
+        name = F.substring(part, F.lit(2), F.length(part) - 2)
+        return F.when(~part.startswith("&") | (part == "&"), part) \
+            .when(part.startswith("&#x") | part.startswith("&#X"), character(hexadecimal)) \
+            .when(part.startswith("&#"), character(number.cast("long"))) \
+            .otherwise(F.coalesce(F.try_element_at(named, name), part))
+
+    parts = F.regexp_extract_all(c, F.lit(REFERENCE_PARTS), 0)
+    return F.when(c.contains("&"), F.array_join(F.transform(parts, decoded), "")).otherwise(c)
+
+
 def strip_html(c: Column) -> Column:
     """Visible text of an HTML document; text without ``<``/``>`` is returned as is."""
     x = c
     for pattern, repl in _MARKUP_STEPS:
         x = F.regexp_replace(x, pattern, repl)
-    for entity, repl in _ENTITIES:
-        x = F.replace(x, F.lit(entity), F.lit(repl))
+    x = decode_references(x)
     has_markup = c.contains("<") | c.contains(">")
     return F.when(has_markup, x).otherwise(c)
 
@@ -94,11 +117,6 @@ def tokenize(c: Column, min_token_length: int = 2) -> Column:
     return F.filter(toks, lambda t: F.length(t) >= min_token_length)
 
 
-def words(c: Column) -> Column:
-    """Lower-cased letter runs (the detector's words)."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), 0)
-
-
 def language_counts(text: Column, profiles: Iterable[tuple[str, list[str]]] = LANGUAGE_PROFILES) -> list[tuple[str, Column]]:
     """Per language: number of words (maximal letter runs, lower-cased) found in its profile.
 

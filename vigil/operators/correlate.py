@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.keywords import mitre_tactics
 from vigil.operators.graph import connected_components, dense_rank_by
 from vigil.operators.score import clip01
+from vigil.operators.skew import join_per_key
 from vigil.params import CorrelationParams
-from vigil.session import materialize
 
 HUB_IOC, HUB_CLUSTER, HUB_WINDOW = "#ioc:", "#clu:", "#win:"
 
@@ -42,7 +40,7 @@ def shared_iocs(iocs: DataFrame) -> DataFrame:
     """
     idx = ioc_index(iocs)
     multi = value_event_counts(idx).filter("n_events >= 2").select("value")
-    return idx.join(multi, "value").groupBy("event_id").agg(
+    return join_per_key(idx, multi, "value", "event_id", "inner").groupBy("event_id").agg(
         F.sort_array(F.collect_list("value")).alias("shared_iocs"),
         F.count(F.lit(1)).alias("n_shared"))
 
@@ -51,7 +49,7 @@ def event_windows(norm: DataFrame, window_hours: int = 24) -> DataFrame:
     """(event_id, fetched_at, temporal_cluster, window_size)."""
     ev = norm.select("event_id", "fetched_at", temporal_key(F.col("fetched_at"), window_hours).alias("temporal_cluster"))
     sizes = ev.groupBy("temporal_cluster").agg(F.count(F.lit(1)).alias("window_size"))
-    return ev.join(sizes, "temporal_cluster")
+    return join_per_key(ev, sizes, "temporal_cluster", "event_id")
 
 
 def temporal_groups(norm: DataFrame, window_hours: int = 24) -> DataFrame:
@@ -71,13 +69,13 @@ def hub_edges(norm: DataFrame, iocs: DataFrame, analysis: DataFrame, p: Correlat
         raise NotImplementedError("min_shared_iocs > 1 needs event pairs; only the star form (1) is provided")
     idx = ioc_index(iocs)
     multi = value_event_counts(idx).filter("n_events >= 2").select("value")
-    edges = idx.join(multi, "value").select(
+    edges = join_per_key(idx, multi, "value", "event_id", "inner").select(
         F.col("event_id").alias("src"), F.concat(F.lit(HUB_IOC), F.col("value")).alias("dst"),
         F.lit("shared_ioc").alias("reason"))
     if p.use_analysis_clusters:
         a = analysis.filter(F.col("cluster_id").isNotNull()).select("event_id", "cluster_id")
         big = a.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("cluster_id")
-        edges = edges.unionByName(a.join(big, "cluster_id").select(
+        edges = edges.unionByName(join_per_key(a, big, "cluster_id", "event_id", "inner").select(
             F.col("event_id").alias("src"),
             F.concat(F.lit(HUB_CLUSTER), F.col("cluster_id").cast("string")).alias("dst"),
             F.lit("analysis_cluster").alias("reason")))
@@ -116,7 +114,8 @@ def campaign_membership(norm: DataFrame, iocs: DataFrame, analysis: DataFrame,
         F.count(F.lit(1)).alias("component_size"))
     first = first.withColumn("order_key", F.concat(F.when(F.col("first.unk"), "1").otherwise("0"), F.col("first.eid")))
     ranked = dense_rank_by(first.select("component", "component_size", "order_key"), "order_key", "component_number")
-    out = ec.join(ranked.select("component", "component_size", "component_number"), "component")
+    # one component may hold nearly all events
+    out = join_per_key(ec, ranked.select("component", "component_size", "component_number"), "component", "event_id", "inner")
     return out.select(
         "event_id", "known", "component_number", "component_size",
         F.when(F.col("component_size") >= p.min_campaign_size,
@@ -132,8 +131,7 @@ def correlate(norm: DataFrame, iocs: DataFrame, analysis: DataFrame,
     max_shared = sh.agg(F.max("n_shared")).first()[0] or 1
     win = event_windows(norm, p.temporal_window_hours)
     csize = cluster_groups(analysis).filter(F.col("cluster_id").isNotNull())
-    ana = analysis.select("event_id", "cluster_id", "incident_confidence", "sector_confidence") \
-        .join(csize, "cluster_id", "left")
+    ana = join_per_key(analysis.select("event_id", "cluster_id", "incident_confidence", "sector_confidence"), csize, "cluster_id", "event_id")
     ev = norm.select("event_id", mitre_tactics(F.col("clean_text")).alias("mitre_tactics"))
     df = (ev.join(win.select("event_id", "temporal_cluster", "window_size"), "event_id", "left")
           .join(sh, "event_id", "left")
@@ -196,16 +194,3 @@ def campaign_tactics(correlation: DataFrame, membership: DataFrame) -> DataFrame
     return mem.join(correlation.select("event_id", F.explode("mitre_tactics").alias("t")), "event_id") \
         .groupBy("campaign_id").agg(F.sort_array(F.collect_set("t")).alias("mitre_tactics"))
 
-
-@dataclass
-class CorrelationOutput:
-    correlation: DataFrame
-    campaigns: DataFrame
-    membership: DataFrame
-
-
-def run(norm: DataFrame, iocs: DataFrame, analysis: DataFrame,
-        p: CorrelationParams = CorrelationParams()) -> CorrelationOutput:
-    mem = materialize(campaign_membership(norm, iocs, analysis, p), "membership")
-    cor = correlate(norm, iocs, analysis, p, mem)
-    return CorrelationOutput(cor, campaigns(norm, cor, mem), mem)

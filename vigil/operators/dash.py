@@ -5,21 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil import params as P
 from vigil.operators.graph import global_rank
 
 SEVERITY_RANK = {"high": 4, "medium": 3, "low": 2, "informational": 1}
 TOP_INCIDENTS, TOP_SECTORS, TOP_TACTICS = 2, 2, 3
 
-# Briefing wording.
-BRIEF_STATIC = {
-    "signal": ("Severity signal", "Severity labels are derived from confidence, correlation strength, and the volume "
-               "of Indicators of Compromise tied to each event."),
-    "action": ("Analyst action", "Validate high-priority items against internal logs, then use the report to guide "
-               "monitoring, threat hunting, and detection tuning."),
-    "posture": ("Defensive posture", "This report is defensive only. Treat public-source indicators as leads until "
-                "corroborated by internal evidence."),
-}
-
 
 def _key(col: Column, default: str) -> Column:
     return F.coalesce(F.when(col != "", col), F.lit(default))
@@ -106,31 +97,27 @@ def brief(items: DataFrame, campaigns: DataFrame, iocs: DataFrame) -> DataFrame:
         *[F.count(F.when((F.col("dimension") == "sev") & (F.col("key") == k), 1)).alias(k) for k in SEVERITY_RANK],
     )
     ind = F.when(F.col("n_ind") > 0, F.col("n_ind")).otherwise(F.col("n_shown"))
-    n_items = F.when(F.col("n_items") > 0, F.col("n_items").cast("string")).otherwise(F.lit("the available"))
+    n_items = F.when(F.col("n_items") > 0, F.col("n_items").cast("string")).otherwise(F.lit(P.BRIEF_SCOPE[2]))
+    plural = F.when(F.col("n_camp") == 1, F.lit("")).otherwise(F.lit("s"))
+
+    def listed(wording: tuple, keys: Column) -> Column:
+        return F.concat(F.lit(wording[1]), _fmt_list(keys, wording[2]), F.lit("."))
+
     bullets = [
-        ("Scope", F.concat(F.lit("This summary reflects "), n_items,
-                           F.lit(" events from the latest Cyber Threat Intelligence run so analysts can prioritize review."))),
-        ("Incident focus", F.concat(F.lit("Most common incident types: "),
-                                    _fmt_list(F.col("inc"), "a broad mix of incident types"), F.lit("."))),
-        ("Sector exposure", F.concat(F.lit("Most touched sectors: "), _fmt_list(F.col("sec"), "multiple sectors"), F.lit("."))),
-        (BRIEF_STATIC["signal"][0], F.lit(BRIEF_STATIC["signal"][1])),
-        ("Severity distribution", F.format_string("%d high, %d medium, %d low, and %d informational items were observed in this run.",
-                                                  F.col("high"), F.col("medium"), F.col("low"), F.col("informational"))),
-        ("Indicators of Compromise", F.when(ind > 0, F.format_string(
-            "Approximately %d Indicators of Compromise were captured, including network addresses, domains, URLs, and file hashes.", ind))
-         .otherwise(F.lit("No Indicators of Compromise were captured, which can occur when sources provide narrative-only detail."))),
-        ("Campaign grouping", F.when(F.col("n_camp") > 0, F.format_string(
-            "Campaign grouping shows %d cluster%s of shared infrastructure and timing.", F.col("n_camp"),
-            F.when(F.col("n_camp") == 1, F.lit("")).otherwise(F.lit("s"))))
-         .otherwise(F.lit("Campaign grouping did not form clusters, suggesting isolated or early-stage activity."))),
-        ("MITRE ATT&CK mapping", F.when(F.size("tac") > 0, F.concat(F.lit("Most frequent tactics: "),
-                                                                   _fmt_list(F.col("tac"), "several common tactics"), F.lit(".")))
-         .otherwise(F.lit("MITRE ATT&CK mapping coverage is limited; treat tactic gaps as verification tasks."))),
-        (BRIEF_STATIC["action"][0], F.lit(BRIEF_STATIC["action"][1])),
-        (BRIEF_STATIC["posture"][0], F.lit(BRIEF_STATIC["posture"][1])),
+        (P.BRIEF_SCOPE, F.concat(F.lit(P.BRIEF_SCOPE[1]), n_items, F.lit(P.BRIEF_SCOPE[3]))),
+        (P.BRIEF_INCIDENTS, listed(P.BRIEF_INCIDENTS, F.col("inc"))),
+        (P.BRIEF_SECTORS, listed(P.BRIEF_SECTORS, F.col("sec"))),
+        (P.BRIEF_SIGNAL, F.lit(P.BRIEF_SIGNAL[1])),
+        (P.BRIEF_SEVERITY, F.format_string(P.BRIEF_SEVERITY[1], *[F.col(k) for k in SEVERITY_RANK])),
+        (P.BRIEF_INDICATORS, F.when(ind > 0, F.format_string(P.BRIEF_INDICATORS[1], ind)).otherwise(F.lit(P.BRIEF_INDICATORS[2]))),
+        (P.BRIEF_CAMPAIGNS, F.when(F.col("n_camp") > 0, F.format_string(P.BRIEF_CAMPAIGNS[1], F.col("n_camp"), plural))
+         .otherwise(F.lit(P.BRIEF_CAMPAIGNS[2]))),
+        (P.BRIEF_TACTICS, F.when(F.size("tac") > 0, listed(P.BRIEF_TACTICS, F.col("tac"))).otherwise(F.lit(P.BRIEF_TACTICS[3]))),
+        (P.BRIEF_ACTION, F.lit(P.BRIEF_ACTION[1])),
+        (P.BRIEF_POSTURE, F.lit(P.BRIEF_POSTURE[1])),
     ]
-    arr = F.array(*[F.struct(F.lit(i + 1).alias("no"), F.lit(t).alias("title"), d.alias("detail"))
-                    for i, (t, d) in enumerate(bullets)])
+    arr = F.array(*[F.struct(F.lit(i + 1).alias("no"), F.lit(w[0]).alias("title"), d.alias("detail"))
+                    for i, (w, d) in enumerate(bullets)])
     return row.select(F.inline(arr))
 
 

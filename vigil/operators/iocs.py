@@ -22,7 +22,7 @@ def extract(norm: DataFrame, params: IocParams = IocParams(), text_col: str = "c
     return hits.select(
         F.col("_h.ioc_type").alias("ioc_type"),
         F.col("_h.value").alias("value"),
-        I.normalize_ioc(F.col("_h.ioc_type"), F.col("_h.value")).alias("normalized_value"),
+        I.normalize_ioc(F.col("_h.ioc_type"), F.col("_h.value"), params.suffixes).alias("normalized_value"),
         F.lit(float(params.confidence)).alias("confidence"),
         "source_event_id",
         I.context_expr("_text", "_h.value", params.context_window).alias("context"),
@@ -54,11 +54,6 @@ def dedup_audit(iocs: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_keys(iocs: DataFrame) -> DataFrame:
-    """Keys held by more than one row (empty = the key is unique)."""
-    return iocs.groupBy(*IOC_KEY).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
-
-
 def dedup_rebuild(iocs_with_id: DataFrame, id_col: str = "id") -> DataFrame:
     """Keep the row with the smallest surrogate id per key (``min_by`` aggregate, no window sort)."""
     cols = [c for c in iocs_with_id.columns if c not in IOC_KEY]

@@ -30,8 +30,8 @@ def normalize(raw: DataFrame, params: PreprocessParams = PreprocessParams()) ->
     df = with_clean_text(raw, params)
     df = df.filter(F.length("clean_text") >= params.min_text_length)
     # counts first (one regex scan per profile), then the pick, in separate projections
-    df = df.withColumn("_cnt", T.language_count_struct(F.col("clean_text")))
-    df = df.withColumn("_lang", T.language_from_counts(F.col("_cnt")))
+    df = df.withColumn("_cnt", T.language_count_struct(F.col("clean_text"), params.language_profiles))
+    df = df.withColumn("_lang", T.language_from_counts(F.col("_cnt"), params.language_profiles))
     if params.allowed_languages:
         df = df.filter(F.col("_lang.language").isin(*params.allowed_languages))
     cols = [c for c in ("event_id", "source", "source_url", "fetched_at") if c in df.columns]

@@ -62,19 +62,14 @@ def events(scores: DataFrame, analysis: DataFrame, norm: DataFrame, correlation:
         a = a.filter(F.col("sector") == sector)
     n = norm.select("event_id", "fetched_at", "source", "source_url")
     c = correlation.select("event_id", "mitre_tactics", "campaign_id")
-    df = s.join(a, "event_id").join(n, "event_id").join(c, "event_id", "left")
+    # order and cut on keys first; the wide columns are looked up for one page
+    page = s.join(a, "event_id").join(n.select("event_id"), "event_id", "left_semi") \
+        .orderBy(F.desc("severity"), F.asc("event_id")).offset(offset).limit(limit)
+    df = F.broadcast(page).join(n, "event_id").join(c, "event_id", "left")
     df = df.select("event_id", "incident_type", "sector", "severity", "severity_label", "confidence", "fetched_at",
                    "source", "source_url", F.coalesce("mitre_tactics", F.array().cast("array<string>")).alias("mitre_tactics"),
                    "campaign_id")
-    return df.orderBy(F.desc("severity"), F.asc("event_id")).offset(offset).limit(limit)
-
-
-def page_offset(page: int, size: int) -> int:
-    return (page - 1) * size
-
-
-def page_count(total: int, size: int) -> int:
-    return max(1, -(-total // size))
+    return df.orderBy(F.desc("severity"), F.asc("event_id"))
 
 
 def event_detail(event_id: str, scores: DataFrame, analysis: DataFrame, norm: DataFrame,
@@ -100,6 +95,15 @@ def campaign_list(campaigns: DataFrame) -> DataFrame:
     return campaigns.orderBy(F.desc("confidence"), F.asc("campaign_id"))
 
 
+def campaign_members(membership: DataFrame, campaign_id: str | None = None, after: str = "", limit: int | None = None) -> DataFrame:
+    """(campaign_id, event_id): all members, or one campaign's after an event id, a page at a time."""
+    m = membership.filter(F.col("campaign_id").isNotNull()).select("campaign_id", "event_id")
+    if campaign_id is None:
+        return m
+    page = m.filter((F.col("campaign_id") == campaign_id) & (F.col("event_id") > after)).orderBy("event_id")
+    return page.limit(limit) if limit else page
+
+
 def ioc_page(stored_iocs: DataFrame, id_col: str = "id", limit: int = 100, offset: int = 0) -> DataFrame:
     """Newest surrogate id first, paged."""
     if not 1 <= limit <= IOCS_MAX_LIMIT or offset < 0:

@@ -146,12 +146,14 @@ class PreprocessParams:
     min_token_length: int = 2
     noise_patterns: tuple[str, ...] = tuple(NOISE_PATTERNS)
     allowed_languages: tuple[str, ...] = ()
+    language_profiles: tuple[tuple[str, tuple[str, ...]], ...] = tuple((lang, tuple(words)) for lang, words in LANGUAGE_PROFILES)
 
 
 @dataclass(frozen=True)
 class IocParams:
     confidence: float = 0.75
     context_window: int = 40
+    suffixes: tuple[str, ...] = tuple(PUBLIC_SUFFIXES)
 
 
 @dataclass(frozen=True)
@@ -202,3 +204,23 @@ def incident_classifier() -> ClassifierParams:
 
 def sector_classifier() -> ClassifierParams:
     return ClassifierParams(label_keywords=dict(SECTOR_KEYWORDS), min_confidence=0.6)
+
+
+# Briefing wording.
+BRIEF_SCOPE = ("Scope", "This summary reflects ", "the available",
+               " events from the latest Cyber Threat Intelligence run so analysts can prioritize review.")
+BRIEF_INCIDENTS = ("Incident focus", "Most common incident types: ", "a broad mix of incident types")
+BRIEF_SECTORS = ("Sector exposure", "Most touched sectors: ", "multiple sectors")
+BRIEF_SIGNAL = ("Severity signal", "Severity labels are derived from confidence, correlation strength, and the volume "
+                "of Indicators of Compromise tied to each event.")
+BRIEF_SEVERITY = ("Severity distribution", "%d high, %d medium, %d low, and %d informational items were observed in this run.")
+BRIEF_INDICATORS = ("Indicators of Compromise", "Approximately %d Indicators of Compromise were captured, including network addresses, domains, URLs, and file hashes.",
+                    "No Indicators of Compromise were captured, which can occur when sources provide narrative-only detail.")
+BRIEF_CAMPAIGNS = ("Campaign grouping", "Campaign grouping shows %d cluster%s of shared infrastructure and timing.",
+                   "Campaign grouping did not form clusters, suggesting isolated or early-stage activity.")
+BRIEF_TACTICS = ("MITRE ATT&CK mapping", "Most frequent tactics: ", "several common tactics",
+                 "MITRE ATT&CK mapping coverage is limited; treat tactic gaps as verification tasks.")
+BRIEF_ACTION = ("Analyst action", "Validate high-priority items against internal logs, then use the report to guide "
+                "monitoring, threat hunting, and detection tuning.")
+BRIEF_POSTURE = ("Defensive posture", "This report is defensive only. Treat public-source indicators as leads until "
+                 "corroborated by internal evidence.")

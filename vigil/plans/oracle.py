@@ -35,15 +35,26 @@ def sql_strip(x: str) -> str:
     return f"regexp_replace({x}, {q('^' + WS + '+|' + WS + '+$')}, '', 'g')"
 
 
+def sql_decode(x: str) -> str:
+    """Character references, from the standard library's tables."""
+    from html.entities import name2codepoint
+
+    names = {"apos": "'"} | {n: chr(c) for n, c in name2codepoint.items()}
+    named = f"MAP {{{', '.join(f'{q(n)}: {q(c)}' for n, c in names.items())}}}"
+    latin = " ".join(f"WHEN {c} THEN {q(bytes([c]).decode('cp1252'))}" for c in range(128, 160) if c not in (129, 141, 143, 144, 157))
+    code = "CASE WHEN p[3:3] IN ('x', 'X') THEN ('0x' || p[4:-2])::BIGINT ELSE (p[3:-2])::BIGINT END"
+    char = f"CASE WHEN ({code}) = 0 OR ({code}) > 1114111 OR ({code}) BETWEEN 55296 AND 57343 THEN chr(65533) ELSE CASE ({code}) {latin} ELSE chr(({code})::INTEGER) END END"
+    parts = f"regexp_extract_all({x}, {q('&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);|[^&]+|&')})"
+    return (f"(CASE WHEN contains({x}, '&') THEN array_to_string(list_transform({parts}, lambda p: CASE WHEN NOT starts_with(p, '&') OR p = '&' THEN p "
+            f"WHEN p[2:2] = '#' THEN {char} ELSE coalesce({named}[p[2:-2]], p) END), '') ELSE {x} END)")
+
+
 def sql_strip_html(t: str) -> str:
     x = t
     for pat in [r"(?s)<!--.*?-->", r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>",
                 r"(?s)<![^>]*>", r"(?s)<\?[^>]*>", r"(?s)</?[A-Za-z][^>]*>"]:
         x = f"regexp_replace({x}, {q(pat)}, ' ', 'g')"
-    for ent, rep in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-                     ("&#34;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
-                     ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&")]:
-        x = f"replace({x}, {q(ent)}, {q(rep)})"
+    x = sql_decode(x)
     return f"(CASE WHEN contains({t}, '<') OR contains({t}, '>') THEN {x} ELSE {t} END)"
 
 

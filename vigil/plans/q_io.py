@@ -62,8 +62,8 @@ def src_rss(spark, sf):
 
 # --- HTML -----------------------------------------------------------------------------
 
-def _sql_nodes(html: str, selector: str) -> str:
-    pat = FD.selector_pattern(selector)
+def _sql_nodes(html: str, tag: str) -> str:
+    pat = rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"  # the driver's pages nest neither title nor article
     return (f"array_to_string(list_transform(regexp_extract_all({html}, {O.q(pat)}, 1), "
             f"lambda n: {O.sql_strip_html(chr(39) + '<x>' + chr(39) + ' || n || ' + chr(39) + '</x>' + chr(39))}), ' ')")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigil import params as P
+from vigil.operators import correlate as C
 from vigil.operators import dash as D
 from vigil.operators import iocs as IO
 from vigil.operators import report as R
@@ -71,11 +73,18 @@ def rep_sort(spark, sf):
     return R.ranked(items(spark, sf)).select("event_id", "rank")
 
 
-@register("rep_bundle")
+@register("rep_bundle", O.chain("camp") + "," + O.cte_sco() + f""",
+b AS (SELECT 'item' AS kind, a.event_id AS key, a.incident_type AS name, s.severity_label AS label, s.severity AS value FROM ana a JOIN sco s USING (event_id)
+      UNION ALL SELECT 'campaign', campaign_id, name, NULL, confidence FROM camp)
+SELECT kind, key, name, label, {s_dbl('value')} AS value, '2024-02-01 00:00:00' AS generated_at FROM b""")
 def rep_bundle(spark, sf):
+    """The JSON report, read back field by field."""
     c = Chain.of(spark, sf)
-    it = R.items(c.ana, c.sco, c.cor, c.ioc)
-    return R.bundle_json(it, c.camp, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    bundle = R.bundle_json(R.items(c.ana, c.sco, c.cor, c.ioc), c.camp, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    field = lambda *names: F.coalesce(*[F.get_json_object("json", f"$.{n}") for n in names])
+    return bundle.select("kind", "key", field("incident_type", "name").alias("name"), field("severity_label").alias("label"),
+                         dbl(F.when(F.col("kind") == "item", field("severity")).otherwise(field("confidence"))).alias("value"),
+                         ts("generated_at").alias("generated_at"))
 
 
 @register("rep_text_lines", ITEMS + """,
@@ -195,6 +204,27 @@ def qry_campaigns(spark, sf):
                     dbl("confidence").alias("confidence"))
 
 
+@register("qry_campaign_events", O.chain("camp") + """
+SELECT campaign_id, event_id FROM membership WHERE campaign_id IS NOT NULL""")
+def qry_campaign_events(spark, sf):
+    return Q.campaign_members(Chain.of(spark, sf).membership)
+
+
+@register("qry_campaign_iocs", O.chain("camp") + "SELECT campaign_id, ioc FROM camp_iocs")
+def qry_campaign_iocs(spark, sf):
+    c = Chain.of(spark, sf)
+    return C.campaign_iocs(c.cor, c.membership)
+
+
+@register("qry_campaign_page", O.chain("camp") + """
+SELECT campaign_id, event_id FROM membership WHERE campaign_id = (SELECT min(campaign_id) FROM camp) ORDER BY event_id LIMIT 50""")
+def qry_campaign_page(spark, sf):
+    """The first page of one campaign's members."""
+    c = Chain.of(spark, sf)
+    first = c.camp.agg(F.min("campaign_id")).first()[0]
+    return Q.campaign_members(c.membership, first, limit=50)
+
+
 @register("qry_iocs", O.chain("ioc") + "," + STORED_IOCS + """,
 ided AS (SELECT *, source_event_id || '|' || ioc_type || '|' || normalized_value AS id FROM stored_iocs)
 SELECT id, ioc_type, value, normalized_value, source_event_id FROM ided ORDER BY id DESC LIMIT 100""")
@@ -254,6 +284,27 @@ def dsh_severity_distribution(spark, sf):
     return D.severity_distribution(R.items(c.ana, c.sco, c.cor, c.ioc), c.camp)
 
 
+def _brief_sql() -> str:
+    q = O.q
+
+    def listed(w: tuple, col: str) -> str:
+        return f"{q(w[1])} || CASE WHEN len({col}) > 0 THEN array_to_string({col}, ', ') ELSE {q(w[2])} END || '.'"
+
+    rows = [
+        (P.BRIEF_SCOPE, f"{q(P.BRIEF_SCOPE[1])} || CASE WHEN n_items > 0 THEN CAST(n_items AS VARCHAR) ELSE {q(P.BRIEF_SCOPE[2])} END || {q(P.BRIEF_SCOPE[3])}"),
+        (P.BRIEF_INCIDENTS, listed(P.BRIEF_INCIDENTS, "inc")),
+        (P.BRIEF_SECTORS, listed(P.BRIEF_SECTORS, "sec")),
+        (P.BRIEF_SIGNAL, q(P.BRIEF_SIGNAL[1])),
+        (P.BRIEF_SEVERITY, f"printf({q(P.BRIEF_SEVERITY[1])}, high, medium, low, informational)"),
+        (P.BRIEF_INDICATORS, f"CASE WHEN ind > 0 THEN printf({q(P.BRIEF_INDICATORS[1])}, ind) ELSE {q(P.BRIEF_INDICATORS[2])} END"),
+        (P.BRIEF_CAMPAIGNS, f"CASE WHEN n_camp > 0 THEN printf({q(P.BRIEF_CAMPAIGNS[1])}, n_camp, CASE WHEN n_camp = 1 THEN '' ELSE 's' END) ELSE {q(P.BRIEF_CAMPAIGNS[2])} END"),
+        (P.BRIEF_TACTICS, f"CASE WHEN len(tac) > 0 THEN {listed(P.BRIEF_TACTICS, 'tac')} ELSE {q(P.BRIEF_TACTICS[3])} END"),
+        (P.BRIEF_ACTION, q(P.BRIEF_ACTION[1])),
+        (P.BRIEF_POSTURE, q(P.BRIEF_POSTURE[1])),
+    ]
+    return " UNION ALL ".join(f"SELECT {i + 1} AS no, {q(w[0])} AS title, {d} AS detail FROM b" for i, (w, d) in enumerate(rows))
+
+
 @register("dsh_brief", ITEMS + _TOP_SQL.replace("top AS", "topk AS").rstrip() + """,
 agg AS (
   SELECT (SELECT coalesce(list(key ORDER BY rank), CAST([] AS VARCHAR[])) FROM topk WHERE dimension = 'incident') AS inc,
@@ -267,20 +318,7 @@ agg AS (
          (SELECT count(*) FROM items WHERE severity_label = 'low') AS low,
          (SELECT count(*) FROM items WHERE severity_label = 'informational') AS informational),
 b AS (SELECT *, CASE WHEN n_ind > 0 THEN n_ind ELSE n_shown END AS ind FROM agg)
-SELECT 1 AS no, 'Scope' AS title, 'This summary reflects ' || CASE WHEN n_items > 0 THEN CAST(n_items AS VARCHAR) ELSE 'the available' END
-       || ' events from the latest Cyber Threat Intelligence run so analysts can prioritize review.' AS detail FROM b
-UNION ALL SELECT 2, 'Incident focus', 'Most common incident types: ' || CASE WHEN len(inc) > 0 THEN array_to_string(inc, ', ') ELSE 'a broad mix of incident types' END || '.' FROM b
-UNION ALL SELECT 3, 'Sector exposure', 'Most touched sectors: ' || CASE WHEN len(sec) > 0 THEN array_to_string(sec, ', ') ELSE 'multiple sectors' END || '.' FROM b
-UNION ALL SELECT 4, 'Severity signal', 'Severity labels are derived from confidence, correlation strength, and the volume of Indicators of Compromise tied to each event.' FROM b
-UNION ALL SELECT 5, 'Severity distribution', printf('%d high, %d medium, %d low, and %d informational items were observed in this run.', high, medium, low, informational) FROM b
-UNION ALL SELECT 6, 'Indicators of Compromise', CASE WHEN ind > 0 THEN printf('Approximately %d Indicators of Compromise were captured, including network addresses, domains, URLs, and file hashes.', ind)
-       ELSE 'No Indicators of Compromise were captured, which can occur when sources provide narrative-only detail.' END FROM b
-UNION ALL SELECT 7, 'Campaign grouping', CASE WHEN n_camp > 0 THEN printf('Campaign grouping shows %d cluster%s of shared infrastructure and timing.', n_camp, CASE WHEN n_camp = 1 THEN '' ELSE 's' END)
-       ELSE 'Campaign grouping did not form clusters, suggesting isolated or early-stage activity.' END FROM b
-UNION ALL SELECT 8, 'MITRE ATT&CK mapping', CASE WHEN len(tac) > 0 THEN 'Most frequent tactics: ' || array_to_string(tac, ', ') || '.'
-       ELSE 'MITRE ATT&CK mapping coverage is limited; treat tactic gaps as verification tasks.' END FROM b
-UNION ALL SELECT 9, 'Analyst action', 'Validate high-priority items against internal logs, then use the report to guide monitoring, threat hunting, and detection tuning.' FROM b
-UNION ALL SELECT 10, 'Defensive posture', 'This report is defensive only. Treat public-source indicators as leads until corroborated by internal evidence.' FROM b""")
+""" + _brief_sql())
 def dsh_brief(spark, sf):
     c = Chain.of(spark, sf)
     return D.brief(R.items(c.ana, c.sco, c.cor, c.ioc), c.camp, c.ioc)

@@ -104,11 +104,16 @@ def trn_fit(spark, sf):
 
 @register("trn_train_job")
 def trn_train_job(spark, sf):
-    _, pred = _fit_eval(spark, sf)
-    return TR.metrics(pred, "label", "prediction_label")
+    """Two classifiers (quality and toxic stand for incident and sector), each fitted, saved and scored."""
+    d = read_table(spark, sf, "documents", "doc_id").select("doc_id", "text")
+    jobs = TR.train_job(d.join(labels_df(spark, sf), "doc_id"), "doc_id", {"incident": "quality", "sector": "toxic"}, scratch(spark, "models"))
+    one, two = (m.withColumn("classifier", F.lit(name)) for name, (_, m) in jobs.items())
+    return one.unionByName(two)
 
 
-@register("trn_model_io")
+@register("trn_model_io", """
+WITH n AS (SELECT CAST(sum(ceil(0.2 * n)) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY quality))
+SELECT n AS n_rows, n AS n_equal FROM n""")
 def trn_model_io(spark, sf):
     from pyspark.ml import PipelineModel
 
@@ -128,13 +133,17 @@ FROM documents d JOIN labels l USING (doc_id) WHERE {O.sql_strip('d.text')} <> '
 def read_labeled(spark, sf):
     """Labelled rows written as CSV with a header, read back; blank text or label dropped."""
     path = scratch(spark, "labeled_csv")
-    labelled_docs(spark, sf).write.option("header", True).option("multiLine", True) \
-        .option("escape", '"').csv(path)
-    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    from vigil.functions.text import py_strip
-    out = back.select("doc_id", py_strip(F.coalesce("text", F.lit(""))).alias("text"),
-                      py_strip(F.coalesce("label", F.lit(""))).alias("label"))
-    return out.filter((F.col("text") != "") & (F.col("label") != ""))
+    labelled_docs(spark, sf).write.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return TR.read_labeled(spark, path).select("doc_id", "text", "label")
+
+
+@register("read_labeled_jsonl", f"""
+SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, {O.sql_strip('d.text')} AS text, CAST(l.quality AS VARCHAR) AS label
+FROM documents d JOIN labels l USING (doc_id) WHERE {O.sql_strip('d.text')} <> ''""")
+def read_labeled_jsonl(spark, sf):
+    path = scratch(spark, "labeled_jsonl")
+    labelled_docs(spark, sf).write.json(path)
+    return TR.read_labeled(spark, path, "jsonl").select("doc_id", "text", "label")
 
 
 # --- weak labels ----------------------------------------------------------------

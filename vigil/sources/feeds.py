@@ -13,11 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.functions.html import select_inner
 from vigil.functions.text import LINE_BREAK, py_strip, strip_html
 
 RAW_COLUMNS = ["source", "source_url", "raw_text", "raw_metadata", "pos"]
-RSS_SCHEMA = ("channel struct<item: array<struct<title: string, description: string, link: string, "
-              "pubDate: string, content: string>>>")
+# RSS 2.0 items and Atom entries; Atom text and links may carry attributes, which the XML reader gives as fields
+FEED_SCHEMA = ("channel struct<item: array<struct<title: string, description: string, link: string, pubDate: string, content: string, "
+               "`content:encoded`: string>>>, "
+               "entry array<struct<title: struct<_VALUE: string>, summary: struct<_VALUE: string>, content: struct<_VALUE: string>, "
+               "link: array<struct<_href: string, _rel: string>>, published: string, updated: string>>")
 TEXT_KEYS = ["text", "content", "body", "message", "title"]
 URL_KEYS = ["url", "link", "source_url"]
 
@@ -50,42 +54,30 @@ def rss_events(feeds: DataFrame, name: Column, feed_url: Column, max_items: int
 
     ``max_items``, where a source's own configuration names one, counts entries before empty ones are dropped.
     """
-    parsed = feeds.select(name.alias("source"), feed_url.alias("feed_url"),
-                          F.from_xml("value", RSS_SCHEMA, {"rowTag": "rss"}).alias("x"))
-    items = parsed.select("source", "feed_url", F.posexplode("x.channel.item").alias("pos", "it"))
+    parsed = feeds.select(name.alias("source"), feed_url.alias("feed_url"), F.from_xml("value", FEED_SCHEMA, {"rowTag": "rss"}).alias("x"))
+    rss = F.transform("x.channel.item", lambda i: F.struct(
+        i["title"].alias("title"), i["description"].alias("description"), F.coalesce(i["content:encoded"], i["content"]).alias("content"),
+        i["link"].alias("link"), i["pubDate"].alias("published")))
+    alternate = lambda links: F.filter(links, lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")
+    atom = F.transform("x.entry", lambda e: F.struct(
+        e["title"]["_VALUE"].alias("title"), e["summary"]["_VALUE"].alias("description"), e["content"]["_VALUE"].alias("content"),
+        F.try_element_at(alternate(e["link"]), F.lit(1))["_href"].alias("link"), F.coalesce(e["published"], e["updated"]).alias("published")))
+    items = parsed.select("source", "feed_url", F.posexplode(F.coalesce(rss, atom)).alias("pos", "it"))
     if max_items:
         items = items.filter(F.col("pos") < max_items)
     text = apply_prefix(join_parts(F.col("it.title"), F.col("it.description"), F.col("it.content")), prefix)
     out = items.select("source", F.coalesce(F.col("it.link"), F.col("feed_url")).alias("source_url"),
                        text.alias("raw_text"),
-                       F.to_json(F.struct(F.coalesce(F.col("it.pubDate"), F.lit("")).alias("published"))).alias("raw_metadata"),
+                       F.to_json(F.struct(F.coalesce(F.col("it.published"), F.lit("")).alias("published"))).alias("raw_metadata"),
                        "pos")
     return out.filter(F.col("raw_text") != "")
 
 
 # --- HTML ------------------------------------------------------------------------
 
-def selector_pattern(selector: str) -> str:
-    """Regex for the inner HTML of nodes matching a simple selector: ``tag``, ``tag.class``, ``tag#id``."""
-    import re
-
-    m = re.fullmatch(r"([A-Za-z][A-Za-z0-9]*)(?:([.#])([A-Za-z0-9_-]+))?", selector)
-    if not m:
-        raise ValueError(f"unsupported selector {selector!r}")
-    tag, kind, name = m.groups()
-    if kind == ".":
-        attr = rf"""[^>]*\bclass="[^"]*\b{name}\b[^"]*"[^>]*"""
-    elif kind == "#":
-        attr = rf"""[^>]*\bid="{name}"[^>]*"""
-    else:
-        attr = r"(?:\s[^>]*)?"
-    return rf"(?is)<{tag}{attr}>(.*?)</{tag}\s*>"
-
-
 def node_text(html: Column, selector: str) -> Column:
-    """Text of every matching node (markup stripped), joined by a space."""
-    nodes = F.regexp_extract_all(html, F.lit(selector_pattern(selector)), 1)
-    return F.array_join(F.transform(nodes, lambda n: strip_html(F.concat(F.lit("<x>"), n, F.lit("</x>")))), " ")
+    """Text of every matching element (markup stripped, nested elements whole), joined by a space."""
+    return F.array_join(F.transform(select_inner(html, selector), lambda n: strip_html(F.concat(F.lit("<x>"), n, F.lit("</x>")))), " ")
 
 
 def html_events(pages: DataFrame, name: Column, url: Column, html: Column, title_selector: str | None,

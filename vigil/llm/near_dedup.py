@@ -174,18 +174,21 @@ def _sig_matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, N_HASHES).astype(np.uint16)
 
 
-def _confirm(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes of one group, confirmed on the full sets: a spanning forest of each group's links."""
-    kept = "gid long, tree int, node long, s1 long, s2 long, sig binary, side int"
-
-    def candidates(batches):
-        """The rows that have at least one pair to be looked at."""
+def _candidates(groups: DataFrame) -> DataFrame:
+    """The rows of ``groups`` that have at least one pair to be looked at in their group."""
+    def run(batches):
         for t in _by_gid(batches):
             if t.num_rows > 1:
                 p = _pairs(_sig_matrix(t.column("sig")), t.column("tree")[0].as_py(), t.column("side").to_numpy())
                 if len(p):
                     yield from t.take(pa.array(np.unique(p))).combine_chunks().to_batches()
 
+    kept = "gid long, tree int, node long, s1 long, s2 long, sig binary, side int"
+    return materialize(groups.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, kept), "forest_groups")
+
+
+def _confirm(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one group, confirmed on the full sets: a spanning forest of each group's links."""
     def links(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for t in _by_gid(batches):
@@ -213,8 +216,6 @@ def _confirm(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             if a:
                 yield batch(schema, a=a, b=b)
 
-    rows = materialize(groups.repartition("gid").sortWithinPartitions("gid").mapInArrow(candidates, kept), "forest_groups")
-    sets = _sets(docs, rows.select("node", "s1", "s2").distinct())
     full = rows.join(sets, ["node", "s1", "s2"]).select("gid", "tree", "node", "sig", "side", "shingles")
     return full.repartition("gid").sortWithinPartitions("gid").mapInArrow(links, "a long, b long")
 
@@ -244,10 +245,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = sigs.filter(F.col("s1").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(named.groupBy("s1", "s2").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("node")), "forest_classes")
     members = materialize(_memberships(classes), "forest_members")
-    links = materialize(_confirm(_groups(members), docs, percent), "forest_links")
+    rows = _candidates(_groups(members))
+    # one pass over the texts serves both phases
+    needed = rows.select("node", "s1", "s2").union(members.filter(F.col("size") > BLOCK).select("node", "s1", "s2")).distinct()
+    sets = materialize(_sets(docs, needed), "forest_sets")
+    links = materialize(_confirm(rows, sets, percent), "forest_links")
     found = components(links)
     if not members.filter(F.col("size") > BLOCK).isEmpty():
-        more = materialize(_confirm(_rest(members, found), docs, percent), "forest_links")
+        more = materialize(_confirm(_candidates(_rest(members, found)), sets, percent), "forest_links")
         found = components(links.union(more))
     # rows of one doc_id are linked: their classes may differ in name only if another class is smaller
     shared = named.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).filter("x != y")

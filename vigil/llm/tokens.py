@@ -121,6 +121,8 @@ class Encoder:
         self.marks = [mark + c for c in CLOSING]
         self.letters_only = f"^[{_LATIN}]+$"
         self.closed = f"^[{_LATIN}]+[{CLOSING}]$"
+        self.plain_only = f"^{PLAIN}[{_LATIN}]+$"
+        self.blank = vocabulary.get("Ġ") if self.kind == "byte" else None
 
     # units -> ids ---------------------------------------------------------
 
@@ -150,12 +152,24 @@ class Encoder:
         sizes = np.diff(np.append(edge, len(ids))) if self.kind == "byte" else np.diff(np.concatenate(([-1], edge)))
         self.units.add(units, ids, sizes)
 
+    def _plain_call(self, units: list[str]) -> None:
+        """Byte-level units of Latin letters without a blank before them; a lone blank's letter parts them."""
+        joined = f" {chr(SPACED)} ".join(u[1:] for u in units)
+        joined = self.letters[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-16-le")
+        ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        parts = ids == self.blank
+        if int(parts.sum()) != len(units) - 1:
+            self._full(units)
+            return
+        sizes = np.diff(np.concatenate(([-1], np.flatnonzero(parts), [len(ids)]))) - 1
+        self.units.add(units, ids[~parts], sizes)
+
     def _lookup(self, distinct: pa.Array) -> np.ndarray:
         """Places of distinct units in the table; what is new is encoded in a few calls."""
         names = distinct.to_pylist()
         at = self.units.find(names)
         if len(miss := np.flatnonzero(at < 0)):
-            if len(self.units.at) + 2 * len(miss) > MAX_CACHED:
+            if full := len(self.units.at) + 2 * len(miss) > MAX_CACHED:
                 self.units.keep(names, at)
             new = distinct.take(pa.array(miss))
             plain = pc.match_substring_regex(new, self.letters_only).to_numpy(zero_copy_only=False)
@@ -163,14 +177,22 @@ class Encoder:
             letters, marked = new.filter(pa.array(plain)).to_pylist(), new.filter(pa.array(closed)).to_pylist()
             stems = {u[:-1] for u in marked}.difference(letters)
             letters += [u for u in stems if u not in self.units.at]
-            rest = set(new.filter(pa.array(~plain & ~closed)).to_pylist())
+            rest = new.filter(pa.array(~plain & ~closed))
+            if self.blank is not None:
+                first = pc.match_substring_regex(rest, self.plain_only).to_numpy(zero_copy_only=False)
+                starts, rest = rest.filter(pa.array(first)).to_pylist(), rest.filter(pa.array(~first))
+                for k in range(0, len(starts), CALL_UNITS):
+                    self._plain_call(starts[k:k + CALL_UNITS])
             self._letters(letters)
-            self._full([u for u in {*rest, *self.marks} if u not in self.units.at])
+            self._full([u for u in {*rest.to_pylist(), *self.marks} if u not in self.units.at])
             if marked:
                 mark = "" if self.kind == "word" else PLAIN
                 both = np.column_stack([self.units.find([u[:-1] for u in marked]), self.units.find([mark + u[-1] for u in marked])])
                 self.units.add(marked, self.units.ids(both.reshape(-1)), self.units.size[both].sum(1))
-            at = self.units.find(names)
+            if full:
+                at = self.units.find(names)
+            else:
+                at[miss] = self.units.find(new.to_pylist())
         return at
 
     # texts -> units -------------------------------------------------------

@@ -15,6 +15,8 @@ every row of the input gives one row; only doc_id and text are read, whatever ot
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,57 +28,54 @@ BASE_PHRASES = (("gnu general public license", "gpl"), ("apache license", "apach
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # on the text as it is: A-Z count as letters
 TIER_WEIGHT = {1: 0.95, 2: 0.9, 3: 0.7, 4: 0.5, 5: 0.3}
 
-# (label, name over normalized words, keyword, versions, SPDX id stem or None)
+# (label, names over normalized words, versions, SPDX id stem or None)
 FAMILIES = (
-    ("gpl", "(?:gnu )?general public licen[sc]e", "general", ("1", "2", "3"), "gpl"),
-    ("gpl", "gnu gpl|gplv[123]|gpl", "gpl", ("1", "2", "3"), None),
-    ("lgpl", "(?:gnu )?(?:lesser|library) general public licen[sc]e", "general", ("2", "2 1", "3"), "lgpl"),
-    ("lgpl", "gnu lgpl|lgpl", "lgpl", ("2", "2 1", "3"), None),
-    ("agpl", "(?:gnu )?affero general public licen[sc]e", "affero", ("1", "3"), "agpl"),
-    ("agpl", "gnu agpl|agpl", "agpl", ("1", "3"), None),
-    ("gfdl", "(?:gnu )?free documentation licen[sc]e|gfdl", "documentation", ("1 1", "1 2", "1 3"), "gfdl"),
-    ("apache", "apache software licen[sc]e|apache licen[sc]e", "apache", ("1", "1 1", "2"), "apache"),
-    ("mit", "mit x11 licen[sc]e|mit licen[sc]e|expat licen[sc]e|x11 licen[sc]e", "licen", (), "mit"),
-    ("bsd-2-clause", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[sc]e)?", "bsd", (), "bsd 2 clause"),
-    ("bsd-3-clause", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: licen[sc]e)?", "bsd", (), "bsd 3 clause"),
-    ("bsd-4-clause", "(?:original bsd|bsd 4 clause|4 clause bsd)(?: licen[sc]e)?", "bsd", (), "bsd 4 clause"),
-    ("bsd", "(?:berkeley|bsd(?: style)?) licen[sc]e", "licen", (), None),
-    ("0bsd", "(?:zero clause bsd|bsd zero clause|0bsd)(?: licen[sc]e)?", "bsd", (), "0bsd"),
-    ("isc", "isc licen[sc]e", "isc", (), "isc"),
-    ("zlib", "zlib(?: libpng)? licen[sc]e", "zlib", (), "zlib"),
-    ("libpng", "libpng licen[sc]e", "libpng", ("2",), "libpng"),
-    ("mpl", "mozilla public licen[sc]e", "mozilla", ("1", "1 1", "2"), "mpl"),
-    ("epl", "eclipse public licen[sc]e", "eclipse", ("1", "2"), "epl"),
-    ("cddl", "common development and distribution licen[sc]e|cddl", "distribution", ("1", "1 1"), "cddl"),
-    ("cpl", "common public licen[sc]e", "common", ("1",), "cpl"),
-    ("eupl", "european union public licen[sc]e|eupl", "european", ("1", "1 1", "1 2"), "eupl"),
-    ("osl", "open software licen[sc]e", "licen", ("1", "2", "2 1", "3"), "osl"),
-    ("afl", "academic free licen[sc]e", "academic", ("1 1", "2", "2 1", "3"), "afl"),
-    ("artistic", "(?:perl )?artistic licen[sc]e", "artistic", ("1", "2"), "artistic"),
-    ("boost", "boost software licen[sc]e", "boost", ("1",), "bsl"),
-    ("bsl", "business source licen[sc]e", "business", ("1", "1 1"), "busl"),
-    ("sspl", "server side public licen[sc]e|sspl", "server", ("1",), "sspl"),
-    ("python", "python software foundation licen[sc]e|psf licen[sc]e", "licen", ("2",), "psf"),
-    ("php", "php licen[sc]e", "php", ("3", "3 01"), "php"),
-    ("ruby", "ruby licen[sc]e", "ruby", (), "ruby"),
-    ("openssl", "openssl licen[sc]e", "openssl", (), "openssl"),
-    ("postgresql", "postgresql licen[sc]e", "postgresql", (), "postgresql"),
-    ("ofl", "(?:sil )?open font licen[sc]e", "font", ("1", "1 1"), "ofl"),
-    ("wtfpl", "do what the fuck you want to public licen[sc]e|wtfpl", "licen", ("2",), "wtfpl"),
-    ("unlicense", "the unlicense|unlicense", "unlicense", (), "unlicense"),
-    ("ms-pl", "microsoft public licen[sc]e", "microsoft", (), "ms pl"),
-    ("ms-rl", "microsoft reciprocal licen[sc]e", "microsoft", (), "ms rl"),
-    ("odbl", "open (?:data commons open )?database licen[sc]e|odbl", "database", ("1",), "odbl"),
-    ("odc-by", "open data commons attribution licen[sc]e", "commons", ("1",), "odc by"),
-    ("ogl", "open government licen[sc]e", "government", ("1", "2", "3"), "ogl uk"),
-    ("cc0", "cc0|cc zero|creative commons zero", "cc", ("1",), "cc0"),
-    ("cc-by-nc-nd", "cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative|ative works|atives|s)?", "cc", ("2", "2 5", "3", "4"), "cc by nc nd"),
-    ("cc-by-nc-sa", "cc by nc sa|creative commons attribution non ?commercial share ?alike", "cc", ("2", "2 5", "3", "4"), "cc by nc sa"),
-    ("cc-by-nc", "cc by nc|creative commons attribution non ?commercial", "cc", ("2", "2 5", "3", "4"), "cc by nc"),
-    ("cc-by-nd", "cc by nd|creative commons attribution no ?deriv(?:ative|ative works|atives|s)?", "cc", ("2", "2 5", "3", "4"), "cc by nd"),
-    ("cc-by-sa", "cc by sa|creative commons attribution share ?alike", "cc", ("2", "2 5", "3", "4"), "cc by sa"),
-    ("cc-by", "cc by|creative commons attribution", "cc", ("2", "2 5", "3", "4"), "cc by"),
-    ("creative-commons", "creative commons licen[sc]e|creative commons", "cc", (), None),
+    ("gpl", ("(?:gnu )?general public licen[sc]e", "(?:gnu )?gpl", "gplv1", "gplv2", "gplv3"), ("1", "2", "3"), "gpl"),
+    ("lgpl", ("(?:gnu )?lesser general public licen[sc]e", "(?:gnu )?library general public licen[sc]e", "(?:gnu )?lgpl"), ("2", "2 1", "3"), "lgpl"),
+    ("agpl", ("(?:gnu )?affero general public licen[sc]e", "(?:gnu )?agpl"), ("1", "3"), "agpl"),
+    ("gfdl", ("(?:gnu )?free documentation licen[sc]e", "gfdl"), ("1 1", "1 2", "1 3"), "gfdl"),
+    ("apache", ("apache(?: software)? licen[sc]e",), ("1", "1 1", "2"), "apache"),
+    ("mit", ("mit(?: x11)? licen[sc]e", "expat licen[sc]e", "x11 licen[sc]e"), (), "mit"),
+    ("bsd-2-clause", ("simplified bsd(?: licen[sc]e)?", "freebsd licen[sc]e", "bsd 2 clause(?: licen[sc]e)?", "2 clause bsd(?: licen[sc]e)?", "two clause bsd(?: licen[sc]e)?"), (), "bsd 2 clause"),
+    ("bsd-3-clause", ("new bsd(?: licen[sc]e)?", "modified bsd(?: licen[sc]e)?", "revised bsd(?: licen[sc]e)?", "bsd 3 clause(?: licen[sc]e)?", "3 clause bsd(?: licen[sc]e)?", "three clause bsd(?: licen[sc]e)?"), (), "bsd 3 clause"),
+    ("bsd-4-clause", ("original bsd(?: licen[sc]e)?", "bsd 4 clause(?: licen[sc]e)?", "4 clause bsd(?: licen[sc]e)?"), (), "bsd 4 clause"),
+    ("bsd", ("berkeley licen[sc]e", "bsd(?: style)? licen[sc]e"), (), None),
+    ("0bsd", ("zero clause bsd(?: licen[sc]e)?", "bsd zero clause(?: licen[sc]e)?", "0bsd(?: licen[sc]e)?"), (), "0bsd"),
+    ("isc", ("isc licen[sc]e",), (), "isc"),
+    ("zlib", ("zlib(?: libpng)? licen[sc]e",), (), "zlib"),
+    ("libpng", ("libpng licen[sc]e",), ("2",), "libpng"),
+    ("mpl", ("mozilla public licen[sc]e",), ("1", "1 1", "2"), "mpl"),
+    ("epl", ("eclipse public licen[sc]e",), ("1", "2"), "epl"),
+    ("cddl", ("common development and distribution licen[sc]e", "cddl"), ("1", "1 1"), "cddl"),
+    ("cpl", ("common public licen[sc]e",), ("1",), "cpl"),
+    ("eupl", ("european union public licen[sc]e", "eupl"), ("1", "1 1", "1 2"), "eupl"),
+    ("osl", ("open software licen[sc]e",), ("1", "2", "2 1", "3"), "osl"),
+    ("afl", ("academic free licen[sc]e",), ("1 1", "2", "2 1", "3"), "afl"),
+    ("artistic", ("(?:perl )?artistic licen[sc]e",), ("1", "2"), "artistic"),
+    ("boost", ("boost software licen[sc]e",), ("1",), "bsl"),
+    ("bsl", ("business source licen[sc]e",), ("1", "1 1"), "busl"),
+    ("sspl", ("server side public licen[sc]e", "sspl"), ("1",), "sspl"),
+    ("python", ("python software foundation licen[sc]e", "psf licen[sc]e"), ("2",), "psf"),
+    ("php", ("php licen[sc]e",), ("3", "3 01"), "php"),
+    ("ruby", ("ruby licen[sc]e",), (), "ruby"),
+    ("openssl", ("openssl licen[sc]e",), (), "openssl"),
+    ("postgresql", ("postgresql licen[sc]e",), (), "postgresql"),
+    ("ofl", ("(?:sil )?open font licen[sc]e",), ("1", "1 1"), "ofl"),
+    ("wtfpl", ("do what the fuck you want to public licen[sc]e", "wtfpl"), ("2",), "wtfpl"),
+    ("unlicense", ("(?:the )?unlicense",), (), "unlicense"),
+    ("ms-pl", ("microsoft public licen[sc]e",), (), "ms pl"),
+    ("ms-rl", ("microsoft reciprocal licen[sc]e",), (), "ms rl"),
+    ("odbl", ("open (?:data commons open )?database licen[sc]e", "odbl"), ("1",), "odbl"),
+    ("odc-by", ("open data commons attribution licen[sc]e",), ("1",), "odc by"),
+    ("ogl", ("open government licen[sc]e",), ("1", "2", "3"), "ogl uk"),
+    ("cc0", ("cc0", "cc zero", "creative commons zero"), ("1",), "cc0"),
+    ("cc-by-nc-nd", ("cc by nc nd", "creative commons attribution non ?commercial no ?deriv(?:ative|ative works|atives|s)?"), ("2", "2 5", "3", "4"), "cc by nc nd"),
+    ("cc-by-nc-sa", ("cc by nc sa", "creative commons attribution non ?commercial share ?alike"), ("2", "2 5", "3", "4"), "cc by nc sa"),
+    ("cc-by-nc", ("cc by nc", "creative commons attribution non ?commercial"), ("2", "2 5", "3", "4"), "cc by nc"),
+    ("cc-by-nd", ("cc by nd", "creative commons attribution no ?deriv(?:ative|ative works|atives|s)?"), ("2", "2 5", "3", "4"), "cc by nd"),
+    ("cc-by-sa", ("cc by sa", "creative commons attribution share ?alike"), ("2", "2 5", "3", "4"), "cc by sa"),
+    ("cc-by", ("cc by", "creative commons attribution"), ("2", "2 5", "3", "4"), "cc by"),
+    ("creative-commons", ("creative commons(?: licen[sc]e)?",), (), None),
 )
 # (label, pattern, keyword) of notices that name no license family
 GENERIC = (
@@ -102,33 +101,47 @@ def _version(v: str) -> str:
     return f"(?: |)(?:{VERSION_WORD}{body}|v{body})"
 
 
+# words of names that tell little; a rule's keyword is another word of its name where there is one
+COMMON_WORDS = frozenset("licen public open software free the and data what you want to commons zero clause side simplified modified revised original new two three".split())
+
+
+def keyword(name: str) -> str:
+    """The longest word that every text matching ``name`` holds, common words last."""
+    fixed = re.sub(r"\(\?:[^()]*\)\??|[a-z] ?\?", " ", re.sub(r"\(\?:[^()]*\)\?", " ", name))
+    words = re.findall(r"[a-z0-9]{2,}", fixed.replace("licen[sc]e", "licen"))
+    return max(words, key=lambda w: (w not in COMMON_WORDS, len(w)))
+
+
 def signature_rules() -> list[tuple[int, str, str, str]]:
-    """(tier, label, pattern, keyword) in order: for each family an SPDX tag, grants, versioned titles and the name."""
+    """(tier, label, pattern, keyword) in order: for each name an SPDX tag, grants, versioned titles and the name."""
     rules: list[tuple[int, str, str, str]] = []
-    for label, name, keyword, versions, spdx in FAMILIES:
-        named = f"(?:{name})"
+    for label, names, versions, spdx in FAMILIES:
         if spdx:
             rules.append((1, label, f"spdx licen[sc]e identifier {spdx}", "spdx"))
-        for v in versions:
-            number = v.replace(" ", ".") if " " in v else v + ".0"
-            if spdx:
-                rules.append((1, f"{label}-{number}", f"spdx licen[sc]e identifier {spdx} {v}(?: 0)?(?: only| or later)?", "spdx"))
-            rules.append((2, f"{label}-{number}", f"{GRANT}{named}{_version(v)}(?: or (?:any )?later(?: version)?| only)?", keyword))
-            rules.append((3, f"{label}-{number}", f"{named}{_version(v)}(?: or (?:any )?later(?: version)?| only)?", keyword))
-        rules.append((2, label, f"{GRANT}{named}", keyword))
-        rules.append((4, label, named, keyword))
-    rules += [(5, label, f"(?:{p})", keyword) for label, p, keyword in GENERIC]
-    return rules
-
-
-# Keywords match words as prefixes, so "licen" gates license, licence, licensed and licensing. The first pattern is
-# all of them at once, on the raw text.
+            rules += [(1, f"{label}-{_dotted(v)}", f"spdx licen[sc]e identifier {spdx} {v}(?: 0)?(?: only| or later)?", "spdx") for v in versions]
+        for name in names:
+            for v in versions:
+                later = "(?: or (?:any )?later(?: version)?| only)?"
+                rules.append((2, f"{label}-{_dotted(v)}", f"{GRANT}{name}{_version(v)}{later}", keyword(name)))
+                rules.append((3, f"{label}-{_dotted(v)}", f"{name}{_version(v)}{later}", keyword(name)))
+            rules.append((2, label, f"{GRANT}{name}", keyword(name)))
+            rules.append((4, label, name, keyword(name)))
+    return rules + [(5, label, f"(?:{p})", k) for label, p, k in GENERIC]
+
+
+def _dotted(version: str) -> str:
+    return version.replace(" ", ".") if " " in version else version + ".0"
+
+
 def _gate(rules: list[tuple[int, str, str, str]]) -> str:
-    """Any keyword at the start of a word; keywords stand by first letter, so that most words fail on one letter each."""
+    """On the raw text: a word that starts with "licen", or the whole keyword of a rule that can do without such a word."""
+    other = sorted({k for _, _, p, k in rules if not re.search(r"\blicen", re.sub(r"\(\?:[^()]*\)\?", "", p.removeprefix(GRANT)))}
+                   | {phrase.split(" ")[0] for phrase, _ in BASE_PHRASES if "licen" not in phrase})
     by_letter: dict[str, list[str]] = {}
-    for k in sorted({k for *_, k in rules} | {phrase.split(" ")[0] for phrase, _ in BASE_PHRASES}):
+    for k in other:
         by_letter.setdefault(k[0], []).append(k[1:])
-    return r"(?i)(?<![a-z0-9])(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by_letter.items()) + ")"
+    whole = "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by_letter.items())
+    return rf"(?i)(?<![a-z0-9])(?:licen|(?:{whole})(?![a-z0-9]))"
 
 
 def _rule_array(rules) -> Column:
@@ -168,7 +181,7 @@ def scan_licenses(docs: DataFrame, rules: list | None = None, base=BASE_PHRASES)
     """(doc_id, n_words, base_spans, detections, kept) per row: spans are (tier, label, first, last) in words."""
     rules = signature_rules() if rules is None else rules
     all_rules = _rule_array(rules)
-    base_rules = _rule_array([(0, label, phrase, phrase.split(" ")[0]) for phrase, label in base])
+    base_rules = _rule_array([(0, label, phrase, phrase) for phrase, label in base])
     kind = "array<struct<tier:int,label:string,first:int,last:int>>"
     none = F.array().cast(kind)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -180,7 +193,8 @@ def scan_licenses(docs: DataFrame, rules: list | None = None, base=BASE_PHRASES)
     d = d.select("doc_id", n_words.alias("n_words"), F.when(F.col("gated"), joined).alias("norm"))
 
     def spans(rule_array: Column) -> Column:
-        tried = F.filter(rule_array, lambda r: F.contains(F.col("norm"), r["keyword"]))
+        # most rules whose keyword is there still find nothing, and one search tells that
+        tried = F.filter(rule_array, lambda r: F.contains(F.col("norm"), r["keyword"]) & F.regexp_like(F.col("norm"), r["pattern"]))
         return F.flatten(F.transform(tried, lambda r: _places(F.col("norm"), r))).cast(kind)
 
     d = d.select("doc_id", "n_words", F.when(F.col("norm").isNull(), none).otherwise(spans(base_rules)).alias("base_spans"),

@@ -80,7 +80,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def run(batches):
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         enc, end = encoder(tokenizer_path), np.array([end_id], "<u4")
-        for b in slices(batches, 2048):
+        for b in slices(batches, 4096):
             rows = {f.name: [] for f in _PIECES}
             texts = [t or "" for t in b.column("text").to_pylist()]
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.ids(texts), strict=True):

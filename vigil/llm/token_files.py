@@ -71,7 +71,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def run(batches):
         part, shard, doc_ids, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
         enc, end = encoder(tokenizer_path), np.array([end_id], "<u4")
-        for b in slices(batches, 2048):
+        for b in slices(batches, 4096):
             texts = [t or "" for t in b.column("text").to_pylist()]
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.ids(texts), strict=True):
                 doc_ids.append(doc_id)

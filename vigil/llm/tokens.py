@@ -27,9 +27,9 @@ import pyarrow.compute as pc
 
 from vigil.llm.worker import keep
 
-MAX_CACHED = 500_000  # units
-GROUP_CHARS = 4_000_000  # characters of the texts that are looked up together
-CALL_UNITS = 10_000  # units of one call to the tokenizer, which needs a few hundred bytes a token meanwhile
+MAX_CACHED = 350_000  # units
+GROUP_CHARS = 16_000_000  # characters of the texts that are looked up together
+CALL_UNITS = 20_000  # units of one call to the tokenizer, which needs a few hundred bytes a token meanwhile
 CLOSING = ".,;:!?"
 PLAIN = "\u0001"  # marks a unit that has no blank before it
 

@@ -7,6 +7,8 @@ memory stays bounded by the largest of them.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable
 from typing import Any
 
@@ -15,6 +17,10 @@ _KEPT: dict[Hashable, Any] = {}
 
 def keep(key: Hashable, make: Callable[[], Any]) -> Any:
     if key not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # freed memory goes back to the system
+                trim(0)
         _KEPT[key] = make()
     return _KEPT[key]

@@ -27,14 +27,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.llm import elias_fano
-from vigil.llm.arrow import slices
+from vigil.llm.arrow import batch, slices
 from vigil.llm.tokens import encoder
 from vigil.llm.worker import keep
 from vigil.session import ensure_checkpoint_dir, materialize
 
 END_ID = 0
 SHARD_BYTES = 8 * 2 ** 20  # of ids; with executors of more than 3 GB, 64 MB make fewer files
-_HEAD = struct.Struct("<8sIIQQQB")  # magic, part, shard of the part, documents, null doc_ids, ids, bytes an id
+_HEAD = struct.Struct(">8sIIQQQB")  # magic, part, shard of the part, documents, null doc_ids, ids, bytes an id
+_FIELDS = {"part": (9, 4), "shard": (13, 4), "n_ids": (33, 8)}  # first byte and length in the header, for SQL
 _MAGIC = b"EFTOKEN1"
 
 
@@ -94,33 +95,25 @@ def _shards(spark: SparkSession, path: str) -> DataFrame:
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) per document of the files at ``path``."""
-    heads = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("n_ids", pa.int64())])
     rows = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()),
                       ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
-    def sizes(batches):
-        keep("token files", dict)  # frees an encoder that this worker has had
-        for b in batches:
-            s = [Shard(x.as_buffer()) for x in b.column(0)]
-            yield pa.RecordBatch.from_pydict({"part": [x.part for x in s], "shard": [x.shard for x in s], "n_ids": [x.n_ids for x in s]}, schema=heads)
-
     def documents(batches):
         keep("token files", dict)  # frees an encoder that this worker has had
         for b in batches:
             for x in b.column(0):
                 s = Shard(x.as_buffer())
-                out = {f.name: [] for f in rows}
-                for doc_id, local, ids in s.documents():
-                    raw = ids.astype("<u4").tobytes()
-                    for name, value in (("part", s.part), ("shard", s.shard), ("doc_id", doc_id), ("local", local), ("n_tokens", len(ids)),
-                                        ("ids_crc32", zlib.crc32(raw)), ("ids", raw if with_ids else None)):
-                        out[name].append(value)
-                yield pa.RecordBatch.from_pydict(out, schema=rows)
+                bounds = s.bounds.all()
+                raw = memoryview(s.ids.astype("<u4")).cast("B")
+                parts = [raw[a:z] for a, z in zip((4 * bounds[:-1]).tolist(), (4 * bounds[1:]).tolist(), strict=True)]
+                yield batch(rows, part=np.full(s.n_docs, s.part), shard=np.full(s.n_docs, s.shard), doc_id=[None] * s.n_null + s.doc_ids.all().tolist(),
+                            local=bounds[:-1], n_tokens=np.diff(bounds), ids_crc32=[zlib.crc32(p) for p in parts],
+                            ids=[bytes(p) if with_ids else None for p in parts])
 
     shards = _shards(spark, path)
     order = Window.orderBy("part", "shard")  # one row per shard
-    starts = materialize(shards.mapInArrow(sizes, "part long, shard long, n_ids long")
-                         .select("part", "shard", (F.sum("n_ids").over(order) - F.col("n_ids")).alias("before")), "token_shards")
+    heads = shards.select(*[F.conv(F.hex(F.substring("content", at, n)), 16, 10).cast("long").alias(name) for name, (at, n) in _FIELDS.items()])
+    starts = materialize(heads.select("part", "shard", (F.sum("n_ids").over(order) - F.col("n_ids")).alias("before")), "token_shards")
     docs = shards.mapInArrow(documents, "part long, shard long, doc_id long, local long, n_tokens long, ids_crc32 long, ids binary")
     return docs.join(starts, ["part", "shard"]).select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32",
                                                        *(["ids"] if with_ids else []))

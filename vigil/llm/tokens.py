@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from vigil.llm.worker import keep
 
 MAX_CACHED = 350_000  # units
-GROUP_CHARS = 16_000_000  # characters of the texts that are looked up together
+GROUP_CHARS = 8_000_000  # characters of the texts that are looked up together
 CALL_UNITS = 20_000  # units of one call to the tokenizer, which needs a few hundred bytes a token meanwhile
 CLOSING = ".,;:!?"
 PLAIN = "\u0001"  # marks a unit that has no blank before it
@@ -50,8 +50,8 @@ def _byte_letters() -> np.ndarray:
 
 def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The positions first, first + 1, ... of every run in turn."""
-    before = np.cumsum(size) - size
-    return np.arange(int(size.sum()), dtype=np.int32) + np.repeat((first - before).astype(np.int32), size)
+    before = np.cumsum(size, dtype=np.int32) - size
+    return np.arange(int(size.sum()), dtype=np.int32) + np.repeat(first - before, size)
 
 
 class Units:
@@ -59,8 +59,8 @@ class Units:
 
     def __init__(self):
         self.at: dict[str, int] = {}
-        self.first = np.zeros(1024, np.int64)
-        self.size = np.zeros(1024, np.int64)
+        self.first = np.zeros(1024, np.int32)
+        self.size = np.zeros(1024, np.int32)
         self.table = np.zeros(4096, "<u4")
         self.used = 0
 
@@ -78,7 +78,7 @@ class Units:
 
     def find(self, units: list[str]) -> np.ndarray:
         get = self.at.get
-        return np.array([get(u, -1) for u in units], np.int64)
+        return np.array([get(u, -1) for u in units], np.int32)
 
     def ids(self, at: np.ndarray) -> np.ndarray:
         return self.table[_runs(self.first[at], self.size[at])]
@@ -235,7 +235,7 @@ class Encoder:
         at = self._lookup(coded.dictionary)[coded.indices.to_numpy()]
         n = self.units.size[at]
         ids = self.units.ids(at)
-        bounds = np.concatenate(([0], np.cumsum(n)))[units.offsets.to_numpy() - units.offsets[0].as_py()]
+        bounds = np.concatenate(([0], np.cumsum(n, dtype=np.int32)))[units.offsets.to_numpy() - units.offsets[0].as_py()]
         for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield ids[a:z]
 

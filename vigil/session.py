@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder is made for it. On a cluster a folder of the driver would be out of the executors' sight, so there it is an error.
     """
     sc = spark.sparkContext
+    _show_package(sc)
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -56,6 +58,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def _show_package(sc) -> None:
+    """On one machine: this package on the Python workers' path, whatever the current folder (a cluster gets it with --py-files)."""
+    root = str(Path(__file__).resolve().parents[1])
+    known = sc.environment.get("PYTHONPATH", "") if sc.master.startswith("local") else root
+    if root not in known.split(os.pathsep):
+        sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def materialize(df, name: str = "t"):
     """Cut lineage by writing ``df`` as a parquet table in the shared checkpoint folder and reading it back.
 

@@ -96,6 +96,18 @@ def test_license_scan(llm_spark, docs_rows):
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(base or kept)
 
 
+GLUED_TEXTS = [
+    "released under LGPLv3", "LGPLv3", "AGPLv3", "LGPL2.1", "LGPL-3", "GPL3", "GPLv3", "EUPLv1.2", "eupl1.1 only", "CDDLv1.1", "SSPLv1", "GFDL1.3", "ODbLv1.0", "WTFPL2",
+    "CC01.0", "CC0v1", "LGPLversion 3", "AGPLver 3 or later", "GPLv 2", "Creative Commons Attribution4.0", "cc by4.0", "dual released with the AGPL3", "lgplx", "xLGPLv3", "LGPLv3x",
+]
+
+
+def test_license_scan_of_versions_glued_to_the_name(llm_spark):
+    test_license_scan(llm_spark, [(k, t) for k, t in enumerate(GLUED_TEXTS)])
+    got = licenses.license_digest(licenses.scan_licenses(llm_spark.createDataFrame(list(enumerate(GLUED_TEXTS)), "doc_id long, text string"))).collect()
+    assert [GLUED_TEXTS[r.doc_id] for r in got if not r.labels] == ["lgplx", "xLGPLv3", "LGPLv3x"]
+
+
 def test_license_rules_are_many_and_gated():
     rules = licenses.signature_rules()
     assert len(rules) >= 300 and len(set(rules)) == len(rules)

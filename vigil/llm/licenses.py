@@ -94,11 +94,12 @@ GENERIC = (
 
 GRANT = "(?:dual )?(?:licen[sc]ed|released|distributed|published|available|covered|provided|governed|redistribute) (?:[^ ]+ ){0,4}?(?:under|by|with) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:a )?"
 VERSION_WORD = "(?:version |v |ver )?"
+GLUE = "(?: |)"  # between a name and its version
 
 
 def _version(v: str) -> str:
     body = v if " " in v else f"{v}(?: 0)?"
-    return f"(?: |)(?:{VERSION_WORD}{body}|v{body})"
+    return f"{GLUE}(?:{VERSION_WORD}{body}|v{body})"
 
 
 # words of names that tell little; a rule's keyword is another word of its name where there is one
@@ -134,14 +135,18 @@ def _dotted(version: str) -> str:
 
 
 def _gate(rules: list[tuple[int, str, str, str]]) -> str:
-    """On the raw text: a word that starts with "licen", or the whole keyword of a rule that can do without such a word."""
+    """On the raw text: a word that starts with "licen", or the keyword of a rule that can do without such a word.
+
+    The keyword is a whole word, but where a version may follow it without a blank ("LGPLv3"), the start of one.
+    """
     other = sorted({k for _, _, p, k in rules if not re.search(r"\blicen", re.sub(r"\(\?:[^()]*\)\?", "", p.removeprefix(GRANT)))}
                    | {phrase.split(" ")[0] for phrase, _ in BASE_PHRASES if "licen" not in phrase})
+    glued = {k for _, _, p, k in rules if k + GLUE in p}
     by_letter: dict[str, list[str]] = {}
     for k in other:
-        by_letter.setdefault(k[0], []).append(k[1:])
-    whole = "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by_letter.items())
-    return rf"(?i)(?<![a-z0-9])(?:licen|(?:{whole})(?![a-z0-9]))"
+        by_letter.setdefault(k[0], []).append(k[1:] + ("" if k in glued else "(?![a-z0-9])"))
+    words = "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by_letter.items())
+    return rf"(?i)(?<![a-z0-9])(?:licen|{words})"
 
 
 def _rule_array(rules) -> Column:

@@ -254,6 +254,40 @@ def test_warc_equal_replicas_and_damage(llm_spark, tmp_path):
     assert got == want
 
 
+def test_warc_damage_in_the_primary_and_records_of_one_replica(llm_spark, tmp_path):
+    pages = llm_spark.createDataFrame([(k, "u", hashlib.sha256(str(k).encode()).hexdigest() * k) for k in range(400)], "page_id long, url string, html string")
+    a, b, c = (f"file://{tmp_path}/{x}" for x in "abc")
+    warc.write_warc(pages, a, file_bytes=9000)
+    files = sorted((bytes(r.content)[:-1] for r in warc._files(llm_spark, a).collect()), key=lambda x: warc.file_name(x + b"\n"))
+    at = [dict(warc.members(f + b"\n")) for f in files]
+    name = [warc.file_name(f + b"\n") for f in files]
+
+    def ids(k):
+        return {int(warc._ID.search(warc.content(files[k][o:o + n]))[1]) for o, n in at[k].items() if o}
+
+    # in the primary: a damaged name, a damaged first header, a hidden record, a missing file, and damaged names in both
+    ours, theirs = [bytearray(f) for f in files], [bytearray(f) for f in files]
+    ours[0][30] ^= 255
+    ours[1][0] ^= 255
+    hidden = list(at[2])[1]
+    ours[2][hidden] ^= 255
+    ours[4][30] ^= 255
+    theirs[4][31] ^= 255
+    del theirs[5:7], ours[3]
+    for path, x in ((b, ours), (c, theirs)):
+        warc._write_files(llm_spark.createDataFrame([(f,) for f in x], "file binary"), path)
+    rows = warc.audit(llm_spark, b, c).collect()
+    bad = [r for r in rows if r.corrupt]
+    assert len(rows) == len({(r.file, r.offset) for r in rows}) == sum(map(len, at))
+    assert {r.page_id for r in rows if r.offset} == set(range(400))
+    want = {(name[k], o) for k in (0, 1, 3, 5, 6) for o in at[k]} | {(name[2], hidden)}
+    unnamed = [r for r in bad if r.file not in name]
+    assert {(r.file, r.offset) for r in bad if r.file in name} == want
+    assert len({r.file for r in unnamed}) == 1 and {r.offset for r in unnamed} == set(at[4]) and {r.page_id for r in unnamed if r.offset} == ids(4)
+    # the other way round, and against nothing
+    assert {(r.file, r.offset) for r in warc.audit(llm_spark, c, b).filter("corrupt").collect() if r.file in name} == want
+
+
 def test_empty_tables(llm_spark, no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0 and near_dedup.near_dedup(no_docs).count() == 0
     assert warc.audit_pages(llm_spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

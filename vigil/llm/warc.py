@@ -15,7 +15,9 @@ Scale: a task holds one file; a node has at most the records that start within 6
 
 Cases: null urls and pages are empty strings; rows that repeat are records of their own; a null page_id is written as an empty id; an empty
 table makes no file and an empty result; other columns are ignored. A file that only one
-replica has, or whose name is damaged, differs in all its records.
+replica has, or whose name is damaged, differs in all its records; records that only one replica has are reported too, whichever
+it is. A file without a readable name goes by its path's last part, or by the name of the other replica's file
+that has no counterpart either and shares the most records with it.
 """
 
 from __future__ import annotations
@@ -110,7 +112,7 @@ def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> Non
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0").select("content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0").select("content", "path")
 
 
 def file_name(data: bytes) -> str | None:
@@ -120,31 +122,30 @@ def file_name(data: bytes) -> str | None:
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, length, hash, page_id, record_bytes, record_sha256) per member; offset 0 is the warcinfo record.
+    """(file, named, offset, length, hash, page_id, record_bytes, record_sha256) per member; offset 0 is the warcinfo record.
 
-    The last three are null where a record can't be read; files without a readable name have no row.
+    The last three are null where a record can't be read; a file without a readable name is not ``named`` and goes by its path's last part.
     """
-    schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("hash", pa.binary()), ("page_id", pa.int64()),
+    schema = pa.schema([("file", pa.string()), ("named", pa.bool_()), ("offset", pa.int64()), ("length", pa.int64()), ("hash", pa.binary()), ("page_id", pa.int64()),
                         ("record_bytes", pa.int64()), ("record_sha256", pa.string())])
 
     def run(batches):
         for b in batches:
-            for x in b.column(0):
+            for x, path in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 data = x.as_py()
-                if (name := file_name(data)) is None:
-                    continue
+                name = file_name(data)
                 out = {f.name: [] for f in schema}
                 for at, size in members(data):
                     stored = data[at:at + size]
                     r = content(stored)
                     found = _ID.search(r[:r.find(b"\r\n\r\n") + 2]) if r is not None else None
-                    for key, value in (("file", name), ("offset", at), ("length", size), ("hash", hashlib.sha256(stored).digest()),
+                    for key, value in (("file", name or path.rsplit("/", 1)[-1]), ("named", name is not None), ("offset", at), ("length", size), ("hash", hashlib.sha256(stored).digest()),
                                        ("page_id", int(found[1]) if found and found[1] else None), ("record_bytes", None if r is None else len(r)),
                                        ("record_sha256", None if r is None else hashlib.sha256(r).hexdigest())):
                         out[key].append(value)
                 yield batch(schema, **out)
 
-    return _files(spark, path).mapInArrow(run, "file string, offset long, length long, hash binary, page_id long, record_bytes long, record_sha256 string")
+    return _files(spark, path).mapInArrow(run, "file string, named boolean, offset long, length long, hash binary, page_id long, record_bytes long, record_sha256 string")
 
 
 def _fold(nodes: DataFrame, keys: list[str], number: str, width: int) -> DataFrame:
@@ -175,22 +176,39 @@ def top_tree(files: DataFrame, numbers: DataFrame, n_files: int) -> list[DataFra
 
 
 def _differing(a: DataFrame, b: DataFrame, keys: list[str], under: DataFrame | None = None, parents: dict[str, Column] | None = None) -> DataFrame:
-    """Keys of ``a`` whose hash is not that of ``b``, of those whose parent is in ``under``."""
+    """Keys of either side whose hash is not that of the other, of those whose parent is in ``under``."""
     if under is not None:
         up = {f"up_{k}": c for k, c in parents.items()}
-        a = a.withColumns(up).join(under.select(*[F.col(k).alias(f"up_{k}") for k in parents]), list(up), "left_semi")
-    b = b.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.col("hash").alias("b_hash"))
-    both = a.join(b, [a[k] == b[f"b_{k}"] for k in keys], "left")
-    return materialize(both.filter(~F.col("hash").eqNullSafe(F.col("b_hash"))).select(*keys), "warc_differ")
+        under = under.select(*[F.col(k).alias(f"up_{k}") for k in parents])
+        a, b = (x.withColumns(up).join(under, list(up), "left_semi") for x in (a, b))
+    both = a.select(*keys, F.col("hash").alias("a_hash")).join(b.select(*keys, F.col("hash").alias("b_hash")), keys, "full")
+    return materialize(both.filter(~F.col("a_hash").eqNullSafe(F.col("b_hash"))).select(*keys), "warc_differ")
+
+
+def _counterparts(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(file, name): files that only one replica has, one of them without a readable name, and that are each other's best match by equal records."""
+    a, b = (x.join(y.select("file").distinct(), "file", "left_anti").filter("offset > 0").select(F.struct("file", "named").alias(side), "offset", "hash")
+            for x, y, side in ((ours, theirs, "a"), (theirs, ours, "b")))
+    pairs = a.join(b, ["offset", "hash"]).filter(~F.col("a.named") | ~F.col("b.named")).groupBy("a", "b").count()
+
+    def first(x: str, y: str) -> Column:
+        return F.row_number().over(Window.partitionBy(f"{x}.file").orderBy(F.desc("count"), f"{y}.file")) == 1
+
+    best = pairs.withColumns({"of_a": first("a", "b"), "of_b": first("b", "a")}).filter("of_a AND of_b")
+    name = F.when(F.col("b.named"), F.col("b.file")).otherwise(F.col("a.file")).alias("name")
+    return materialize(best.select(F.explode(F.array("a.file", "b.file")).alias("file"), name), "warc_names")
 
 
 def audit(spark: SparkSession, path: str, replica: str) -> DataFrame:
-    """The index of the files at ``path`` with ``corrupt``: the replica has other bytes, or none, for that record."""
-    ours = materialize(index(spark, path), "warc_index")
-    theirs = materialize(index(spark, replica).select("file", "offset", "hash"), "warc_index")
-    names = ours.select("file").union(theirs.select("file")).distinct()
-    numbers = materialize(names.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("number")), "warc_numbers")  # a row per file
-    n_files = numbers.count()
+    """The index of the files at ``path`` with ``corrupt``: the replica has other bytes, or none, for that record.
+
+    Records that only the replica has follow, as the replica has them; they are corrupt.
+    """
+    ours, theirs = (materialize(index(spark, p), "warc_index") for p in (path, replica))
+    names = ours.select("file", "named").union(theirs.select("file", "named")).groupBy("file").agg(F.bool_and("named").alias("named"))
+    numbers = materialize(names.select("file", "named", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("number")), "warc_numbers")  # a row per file
+    n_files, n_nameless = numbers.agg(F.count(F.lit(1)), F.count_if(~F.col("named"))).first()
+    numbers = numbers.drop("named")
     low_a, low_b = file_tree(ours), file_tree(theirs)
     high_a, high_b = top_tree(low_a[-1], numbers, n_files), top_tree(low_b[-1], numbers, n_files)
     wrong = _differing(high_a[-1], high_b[-1], ["number"])
@@ -201,8 +219,13 @@ def audit(spark: SparkSession, path: str, replica: str) -> DataFrame:
     for k in range(len(RANGES) - 1, -1, -1):
         width = below[k + 1] // below[k]
         wrong = _differing(low_a[k], low_b[k], ["file", "offset"], wrong, {"file": F.col("file"), "offset": F.floor(F.col("offset") / width)})
-    found = wrong.withColumn("corrupt", F.lit(True))
-    return ours.join(found, ["file", "offset"], "left").withColumn("corrupt", F.coalesce("corrupt", F.lit(False)))
+    if n_nameless:
+        same = _counterparts(ours, theirs)
+        ours, theirs, wrong = (x.join(same, "file", "left").withColumn("file", F.coalesce("name", "file")).drop("name") for x in (ours, theirs, wrong))
+    found = wrong.distinct().withColumn("corrupt", F.lit(True))
+    present = ours.join(found, ["file", "offset"], "left").withColumn("corrupt", F.coalesce("corrupt", F.lit(False)))
+    absent = theirs.join(found, ["file", "offset"]).join(ours.select("file", "offset"), ["file", "offset"], "left_anti")
+    return present.unionByName(absent).drop("named")
 
 
 def copy_damaged(spark: SparkSession, path: str, replica: str) -> None:

@@ -147,6 +147,24 @@ def test_nearest_neighbours_cases(llm_spark):
         assert np.allclose(g.score, [-s for s, _ in want[q]], rtol=0, atol=1e-9)
 
 
+@pytest.mark.parametrize("sample", [8192, 30])
+def test_nearest_neighbours_of_ids_with_many_vectors(llm_spark, monkeypatch, sample):
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", sample)
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.standard_normal(8).round(3).tolist()) for k in range(1, 200)]
+    near = np.array(rows[39][1], np.float64)  # of query 40
+    rows += [(1001, (near * (2 + j / 7) + rng.standard_normal(8) / 20).tolist()) for j in range(60)]  # one id crowds the place around it
+    rows += [(40, (near * (1 + j / 9)).tolist()) for j in range(1, 50)] + [(1001, rows[39][1]), (7, rows[210][1])]  # and the query's own
+    rows = [(i, np.array(v, np.float32).tolist()) for i, v in rows]
+    got = ann.nearest(llm_spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).toPandas()
+    want = nearest_brute(rows)
+    assert set(got.query_id) == set(want) == set(range(20, 200, 20))
+    for q, g in got.groupby("query_id"):
+        g = g.sort_values("rank")
+        assert g["rank"].tolist() == list(range(1, 21)) and g.vec_id.tolist() == [j for _, j in want[q]]
+        assert np.allclose(g.score, [-x for x, _ in want[q]], rtol=0, atol=1e-9)
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "check_s"])
 def test_nearest_neighbours_recall(llm_spark, sf):
     df = llm_spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")

@@ -9,7 +9,8 @@ Index: every vector goes down every tree to one leaf. Search: a leaf's key is th
 on the way to it; leaves of all trees are taken in the order of that one queue, the nearest ``LEAVES`` of them. Leaves stand in groups
 (a subtree, dealt into chunks of about ``CHUNK`` vectors); a task holds one chunk and streams the queries that visit it, scoring the visited
 leaves' vectors exactly in double precision. It passes on a query's best few that are no worse than the best sample
-points it will meet, and a window keeps the nearest ``K`` per query.
+points it will meet, and a window keeps the nearest ``K`` per query. Both bounds are the ``K`` + 1st best over entries of different
+smallest ids: at least ``K`` ids other than the query's own are as near, however many vectors an id has.
 
 Equal vectors are one entry of the index with its ``K`` + 1 smallest vec_ids, which is all that any result can show of them, so
 a vector that a third of the rows share costs as much as any other.
@@ -137,6 +138,20 @@ def _to_binary(df: DataFrame, dtype: str, keep: list[str], types: str) -> DataFr
     return df.select(*keep, "v").mapInArrow(run, f"{types}, v binary")
 
 
+def _groups(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Columns in the order of their owners, and the first of each owner; nothing if no owner repeats."""
+    order = np.argsort(owner, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(owner[order]) != 0)) if len(owner) else order
+    return None if len(first) == len(owner) else (order, first)
+
+
+def _nth_best(scores: np.ndarray, groups: tuple[np.ndarray, np.ndarray] | None, n: int) -> np.ndarray:
+    """Per row the n-th largest of the owners' best scores, -inf where there are fewer owners."""
+    if groups is not None:
+        scores = np.maximum.reduceat(scores[:, groups[0]], groups[1], axis=1)
+    return np.partition(scores, -n, axis=1)[:, -n] if scores.shape[1] >= n else np.full(len(scores), -np.inf)
+
+
 def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, n_leaves: int = LEAVES) -> DataFrame:
     """(query_id, rank, vec_id, score) from ``vectors`` (vec_id, embedding, ...)."""
     spark = vectors.sparkSession
@@ -161,9 +176,9 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, n_leav
                 yield pa.RecordBatch.from_arrays([pa.array([float(np.sqrt((x ** 2).sum(1)).max())]), pa.array([len(x)])], names=["norm", "n"])
 
     largest, n = entries.select("v").mapInArrow(norms, "norm double, n long").agg(F.max("norm"), F.sum("n")).first()
-    sample = entries.orderBy("entry").limit(SAMPLE_ROWS).select("v").collect()  # at most SAMPLE_ROWS vectors
+    sample = entries.orderBy("entry").limit(SAMPLE_ROWS).select("v", F.element_at("ids", 1).alias("owner")).collect()  # at most SAMPLE_ROWS vectors
     points = np.frombuffer(b"".join(bytes(r["v"]) for r in sample), dtype).reshape(len(sample), -1)
-    forest = spark.sparkContext.broadcast((Forest(points, largest), points))
+    forest = spark.sparkContext.broadcast((Forest(points, largest), points, _groups(np.array([r["owner"] for r in sample], np.int64))))
     levels = min(GROUP_LEVELS, forest.value[0].depth)
     per_group = 2 ** (forest.value[0].depth - levels)
     n_chunks = -(-int(n) // (2 ** levels * CHUNK))
@@ -186,7 +201,7 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, n_leav
                             leaves=[[x] for x in (leaf[:, t] % per_group).tolist()], floor=[None] * len(raw), ids=ids, v=raw)
 
     def search(batches):
-        f, points = forest.value
+        f, points, owners = forest.value
         base, at_leaf = points.astype(np.float64), f.leaves(points)
         for b in batches:
             for at in range(0, b.num_rows, QUERY_BLOCK):
@@ -198,7 +213,7 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, n_leav
                 for t in range(N_TREES):
                     met |= mask[:, t * 2 ** f.depth + at_leaf[:, t]]
                 s = np.where(met, q.astype(np.float64) @ base.T, -np.inf)
-                floor = np.partition(s, -(k + 1), axis=1)[:, -(k + 1)] if s.shape[1] > k else np.full(len(q), -np.inf)
+                floor = _nth_best(s, owners, k + 1)
                 floor = floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)))
                 mask = mask.reshape(len(q), N_TREES, 2 ** levels, per_group)
                 row, tree, group = np.nonzero(mask.any(-1))
@@ -209,7 +224,7 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, n_leav
 
     def rerank(batches):
         out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        here, parts, x, leaf, ids = None, [], None, None, None
+        here, parts, x, leaf, ids, owners = None, [], None, None, None, None
         for b in batches:
             g = b.column("gid").to_numpy()
             kind = b.column("kind").to_numpy()
@@ -229,6 +244,7 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, n_leav
                     x = np.concatenate([_matrix(p.column("v"), dtype) for p in parts]).astype(np.float64)
                     leaf = np.concatenate([p.column("leaves").flatten().to_numpy() for p in parts])
                     ids = [i for p in parts for i in p.column("ids").to_pylist()]
+                    owners = _groups(np.array([i[0] for i in ids], np.int64))
                     members = {v: np.flatnonzero(leaf == v) for v in np.unique(leaf).tolist()}
                 for at in range(0, rows.num_rows, QUERY_BLOCK):
                     part = rows.slice(at, QUERY_BLOCK)
@@ -242,9 +258,7 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, n_leav
                         if v in members:
                             scores[np.ix_(who, members[v])] = q[who] @ x[members[v]].T
                     scores[scores < part.column("floor").to_numpy()[:, None]] = -np.inf
-                    if scores.shape[1] > k + 1:
-                        least = np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)]
-                        scores[scores < least[:, None]] = -np.inf
+                    scores[scores < _nth_best(scores, owners, k + 1)[:, None]] = -np.inf
                     r, c = np.nonzero(scores > -np.inf)
                     if not len(r):
                         continue
@@ -253,7 +267,10 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, n_leav
                     n_ids = np.array([len(ids[j]) for j in c.tolist()])
                     found = np.concatenate([ids[j] for j in c.tolist()])
                     query_id, score = np.repeat(asker, n_ids), np.repeat(exact, n_ids)
-                    other = query_id != found
+                    other = np.flatnonzero(query_id != found)
+                    if owners is not None:  # an id's best vector is enough
+                        other = other[np.lexsort((-score[other], found[other], query_id[other]))]
+                        other = other[np.append(True, (np.diff(query_id[other]) != 0) | (np.diff(found[other]) != 0))[:len(other)]]
                     yield batch(out, query_id=query_id[other], vec_id=found[other], score=score[other])
 
     both = entries.mapInArrow(index, columns).unionByName(queries.mapInArrow(search, columns))

@@ -220,6 +220,18 @@ def test_toxicity_cases(llm_spark, clashing, no_docs):
     assert toxicity.drop_toxic(clashing, labels).columns == clashing.columns
 
 
+def test_toxicity_fits_on_one_row_of_a_doc_id(llm_spark, docs, monkeypatch):
+    labels = llm_spark.createDataFrame([(r.doc_id, int(r.doc_id % 14 == 0)) for r in docs.select("doc_id").collect()], "doc_id long, toxic int")
+    hot = min(r.doc_id for r in labels.filter("toxic = 1").filter(~toxicity.held_out(F.col("doc_id"))).collect())
+    copies = docs.crossJoin(llm_spark.range(500)).filter((F.col("doc_id") == hot) | (F.col("id") == 0)).drop("id")
+    assert toxicity.fit(copies, labels) == toxicity.fit(docs, labels)
+    seen = []
+    monkeypatch.setattr(toxicity, "label_model", lambda votes, given, f=toxicity.label_model: seen.append(len(votes)) or f(votes, given))
+    other = copies.withColumn("text", F.when(F.col("doc_id") == hot, F.concat(F.lit("x"), F.monotonically_increasing_id())).otherwise(F.col("text")))
+    a, b = (toxicity.fit(x, labels) for x in (other.localCheckpoint(), other.localCheckpoint().repartition(4)))
+    assert a == b and seen == [labels.filter(~toxicity.held_out(F.col("doc_id"))).count()] * 2
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(3)
     y = rng.random(3000) < 0.2

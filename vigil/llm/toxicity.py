@@ -6,7 +6,8 @@ voter fires on either class, and correlations between voters (given the class) s
 thing, such as a word and its beginning. The classifier, a logistic regression on the voters, learns the
 posteriors; scores come from the text alone.
 
-Bounds: voters are mined and the models fitted on at most ``SAMPLE_ROWS`` labelled training rows, taken in hash order; counts of
+Bounds: voters are mined and the models fitted on at most ``SAMPLE_ROWS`` labelled training rows, taken in hash order, one text
+of each doc_id (the one of the smallest hash); counts of
 words are aggregated by Spark, and what comes to the driver is ``N_MINED`` features and one short vote list per sampled
 row. Every document is scored, whole, in one narrow pass without a shuffle.
 
@@ -189,8 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")) \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     # at most SAMPLE_ROWS rows of two numbers
-    sample = materialize(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(train), "doc_id")
-                         .select("doc_id", "text", "toxic"), "toxicity_sample")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(train), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"]  # partly aggregated where the rows are read
+    sample = materialize(texts.groupBy("doc_id", "toxic").agg(one.alias("text")).select("doc_id", "text", "toxic"), "toxicity_sample")
     n_toxic, n = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     if not n_toxic or n_toxic == n:
         return _defaults()
@@ -201,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         for b in batches:
             yield batch(schema, doc_id=b.column("doc_id"), toxic=b.column("toxic"), fired=[sorted(voters.fired(t or "")) for t in b.column("text").to_pylist()])
 
-    rows = sample.mapInArrow(run, "doc_id long, toxic long, fired array<int>").orderBy("doc_id").collect()  # bounded by SAMPLE_ROWS
+    rows = sample.mapInArrow(run, "doc_id long, toxic long, fired array<int>").orderBy("doc_id").collect()  # bounded by SAMPLE_ROWS, one row a doc_id
     votes = np.zeros((len(rows), len(LEXICONS) + len(PATTERNS) + len(mined)), np.float32)
     for k, r in enumerate(rows):
         votes[k, r["fired"]] = 1

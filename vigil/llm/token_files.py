@@ -6,7 +6,8 @@ sorted, encoded in that order, and cut into shards of about ``shard_bytes``. Spa
 in one file (so any store that Spark reaches will do, and its committer handles lost tasks); the byte after a shard is
 that writer's line end. Files are read back with Spark's binaryFile source.
 
-A document's boundaries come from ``select`` on the shard's sequence; its start among all documents adds the sizes of
+The sequential read of the query decodes each shard's sequences whole, into 64-bit arrays of one entry a document; ``select`` serves
+single look-ups only (``Shard.doc``) and gives no row of the query. A document's start among all documents adds the sizes of
 the shards before it, a sum over one row per shard.
 
 Null texts are empty (the end id alone); null doc_ids come first; repeated doc_ids are documents of their own; an

@@ -2,8 +2,9 @@
 
 1. One pass makes each text's shingle set, a 128-bit hash of the set and a signature of 64 minimum hashes. Texts with equal
    sets are one class from here on, named by its smallest doc_id.
-2. The forest: the signature sorted in ``N_TREES`` orders, each starting with other columns. Classes that share the first
-   ``MIN_DEPTH`` columns of an order are a region, and so have a longest common prefix of at least that. In a region of more than
+2. The forest, cut at depth ``MIN_DEPTH``: the signature is turned in ``N_TREES`` ways, each starting with other columns, and no order is
+   sorted. Classes that share the hash of the first ``MIN_DEPTH`` columns of a turn are a region (so far this is banding, 16 bands of 4), and all
+   pairs of a region or block are compared; the prefix length only orders these comparisons. In a region of more than
    ``BLOCK`` classes the depth grows with its size (and what is still larger is dealt into blocks), so a task never
    holds more than two blocks.
 3. Within a group, pairs are taken by the length of their common prefix, deepest neighbours first. Pairs whose signatures agree in fewer than

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import ann, licenses, line_dedup, mixing, near_dedup, packing, quality, token_files, toxicity, warc
+from vigil.llm import ann, licenses, line_dedup, link_graph, manifest, mixing, near_dedup, packing, quality, runs, token_files, toxicity, warc
 from vigil.session import ensure_checkpoint_dir
 
 
@@ -71,7 +71,21 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
 
 
+def op11_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.url_digest(link_graph.judge_urls(_table(spark, sf_dir, "pages"), link_graph.rule_table(spark, link_graph.RULES)))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(runs.find_runs(_table(spark, sf_dir, "documents"), planted=True))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_rp_forest, op2_best_fit_packing, op3_line_dedup, op4_token_files, op5_toxicity, op6_minhash_near_dedup,
-                                   op7_license_scan, op8_warc_audit, op9_repetition_quality, op10_source_mix)}
+                                   op7_license_scan, op8_warc_audit, op9_repetition_quality, op10_source_mix,
+                                   op11_link_graph, op12_word_runs, op13_merkle_manifest)}
 # The others have no SQL form; tests/llm compares them with brute-force versions, exact round trips or held-out accuracy.
-ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE, "op8_warc_audit": warc.ORACLE, "op10_source_mix": mixing.ORACLE}
+ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE, "op8_warc_audit": warc.ORACLE, "op10_source_mix": mixing.ORACLE,
+              "op11_link_graph": link_graph.ORACLE, "op13_merkle_manifest": manifest.ORACLE}

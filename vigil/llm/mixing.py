@@ -11,8 +11,8 @@ over the one cell in which the cut falls, about 1 / ``CELLS`` of the source. The
 Spark broadcasts it only if its file is below the broadcast threshold. Documents are not shuffled.
 
 Cases: a null text has size 0; documents of size 0 are never taken; sources with no words get target 0; a null
-source is a source of its own, last; rows of one doc_id and size share a rank and are taken or left together;
-an empty table gives an empty result; other columns, whatever their names, are carried by ``mix_documents`` and ignored by ``mix_plan``.
+source is a source of its own, last; rows of one doc_id, or of none, have ranks of their own by their texts, and rows that are equal
+altogether are dealt into ``SUBS`` parts by their place in the table, so that a part of them can be taken; an empty table gives an empty result; other columns, whatever their names, are carried by ``mix_documents`` and ignored by ``mix_plan``.
 """
 
 from __future__ import annotations
@@ -24,17 +24,20 @@ from vigil.llm.text import word_count
 from vigil.session import materialize
 
 CELLS = 4096
+SUBS = 1024
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 HALF_SIZE = 100  # a document of so many words has half the inclusion odds of a very long one
 
 
 def _sized(docs: DataFrame, seed: str) -> DataFrame:
-    """One struct column with the caller's row, next to the columns used here."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    """One struct column with the caller's row, next to the columns used here; ``sub`` deals equal rows out over ``SUBS`` parts."""
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    sub = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SUBS))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(2 ** 52))
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"),
-                       F.col("source"), word_count(F.col("text")).alias("size"), u.alias("u"))
+                       F.col("source"), word_count(F.col("text")).alias("size"), u.alias("u"),
+                       F.struct(F.col("doc_id"), sub.alias("sub")).alias("tie"))
 
 
 def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -73,15 +76,15 @@ def _ranked(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _cuts(ranked: DataFrame) -> DataFrame:
-    """(source, cut_v, cut_id): the last rank taken in each source.
+    """(source, cut_v, cut_tie): the last rank taken in each source.
 
-    A document at the cut is taken if that brings the words taken nearer to the target.
+    A document at the cut is taken if that brings the words taken nearer to the target; of equal rows at the cut, as many parts as do.
     """
     cell = F.least(F.floor(F.col("v") * CELLS), F.lit(CELLS - 1)).alias("cell")
-    r = ranked.filter("v IS NOT NULL").select("source", "doc_id", "size", "v", "rest", cell)
+    r = ranked.filter("v IS NOT NULL").select("source", "tie", "size", "v", "rest", cell)
     run = Window.partitionBy("source").orderBy("cell")
     cells = r.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"),
-                                            F.max(F.struct("v", "doc_id")).alias("last"))
+                                            F.max(F.struct("v", "tie")).alias("last"))
     cells = cells.withColumn("upto", F.sum("words").over(run)).withColumn("before", F.col("upto") - F.col("words"))
     # the cell in which the rest runs out, or the last one
     first = cells.groupBy("source").agg(F.min(F.when(F.col("upto") >= F.col("rest"), F.struct("cell", "before"))).alias("hit"),
@@ -90,18 +93,18 @@ def _cuts(ranked: DataFrame) -> DataFrame:
                         "mix_cells")
     inside = r.join(first.select(F.col("source").alias("c_source"), "hit_cell", "before"),
                     r["source"].eqNullSafe(F.col("c_source")) & (r["cell"] == F.col("hit_cell"))) \
-        .groupBy("source", "v", "doc_id").agg(F.sum("size").alias("size"), F.max("rest").alias("rest"), F.max("before").alias("before"))
-    order = Window.partitionBy("source").orderBy("v", F.col("doc_id").asc_nulls_first())
+        .groupBy("source", "v", "tie").agg(F.sum("size").alias("size"), F.max("rest").alias("rest"), F.max("before").alias("before"))
+    order = Window.partitionBy("source").orderBy("v", "tie")
     upto = F.sum("size").over(order) + F.col("before")
     picked = inside.withColumn("take", upto - F.col("size") / 2 <= F.col("rest")) \
-        .groupBy("source").agg(F.max(F.when(F.col("take"), F.struct("v", "doc_id"))).alias("got"),
+        .groupBy("source").agg(F.max(F.when(F.col("take"), F.struct("v", "tie"))).alias("got"),
                                F.max("before").alias("before"), F.max("rest").alias("rest"))
     picked = picked.withColumnRenamed("source", "p_source")
     # no document of the hit cell taken: everything in the cells before it, which lie below the cell's lower edge
     return first.join(picked, first["source"].eqNullSafe(F.col("p_source")), "left").select(
         first["source"].alias("cut_source"),
         F.coalesce(F.col("got.v"), F.when(F.col("hit_cell").isNull(), F.col("last.v")).otherwise(F.col("hit_cell") / F.lit(float(CELLS)))).alias("cut_v"),
-        F.when(F.col("got").isNotNull(), F.col("got.doc_id")).when(F.col("hit_cell").isNull(), F.col("last.doc_id")).alias("cut_id"),
+        F.when(F.col("got").isNotNull(), F.col("got.tie")).when(F.col("hit_cell").isNull(), F.col("last.tie")).alias("cut_tie"),
         (F.col("got").isNull() & F.col("hit_cell").isNotNull()).alias("below"))
 
 
@@ -113,7 +116,7 @@ def _mixed(docs: DataFrame, weights: tuple, max_repeat: int, seed: str, keep_row
     cuts = materialize(_cuts(_ranked(narrow, targets)), "mix_cuts")
     r = _ranked(sized if keep_rows else narrow, targets)
     r = r.join(cuts, r["source"].eqNullSafe(cuts["cut_source"]), "left")
-    at_cut = (F.col("v") == F.col("cut_v")) & (F.coalesce(F.col("doc_id"), F.lit(-2 ** 63)) <= F.coalesce(F.col("cut_id"), F.lit(-2 ** 63)))
+    at_cut = (F.col("v") == F.col("cut_v")) & (F.col("tie") <= F.col("cut_tie"))
     more = F.coalesce((F.col("v") < F.col("cut_v")) | (~F.col("below") & at_cut), F.lit(False))
     copies = F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(F.lit(0).cast("long"))
     return r.withColumn("copies", copies)
@@ -136,7 +139,7 @@ ORACLE = r"""
 WITH s AS (
   SELECT doc_id, source,
          CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         ((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
+         ((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 src AS (
   SELECT source, sum(size)::BIGINT AS source_size, sum(size)::DOUBLE * 3 AS cap,

@@ -46,24 +46,20 @@ class Sequence:
 
     def select(self, i: int) -> int:
         """The i-th value, from one block of the high part and ``bits`` low bits."""
-        block = int(np.searchsorted(self.counts, i, side="right")) - 1
-        ones = np.flatnonzero(np.unpackbits(self.high[block * BLOCK // 8:(block + 1) * BLOCK // 8], bitorder="little"))
-        high = block * BLOCK + int(ones[i - int(self.counts[block])]) - i
-        low, first = 0, i * self.bits
-        if self.bits:
-            part = np.unpackbits(self.low[first // 8:-(-(first + self.bits) // 8)], bitorder="little")[first % 8:first % 8 + self.bits]
-            low = sum(1 << k for k, b in enumerate(part.tolist()) if b)
-        return self._signed((high << self.bits | low) + self.base)
-
-    @staticmethod
-    def _signed(x: int) -> int:
-        return x - 2 ** 64 if x >= 2 ** 63 else x
+        return int(self.select_many(np.array([i]))[0])
 
-    def all(self) -> np.ndarray:
-        """All values, by one pass over the bits."""
-        high = (np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n] - np.arange(self.n)).astype(np.uint64)
-        v = high << np.uint64(self.bits)
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """The i-th values for an array of numbers: the counts tell each one's block, only these blocks and their low bits are read."""
+        if not len(i):
+            return np.zeros(0, np.int64)
+        block, of = np.unique(np.searchsorted(self.counts, i, side="right") - 1, return_inverse=True)
+        bits = np.unpackbits(self.high.reshape(-1, BLOCK // 8)[block], axis=1, bitorder="little")
+        ones = np.flatnonzero(bits)
+        before = np.concatenate(([0], np.cumsum(bits.sum(1, dtype=np.int64))))[:-1]  # ones of the blocks read, by block
+        at = ones[before[of] + (i - self.counts[block[of]].astype(np.int64))]
+        v = (block[of] * BLOCK + at % BLOCK - i).astype(np.uint64) << np.uint64(self.bits)
         if self.bits:
-            low = np.unpackbits(self.low, bitorder="little")[:self.n * self.bits].reshape(-1, self.bits).astype(np.uint64)
-            v |= (low << np.arange(self.bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+            place = i[:, None] * self.bits + np.arange(self.bits)
+            low = (self.low[place >> 3] >> (place & 7).astype(np.uint8)) & np.uint8(1)
+            v |= (low.astype(np.uint64) << np.arange(self.bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
         return (v + np.uint64(self.base % 2 ** 64)).view(np.int64)

@@ -6,11 +6,12 @@ sorted, encoded in that order, and cut into shards of about ``shard_bytes``. Spa
 in one file (so any store that Spark reaches will do, and its committer handles lost tasks); the byte after a shard is
 that writer's line end. Files are read back with Spark's binaryFile source.
 
-The sequential read of the query decodes each shard's sequences whole, into 64-bit arrays of one entry a document; ``select`` serves
-single look-ups only (``Shard.doc``) and gives no row of the query. A document's start among all documents adds the sizes of
+Offsets come from select: the read takes ``BATCH`` document numbers at a time and selects their ids and boundaries from the
+blocks that hold them, so no table of a shard's offsets is made. A document's start among all documents adds the sizes of
 the shards before it, a sum over one row per shard.
 
-Null texts are empty (the end id alone); null doc_ids come first; repeated doc_ids are documents of their own; an
+Null texts are empty (the end id alone); null doc_ids come first; repeated doc_ids are documents of their own, in the
+order of their texts' hashes; an
 empty table gives no document; other columns are ignored. A document larger than a shard gets a shard of its own.
 """
 
@@ -38,6 +39,7 @@ SHARD_BYTES = 8 * 2 ** 20  # of ids; with executors of more than 3 GB, 64 MB mak
 _HEAD = struct.Struct(">8sIIQQQB")  # magic, part, shard of the part, documents, null doc_ids, ids, bytes an id
 _FIELDS = {"part": (9, 4), "shard": (13, 4), "n_ids": (33, 8)}  # first byte and length in the header, for SQL
 _MAGIC = b"EFTOKEN1"
+BATCH = 4096  # documents of a shard read at a time
 
 
 def encode_shard(part: int, shard: int, doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -60,13 +62,21 @@ class Shard:
         self.bounds = elias_fano.Sequence(data, self.doc_ids.end)
         self.ids = np.frombuffer(data, f"<u{self.width}", self.n_ids, self.bounds.end)
 
+    def docs(self, first: int, end: int) -> tuple[list[int | None], np.ndarray]:
+        """Ids of the documents first..end and their boundaries, one more than documents, by select."""
+        nulls = max(0, min(end, self.n_null) - first)
+        known = self.doc_ids.select_many(np.arange(first + nulls, end) - self.n_null)
+        return [None] * nulls + known.tolist(), self.bounds.select_many(np.arange(first, end + 1))
+
     def doc(self, i: int) -> tuple[int | None, np.ndarray]:
-        return (None if i < self.n_null else self.doc_ids.select(i - self.n_null)), self.ids[self.bounds.select(i):self.bounds.select(i + 1)]
+        (doc_id,), (a, z) = self.docs(i, i + 1)
+        return doc_id, self.ids[a:z]
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        bounds = self.bounds.all().tolist()
-        for doc_id, a, z in zip([None] * self.n_null + self.doc_ids.all().tolist(), bounds[:-1], bounds[1:], strict=True):
-            yield doc_id, a, self.ids[a:z]
+        for k in range(0, self.n_docs, BATCH):
+            doc_ids, bounds = self.docs(k, min(k + BATCH, self.n_docs))
+            for doc_id, a, z in zip(doc_ids, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                yield doc_id, a, self.ids[a:z]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
@@ -86,7 +96,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             yield pa.RecordBatch.from_arrays([pa.array([encode_shard(part, shard, doc_ids, parts)], pa.binary())], names=["shard"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shards = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "shard binary")
+    texts = texts.withColumn("tie", F.xxhash64("text"))  # rows of one doc_id have an order, and may stand in several ranges
+    shards = texts.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie").mapInArrow(run, "shard binary")
     shards.select(F.col("shard").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
@@ -104,12 +115,13 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
         for b in batches:
             for x in b.column(0):
                 s = Shard(x.as_buffer())
-                bounds = s.bounds.all()
-                raw = memoryview(s.ids.astype("<u4")).cast("B")
-                parts = [raw[a:z] for a, z in zip((4 * bounds[:-1]).tolist(), (4 * bounds[1:]).tolist(), strict=True)]
-                yield batch(rows, part=np.full(s.n_docs, s.part), shard=np.full(s.n_docs, s.shard), doc_id=[None] * s.n_null + s.doc_ids.all().tolist(),
-                            local=bounds[:-1], n_tokens=np.diff(bounds), ids_crc32=[zlib.crc32(p) for p in parts],
-                            ids=[bytes(p) if with_ids else None for p in parts])
+                for k in range(0, s.n_docs, BATCH):
+                    doc_ids, bounds = s.docs(k, min(k + BATCH, s.n_docs))
+                    raw = memoryview(s.ids[bounds[0]:bounds[-1]].astype("<u4")).cast("B")
+                    at = (4 * (bounds - bounds[0])).tolist()
+                    parts = [raw[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+                    yield batch(rows, part=np.full(len(doc_ids), s.part), shard=np.full(len(doc_ids), s.shard), doc_id=doc_ids, local=bounds[:-1],
+                                n_tokens=np.diff(bounds), ids_crc32=[zlib.crc32(p) for p in parts], ids=[bytes(p) if with_ids else None for p in parts])
 
     shards = _shards(spark, path)
     order = Window.orderBy("part", "shard")  # one row per shard

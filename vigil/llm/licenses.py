@@ -9,13 +9,15 @@ own tier, is suppressed. Surviving detections give labels and a score 1 - produc
 
 Base phrases are counted at all their places and are never suppressed.
 
-Cases: null and empty texts have no words, labels "" and score 0; repeated rows are scanned each for itself;
+Cases: null and empty texts have no words, labels "" and score 0; a very long text is scanned whole, in time that grows with its length
+and its detections; repeated rows are scanned each for itself, a null doc_id stays null; an empty table gives no rows;
 every row of the input gives one row; only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,6 +96,8 @@ GENERIC = (
 
 GRANT = "(?:dual )?(?:licen[sc]ed|released|distributed|published|available|covered|provided|governed|redistribute) (?:[^ ]+ ){0,4}?(?:under|by|with) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:a )?"
 VERSION_WORD = "(?:version |v |ver )?"
+SPAN = "struct<tier:int,label:string,first:int,last:int>"
+CHUNK = 256
 GLUE = "(?: |)"  # between a name and its version
 
 
@@ -159,27 +163,59 @@ def _n_words(c: Column) -> Column:
     return F.size(F.filter(F.split(c, " "), lambda x: x != ""))
 
 
+def _scan(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """Results of ``step`` (state, item) -> (state, result) over an array in order; in chunks, as appending to a long array copies it."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        after, result = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.array_append(acc["out"], result).alias("out"))
+
+    def chunk(acc: Column, c: Column) -> Column:
+        done = F.aggregate(F.slice(items, c * CHUNK + 1, CHUNK), F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return F.struct(done["state"].alias("state"), F.array_append(acc["out"], done["out"]).alias("out"))
+
+    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    chunks = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.aggregate(chunks, start, chunk, lambda acc: acc["out"]))
+
+
 def _places(norm: Column, rule: Column) -> Column:
     """Detections of one rule: (tier, label, first, last) with word positions, ``last`` exclusive."""
     hits = F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
     gaps = F.split(norm, rule["pattern"], -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,last:int>>").alias("out"))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(_n_words(g).alias("g"), _n_words(h).alias("h")))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        first = at + x["g"]
+        return first + x["h"], F.struct(rule["tier"].alias("tier"), rule["label"].alias("label"), first.alias("first"), (first + x["h"]).alias("last"))
 
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["at"] + _n_words(x["g"])
-        last = first + _n_words(x["h"])
-        return F.struct(last.alias("at"), F.concat(acc["out"], F.array(F.struct(first.alias("first"), last.alias("last")))).alias("out"))
+    return _scan(pairs, F.lit(0), step, SPAN)
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.transform(spans, lambda s: F.struct(rule["tier"].alias("tier"), rule["label"].alias("label"),
-                                                 s["first"].alias("first"), s["last"].alias("last")))
 
+def _kept(detections: Column) -> Column:
+    """Detections that no other one covers which is of a lower tier, or of the same one and longer.
 
-def _inside(e: Column, d: Column) -> Column:
-    covers = (e["first"] <= d["first"]) & (e["last"] >= d["last"])
-    longer = (e["last"] - e["first"]) > (d["last"] - d["first"])
-    return covers & ((e["tier"] < d["tier"]) | ((e["tier"] == d["tier"]) & longer))
+    In the order of (first, -last, tier) whatever covers a detection comes before it, so the farthest end seen so far on each tier tells.
+    """
+    tiers = sorted(TIER_WEIGHT)
+    inner = F.sort_array(F.transform(detections, lambda d: F.struct(d["first"].alias("first"), (-d["last"]).alias("back"), d["tier"].alias("tier"), d["label"].alias("label"))))
+    far = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("back"))  # back: minus the start, so that of equal ends the longest is largest
+
+    def step(state: Column, d: Column) -> tuple[Column, Column]:
+        last = -d["back"]
+        me = F.struct(last.alias("last"), (-d["first"]).alias("back"))
+        covered = F.lit(False)
+        for t in tiers:
+            s = state[f"t{t}"]
+            covered = covered | ((d["tier"] > t) & (s["last"] >= last)) \
+                | ((d["tier"] == t) & ((s["last"] > last) | ((s["last"] == last) & (s["back"] > me["back"]))))
+        after = F.struct(*[F.when((d["tier"] == t) & (me > state[f"t{t}"]), me).otherwise(state[f"t{t}"]).alias(f"t{t}") for t in tiers])
+        span = F.struct(d["tier"].alias("tier"), d["label"].alias("label"), d["first"].alias("first"), last.alias("last"))
+        return after, F.when(~covered, span)
+
+    found = _scan(inner, F.struct(*[far.alias(f"t{t}") for t in tiers]), step, SPAN)
+    return F.filter(found, lambda x: x.isNotNull())
 
 
 def scan_licenses(docs: DataFrame, rules: list | None = None, base=BASE_PHRASES) -> DataFrame:
@@ -187,7 +223,7 @@ def scan_licenses(docs: DataFrame, rules: list | None = None, base=BASE_PHRASES)
     rules = signature_rules() if rules is None else rules
     all_rules = _rule_array(rules)
     base_rules = _rule_array([(0, label, phrase, phrase) for phrase, label in base])
-    kind = "array<struct<tier:int,label:string,first:int,last:int>>"
+    kind = f"array<{SPAN}>"
     none = F.array().cast(kind)
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", F.split(text, NOT_WORD, -1).alias("words"), text.rlike(_gate(rules)).alias("gated"))
@@ -204,8 +240,7 @@ def scan_licenses(docs: DataFrame, rules: list | None = None, base=BASE_PHRASES)
 
     d = d.select("doc_id", "n_words", F.when(F.col("norm").isNull(), none).otherwise(spans(base_rules)).alias("base_spans"),
                  F.when(F.col("norm").isNull(), none).otherwise(spans(all_rules)).alias("detections"))
-    kept = F.filter("detections", lambda x: ~F.exists("detections", lambda e: _inside(e, x)))
-    return d.select("doc_id", "n_words", "base_spans", "detections", kept.alias("kept"))
+    return d.select("doc_id", "n_words", "base_spans", "detections", _kept(F.col("detections")).alias("kept"))
 
 
 def license_digest(scan: DataFrame) -> DataFrame:

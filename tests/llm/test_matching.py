@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vigil.session import materialize
 from vigil.llm import ann, near_dedup, toxicity, warc
 from vigil.llm.components import components
 
@@ -165,12 +166,28 @@ def test_nearest_neighbours_of_ids_with_many_vectors(llm_spark, monkeypatch, sam
         assert np.allclose(g.score, [-x for x, _ in want[q]], rtol=0, atol=1e-9)
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "check_s"])
-def test_nearest_neighbours_recall(llm_spark, sf):
-    df = llm_spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+def clustered(n, dim=32, seed=5):
+    """Unit-like vectors around 400 centres, of one size."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((400, dim))
+    x = centres[rng.integers(0, 400, n)] + 0.35 * rng.standard_normal((n, dim))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+@pytest.mark.parametrize("kind", ["sf0.01", "clustered"])
+def test_nearest_neighbours_recall(llm_spark, kind, tmp_path):
+    if kind == "clustered":  # 20,000 vectors, of which a query meets a part
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        x = clustered(20_000)
+        pq.write_table(pa.table({"vec_id": np.arange(len(x)) * 4, "embedding": list(x)}), f"{tmp_path}/embeddings.parquet")
+        df = llm_spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    else:
+        df = llm_spark.read.parquet(f"/root/testdata/{kind}/embeddings.parquet")
     t = df.toPandas()
     x, ids = np.array(t.embedding.tolist(), np.float64), t.vec_id.to_numpy()
-    got = ann.nearest(df).toPandas()
+    got = ann.nearest(df, n_leaves=ann.LEAVES // 4 if kind == "clustered" else ann.LEAVES).toPandas()
     at = {i: k for k, i in enumerate(ids)}
     hits = total = 0
     for q, g in got.groupby("query_id"):
@@ -182,6 +199,16 @@ def test_nearest_neighbours_recall(llm_spark, sf):
     assert total == 20 * (ids % 20 == 0).sum() and hits / total >= 0.9
 
 
+def test_nearest_neighbours_queue_meets_a_part_of_the_vectors():
+    x = clustered(20_000)
+    f = ann.Forest(x[:ann.SAMPLE_ROWS], 1.0)
+    leaf, mask = f.leaves(x), f.visits(x[:100], ann.LEAVES // 4)
+    met = np.zeros((100, len(x)), bool)
+    for t in range(ann.N_TREES):
+        met |= mask[:, t * 2 ** f.depth + leaf[:, t]]
+    assert met.mean() < 0.25
+
+
 def test_nearest_neighbours_few_and_none(llm_spark):
     few = llm_spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(few).orderBy("rank").collect()] == [(0, 1, 1, 4.0), (0, 2, 2, -1.0)]
@@ -228,7 +255,8 @@ def test_toxicity_fits_on_one_row_of_a_doc_id(llm_spark, docs, monkeypatch):
     seen = []
     monkeypatch.setattr(toxicity, "label_model", lambda votes, given, f=toxicity.label_model: seen.append(len(votes)) or f(votes, given))
     other = copies.withColumn("text", F.when(F.col("doc_id") == hot, F.concat(F.lit("x"), F.monotonically_increasing_id())).otherwise(F.col("text")))
-    a, b = (toxicity.fit(x, labels) for x in (other.localCheckpoint(), other.localCheckpoint().repartition(4)))
+    once = materialize(other, "copies")
+    a, b = (toxicity.fit(x, labels) for x in (once, once.repartition(4)))
     assert a == b and seen == [labels.filter(~toxicity.held_out(F.col("doc_id"))).count()] * 2
 
 

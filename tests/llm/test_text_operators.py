@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -139,6 +140,43 @@ def test_quality(clashing, docs_rows):
         assert not (r.base_failed and r.kept)
 
 
+def coverage_brute(text):
+    """Shares of word characters inside repeated windows and in repeated lines, and the verdict."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    chars = sum(map(len, w))
+    share = {}
+    for n in quality.MAX_COVERAGE:
+        at = [tuple(w[i:i + n]) for i in range(len(w) - n + 1)]
+        many = Counter(at)
+        marked = {j for i, x in enumerate(at) if many[x] > 1 for j in range(i, i + n)}
+        share[n] = sum(len(w[j]) for j in marked) / chars if chars else 0.0
+    seen, again = set(), 0
+    for line in (text or "").split("\n"):
+        found = re.findall(r"[^\x20\x09-\x0D]+", line)
+        if found and line in seen:
+            again += sum(map(len, found))
+        seen.add(line)
+    lines = again / chars if chars else 0.0
+    fine = lines <= quality.MAX_LINE_COVERAGE and len(re.findall(r"[#*$%&|<>]", text or "")) <= quality.MAX_SYMBOL_SHARE * chars
+    return share, lines, fine and all(share[n] <= quality.MAX_COVERAGE[n] for n in share)
+
+
+def test_quality_verdict_and_coverage_against_brute_force(llm_spark, docs_rows):
+    texts = [r[1] for r in docs_rows] + ["a b c d e f g h i j k l m n o p q r s t " * 2, "### " * 5 + " ".join(map(str, range(60))), "one line here\n" * 9 + " ".join(map(str, range(99)))]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, texts[-1]), (None, None), (3, texts[3]), (3, texts[3])]
+    got = quality.repetition_quality(llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    verdicts = set()
+    for r in got:
+        text = texts[-1] if r.doc_id is None and r.n_words else None if r.doc_id is None else texts[r.doc_id]
+        share, lines, fine = coverage_brute(text)
+        assert r.line_coverage == pytest.approx(lines) and all(r[f"coverage_{n}"] == pytest.approx(x) for n, x in share.items())
+        assert r.kept == (not r.base_failed and fine)
+        verdicts.add((r.base_failed, r.kept))
+    assert verdicts == {(True, False), (False, True), (False, False)}
+    assert quality.repetition_quality(llm_spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_quality_coverage_counts_characters():
     from vigil.llm.words import WordHashes
 
@@ -231,3 +269,44 @@ def test_oracle(llm_spark, name):
             assert (got[c] - want[c]).abs().max() < 1e-6
         else:
             assert (got[c] == want[c]).all(), c
+
+
+def test_license_scan_of_a_very_long_text(llm_spark):
+    text = "licensed under the Apache License, version 2.0 or cc by and gplv3 with some more words; " * 6000
+    df = llm_spark.createDataFrame([(None, text), (1, text[:2000]), (1, text[:2000])], "doc_id long, text string")
+    began = time.time()
+    got = sorted(licenses.license_digest(licenses.scan_licenses(df)).collect(), key=lambda r: r.n_words)
+    assert time.time() - began < 30 and len(text) > 500_000
+    assert got[0] == got[1] and got[2].n_words == len(words_of(text)) and got[2].n_base == 2 * 6000 and got[2].doc_id is None
+    assert got[2].labels == got[0].labels and got[2].n_kept == 3 * 6000
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_mix_meets_its_target_when_rows_share_an_id(llm_spark, hot):
+    """600 of 1,000 rows hold one id, or none; equal rows are taken in part."""
+    same, own = "w " * 10, lambda k: f"{k} " * 10
+    for text in (lambda k: same, own):
+        rows = [(hot if k < 600 else k + 1000, text(k), "en", "a", 20) for k in range(1000)] + [(5000 + k, own(k), "en", "b", 20) for k in range(4000)]
+        df = llm_spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        plan = mixing.mix_plan(df, weights=(1, 7), max_repeat=3).collect()
+        for size in {r.source_size for r in plan}:
+            part = [r for r in plan if r.source_size == size]
+            assert abs(sum(r.taken for r in part) - part[0].target) <= 0.005 * part[0].target + 20
+
+
+def test_mix_takes_documents_as_often_as_their_odds_say(llm_spark):
+    """Over many seeds the documents of one size are taken as often as their share of the words wanted says."""
+    rows = [(k, "w " * (5 if k % 2 else 400), "en", "a" if k < 200 else "b", 1) for k in range(400)]
+    df = llm_spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    seeds = 12
+    taken = Counter()
+    for s in range(seeds):
+        for r in mixing.mix_plan(df, weights=(1, 3), max_repeat=3, seed=f"s{s}").collect():
+            taken[(r.size, r.source_size and r.doc_id < 200)] += r.copies
+    target = 200 * 202.5 * 2 / 4  # words of the first source that the mix wants
+    words = (taken[(5, True)] * 5 + taken[(400, True)] * 400) / seeds
+    assert abs(words - target) <= 0.02 * target
+    small, large = (taken[(n, True)] / seeds / 100 for n in (5, 400))
+    odds = lambda p: p / (1 - p)
+    assert 0 < small < large < 1
+    assert odds(large) / odds(small) == pytest.approx((400 / 500) / (5 / 105), rel=0.35)

@@ -125,8 +125,10 @@ def test_elias_fano_round_trip(values):
     v = np.array(sorted(values), np.int64)
     data = b"xy" + elias_fano.encode(v) + b"rest"
     s = elias_fano.Sequence(data, 2)
-    assert s.all().tolist() == v.tolist() and data[s.end:] == b"rest"
+    assert s.select_many(np.arange(len(v))).tolist() == v.tolist() and data[s.end:] == b"rest"
     assert [s.select(i) for i in range(len(v))] == v.tolist()
+    some = np.arange(len(v))[::-3]
+    assert s.select_many(some).tolist() == v[some].tolist()
 
 
 def test_elias_fano_is_small():
@@ -166,3 +168,17 @@ def test_shard_random_access():
 def test_empty_tables(no_docs):
     assert packing.pack_documents(no_docs, tokenizer_file(FILES[0])).count() == 0
     assert token_files.round_trip(no_docs, tokenizer_file(FILES[1])).count() == 0
+
+
+def test_elias_fano_select_reads_few_blocks():
+    v = np.cumsum(np.random.default_rng(2).integers(0, 3000, 200_000))
+    s = elias_fano.Sequence(elias_fano.encode(v))
+    for i in (np.arange(5), np.arange(150_000, 154_097), np.array([199_999, 0, 77])):
+        assert s.select_many(i).tolist() == v[i].tolist()
+
+
+def test_token_files_rows_of_one_id_have_one_order(llm_spark):
+    rows = [(5 if k % 3 else k, f"text number {k}") for k in range(600)]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(map(tuple, token_files.round_trip(docs.repartition(n), tokenizer_file("byte_bpe_50k.json"), shard_bytes=400).collect()), key=str) for n in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) == 600

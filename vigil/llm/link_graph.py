@@ -101,18 +101,21 @@ def host_ranks(seeds: DataFrame, links: DataFrame) -> DataFrame:
     moves = links.select(ways, "weight").select("w.*", "weight")
     total = moves.groupBy("kind", "giver").agg(F.sum("weight").alias("total"))
     moves = moves.join(total, ["kind", "giver"]).select("kind", F.col("giver").alias("host"), "taker", (F.col("weight") / F.col("total")).alias("share"))
-    alone = nodes.join(moves.select("host").distinct(), "host", "left_anti").select("kind", "host", F.col("host").alias("taker"), F.lit(1.0).alias("share"))
-    moves = materialize(moves.union(alone), "host_moves")
-    first = nodes.select("host", "kind", ((1 - DAMPING) * F.col("seed")).alias("rank"), F.lit(0.0).alias("old"))
-    state, mass = nodes.select("host", "kind", F.col("seed").alias("rank")), nodes.agg(F.sum("seed")).first()[0] or 0.0
+    alone = nodes.join(moves.select("host", "kind").distinct(), ["host", "kind"], "left_anti").select("kind", "host", F.col("host").alias("taker"), F.lit(1.0).alias("share"))
+    moves = moves.union(alone).withColumn("own", F.lit(0))
+    # one more row per node carries its seed and last rank along, so that a round is one join and one aggregate
+    own = nodes.select("kind", "host", F.col("host").alias("taker"), F.lit(0.0).alias("share"), F.lit(1).alias("own"))
+    moves = materialize(moves.union(own), "host_moves")
+    state, mass = nodes.select("host", "kind", F.col("seed").alias("rank"), "seed"), nodes.agg(F.sum("seed")).first()[0] or 0.0
+    rank = DAMPING * F.col("rank") * F.col("share") + (1 - DAMPING) * F.col("seed") * F.col("own")
     changed, step = mass, 0
     while changed > TOLERANCE * mass:
         for _ in range(ROUNDS_A_WRITE):
-            given = state.join(moves, ["host", "kind"]).select(F.col("taker").alias("host"), "kind", (DAMPING * F.col("rank") * F.col("share")).alias("rank"), F.lit(0.0).alias("old"))
-            kept = state.select("host", "kind", F.lit(0.0).alias("rank"), F.col("rank").alias("old"))
-            state = given.union(kept).union(first).groupBy("host", "kind").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old"))
+            given = state.join(moves, ["host", "kind"]).select(F.col("taker").alias("host"), "kind", rank.alias("rank"), (F.col("seed") * F.col("own")).alias("seed"),
+                                                               (F.col("rank") * F.col("own")).alias("old"))
+            state = given.groupBy("host", "kind").agg(*[F.sum(c).alias(c) for c in ("rank", "seed", "old")])
         seen, step = Observation(f"host_ranks_{step}"), step + 1
-        state = materialize(state.observe(seen, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("changed")), "host_ranks").select("host", "kind", "rank")
+        state = materialize(state.observe(seen, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("changed")), "host_ranks").drop("old")
         changed = seen.get["changed"] or 0.0
     return state.groupBy("host").agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
 

@@ -133,8 +133,9 @@ def test_severity_labels_thresholds(spark):
     assert labels == ["high", "medium", "low", "informational"]
 
 
-def test_min_shared_above_one_is_refused(spark):
-    import pytest
-    e = spark.createDataFrame([], "event_id string, fetched_at timestamp, clean_text string")
-    with pytest.raises(NotImplementedError):
-        C.hub_edges(e, e, e, CorrelationParams(min_shared_iocs=2))
+def test_min_shared_above_one_links_events_by_so_many_values(spark):
+    iocs = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "y"), ("c", "y"), ("c", "z")], "source_event_id string, normalized_value string")
+    e = spark.createDataFrame([(x,) for x in "abc"], "event_id string")
+    p = CorrelationParams(use_analysis_clusters=False, use_temporal_window=False, min_shared_iocs=2)
+    got = {r.event_id: r.component for r in C.event_components(e, iocs, None, p).collect()}
+    assert got["a"] == got["b"] != got["c"]

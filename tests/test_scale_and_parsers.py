@@ -58,7 +58,7 @@ def test_hot_and_null_keys_are_dealt_out(spark, hot):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        j = join_per_key(df, per_key, "k", "id")
+        j = join_per_key(df, per_key, "k", "id", rows="n", hot_rows=1000)
         rows = j.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
         assert sum(r["count"] for r in rows) == 20_000 and max(r["count"] for r in rows) < 10_000
         assert j.filter("k = 'hot' AND n != 18000").count() == 0
@@ -208,7 +208,7 @@ def test_text_clusters_by_fixed_centres(spark):
 
 
 def test_every_text_gets_a_prediction(spark):
-    weights = spark.createDataFrame([("d1", "x", 1.0)], "doc string, term string, weight double")
+    weights = spark.createDataFrame([("d1", "x", 1.0)], "doc string, term string, w double")
     coefs = spark.createDataFrame([("l", "x", 2.0)], "label string, term string, coef double")
     docs = spark.createDataFrame([("d1",), ("d2",)], "doc string")
     p = FE.softmax_predict(FE.linear_scores(weights, coefs, {"l": 0.0, "m": 0.5}, docs), ["l", "m"], 0.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -17,16 +18,47 @@ def _kw_array(keywords: Sequence[str]) -> Column:
     return F.array(*[F.lit(k) for k in keywords]) if keywords else F.array().cast("array<string>")
 
 
-def keyword_matches(lower_text: Column, keywords: Sequence[str]) -> Column:
-    """Keywords (in configured order) that occur as substrings of the lower-cased text."""
-    kws = [k.lower() for k in keywords]
-    return F.filter(_kw_array(kws), lambda k: F.contains(lower_text, k))
+def trie_pattern(keywords: Sequence[str]) -> str:
+    """One pattern that matches, at any place, the longest of the keywords that begin there.
+
+    Keywords share their beginnings, so a place of a text costs the letters it has in common with some keyword, not the number
+    of keywords.
+    """
+    root: dict = {}
+    for k in keywords:
+        node = root
+        for ch in k:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ends = "" in node
+        branches = [re.escape(ch) + pattern(child) for ch, child in sorted(node.items()) if ch]
+        if not branches:
+            return ""
+        first = "(?=[" + "".join(re.escape(ch) for ch in sorted(node) if ch) + "])" if len(branches) > 3 else ""  # one look at the letter
+        return f"(?:{first}(?:" + "|".join(branches) + "))" + ("?" if ends else "")
+
+    return pattern(root)
+
+
+def found_keywords(lower_text: Column, keywords: Sequence[str]) -> Column:
+    """Distinct longest keywords that begin somewhere in the text, by one scan; overlapping ones are all found."""
+    kws = sorted({k for k in keywords if k})
+    if not kws:
+        return F.array().cast("array<string>")
+    return F.array_distinct(F.regexp_extract_all(lower_text, F.lit(f"(?s)(?=({trie_pattern(kws)}))"), 1))
+
+
+def _held(found: Column, keywords: Sequence[str]) -> Column:
+    """The keywords (in configured order) that begin one of the found ones; an empty keyword stands in any text."""
+    return F.filter(_kw_array([k.lower() for k in keywords]), lambda k: F.when(k == "", found.isNotNull()).otherwise(F.exists(found, lambda f: f.startswith(k))))
 
 
 def keyword_match_struct(text: Column, label_keywords: Mapping[str, Sequence[str]]) -> Column:
-    """struct<label_i: matched keywords> (configured order), to be selected as its own column."""
-    lt = F.lower(text)
-    return F.struct(*[keyword_matches(lt, kws).alias(f"m{i}") for i, (_, kws) in enumerate(label_keywords.items())])
+    """struct<label_i: matched keywords> (configured order) of all labels, from one scan of the text; to be selected as its own column."""
+    found = found_keywords(F.lower(text), [k.lower() for kws in label_keywords.values() for k in kws])
+    return F.transform(F.array(found), lambda f: F.struct(*[_held(f, kws).alias(f"m{i}") for i, kws in enumerate(label_keywords.values())]))[0]
 
 
 def classify_from_matches(matches_col: Column, label_keywords: Mapping[str, Sequence[str]], min_confidence: float) -> Column:
@@ -46,9 +78,9 @@ def keyword_classify(text: Column, label_keywords: Mapping[str, Sequence[str]],
     if not label_keywords:
         return F.struct(F.lit("unknown").alias("label"), F.lit(0.0).alias("confidence"),
                         F.array().cast("array<string>").alias("explanation"))
-    lt = F.lower(text)
     labels = list(label_keywords.items())
-    return _classify(labels, [keyword_matches(lt, kws) for _, kws in labels], min_confidence)
+    matches = keyword_match_struct(text, label_keywords)
+    return _classify(labels, [matches[f"m{i}"] for i in range(len(labels))], min_confidence)
 
 
 def _classify(labels, matches, min_confidence: float) -> Column:
@@ -68,16 +100,10 @@ def _classify(labels, matches, min_confidence: float) -> Column:
 
 
 def mitre_tactics(text: Column, tactics: Sequence[tuple[str, Sequence[str]]] = MITRE_TACTICS) -> Column:
-    """Ordered tactics whose keywords occur in the lower-cased text."""
-    lt = F.lower(text)
-    hits = []
-    for tactic, kws in tactics:
-        cond = None
-        for k in kws:
-            c = F.contains(lt, F.lit(k))
-            cond = c if cond is None else (cond | c)
-        hits.append(F.when(cond, F.lit(tactic)))
-    return F.array_compact(F.array(*hits))
+    """Ordered tactics whose keywords occur in the lower-cased text, from one scan of it."""
+    found = found_keywords(F.lower(text), [k for _, kws in tactics for k in kws])
+    hit = F.transform(F.array(found), lambda f: F.array(*[F.when(F.size(_held(f, kws)) > 0, F.lit(tactic)) for tactic, kws in tactics]))[0]
+    return F.array_compact(hit)
 
 
 def merge_keywords(primary: Mapping[str, Sequence[str]], extra: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
@@ -98,8 +124,6 @@ def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:
     such keyword occurrence (word boundaries as look-arounds), and the
     distinct matches are counted; other keywords are substring tests.
     """
-    import re
-
     lt = F.lower(text)
     distinct: list[str] = []
     for k in keywords:
@@ -112,9 +136,8 @@ def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:
     others = [k for k in distinct if k not in words]
     total = F.lit(0)
     if words:
-        alt = "|".join(sorted(words, key=len, reverse=True))
-        pattern = f"(?<!{WORD})(?:{alt})(?!{WORD})"
+        pattern = f"(?<!{WORD}){trie_pattern(words)}(?!{WORD})"
         total = total + F.size(F.array_distinct(F.regexp_extract_all(lt, F.lit(pattern), 0)))
-    for kk in others:
-        total = total + F.when(F.contains(lt, F.lit(kk)), 1).otherwise(0)
+    if others:
+        total = total + F.transform(F.array(found_keywords(lt, others)), lambda f: F.size(_held(f, others)))[0]
     return F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(total)

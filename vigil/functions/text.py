@@ -7,7 +7,7 @@ runs inside whole-stage codegen next to the scan.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,11 +30,15 @@ _MARKUP_STEPS: list[tuple[str, str]] = [
     (r"(?s)<\?[^>]*>", " "),
     (r"(?s)</?[A-Za-z][^>]*>", " "),
 ]
-# Character references are decoded in one pass after tag removal, so "&amp;lt;" becomes "&lt;". Names are those of the
-# HTML 4 standard; numbers 128-159 stand for Windows-1252 characters and impossible numbers for U+FFFD, as browsers have it.
-NAMED_REFERENCES: dict[str, str] = {"apos": "'"} | {name: chr(code) for name, code in sorted(name2codepoint.items())}
-LATIN_REFERENCES: dict[int, str] = {c: bytes([c]).decode("cp1252") for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
-REFERENCE_PARTS = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
+# Character references are decoded in one pass after tag removal, so "&amp;lt;" becomes "&lt;", by the rules of HTML 5: all of its names, the
+# old ones also without a semicolon and with letters after them; numbers 128-159 stand for Windows-1252 characters, impossible
+# numbers for U+FFFD, and numbers of non-characters for nothing.
+NAMED_REFERENCES: dict[str, str] = dict(sorted(html5.items()))  # with their semicolons, where they need one
+COMMON_REFERENCES = ("amp;", "lt;", "gt;", "quot;", "apos;", "nbsp;", "copy;", "middot;")  # looked up first
+OLD_NAMES = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n)))
+LATIN_REFERENCES: dict[int, str] = {c: bytes([c]).decode("cp1252") for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)} | {0x0D: "\r", 0x81: "\x81",
+                                    0x8D: "\x8d", 0x8F: "\x8f", 0x90: "\x90", 0x9D: "\x9d"}
+REFERENCE_PARTS = r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&"
 
 
 def py_strip(c: Column) -> Column:
@@ -48,21 +52,28 @@ def _literal_map(pairs: dict) -> Column:
 
 def decode_references(c: Column) -> Column:
     """Named and numeric character references -> characters; unknown names stay."""
+    common = _literal_map({n: NAMED_REFERENCES[n] for n in COMMON_REFERENCES})
     named, latin = _literal_map(NAMED_REFERENCES), _literal_map(LATIN_REFERENCES)
 
-    def character(code: Column) -> Column:
+    def character(digits: Column, base: int) -> Column:
+        short = F.regexp_replace(F.rtrim(digits, F.lit(";")), "^0+(?=.)", "")
+        code = F.when(F.length(short) <= 8, F.conv(short, base, 10).cast("long"))
         wrong = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        none = code.between(1, 8) | code.between(0x0E, 0x1F) | code.between(0x7F, 0x9F) | code.between(0xFDD0, 0xFDEF) | (code == 0x0B) | (code % 65536 >= 0xFFFE)
         plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(wrong, F.lit("\ufffd")).otherwise(F.coalesce(F.try_element_at(latin, code.cast("int")), plain))
+        return F.when(wrong, F.lit("\ufffd")).otherwise(F.coalesce(F.try_element_at(latin, code.cast("int")), F.when(none, F.lit("")), plain))
+
+    def by_name(name: Column) -> Column:
+        old = F.regexp_extract(name, f"^(?:{OLD_NAMES})", 0)
+        longest = F.when(old != "", F.concat(F.try_element_at(named, old), F.substring(name, F.length(old) + 1, F.length(name))))
+        return F.coalesce(F.try_element_at(common, name), F.try_element_at(named, name), longest, F.concat(F.lit("&"), name))
 
     def decoded(part: Column) -> Column:
-        number = F.substring(part, F.lit(3), F.length(part) - 3)
-        hexadecimal = F.conv(F.substring(part, F.lit(4), F.length(part) - 4), 16, 10).cast("long")
-        name = F.substring(part, F.lit(2), F.length(part) - 2)
+        rest = F.substring(part, F.lit(3), F.length(part))
         return F.when(~part.startswith("&") | (part == "&"), part) \
-            .when(part.startswith("&#x") | part.startswith("&#X"), character(hexadecimal)) \
-            .when(part.startswith("&#"), character(number.cast("long"))) \
-            .otherwise(F.coalesce(F.try_element_at(named, name), part))
+            .when(part.rlike("^&#[xX][0-9A-Fa-f]"), character(F.substring(part, F.lit(4), F.length(part)), 16)) \
+            .when(part.rlike("^&#[0-9]"), character(rest, 10)) \
+            .otherwise(by_name(F.substring(part, F.lit(2), F.length(part))))
 
     parts = F.regexp_extract_all(c, F.lit(REFERENCE_PARTS), 0)
     return F.when(c.contains("&"), F.array_join(F.transform(parts, decoded), "")).otherwise(c)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.keywords import mitre_tactics
 from vigil.operators.graph import connected_components, dense_rank_by
+from vigil.operators.overlap import overlap_links
 from vigil.operators.score import clip01
 from vigil.operators.skew import join_per_key
 from vigil.params import CorrelationParams
@@ -39,7 +40,7 @@ def shared_iocs(iocs: DataFrame) -> DataFrame:
     is never gathered in one place.
     """
     idx = ioc_index(iocs)
-    multi = value_event_counts(idx).filter("n_events >= 2").select("value")
+    multi = value_event_counts(idx).filter("n_events >= 2")
     return join_per_key(idx, multi, "value", "event_id", "inner").groupBy("event_id").agg(
         F.sort_array(F.collect_list("value")).alias("shared_iocs"),
         F.count(F.lit(1)).alias("n_shared"))
@@ -49,7 +50,7 @@ def event_windows(norm: DataFrame, window_hours: int = 24) -> DataFrame:
     """(event_id, fetched_at, temporal_cluster, window_size)."""
     ev = norm.select("event_id", "fetched_at", temporal_key(F.col("fetched_at"), window_hours).alias("temporal_cluster"))
     sizes = ev.groupBy("temporal_cluster").agg(F.count(F.lit(1)).alias("window_size"))
-    return join_per_key(ev, sizes, "temporal_cluster", "event_id")
+    return join_per_key(ev, sizes, "temporal_cluster", "event_id", rows="window_size")
 
 
 def temporal_groups(norm: DataFrame, window_hours: int = 24) -> DataFrame:
@@ -65,16 +66,18 @@ def cluster_groups(analysis: DataFrame) -> DataFrame:
 
 def hub_edges(norm: DataFrame, iocs: DataFrame, analysis: DataFrame, p: CorrelationParams) -> DataFrame:
     """Star edges event -> hub for every linking group with at least two events."""
-    if p.min_shared_iocs != 1:
-        raise NotImplementedError("min_shared_iocs > 1 needs event pairs; only the star form (1) is provided")
     idx = ioc_index(iocs)
-    multi = value_event_counts(idx).filter("n_events >= 2").select("value")
-    edges = join_per_key(idx, multi, "value", "event_id", "inner").select(
-        F.col("event_id").alias("src"), F.concat(F.lit(HUB_IOC), F.col("value")).alias("dst"),
-        F.lit("shared_ioc").alias("reason"))
+    if p.min_shared_iocs > 1:
+        edges = overlap_links(idx, "event_id", "value", p.min_shared_iocs).select(
+            F.col("member").alias("src"), F.concat(F.lit(HUB_IOC), F.col("hub")).alias("dst"), F.lit("shared_ioc").alias("reason"))
+    else:
+        multi = value_event_counts(idx).filter("n_events >= 2")
+        edges = join_per_key(idx, multi, "value", "event_id", "inner").select(
+            F.col("event_id").alias("src"), F.concat(F.lit(HUB_IOC), F.col("value")).alias("dst"),
+            F.lit("shared_ioc").alias("reason"))
     if p.use_analysis_clusters:
         a = analysis.filter(F.col("cluster_id").isNotNull()).select("event_id", "cluster_id")
-        big = a.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("cluster_id")
+        big = a.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_events")).filter("n_events >= 2")
         edges = edges.unionByName(join_per_key(a, big, "cluster_id", "event_id", "inner").select(
             F.col("event_id").alias("src"),
             F.concat(F.lit(HUB_CLUSTER), F.col("cluster_id").cast("string")).alias("dst"),
@@ -115,7 +118,7 @@ def campaign_membership(norm: DataFrame, iocs: DataFrame, analysis: DataFrame,
     first = first.withColumn("order_key", F.concat(F.when(F.col("first.unk"), "1").otherwise("0"), F.col("first.eid")))
     ranked = dense_rank_by(first.select("component", "component_size", "order_key"), "order_key", "component_number")
     # one component may hold nearly all events
-    out = join_per_key(ec, ranked.select("component", "component_size", "component_number"), "component", "event_id", "inner")
+    out = join_per_key(ec, ranked.select("component", "component_size", "component_number"), "component", "event_id", "inner", rows="component_size")
     return out.select(
         "event_id", "known", "component_number", "component_size",
         F.when(F.col("component_size") >= p.min_campaign_size,

@@ -8,6 +8,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.session import materialize
+
+HOT_TERMS = 50_000  # rows of a broadcast term table at most
+HOT_CHARS = 200
 # Own choice: a short English stop-word list (the list is a parameter; libraries differ).
 CLUSTER_STOP_WORDS = [
     "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its",
@@ -36,10 +40,21 @@ def terms(text: Column, ngram_max: int = 2, stop_words: Sequence[str] = CLUSTER_
     return F.concat(u, F.when(F.size(u) >= 2, bi).otherwise(F.array().cast("array<string>")))
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:
-    """(doc, term, tf) long form; the explode stays inside each document's task."""
-    ex = docs.select(F.col(id_col).alias("doc"), F.explode(terms(F.col(text_col), **kw)).alias("term"))
-    return ex.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_rows(docs: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:
+    """(doc, tfs): each row's distinct terms with their counts, as one sorted array; written once, no shuffle.
+
+    Counting is a run-length over the row's sorted terms, so a term table of the corpus is never grouped by document.
+    """
+    t = docs.select(F.col(id_col).alias("doc"), F.sort_array(terms(F.col(text_col), **kw)).alias("t")).filter(F.size("t") > 0)
+    first = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    t = t.withColumn("first", first)
+    tfs = F.transform("first", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("first", k + 1), F.size("t")) - i).cast("long").alias("tf")))
+    return materialize(t.select("doc", tfs.alias("tfs")), "terms")
+
+
+def term_counts(rows: DataFrame) -> DataFrame:
+    """(doc, term, tf) long form of ``term_rows``."""
+    return rows.select("doc", F.inline("tfs"))
 
 
 def vocabulary(tc: DataFrame, n_docs: int, max_features: int | None = None, min_df: float = 1,
@@ -54,14 +69,27 @@ def vocabulary(tc: DataFrame, n_docs: int, max_features: int | None = None, min_
     return v
 
 
-def tfidf(tc: DataFrame, vocab: DataFrame, n_docs: int) -> DataFrame:
-    """(doc, term, weight): tf * (ln((1+N)/(1+df)) + 1), L2-normalised per document.
+def term_weights(rows: DataFrame, vocab: DataFrame, n_docs: int) -> DataFrame:
+    """(doc, term, w) with w = tf * (ln((1+N)/(1+df)) + 1), not normalised, for the terms of ``vocab`` (term, df).
 
-    The vocabulary grows with the corpus, so it meets the counts in an ordinary join on the term; the
-    per-document norm is a window over one document's terms.
+    Terms with the highest document counts stand in most rows: at most ``HOT_TERMS`` terms can have ``total / HOT_TERMS`` postings or
+    more, so these are looked up where the rows are, by a broadcast of that many rows. All other postings meet the vocabulary in
+    a sort-merge join on the term, where no term has more than that share of them.
     """
-    idf = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    w = tc.join(idf, "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    vocab = materialize(vocab.select("term", "df", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")), "vocabulary")
+    total = vocab.agg(F.sum("df")).first()[0] or 0
+    is_hot = (F.col("df") >= max(2, -(-total // HOT_TERMS))) & (F.length("term") <= HOT_CHARS)
+    hot = vocab.filter(is_hot).select("term", "idf")
+    postings = term_counts(rows)
+    common = postings.join(F.broadcast(hot), "term")
+    rest = postings.join(F.broadcast(hot.select("term")), "term", "left_anti")
+    rare = rest.hint("merge").join(vocab.filter(~is_hot).select("term", "idf").hint("merge"), "term")
+    return common.unionByName(rare).select("doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
+
+
+def tfidf(rows: DataFrame, vocab: DataFrame, n_docs: int) -> DataFrame:
+    """(doc, term, weight): ``term_weights``, L2-normalised per document."""
+    w = term_weights(rows, vocab, n_docs)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
     return w.select("doc", "term", (F.col("w") / norm).alias("weight"))
 
@@ -122,9 +150,8 @@ def text_clusters(docs: DataFrame, id_col: str, text_col: str, centres: Sequence
     Distances come from sums per text (|x|^2 = 1, x.c over the centre's terms), so a row is never gathered as a dense
     vector; a text without terms is the zero vector. Distances are compared at 9 decimals, ties go to the first centre.
     """
-    tc = term_counts(docs, id_col, text_col, **kw)
-    idf = F.log((F.lit(1.0) + F.lit(docs.count())) / (F.lit(1.0) + F.col("df"))) + 1.0
-    w = tc.join(vocabulary(tc, 0, max_df=float("inf")).select("term", idf.alias("idf")), "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    rows = term_rows(docs, id_col, text_col, **kw)
+    w = term_weights(rows, vocabulary(term_counts(rows), 0, max_df=float("inf")), docs.count())
 
     def weight_in(centre: Mapping[str, float]) -> Column:
         table = F.create_map(*[x for t, c in centre.items() for x in (F.lit(t), F.lit(float(c)))])
@@ -140,15 +167,24 @@ def text_clusters(docs: DataFrame, id_col: str, text_col: str, centres: Sequence
 
 
 def linear_scores(weights: DataFrame, coefs: DataFrame, intercepts: Mapping[str, float], docs: DataFrame) -> DataFrame:
-    """(doc, label, score) = intercept + sum of tf-idf weight x coefficient; every label for every row of ``docs`` (doc),
-    also for texts without a known term."""
-    s = weights.join(coefs, "term").groupBy("doc", "label").agg(
-        F.sum(F.col("weight") * F.col("coef")).alias("s"))
-    labels = F.array(*[F.lit(lab) for lab in intercepts])
-    base = docs.select("doc", F.explode(labels).alias("label"))
-    icpt = F.create_map(*[x for k, v in intercepts.items() for x in (F.lit(k), F.lit(float(v)))])
-    return base.join(s, ["doc", "label"], "left").select(
-        "doc", "label", (F.element_at(icpt, F.col("label")) + F.coalesce("s", F.lit(0.0))).alias("score"))
+    """(doc, label, score) = intercept + sum of normalised weight x coefficient; every label for every row of ``docs`` (doc),
+    also for texts without a known term.
+
+    ``weights`` are ``term_weights``: the coefficients (one row a term, size checked) go to where the weights are, and norm and products are
+    sums per document in one aggregate.
+    """
+    labels = list(intercepts)
+    wide = lookup_side(coefs.groupBy("term").agg(*[F.max(F.when(F.col("label") == lab, F.col("coef"))).alias(f"c{k}") for k, lab in enumerate(labels)]))
+    sums = weights.join(wide, "term", "left").groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *[F.sum(F.col("w") * F.col(f"c{k}")).alias(f"s{k}") for k in range(len(labels))])
+    each = F.array(*[F.struct(F.lit(lab).alias("label"), (F.lit(float(intercepts[lab])) + F.coalesce(F.col(f"s{k}") / F.col("norm"), F.lit(0.0))).alias("score"))
+                     for k, lab in enumerate(labels)])
+    return docs.select("doc").join(sums, "doc", "left").select("doc", F.inline(each))
+
+
+def lookup_side(table: DataFrame, max_rows: int = HOT_TERMS) -> DataFrame:
+    """``table`` written once, to be broadcast if it has at most ``max_rows`` rows and to be merged otherwise."""
+    table = materialize(table, "lookup")
+    return F.broadcast(table) if table.count() <= max_rows else table.hint("merge")
 
 
 def softmax_predict(scores: DataFrame, label_order: Sequence[str], min_confidence: float) -> DataFrame:
@@ -164,11 +200,9 @@ def softmax_predict(scores: DataFrame, label_order: Sequence[str], min_confidenc
 
 
 def explain(weights: DataFrame, coefs: DataFrame, predictions: DataFrame, top_n: int = 5) -> DataFrame:
-    """(doc, terms): top-n terms by weight x coefficient of the predicted label, descending."""
-    j = weights.join(coefs, "term").join(
+    """(doc, terms): top-n terms by weight x coefficient of the predicted label, descending; a row's norm does not change their order."""
+    j = weights.join(lookup_side(coefs.select("term", "label", "coef")), "term").join(
         predictions.filter(F.col("label") != "unknown").select("doc", "label"), ["doc", "label"])
-    c = j.select("doc", "term", (F.col("weight") * F.col("coef")).alias("c"))
-    r = c.withColumn("_rn", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("c"), F.asc("term"))))
-    top = r.filter(F.col("_rn") <= top_n)
-    return top.groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", "term"))),
-                                              lambda x: x["term"]).alias("terms"))
+    c = j.select("doc", F.struct((-F.col("w") * F.col("coef")).alias("c"), "term").alias("x"))
+    top = c.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list("x")), 1, top_n).alias("top"))  # terms of one text
+    return top.select("doc", F.transform("top", lambda x: x["term"]).alias("terms"))

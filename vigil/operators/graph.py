@@ -1,71 +1,74 @@
-"""Connected components over an edge DataFrame.
-
-Min-label propagation with pointer jumping: each round every node takes the
-smallest label among itself and its neighbours, then jumps to its label's
-label. Labels only decrease and always name a node of the same component, so
-at the fixed point every node carries the smallest node id of its component.
-Rounds are O(log diameter) in practice. Every round is checkpointed to the
-shared checkpoint folder, so lineage stays short and a lost executor only
-recomputes one round.
-
-Groups are linked through hub nodes (star edges) rather than cliques, so the
-edge count stays linear in the membership rows even when one hub holds a
-third of all events; hub keys are skewed join keys, which AQE's skew-join
-splitting handles, and the min-aggregations combine map-side.
+"""Connected components over an edge DataFrame, and global ranks.
+
+Components are found by star contraction over 64-bit node numbers. An edge goes from its larger to its smaller end. Each round, a node that has one
+edge and no other leaves the edge table with a pointer to its only neighbour; then every larger end of a
+node is hooked to the smallest neighbour of that node (large star), and every smaller end of a node to that node's smallest one (small
+star). So settled components leave at once, and the number of rounds is logarithmic in practice, chains included. At the end the pointers
+are followed back, round by round.
+
+Groups are linked through hub nodes (star edges) rather than cliques, so the edge count stays linear in the membership rows even when one hub
+holds most events. Each round is written to the shared checkpoint folder; aggregates combine before the shuffle; a hub is a skewed join
+key, which AQE splits.
 """
 
 from __future__ import annotations
 
+import logging
 from itertools import count
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.session import ensure_checkpoint_dir, materialize
 
+log = logging.getLogger(__name__)
+
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) for every node in ``nodes`` or in an edge.
 
-    ``nodes`` has a column ``node``; ``edges`` has ``src`` and ``dst``. The
-    component is the smallest node id in it (string order).
+    ``nodes`` has a column ``node``; ``edges`` has ``src`` and ``dst``. The component is the smallest node id in it (string order).
     """
-    spark = nodes.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(nodes.sparkSession)
     e = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")) \
         .filter(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = materialize(both, "cc_edges")
-    all_nodes = nodes.select(F.col("node").cast("string").alias("node")) \
-        .unionByName(both.select(F.col("src").alias("node"))).distinct()
-    # round 0 without a label join: every node starts at min(itself, its neighbours)
-    seed = both.groupBy("src").agg(F.min("dst").alias("nmin")).withColumnRenamed("src", "node")
-    labels = materialize(all_nodes.join(seed, "node", "left").select(
-        "node", F.least(F.col("node"), F.coalesce(F.col("nmin"), F.col("node"))).alias("label")), "cc_labels")
-
-    def jump(df: DataFrame) -> DataFrame:
-        """label <- label(label): follow the pointer one step."""
-        return df.alias("a").join(
-            df.select(F.col("node").alias("jn"), F.col("label").alias("jl")).alias("b"),
-            F.col("a.label") == F.col("b.jn"), "left",
-        ).select("node", "old", F.least(F.col("label"), F.coalesce(F.col("jl"), F.col("label"))).alias("label"))
-
-    for i in count():  # labels only fall, so this ends
-        nbr = both.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("nl")), "dst") \
-            .groupBy("src").agg(F.min("nl").alias("nmin"))
-        prop = labels.join(nbr.withColumnRenamed("src", "node"), "node", "left").select(
-            "node", F.col("label").alias("old"),
-            F.least(F.col("label"), F.coalesce(F.col("nmin"), F.col("label"))).alias("label"))
-        jumped = jump(prop)
-        # the convergence count rides on the materialising write (no extra job)
-        obs = Observation(f"cc_round_{i}")
-        jumped = materialize(jumped.observe(obs, F.sum((F.col("label") != F.col("old")).cast("long")).alias("changed")),
-                             "cc_round")
-        changed = obs.get["changed"] or 0
-        labels = jumped.select("node", "label")
-        if changed == 0:
+    e = materialize(e, "cc_edges")
+    names = nodes.select(F.col("node").cast("string").alias("node")).union(e.select("src")).union(e.select("dst")).distinct()
+    names = materialize(names.withColumn("id", F.monotonically_increasing_id()), "cc_nodes")
+    a, b = (names.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id")) for end in ("src", "dst"))
+    ids = e.join(a, "src").join(b, "dst")
+    roots = component_ids(ids.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")))
+    found = names.join(roots, "id", "left").select("node", F.coalesce("root", "id").alias("root"))
+    first = found.groupBy("root").agg(F.min("node").alias("component"))
+    return found.join(first, "root").select("node", "component")
+
+
+def component_ids(links: DataFrame) -> DataFrame:
+    """(id, root) for the nodes of ``links`` (a, b: long) that are not roots themselves; equal roots mean equal components."""
+    edges = materialize(links.filter("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "cc_round")
+    left, n_edges = [], edges.count()
+    for step in count():
+        if not n_edges:
             break
-    return labels.select("node", F.col("label").alias("component"))
+        ends = edges.select(F.explode(F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")), F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")))).alias("x")).select("x.*")
+        stats = ends.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count_if(F.col("v") < F.col("u")).alias("n_low"), F.count_if(F.col("v") > F.col("u")).alias("n_high"))
+        low = stats.select(F.col("u").alias("lo"), "m")
+        high = stats.filter("n_low > 0").select(F.col("u").alias("hi"), ((F.col("n_low") == 1) & (F.col("n_high") == 0)).alias("leaf"))
+        seen = materialize(edges.join(low, "lo").join(high, "hi").select("hi", F.when(F.col("leaf"), F.col("lo")).otherwise(F.col("m")).alias("lo"), "leaf"), "cc_large")
+        left.append(seen.filter("leaf").select(F.col("hi").alias("id"), F.col("lo").alias("parent")))
+        rest = seen.filter("NOT leaf").select("hi", "lo").distinct()
+        smallest = rest.groupBy("hi").agg(F.min("lo").alias("m"))
+        hooked = rest.join(smallest, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("x"))
+        edges = materialize(hooked.select("x.*").filter("hi > lo").distinct(), "cc_round")
+        before, n_edges = n_edges, edges.count()
+        log.info("components, round %d: %d edges, then %d", step, before, n_edges)
+    if not left:
+        return links.select(F.col("a").alias("id"), F.col("b").alias("root")).limit(0)
+    roots = left[-1].select("id", F.col("parent").alias("root"))
+    for pointers in left[-2::-1]:
+        more = pointers.join(roots.select(F.col("id").alias("parent"), "root"), "parent", "left").select("id", F.coalesce("root", "parent").alias("root"))
+        roots = materialize(roots.unionByName(more), "cc_roots")
+    return roots
 
 
 def global_rank(df: DataFrame, order: list, rank_col: str = "rank") -> DataFrame:

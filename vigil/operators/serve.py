@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.operators import pages
 from vigil.params import SEVERITY_LABELS
 
 EVENTS_MAX_LIMIT = 500
@@ -46,30 +47,35 @@ def summary(scores: DataFrame, analysis: DataFrame, campaigns: DataFrame, stored
             .unionByName(counts(sector_counts(analysis), "sector", "sector")))
 
 
-def events(scores: DataFrame, analysis: DataFrame, norm: DataFrame, correlation: DataFrame,
-           severity: str | None = None, incident: str | None = None, sector: str | None = None,
-           limit: int = 50, offset: int = 0) -> DataFrame:
-    """Event listing: filters pushed to each side, severity descending (event id breaks ties), paged."""
-    if not 1 <= limit <= EVENTS_MAX_LIMIT or offset < 0:
-        raise ValueError("limit must be 1..500 and offset >= 0")
+EVENT_FILTERS = ["severity_label", "incident_type", "sector"]
+
+
+def event_order() -> list:
+    return [F.desc("severity"), F.asc("event_id")]
+
+
+def event_listing(scores: DataFrame, analysis: DataFrame, norm: DataFrame, correlation: DataFrame) -> DataFrame:
+    """All rows of the event listing."""
     s = scores.select("event_id", "severity", "severity_label", "confidence")
     a = analysis.select("event_id", "incident_type", "sector")
-    if severity:
-        s = s.filter(F.col("severity_label") == severity)
-    if incident:
-        a = a.filter(F.col("incident_type") == incident)
-    if sector:
-        a = a.filter(F.col("sector") == sector)
     n = norm.select("event_id", "fetched_at", "source", "source_url")
     c = correlation.select("event_id", "mitre_tactics", "campaign_id")
-    # order and cut on keys first; the wide columns are looked up for one page
-    page = s.join(a, "event_id").join(n.select("event_id"), "event_id", "left_semi") \
-        .orderBy(F.desc("severity"), F.asc("event_id")).offset(offset).limit(limit)
-    df = F.broadcast(page).join(n, "event_id").join(c, "event_id", "left")
-    df = df.select("event_id", "incident_type", "sector", "severity", "severity_label", "confidence", "fetched_at",
-                   "source", "source_url", F.coalesce("mitre_tactics", F.array().cast("array<string>")).alias("mitre_tactics"),
-                   "campaign_id")
-    return df.orderBy(F.desc("severity"), F.asc("event_id"))
+    return s.join(a, "event_id").join(n, "event_id").join(c, "event_id", "left").select(
+        "event_id", "incident_type", "sector", "severity", "severity_label", "confidence", "fetched_at",
+        "source", "source_url", F.coalesce("mitre_tactics", F.array().cast("array<string>")).alias("mitre_tactics"), "campaign_id")
+
+
+def write_event_pages(path: str, listing: DataFrame, rows_a_file: int = pages.ROWS_A_FILE) -> None:
+    """The event listing clustered by severity and id, with an index by file and filter values."""
+    pages.write_clustered(listing, event_order(), path, EVENT_FILTERS, rows_a_file)
+
+
+def events(spark: SparkSession, path: str, severity: str | None = None, incident: str | None = None, sector: str | None = None,
+           limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of the event listing at ``path``: severity descending (event id breaks ties), filtered."""
+    if not 1 <= limit <= EVENTS_MAX_LIMIT or offset < 0:
+        raise ValueError("limit must be 1..500 and offset >= 0")
+    return pages.read_page(spark, path, event_order(), limit, offset, severity_label=severity, incident_type=incident, sector=sector)
 
 
 def event_detail(event_id: str, scores: DataFrame, analysis: DataFrame, norm: DataFrame,
@@ -104,8 +110,13 @@ def campaign_members(membership: DataFrame, campaign_id: str | None = None, afte
     return page.limit(limit) if limit else page
 
 
-def ioc_page(stored_iocs: DataFrame, id_col: str = "id", limit: int = 100, offset: int = 0) -> DataFrame:
-    """Newest surrogate id first, paged."""
+def write_ioc_pages(path: str, stored_iocs: DataFrame, id_col: str = "id", rows_a_file: int = pages.ROWS_A_FILE) -> None:
+    """Stored indicators clustered by surrogate id, newest first, with an index by file."""
+    pages.write_clustered(stored_iocs, [F.desc(id_col)], path, [], rows_a_file)
+
+
+def ioc_page(spark: SparkSession, path: str, id_col: str = "id", limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of the indicators at ``path``, newest surrogate id first."""
     if not 1 <= limit <= IOCS_MAX_LIMIT or offset < 0:
         raise ValueError("limit must be 1..1000 and offset >= 0")
-    return stored_iocs.orderBy(F.desc(id_col)).offset(offset).limit(limit)
+    return pages.read_page(spark, path, [F.desc(id_col)], limit, offset)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from vigil.params import IOC_PATTERNS, LANGUAGE_PROFILES, MITRE_TACTICS, PUBLIC_SUFFIXES, TOKEN_PATTERN
+from vigil.operators import clusters as K
 from vigil.plans import views as V
 
 WS = r"[\t\n\x0B\f\r \x{1C}-\x{1F}\x{85}\p{Z}]"
@@ -187,23 +188,51 @@ ioc AS (
   FROM ioc_hits)"""
 
 
-def cte_clusters(centres=V.TEST_CENTRES) -> str:
-    """Nearest centre of each text's TF-IDF row over single words."""
-    sums = ", ".join("sum(w * CASE term " + " ".join(f"WHEN {q(t)} THEN {float(c)}" for t, c in centre.items()) + f" ELSE 0.0 END) AS s{k}"
-                     for k, centre in enumerate(centres))
-    dists = ", ".join(f"round(sqrt(greatest(0.0, CASE WHEN n2 IS NULL THEN 0.0 ELSE 1.0 - 2 * s{k} / sqrt(n2) END + {sum(v * v for v in c.values())!r})), 9)"
-                      for k, c in enumerate(centres))
-    return f"""tfc AS (
+def cte_clusters(max_features: int = V.TEST_FEATURES, src: str = "norm", text: str = "clean_text", k: int = 10) -> str:
+    """Mini-batch k-means over the TF-IDF rows of single words, seeds and batches drawn from hashes (k: the automatic number for 30 rows and more)."""
+    def distance(n2: str, c2: str, dot: str) -> str:
+        return f"round(sqrt(greatest({n2} + {c2} - 2 * {dot}, 0)), {K.DIGITS})"
+
+    ctes = [f"""tfc AS (
   SELECT doc, term, count(*) AS tf FROM (
-    SELECT event_id AS doc, unnest(list_filter(regexp_extract_all(lower(clean_text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 2)) AS term FROM norm)
+    SELECT event_id AS doc, unnest(list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 2)) AS term FROM {src})
   GROUP BY doc, term),
-tdf AS (SELECT term, count(*) AS df FROM tfc GROUP BY term),
-twt AS (SELECT doc, term, tf * (ln((1.0 + (SELECT count(*) FROM norm)) / (1.0 + df)) + 1.0) AS w FROM tfc JOIN tdf USING (term)),
-tsum AS (SELECT doc, sum(w * w) AS n2, {sums} FROM twt GROUP BY doc),
-tdist AS (SELECT event_id, [{dists}] AS d FROM norm LEFT JOIN tsum ON doc = event_id),
-clu AS (SELECT event_id, list_position(d, list_min(d)) - 1 AS cluster_id,
-               CASE WHEN list_max(d) <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 1.0 - list_min(d) / (list_max(d) + 1e-6))) END AS cluster_confidence
-        FROM tdist)"""
+tdf AS (SELECT term, count(*) AS df FROM tfc GROUP BY term ORDER BY sum(tf) DESC, term LIMIT {max_features}),
+twt AS (SELECT doc, term, tf * (ln((1.0 + (SELECT count(*) FROM {src})) / (1.0 + df)) + 1.0) AS w FROM tfc JOIN tdf USING (term)),
+vec AS MATERIALIZED (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS w FROM twt),
+vrow AS MATERIALIZED (
+  SELECT event_id AS doc, coalesce(n2, 0.0) AS n2, ('0x' || substr(md5('{K.SEED}|batch|' || event_id), 1, 8))::BIGINT % {K.BATCHES} AS batch
+  FROM {src} LEFT JOIN (SELECT doc, sum(w * w) AS n2 FROM vec GROUP BY doc) ON doc = event_id),
+smp AS MATERIALIZED (SELECT doc, n2 FROM vrow ORDER BY md5('{K.SEED}|seed|' || doc), doc LIMIT {K.SEED_ROWS}),
+sdot AS MATERIALIZED (
+  SELECT a.doc AS a, b.doc AS b, round(a.n2 + b.n2 - 2 * coalesce(d.dot, 0), {K.DIGITS}) AS gap
+  FROM smp a CROSS JOIN smp b LEFT JOIN (
+    SELECT x.doc AS a, y.doc AS b, sum(x.w * y.w) AS dot FROM vec x JOIN vec y USING (term) SEMI JOIN smp s ON s.doc = x.doc SEMI JOIN smp r ON r.doc = y.doc
+    GROUP BY x.doc, y.doc) d ON d.a = a.doc AND d.b = b.doc),
+pick0 AS MATERIALIZED (SELECT doc, 0 AS c FROM smp ORDER BY md5('{K.SEED}|seed|' || doc), doc LIMIT 1)"""]
+    for s in range(1, k):
+        ctes.append(f"""pick{s} AS MATERIALIZED (
+  SELECT * FROM pick{s - 1} UNION ALL
+  SELECT * FROM (
+    SELECT a, {s} FROM (SELECT a, min(gap) AS gap FROM sdot JOIN pick{s - 1} ON b = doc GROUP BY a) WHERE gap > 0
+    ORDER BY ln((('0x' || substr(md5('{K.SEED}|{s}|' || a), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / gap DESC, a LIMIT 1))""")
+    ctes.append(f"cen0 AS MATERIALIZED (SELECT c, term, w FROM pick{k - 1} JOIN vec USING (doc)),\ncnt0 AS (SELECT c, 0 AS n FROM pick{k - 1})")
+    for b in range(K.BATCHES + 1):
+        rows = f"(SELECT * FROM vrow WHERE batch = {b})" if b < K.BATCHES else "vrow"
+        ctes.append(f"""dst{b} AS MATERIALIZED (
+  SELECT r.doc, k.c, {distance('r.n2', 'coalesce(k.c2, 0)', 'coalesce(d.dot, 0)')} AS d
+  FROM {rows} r CROSS JOIN (SELECT c, c2 FROM cnt{b} LEFT JOIN (SELECT c, sum(w * w) AS c2 FROM cen{b} GROUP BY c) USING (c)) k
+  LEFT JOIN (SELECT v.doc, e.c, sum(v.w * e.w) AS dot FROM vec v JOIN cen{b} e USING (term) GROUP BY v.doc, e.c) d ON d.doc = r.doc AND d.c = k.c)""")
+        if b < K.BATCHES:
+            ctes.append(f"""asg{b} AS MATERIALIZED (SELECT doc, arg_min(c, (d, c)) AS c FROM dst{b} GROUP BY doc),
+cnt{b + 1} AS MATERIALIZED (SELECT c, k.n + coalesce(m.n, 0) AS n, coalesce(m.n, 0) AS m, k.n AS before FROM cnt{b} k LEFT JOIN (SELECT c, count(*) AS n FROM asg{b} GROUP BY c) m USING (c)),
+cen{b + 1} AS MATERIALIZED (
+  SELECT c, term, CASE WHEN k.m = 0 THEN e.w ELSE (coalesce(e.w, 0) * k.before + coalesce(s.w, 0)) / k.n END AS w
+  FROM cen{b} e FULL JOIN (SELECT a.c, v.term, sum(v.w) AS w FROM asg{b} a JOIN vec v USING (doc) GROUP BY a.c, v.term) s USING (c, term) JOIN cnt{b + 1} k USING (c))""")
+    ctes.append(f"""clu AS (
+  SELECT doc AS event_id, arg_min(c, (d, c)) AS cluster_id,
+         CASE WHEN max(d) <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 1.0 - min(d) / (max(d) + 1e-6))) END AS cluster_confidence FROM dst{K.BATCHES} GROUP BY doc)""")
+    return ",\n".join(ctes)
 
 
 def cte_ana(inc=V.TEST_INCIDENT, sec=V.TEST_SECTOR, min_conf: float = 0.6, clusters: bool = True) -> str:
@@ -221,8 +250,11 @@ ana AS (
   FROM ana0 {join})"""
 
 
-def cte_graph(use_clusters: bool = False, use_temporal: bool = False, hours: int = 24, min_size: int = 2) -> str:
+def cte_graph(use_clusters: bool = False, use_temporal: bool = False, hours: int = 24, min_size: int = 2, min_shared: int = 1) -> str:
     parts = ["SELECT x.event_id AS src, '#ioc:' || x.value AS dst FROM ioc_idx x JOIN ioc_multi m USING (value)"]
+    if min_shared > 1:  # event pairs
+        parts = ["SELECT x.event_id AS src, y.event_id AS dst FROM ioc_idx x JOIN ioc_idx y USING (value) WHERE x.event_id < y.event_id "
+                 f"GROUP BY x.event_id, y.event_id HAVING count(*) >= {min_shared}"]
     if use_clusters:
         parts.append("SELECT a.event_id, '#clu:' || CAST(a.cluster_id AS VARCHAR) FROM ana a JOIN "
                      "(SELECT cluster_id FROM ana WHERE cluster_id IS NOT NULL GROUP BY cluster_id HAVING count(*) >= 2) c "

@@ -8,7 +8,8 @@ from vigil.functions import ioc as I
 from vigil.functions import keywords as K
 from vigil.functions import text as T
 from vigil.operators import iocs as IO
-from vigil.params import IOC_PATTERNS
+from vigil.operators import suffixes as SX
+from vigil.params import IOC_PATTERNS, PUBLIC_SUFFIXES
 from vigil.plans import oracle as O
 from vigil.plans.registry import arr, dbl, register, s_arr, s_dbl, s_ts, ts
 from vigil.plans.views import TEST_INCIDENT, TEST_NOISE_PATTERNS, TEST_SECTOR, Chain, read_table
@@ -142,6 +143,15 @@ def ioc_norm_domain(spark, sf):
     return m.select("page_id", "value", I.normalize_domain(F.col("value")).alias("normalized_value"))
 
 
+@register("ioc_norm_domain_rules", f"""
+SELECT page_id, value, {O.sql_norm_domain('value')} AS normalized_value FROM ({_sql_doc_matches('domain', 'url', 'pages', 'page_id')})""")
+def ioc_norm_domain_rules(spark, sf):
+    """The same names, with the suffix rules as a table."""
+    m = read_table(spark, sf, "pages").select("page_id", F.explode(I.extract_type(F.col("url"), "domain")).alias("value"))
+    rules = SX.rules_of(spark.createDataFrame([(r,) for r in PUBLIC_SUFFIXES], "rule string"))
+    return SX.with_registrable(m, rules, "value", "page_id").select("page_id", "value", F.col("registrable").alias("normalized_value"))
+
+
 @register("ioc_norm_url", f"SELECT page_id, lower({O.sql_strip('url')}) AS normalized_value FROM pages")
 def ioc_norm_url(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", I.normalize_ioc(F.lit("url"), F.col("url")).alias("normalized_value"))

@@ -69,6 +69,26 @@ def cor_components_default(spark, sf):
     return c.membership.select("event_id", "component_number", "component_size", "campaign_id")
 
 
+def _shared_graph(k):
+    return O.with_ctes(O.RAW, O.cte_norm(), O.cte_ioc(), O.cte_graph(min_shared=k))
+
+
+def _shared_membership(spark, sf, k):
+    p = CorrelationParams(use_analysis_clusters=False, use_temporal_window=False, min_shared_iocs=k)
+    return Chain.of(spark, sf, cor_params=p).membership.select("event_id", "component_number", "component_size")
+
+
+@register("cor_components_min2", _shared_graph(2) + "SELECT event_id, component_number, component_size FROM membership")
+def cor_components_min2(spark, sf):
+    """Events linked by at least two shared indicators."""
+    return _shared_membership(spark, sf, 2)
+
+
+@register("cor_components_min3", _shared_graph(3) + "SELECT event_id, component_number, component_size FROM membership")
+def cor_components_min3(spark, sf):
+    return _shared_membership(spark, sf, 3)
+
+
 @register("cor_campaign_ids", COR + """
 SELECT component_number, min(event_id) AS first_event, count(*) AS component_size,
        min(campaign_id) AS campaign_id FROM membership GROUP BY component_number""")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigil.operators import classify
+from vigil.operators import clusters as K
 from vigil.operators import features as FE
 from vigil.plans import oracle as O
 from vigil.plans.registry import arr, dbl, register, s_arr, s_dbl
-from vigil.plans.views import read_table
+from vigil.plans.views import Chain, read_table
 
 SW = O.in_list(FE.CLUSTER_STOP_WORDS)
 
@@ -28,12 +30,10 @@ def docs(spark, sf):
     return read_table(spark, sf, "documents", "doc_id").select("doc_id", "text")
 
 
-def _tfidf(spark, sf):
+def _weighted(spark, sf, weigh):
     d = docs(spark, sf)
-    tc = FE.term_counts(d, "doc_id", "text")
-    n = d.count()
-    voc = FE.vocabulary(tc, n)
-    return FE.tfidf(tc, voc, n)
+    rows, n = FE.term_rows(d, "doc_id", "text"), d.count()
+    return weigh(rows, FE.vocabulary(FE.term_counts(rows), n), n)
 
 
 @register("clu_terms", TFIDF_SQL + f"SELECT doc AS doc_id, {s_arr('terms', True)} AS terms, CAST(len(terms) AS BIGINT) AS n_terms FROM t")
@@ -45,13 +45,12 @@ def clu_terms(spark, sf):
 @register("clu_vocabulary", TFIDF_SQL + "SELECT term, cf, df FROM voc")
 def clu_vocabulary(spark, sf):
     d = docs(spark, sf)
-    tc = FE.term_counts(d, "doc_id", "text")
-    return FE.vocabulary(tc, d.count()).select("term", "cf", "df")
+    return FE.vocabulary(FE.term_counts(FE.term_rows(d, "doc_id", "text")), d.count()).select("term", "cf", "df")
 
 
 @register("clu_tfidf", TFIDF_SQL + f"SELECT doc AS doc_id, term, {s_dbl('weight')} AS weight FROM tfidf")
 def clu_tfidf(spark, sf):
-    return _tfidf(spark, sf).select(F.col("doc").alias("doc_id"), "term", dbl("weight").alias("weight"))
+    return _weighted(spark, sf, FE.tfidf).select(F.col("doc").alias("doc_id"), "term", dbl("weight").alias("weight"))
 
 
 CENTRES_SQL = """WITH cd AS (
@@ -91,18 +90,12 @@ def clu_kmeans(spark, sf):
         F.col("id").alias("vec_id"), "cluster_id", dbl("cluster_confidence").alias("cluster_confidence"))
 
 
-@register("clu_kmeans_text")
+@register("clu_kmeans_text", "WITH src AS (SELECT CAST(doc_id AS VARCHAR) AS event_id, text FROM documents),\n" + O.cte_clusters(2000, "src", "text")
+          + f" SELECT CAST(event_id AS BIGINT) AS doc_id, CAST(cluster_id AS INTEGER) AS cluster_id, {s_dbl('cluster_confidence')} AS cluster_confidence FROM clu")
 def clu_kmeans_text(spark, sf):
-    """k-means over document TF-IDF rows; terms are hashed, so no vocabulary is gathered or cut."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import HashingTF, IDF, Normalizer
-
-    d = docs(spark, sf).select("doc_id", FE.terms(F.col("text")).alias("terms"))
-    x = HashingTF(inputCol="terms", outputCol="tf", numFeatures=2 ** 16).transform(d)
-    x = IDF(inputCol="tf", outputCol="idf").fit(x).transform(x)
-    x = Normalizer(inputCol="idf", outputCol="features").transform(x)
-    model = KMeans(k=10, seed=42).fit(x)
-    return model.transform(x).select("doc_id", F.col("prediction").alias("cluster_id"))
+    """Mini-batch k-means over the TF-IDF rows of single words."""
+    c = K.kmeans_texts(docs(spark, sf), "doc_id", "text", 2000, ngram_max=1, stop_words=())
+    return c.select("doc_id", "cluster_id", dbl("cluster_confidence").alias("cluster_confidence"))
 
 
 @register("clu_cluster_summary", "SELECT count(DISTINCT label) AS n_clusters FROM embeddings WHERE label IS NOT NULL")
@@ -136,7 +129,7 @@ pred AS (SELECT doc, CASE WHEN p >= """ + str(MIN_CONF) + """ THEN argmax_label
 
 
 def _model(spark, sf):
-    w = _tfidf(spark, sf)
+    w = _weighted(spark, sf, FE.term_weights)
     coefs = spark.createDataFrame(COEFS, "label string, term string, coef double")
     scores = FE.linear_scores(w, coefs, INTERCEPTS, docs(spark, sf).select(F.col("doc_id").alias("doc")))
     return w, coefs, FE.softmax_predict(scores, list(INTERCEPTS), MIN_CONF)
@@ -157,3 +150,15 @@ def cls_model_explain(spark, sf):
     w, coefs, p = _model(spark, sf)
     e = FE.explain(w, coefs, p)
     return e.select(F.col("doc").alias("doc_id"), arr("terms", True).alias("terms"))
+
+
+@register("cls_analyze_model", O.chain("ana").rstrip() + ",\n" + MODEL_SQL.removeprefix("WITH ").rstrip() + f"""
+SELECT ana.event_id, coalesce(pred.label, incident_type) AS incident_type, {s_dbl('coalesce(pred.confidence, incident_confidence)')} AS incident_confidence,
+       sector, {s_dbl('sector_confidence')} AS sector_confidence, cluster_id FROM ana LEFT JOIN pred ON ana.event_id = 'd' || pred.doc""")
+def cls_analyze_model(spark, sf):
+    """The analysis stage with a trained model for the incident type: its predictions where it has one, keywords elsewhere."""
+    c = Chain.of(spark, sf)
+    _, _, p = _model(spark, sf)
+    predictions = p.select(F.concat(F.lit("d"), F.col("doc").cast("string")).alias("event_id"), "label", "confidence")
+    a = classify.analyze(c.norm, c.inc, c.sec, c.clusters, incident_predictions=predictions)
+    return a.select("event_id", "incident_type", dbl("incident_confidence").alias("incident_confidence"), "sector", dbl("sector_confidence").alias("sector_confidence"), "cluster_id")

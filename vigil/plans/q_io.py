@@ -243,59 +243,93 @@ def src_text_feed(spark, sf):
     return ev.select("source", "source_url", "raw_text")
 
 
+def _landed(spark, sf, kind):
+    """(path, url, value) of one source of each kind, as it was fetched."""
+    d = read_table(spark, sf, "documents")
+    feed = F.concat(F.col("source"), F.lit("-"), F.floor(F.col("doc_id") / FEED_ITEMS).cast("string"))
+    if kind == "html":
+        return read_table(spark, sf, "pages", "page_id").select(F.col("url").alias("path"), "url", F.col("html").alias("value"))
+    if kind == "rss":
+        item = F.concat(F.lit("<item><title>Item "), F.col("doc_id").cast("string"), F.lit("</title><description>"),
+                        _xml_escape(F.regexp_replace("text", CTRL, "")), F.lit("</description></item>"))
+        value = F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>"))
+        return d.groupBy(feed.alias("path")).agg(value.alias("value")).select("path", F.col("path").alias("url"), "value")
+    if kind == "json_api":
+        return _json_feeds(spark, sf).select(F.col("source").alias("path"), F.col("source").alias("url"), F.col("payload").alias("value"))
+    if kind == "file":
+        c = read_table(spark, sf, "conversations")
+        line = F.to_json(F.struct(F.col("text")))
+        return c.groupBy("conv_id").agg(F.array_join(F.collect_list(line), "\n").alias("value")).select(
+            F.col("conv_id").cast("string").alias("path"), F.lit(None).cast("string").alias("url"), "value")
+    lines = _feed_lines(spark, sf).groupBy("source").agg(F.array_join(F.collect_list("l"), "\n").alias("value"))
+    return lines.select(F.col("source").alias("path"), F.col("source").alias("url"), "value")
+
+
 @register("src_union_sources", f"""
-WITH {DOCS_RANKED}
-SELECT 'rss_docs' AS source, 5 AS source_order, count(*) AS n_events FROM d
-UNION ALL SELECT 'pages_html', 4, count(*) FROM pages
-  WHERE {sql_join2(_sql_nodes('html', 'title'), _sql_nodes('html', 'article'))} <> ''""")
+WITH {DOCS_RANKED},
+f AS (SELECT text FROM conversations WHERE {SQL_STRIP('text')} <> ''),
+t AS (SELECT sha256(text) AS l FROM documents UNION ALL SELECT 'https://feed.example.org/' || doc_id FROM documents WHERE doc_id % 4 = 0)
+SELECT 'pages_html' AS source, 4 AS source_order, count(*) AS n_events FROM pages
+  WHERE {sql_join2(_sql_nodes('html', 'title'), _sql_nodes('html', 'article'))} <> ''
+UNION ALL SELECT 'rss_docs', 5, count(*) FROM d
+UNION ALL SELECT 'docs_api', 2, count(*) FROM d WHERE {SQL_STRIP('text')} <> ''
+UNION ALL SELECT 'convs_file', 3, count(*) FROM f
+UNION ALL SELECT 'hash_feed', 6, count(*) FROM t""")
 def src_union_sources(spark, sf):
-    config = [  # (group, name, type, enabled)
-        ("advisories", "pages_html", "html", True),
-        ("blogs", "rss_docs", "rss", True),
-        ("telegram_channels", "convs_file", "file", False),
+    """One source of every type, read in the order of their groups; a source that is not enabled is left out."""
+    config = [  # (group, name, type, enabled, options)
+        ("advisories", "pages_html", "html", True, {"title_selector": "title", "content_selector": "article"}),
+        ("blogs", "rss_docs", "rss", True, {}),
+        ("forums", "docs_api", "json_api", True, {"text_fields": ["text"]}),
+        ("telegram_channels", "convs_file", "file", True, {}),
+        ("threat_feeds", "hash_feed", "text_feed", True, {"prefix": "Indicator observed:"}),
+        ("paste_sites", "no_source", "rss", False, {}),
     ]
     from vigil.params import SOURCE_GROUP_ORDER
-    frames = []
-    for group, name, typ, enabled in config:
-        if not enabled:
-            continue
-        order = SOURCE_GROUP_ORDER.index(group) + 1
-        if typ == "html":
-            p = read_table(spark, sf, "pages", "page_id")
-            frames.append((order, FD.html_events(p, F.lit(name), F.col("url"), F.col("html"), "title", "article")))
-        elif typ == "rss":
-            ev = src_rss(spark, sf).withColumn("source", F.lit(name)).withColumn("raw_metadata", F.lit("{}"))
-            frames.append((order, ev))
-        else:
-            raise ValueError(f"unsupported source type {typ}")
+    frames = [(SOURCE_GROUP_ORDER.index(group) + 1, FD.source_events(kind, _landed(spark, sf, kind), name, **options))
+              for group, name, kind, enabled, options in config if enabled]
     u = FD.union_sources(frames)
     return u.groupBy("source", "source_order").agg(F.count(F.lit(1)).alias("n_events"))
 
 
 # --- stage tables ---------------------------------------------------------------------
 
-@register("src_stage_tables", O.chain("sco") + """
-SELECT 'normalized_events' AS tbl, event_id, 'unknown' AS value, CAST(0 AS BIGINT) AS n FROM norm
-UNION ALL SELECT 'scores', event_id, 'informational', CAST(0 AS BIGINT) FROM sco
-UNION ALL SELECT 'iocs', source_event_id, value, CAST(0 AS BIGINT) FROM ioc""")
+STAGE_KEY = {"raw_events": "event_id", "normalized_events": "event_id", "iocs": "source_event_id", "analysis_results": "event_id",
+             "correlation_results": "event_id", "campaigns": "campaign_id", "scores": "event_id"}
+# optional columns that are left out of the files, and what the reader then gives
+STAGE_LEFT_OUT = {
+    "raw_events": ["raw_metadata", "content_hash"], "normalized_events": ["language", "language_confidence", "tokens", "raw_metadata"],
+    "iocs": ["normalized_value", "confidence"], "analysis_results": ["sector", "sector_confidence", "cluster_confidence"],
+    "correlation_results": ["shared_iocs", "mitre_tactics", "confidence"], "campaigns": ["name", "mitre_tactics"], "scores": ["severity_label"]}
+
+
+@register("src_stage_tables", O.chain("sco") + f"""
+SELECT 'raw_events' AS tbl, event_id AS id, raw_text AS kept, '{{}}' AS filled FROM raw
+UNION ALL SELECT 'normalized_events', event_id, clean_text, 'unknown|0.0|0|{{}}' FROM norm
+UNION ALL SELECT 'iocs', source_event_id, value, value || '|0.0' FROM ioc
+UNION ALL SELECT 'analysis_results', event_id, incident_type, 'unknown|0.0|0.0' FROM ana
+UNION ALL SELECT 'correlation_results', event_id, coalesce(campaign_id, ''), '0|0|0.0' FROM cor
+UNION ALL SELECT 'campaigns', campaign_id, CAST(n_events AS VARCHAR), campaign_id || '|0' FROM camp
+UNION ALL SELECT 'scores', event_id, {s_dbl('severity')}::VARCHAR, 'informational' FROM sco""")
 def src_stage_tables(spark, sf):
+    """All seven stage tables, written without their optional columns and read back with the defaults; a missing path is empty."""
     c = Chain.of(spark, sf)
     root = scratch(spark, "stage")
-    c.norm.drop("language", "tokens").write.json(f"{root}/normalized_events")
-    c.sco.drop("severity_label").write.json(f"{root}/scores")
-    c.ioc.drop("normalized_value", "confidence").write.json(f"{root}/iocs")
-    n = SG.read_stage(spark, f"{root}/normalized_events", "normalized_events")
-    s = SG.read_stage(spark, f"{root}/scores", "scores")
-    i = SG.read_stage(spark, f"{root}/iocs", "iocs")
-    missing = SG.read_stage(spark, f"{root}/absent", "scores")  # a missing path reads as empty
-    return (n.select(F.lit("normalized_events").alias("tbl"), "event_id", F.col("language").alias("value"),
-                     F.size("tokens").cast("long").alias("n"))
-            .unionByName(s.select(F.lit("scores").alias("tbl"), "event_id", F.col("severity_label").alias("value"),
-                                  F.lit(0).cast("long").alias("n")))
-            .unionByName(i.select(F.lit("iocs").alias("tbl"), F.col("source_event_id").alias("event_id"),
-                                  F.col("normalized_value").alias("value"), F.lit(0).cast("long").alias("n")))
-            .unionByName(missing.select(F.lit("scores").alias("tbl"), "event_id", F.col("severity_label").alias("value"),
-                                        F.lit(0).cast("long").alias("n"))))
+    size = lambda name: F.size(name).cast("string")
+    text = lambda name: F.col(name).cast("string")
+    shown = {
+        "raw_events": ("raw_text", ["raw_metadata"]), "normalized_events": ("clean_text", ["language", "language_confidence", size("tokens"), "raw_metadata"]),
+        "iocs": ("value", ["normalized_value", "confidence"]), "analysis_results": ("incident_type", ["sector", "sector_confidence", "cluster_confidence"]),
+        "correlation_results": (F.coalesce("campaign_id", F.lit("")), [size("shared_iocs"), size("mitre_tactics"), "confidence"]),
+        "campaigns": (text("n_events"), ["name", size("mitre_tactics")]), "scores": (dbl("severity").cast("string"), ["severity_label"])}
+    out = SG.read_stage(spark, f"{root}/absent", "scores").select(F.lit("scores").alias("tbl"), F.col("event_id").alias("id"), F.lit("").alias("kept"), F.lit("").alias("filled"))
+    for name, df in stage_tables(c).items():
+        df.drop(*STAGE_LEFT_OUT[name]).write.json(f"{root}/{name}")
+        kept, filled = shown[name]
+        got = SG.read_stage(spark, f"{root}/{name}", name)
+        out = out.unionByName(got.select(F.lit(name).alias("tbl"), F.col(STAGE_KEY[name]).alias("id"), (text(kept) if isinstance(kept, str) else kept).alias("kept"),
+                                         F.concat_ws("|", *[text(x) if isinstance(x, str) else x for x in filled]).alias("filled")))
+    return out
 
 
 # --- sinks and store ----------------------------------------------------------------------

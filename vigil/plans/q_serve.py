@@ -13,6 +13,7 @@ from vigil.operators import serve as Q
 from vigil.plans import oracle as O
 from vigil.plans.registry import arr, dbl, register, s_arr, s_dbl, s_ts, ts
 from vigil.plans.views import Chain
+from vigil.session import scratch
 
 ITEMS_CTE = """ioc_lists AS (
   SELECT source_event_id AS event_id, list_sort(list(normalized_value)) AS _all FROM ioc
@@ -155,7 +156,7 @@ FROM sco s JOIN ana a USING (event_id) JOIN norm n USING (event_id) LEFT JOIN co
 ORDER BY s.severity DESC, s.event_id LIMIT 50 OFFSET 10""")
 def qry_events(spark, sf):
     c = Chain.of(spark, sf)
-    e = Q.events(c.sco, c.ana, c.norm, c.cor, limit=50, offset=10)
+    e = Q.events(spark, c.event_pages, limit=50, offset=10)
     return e.select("event_id", "incident_type", "sector", dbl("severity").alias("severity"), "severity_label",
                     dbl("confidence").alias("confidence"), ts("fetched_at").alias("fetched_at"), "source", "source_url",
                     arr("mitre_tactics", True).alias("mitre_tactics"), "campaign_id")
@@ -168,7 +169,7 @@ WHERE s.severity_label = 'low' AND a.incident_type = 'chatter'
 ORDER BY s.severity DESC, s.event_id LIMIT 25""")
 def qry_events_filtered(spark, sf):
     c = Chain.of(spark, sf)
-    e = Q.events(c.sco, c.ana, c.norm, c.cor, severity="low", incident="chatter", limit=25)
+    e = Q.events(spark, c.event_pages, severity="low", incident="chatter", limit=25)
     return e.select("event_id", dbl("severity").alias("severity"))
 
 
@@ -231,7 +232,9 @@ SELECT id, ioc_type, value, normalized_value, source_event_id FROM ided ORDER BY
 def qry_iocs(spark, sf):
     s = IO.dedup(Chain.of(spark, sf).ioc)
     s = s.withColumn("id", F.concat_ws("|", "source_event_id", "ioc_type", "normalized_value"))
-    return Q.ioc_page(s, "id", limit=100).select("id", "ioc_type", "value", "normalized_value", "source_event_id")
+    path = scratch(spark, "ioc_pages")
+    Q.write_ioc_pages(path, s)
+    return Q.ioc_page(spark, path, limit=100).select("id", "ioc_type", "value", "normalized_value", "source_event_id")
 
 
 # --- dashboard -----------------------------------------------------------------

@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.operators import classify, correlate, features, iocs, preprocess, score
-from vigil.session import ensure_checkpoint_dir, materialize
+from vigil.operators import classify, clusters, correlate, iocs, preprocess, score, serve
+from vigil.session import ensure_checkpoint_dir, materialize, scratch
 from vigil.params import (INCIDENT_KEYWORDS, NOISE_PATTERNS, SECTOR_KEYWORDS, ClassifierParams,
                           CorrelationParams, IocParams, PreprocessParams, ScoringParams)
 
@@ -31,9 +31,8 @@ TEST_INC = ClassifierParams(label_keywords=TEST_INCIDENT, min_confidence=0.6)
 TEST_SEC = ClassifierParams(label_keywords=TEST_SECTOR, min_confidence=0.6)
 # Cluster and window edges off: many campaigns instead of one.
 TEST_COR = CorrelationParams(use_analysis_clusters=False, use_temporal_window=False)
-# Fixed centres in TF-IDF space (term -> weight), one per language of the driver's texts and two of mixed terms.
-TEST_CENTRES = ({"the": 0.6, "and": 0.5, "of": 0.4}, {"der": 0.6, "und": 0.5, "die": 0.4}, {"les": 0.6, "que": 0.3, "des": 0.5},
-                {"los": 0.5, "que": 0.5, "por": 0.4}, {"la": 0.7, "de": 0.6}, {"th": 0.5, "er": 0.5, "nd": 0.3}, {"au": 0.4, "du": 0.4})
+# Clustering of the analysis stage: single words, the configured number of features, the automatic number of clusters.
+TEST_FEATURES = 2000
 BASE_EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 _RUNS: dict = {}
 
@@ -48,12 +47,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread_on: str | Non
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition raw text on ``key``.
+    """Raw text for CPU-bound cleaning: as scanned where the scan has a split for every slot, else dealt out by ``key``.
 
-    Cleaning is bound by CPU (about 1 MB a second and core), so one shuffle of the raw text costs little next to a scan
-    whose splits are few or uneven, and what follows by the same key needs no further shuffle.
+    At size the scan has far more splits than the cluster has slots and nothing is shuffled; a table in one small file would
+    be cleaned by one task.
     """
-    return df.repartition(key)
+    return df if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism else df.repartition(key)
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,10 +138,10 @@ class Chain:
 
     @property
     def clusters(self) -> DataFrame | None:
-        """(event_id, cluster_id, cluster_confidence) by the nearest of fixed centres (see ``TEST_CENTRES``)."""
+        """(event_id, cluster_id, cluster_confidence) by mini-batch k-means over the cleaned texts."""
         if not self.with_clusters:
             return None
-        return self._stage("clusters", (self.pre,), lambda: features.text_clusters(self.norm, "event_id", "clean_text", TEST_CENTRES, ngram_max=1, stop_words=()))
+        return self._stage("clusters", (self.pre,), lambda: clusters.kmeans_texts(self.norm, "event_id", "clean_text", TEST_FEATURES, ngram_max=1, stop_words=()))
 
     @property
     def ana(self) -> DataFrame:
@@ -170,6 +169,16 @@ class Chain:
     def sco(self) -> DataFrame:
         return self._stage("scores", self._sco_stage_params, lambda: score.score(self.ana, self.cor, self.ioc_counts, self.sco_params))
 
+    @property
+    def event_pages(self) -> str:
+        """Folder of the event listing, clustered for paging."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "event_pages", repr(self._sco_stage_params))
+        if key not in _RUNS:
+            path = scratch(self.spark, "event_pages")
+            serve.write_event_pages(path, serve.event_listing(self.sco, self.ana, self.norm, self.cor))
+            _RUNS[key] = path
+        return _RUNS[key]
+
     def counts(self) -> dict[str, int]:
         """Rows of each stage table, as counted while it was written; the input is counted from its files."""
         self.sco, self.camp

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -54,6 +56,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith(("local[", "local,")) and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="vigil-ckpt-", dir=os.environ.get("VIGIL_SCRATCH", "/tmp"))
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)  # this session's own
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -73,20 +76,24 @@ def materialize(df, name: str = "t"):
     unless cached), and a lost executor only needs the written files.
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{run_folder(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared checkpoint folder; all its tables and files lie in it."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/vigil-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared checkpoint folder, for files of one run."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/fixtures/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder name for files of one run."""
+    return f"{run_folder(spark)}/files/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Delete what ``materialize`` has written in this application; for the end of a run, when no result needs it any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark).rstrip("/") + "/tables")
+    """Delete all that this application has written in the shared folder; for the end of a run, when no result needs it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -203,6 +203,26 @@ def text_feed_events(lines: DataFrame, name: Column | str, feed_url: Column | st
     return ev.drop(path_col)
 
 
+def source_events(kind: str, landed: DataFrame, name: str, feed_url: Column | str = "", **config) -> DataFrame:
+    """Raw events of one configured source from its landed rows (``path``, ``value``, and ``url`` of what was fetched).
+
+    ``kind`` is rss, html, json_api, file or text_feed; ``config`` holds the options that the source's own reader takes.
+    """
+    url = F.coalesce(F.col("url") if "url" in landed.columns else F.lit(None).cast("string"), feed_url if isinstance(feed_url, Column) else F.lit(feed_url))
+    if kind == "rss":
+        return rss_events(landed, F.lit(name), url, **config)
+    if kind == "html":
+        return html_events(landed, F.lit(name), url, F.col("value"), config.pop("title_selector", None), config.pop("content_selector", None), **config)
+    if kind == "json_api":
+        return json_api_events(landed, F.lit(name), url, F.col("value"), **config)
+    if kind == "file":
+        return file_events(numbered_lines(landed), name, **config)[0]
+    if kind == "text_feed":
+        lines = landed.select("path", url.alias("url"), F.posexplode(F.split("value", LINE_BREAK)).alias("line_no", "line"))
+        return text_feed_events(lines, name, F.col("url"), **config)
+    raise ValueError(f"unsupported source type {kind}")
+
+
 def union_sources(frames: Sequence[tuple[int, DataFrame]]) -> DataFrame:
     """Union of per-source event frames, each tagged with its read order."""
     out = None

@@ -78,10 +78,11 @@ def near_copies(seed=5):
     return [(3 * k + 1, t) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("block", [near_dedup.BLOCK, 3])
-def test_near_duplicates(llm_spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "window", "chunk"), [(near_dedup.BLOCK, near_dedup.WINDOW, near_dedup.CHUNK), (3, 2, 7), (4, 1, 5)])
+def test_near_duplicates(llm_spark, monkeypatch, block, window, chunk):
     """Block 3 splits nearly every region, so that the second phase has to find what the first parted."""
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    for name, value in (("BLOCK", block), ("WINDOW", window), ("CHUNK", chunk)):
+        monkeypatch.setattr(near_dedup, name, value)
     rows = near_copies()
     df = llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumns({c: F.lit(1) for c in ("node", "sig", "tree", "size", "s1")})
     got = near_dedup.near_duplicates(df).collect()
@@ -349,3 +350,21 @@ def test_warc_damage_in_the_primary_and_records_of_one_replica(llm_spark, tmp_pa
 def test_empty_tables(llm_spark, no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0 and near_dedup.near_dedup(no_docs).count() == 0
     assert warc.audit_pages(llm_spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_unlike_texts_that_share_a_long_passage(llm_spark):
+    """5,000 texts with 90 words in common, some of them with a near copy: stretches are far wider than the window, and no link is lost."""
+    rng = random.Random(12)
+    shared = " ".join(f"common{k}" for k in range(90))
+    rows, want = [], {}
+    for k in range(5000):
+        own = [f"own{k}x{j}" for j in range(20)]
+        rows.append((2 * k, f"{shared} {' '.join(own)}"))
+        want[2 * k] = 2 * k
+        if k % 25 == 0:  # one word at the end is another: 105 of 107 shingles
+            rows.append((2 * k + 1, f"{shared} {' '.join([*own[:-1], 'other'])}"))
+            want[2 * k + 1] = 2 * k
+    rng.shuffle(rows)
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == want

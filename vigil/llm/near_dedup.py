@@ -2,22 +2,20 @@
 
 1. One pass makes each text's shingle set, a 128-bit hash of the set and a signature of 64 minimum hashes. Texts with equal
    sets are one class from here on, named by its smallest doc_id.
-2. The forest, cut at depth ``MIN_DEPTH``: the signature is turned in ``N_TREES`` ways, each starting with other columns, and no order is
-   sorted. Classes that share the hash of the first ``MIN_DEPTH`` columns of a turn are a region (so far this is banding, 16 bands of 4), and all
-   pairs of a region or block are compared; the prefix length only orders these comparisons. In a region of more than
-   ``BLOCK`` classes the depth grows with its size (and what is still larger is dealt into blocks), so a task never
-   holds more than two blocks.
-3. Within a group, pairs are taken by the length of their common prefix, deepest neighbours first. Pairs whose signatures agree in fewer than
+2. The forest: the signature is turned in ``N_TREES`` ways, each starting with other columns, and every turn is an order of all classes, sorted
+   by range over all tasks. In an order, a class's candidates are its neighbours, up to ``WINDOW`` before it, that share a prefix of at least
+   ``MIN_DEPTH`` columns with it. Where a stretch of classes with such a prefix is wider than the window, the window holds those with the
+   deepest common prefixes, so the depth adapts to how dense the region is.
+3. Pairs are taken by the length of their common prefix, deepest first. Pairs whose signatures agree in fewer than
    ``MIN_AGREE`` columns are passed over (at similarity 0.85 that loses fewer than one link in a million), the others are confirmed on
-   the full sets unless they are connected already. A pair is looked at in the first order that brings it together.
-4. Regions that were split are gone through once more: the classes outside the region's largest component are
-   compared with all of it, block by block. So nothing is capped, and no pair table of a group is ever made: a
-   group sends at most one link per class.
+   the full sets unless they are connected already. A chunk of an order sends at most one link per class.
+4. Classes of stretches wider than the window, as far as they are in different components, meet once more in blocks by their rarest
+   shingles (prefix filtering), which finds all that the windows missed. So nothing is capped, and no pair table is ever made.
 5. Connected components over the links; every document gets its class's component.
 
 At similarity 0.85, two texts share no region in any order with probability (1 - 0.85^4)^16, less than one in 100,000.
 
-Cases: a text with 1 to 4 words is one shingle; texts without words are linked with nothing and kept; rows that share a
+Cases: a very long text is one row of a batch, its set stays in one task; a text with 1 to 4 words is one shingle; texts without words are linked with nothing and kept; rows that share a
 doc_id count as linked, since a component is named by doc_ids; rows with a null doc_id are linked with nothing, are kept and have a null
 component; extra columns are carried by ``near_dedup`` and ignored elsewhere; an empty table gives an empty result.
 """
@@ -34,11 +32,15 @@ from vigil.llm.arrow import batch
 from vigil.llm.components import components
 from vigil.llm.shingles import N_HASHES, overlap, pack_set, set_hash, shingle_set, signature, unpack_set
 from vigil.llm.words import word_hashes
+from vigil.operators.graph import global_rank
 from vigil.session import materialize
 
 PERCENT = 85
 N_TREES = 16
 MIN_DEPTH = 4
+SORTED = 8  # columns of an order that are sorted over all tasks; within equal ones any order will do
+WINDOW = 64  # neighbours looked at before each row of an order
+CHUNK = 1024  # rows of an order that one task holds at a time
 BLOCK = 256
 MIN_AGREE = 40
 _WIDTH = 2  # bytes of a column
@@ -98,56 +100,75 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.join(nodes.hint("merge"), "node").select("node", "s1", "s2", "packed").mapInArrow(sets, "node long, s1 long, s2 long, shingles binary")
 
 
-def _region_keys() -> Column:
-    return F.array(*[F.xxhash64(F.lit(t), F.substring("sig", t * _TURN * _WIDTH + 1, MIN_DEPTH * _WIDTH)) for t in range(N_TREES)])
+def _orders(classes: DataFrame) -> DataFrame:
+    """(gid, rank, halo, tree, region, node, s1, s2, dense) of the classes that share at least ``MIN_DEPTH`` columns with a neighbour in an order.
 
-
-def _memberships(classes: DataFrame) -> DataFrame:
-    """(tree, region, size, node, s1, s2, sig) of the regions with at least two classes."""
-    each = classes.select("s1", F.explode(_region_keys()).alias("region"))
-    sizes = each.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = each.join(sizes, "region").withColumnRenamed("s1", "m_s1")
-    full = shared.join(classes, shared["m_s1"] == classes["s1"])
-    tree = F.array_position(_region_keys(), F.col("region")).cast("int") - 1
-    return full.select(tree.alias("tree"), "region", "size", "node", "s1", "s2", "sig").filter("tree >= 0")  # s1 alone may stand for two classes
-
-
-def _turned():
-    """The signature in the column order of the row's tree."""
-    at = _TURN * _WIDTH
-    return F.concat(F.expr(f"substring(sig, tree * {at} + 1, {N_HASHES * _WIDTH})"), F.expr(f"substring(sig, 1, tree * {at})"))
-
-
-def _groups(members: DataFrame) -> DataFrame:
-    """Adds ``gid``: a region, or in a larger one the classes that share a deeper prefix, in blocks of about ``BLOCK``."""
-    # each column more keeps about 0.85 of close texts together
-    depth = F.when(F.col("size") <= BLOCK, F.lit(MIN_DEPTH)).otherwise(
-        F.least(F.lit(N_HASHES), MIN_DEPTH + F.ceil(F.log(F.col("size") / BLOCK) / float(-np.log(0.85))))).cast("int")
-    deep = members.withColumn("depth", depth).withColumn("sub", F.when(F.col("size") <= BLOCK, F.lit(0).cast("long")).otherwise(
-        F.xxhash64(F.substring(_turned(), F.lit(1), F.col("depth") * _WIDTH))))
-    split = deep.filter(F.col("size") > BLOCK).groupBy("tree", "region", "sub").agg(F.count(F.lit(1)).alias("n"))
-    split = split.select(F.col("tree").alias("x_tree"), F.col("region").alias("x_region"), F.col("sub").alias("x_sub"), "n")
-    d = deep.join(split, (F.col("tree") == F.col("x_tree")) & (F.col("region") == F.col("x_region")) & (F.col("sub") == F.col("x_sub")), "left")
-    block = F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))).otherwise(0)
-    return d.select(F.xxhash64("tree", "region", "sub", block).alias("gid"), "tree", "node", "s1", "s2", "sig", F.lit(0).alias("side"))
-
-
-def _pairs(sig: np.ndarray, tree: int, side: np.ndarray) -> np.ndarray:
-    """Index pairs of a group to be looked at, longest common prefix first."""
+    Every order is sorted by range over all tasks and cut into chunks; a chunk gets the ``WINDOW`` rows before it as well (``halo``), so
+    neighbours across a border are neighbours. Rows of a stretch in which some are farther apart than the window are ``dense``.
+    """
+    twice = F.concat("sig", "sig")
+    heads = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring(twice, t * _TURN * _WIDTH + 1, SORTED * _WIDTH).alias("head")) for t in range(N_TREES)]))
+    rows = classes.select(heads.alias("o"), "node", "s1", "s2").select("o.tree", "o.head", "node", "s1", "s2")
+    ranked = global_rank(rows, [F.col(c) for c in ("tree", "head", "node", "s1", "s2")], "rank")
+    chunk, at = F.floor((F.col("rank") - 1) / CHUNK), (F.col("rank") - 1) % CHUNK
+    here = F.array(F.struct(chunk.alias("gid"), F.lit(False).alias("halo")))
+    both = F.concat(here, F.array(F.struct((chunk + 1).alias("gid"), F.lit(True).alias("halo"))))
+    dealt = ranked.select("rank", "tree", "head", "node", "s1", "s2", F.explode(F.when(at >= CHUNK - WINDOW, both).otherwise(here)).alias("g")) \
+        .select("g.gid", "rank", "g.halo", "tree", "head", "node", "s1", "s2")
+
+    def stretches(batches):
+        for t in _by_gid(batches):
+            head = np.frombuffer(b"".join(t.column("head").to_pylist()), ">u2").reshape(-1, SORTED)
+            tree = t.column("tree").to_numpy()
+            shares = np.concatenate(([False], (head[1:, :MIN_DEPTH] == head[:-1, :MIN_DEPTH]).all(1) & (tree[1:] == tree[:-1]), [False]))
+            n = np.arange(len(tree))
+            start = np.maximum.accumulate(np.where(shares[:-1], 0, n))
+            far = np.flatnonzero(n - start >= WINDOW)
+            dense = np.zeros(len(tree), bool)
+            dense[far] = dense[far - WINDOW] = True
+            kept = np.flatnonzero(shares[:-1] | shares[1:])
+            if len(kept):
+                out = t.take(pa.array(kept)).drop_columns(["head"]).append_column("dense", pa.array(dense[kept]))
+                yield from out.combine_chunks().to_batches()
+
+    kinds = "gid long, rank long, halo boolean, tree int, node long, s1 long, s2 long, dense boolean"
+    return materialize(dealt.repartition("gid").sortWithinPartitions("gid", "rank").mapInArrow(stretches, kinds), "forest_members")
+
+
+def _window_pairs(window: int, sig: np.ndarray, tree: np.ndarray, halo: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """Index pairs of a chunk to be looked at: neighbours in the order up to ``window`` apart, longest common prefix first.
+
+    In a stretch of more classes than the window holds, what stands within it are those with the deepest prefixes. A pair that an
+    earlier order has brought together is left out, unless both are dense (that order's window may have been too small).
+    """
     n = len(sig)
-    eq = sig[:, None, :] == sig[None, :, :]
-    fits = np.triu(eq.sum(-1) >= MIN_AGREE, 1)
-    if side.any():  # the rest of a split region: only pairs between the two sides
+    turned = sig[np.arange(n)[:, None], (tree[:, None] * _TURN + np.arange(N_HASHES)) % N_HASHES]
+    step = turned[1:] == turned[:-1]
+    prefix = np.concatenate(([0], np.where(step.all(1), N_HASHES, step.argmin(1)) * (tree[1:] == tree[:-1])))  # with the row before
+    least, found = np.full(n, N_HASHES), []
+    for d in range(1, min(window, n - 1) + 1):
+        least[d:] = np.minimum(least[d:], prefix[1:n - d + 1])
+        b = np.flatnonzero(least >= MIN_DEPTH)
+        b = b[b >= d]
+        if not len(b):
+            break
+        b = b[~halo[b]]
+        a = b - d
+        eq = sig[a] == sig[b]
+        fits = eq.sum(1) >= MIN_AGREE
+        early = eq.reshape(len(b), N_TREES, _TURN).all(2).argmax(1) < tree[b]
+        fits &= ~early | (dense[a] & dense[b])
+        found.append(np.column_stack([a, b, least[b]])[fits])
+    pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    return pairs[np.argsort(-pairs[:, 2], kind="stable"), :2]
+
+
+def _block_pairs(sig: np.ndarray, side: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Index pairs of a block of classes in different components, between its two sides if it has two."""
+    fits = np.triu((sig[:, None, :] == sig[None, :, :]).sum(-1) >= MIN_AGREE, 1) & (component[:, None] != component[None, :])
+    if side.any():
         fits &= side[:, None] != side[None, :]
-    else:
-        shared = np.stack([eq[:, :, [(t * _TURN + k) % N_HASHES for k in range(MIN_DEPTH)]].all(-1) for t in range(tree + 1)], -1)
-        fits &= shared.argmax(-1) == tree  # brought together by no earlier order
-    a, b = np.nonzero(fits)
-    if not len(a):
-        return np.zeros((0, 2), np.int64)
-    turned = np.roll(eq[a, b], -tree * _TURN, axis=1)
-    prefix = np.where(turned.all(1), N_HASHES, turned.argmin(1))
-    return np.column_stack([a, b])[np.argsort(-prefix, kind="stable")]
+    return np.column_stack(np.nonzero(fits))
 
 
 def _by_gid(batches):
@@ -175,26 +196,40 @@ def _sig_matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, N_HASHES).astype(np.uint16)
 
 
+_ROWS = "gid long, rank long, halo boolean, tree int, node long, s1 long, s2 long, sig binary, dense boolean, side int, component long"
+
+
+def _pairs(t: pa.Table, window: int) -> np.ndarray:
+    sig, tree = _sig_matrix(t.column("sig")), t.column("tree").to_numpy()
+    if tree[0] < 0:
+        return _block_pairs(sig, t.column("side").to_numpy(), t.column("component").to_numpy())
+    return _window_pairs(window, sig, tree, *(t.column(c).to_numpy(zero_copy_only=False) for c in ("halo", "dense")))
+
+
 def _candidates(groups: DataFrame) -> DataFrame:
     """The rows of ``groups`` that have at least one pair to be looked at in their group."""
+    window = WINDOW
+
     def run(batches):
         for t in _by_gid(batches):
             if t.num_rows > 1:
-                p = _pairs(_sig_matrix(t.column("sig")), t.column("tree")[0].as_py(), t.column("side").to_numpy())
+                p = _pairs(t, window)
                 if len(p):
                     yield from t.take(pa.array(np.unique(p))).combine_chunks().to_batches()
 
-    kept = "gid long, tree int, node long, s1 long, s2 long, sig binary, side int"
-    return materialize(groups.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, kept), "forest_groups")
+    rows = groups.select(*[c.split()[0] for c in _ROWS.split(", ")])
+    return materialize(rows.repartition("gid").sortWithinPartitions("gid", "rank").mapInArrow(run, _ROWS), "forest_groups")
 
 
 def _confirm(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes of one group, confirmed on the full sets: a spanning forest of each group's links."""
+    window = WINDOW
+
     def links(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for t in _by_gid(batches):
             node = t.column("node").to_pylist()
-            sets = [unpack_set(x) for x in t.column("shingles").to_pylist()]
+            packed, sets = t.column("shingles").to_pylist(), {}
             parent = list(range(len(node)))
 
             def root(x, parent=parent):
@@ -204,11 +239,14 @@ def _confirm(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 return x
 
             a, b = [], []
-            for i, j in _pairs(_sig_matrix(t.column("sig")), t.column("tree")[0].as_py(), t.column("side").to_numpy()).tolist():
+            for i, j in _pairs(t, window).tolist():
                 x, y = root(i), root(j)
-                small, large = sorted((len(sets[i]), len(sets[j])))
+                small, large = sorted((len(packed[i]) // 6, len(packed[j]) // 6))
                 if x == y or 100 * small < percent * large:
                     continue
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = unpack_set(packed[k])
                 both = overlap(sets[i], sets[j])
                 if 100 * both >= percent * (small + large - both):
                     parent[x] = y
@@ -217,27 +255,40 @@ def _confirm(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if a:
                 yield batch(schema, a=a, b=b)
 
-    full = rows.join(sets, ["node", "s1", "s2"]).select("gid", "tree", "node", "sig", "side", "shingles")
-    return full.repartition("gid").sortWithinPartitions("gid").mapInArrow(links, "a long, b long")
-
-
-def _rest(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Groups for what is left in split regions: classes outside the largest component against all classes."""
-    large = members.filter(F.col("size") > BLOCK).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    large = materialize(large, "forest_split")
-    parts = large.groupBy("tree", "region", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("tree", "region").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all")) \
-        .select("tree", "region", F.col("m.component").alias("main"), (F.col("all") - F.col("m.n")).alias("others")).filter("others > 0")
-    r = large.join(main, ["tree", "region"])
-    blocks, other_blocks = F.ceil(F.col("size") / BLOCK), F.ceil(F.col("others") / BLOCK)
-    own = F.pmod(F.xxhash64("node"), blocks)
-    other = F.pmod(F.xxhash64(F.lit("other"), F.col("node")), other_blocks)
-    all_side = r.select("tree", "region", "node", "s1", "s2", "sig", F.lit(0).alias("side"), own.alias("g"),
-                        F.explode(F.sequence(F.lit(0).cast("long"), other_blocks - 1)).alias("o"))
-    out_side = r.filter(F.col("component") != F.col("main")).select(
-        "tree", "region", "node", "s1", "s2", "sig", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("g"), other.alias("o"))
-    both = all_side.unionByName(out_side)
-    return both.select(F.xxhash64("tree", "region", "g", "o").alias("gid"), "tree", "node", "s1", "s2", "sig", "side")
+    full = rows.join(sets, ["node", "s1", "s2"]).select("gid", "rank", "halo", "tree", "node", "sig", "dense", "side", "component", "shingles")
+    return full.repartition("gid").sortWithinPartitions("gid", "rank").mapInArrow(links, "a long, b long")
+
+
+def _rest(dense: DataFrame, classes: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Groups for what the windows of dense stretches may have missed, by prefix filtering of the sets.
+
+    Two sets as similar as ``percent`` share one of each one's first n - ceil(percent n) + 1 shingles, in any order of all shingles. Those that
+    few sets hold come first, so blocks by shingle are small even where most texts share a long passage. Blocks of one
+    component are done; larger blocks are dealt into parts that meet two by two.
+    """
+    placed = dense.join(found, "node", "left").select("node", "s1", "s2", F.coalesce("component", "node").alias("component"))
+
+    def tokens(batches):
+        schema = pa.schema([("node", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("token", pa.int64())])
+        for b in batches:
+            for i in range(b.num_rows):
+                token = unpack_set(b.column("shingles")[i].as_py()).view(np.int64)
+                yield batch(schema, **{c: [b.column(c)[i].as_py()] * len(token) for c in ("node", "s1", "s2", "component")}, n=[len(token)] * len(token), token=token)
+
+    held = placed.join(sets, ["node", "s1", "s2"]).select("node", "s1", "s2", "component", "shingles")
+    held = materialize(held.mapInArrow(tokens, "node long, s1 long, s2 long, component long, n long, token long"), "forest_tokens")
+    common = held.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > BLOCK).select("token", F.lit(1).alias("common"))
+    order = F.row_number().over(Window.partitionBy("node", "s1", "s2").orderBy(F.coalesce("common", F.lit(0)), "token"))  # shingles of one text
+    first = held.join(common, "token", "left").withColumn("nth", order).filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    first = materialize(first.select("node", "s1", "s2", "component", "token"), "forest_first")
+    sizes = first.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+    parts = F.ceil(F.col("size") / BLOCK)
+    own = F.pmod(F.xxhash64("node"), parts)
+    met = first.join(sizes.select("token", "size"), "token").select("*", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return met.join(classes.select("node", "s1", "s2", "sig"), ["node", "s1", "s2"]).select(
+        F.xxhash64("token", low, high).alias("gid"), F.xxhash64("node", "s1").alias("rank"), F.lit(False).alias("halo"), F.lit(-1).alias("tree"), "node", "s1", "s2", "sig",
+        F.lit(True).alias("dense"), ((low != high) & (F.col("own") == high)).cast("int").alias("side"), "component")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -245,15 +296,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sigs = materialize(signatures(docs), "forest_signatures")
     named = sigs.filter(F.col("s1").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(named.groupBy("s1", "s2").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("node")), "forest_classes")
-    members = materialize(_memberships(classes), "forest_members")
-    rows = _candidates(_groups(members))
+    members = _orders(classes)
+    crowded = materialize(members.filter("dense").select("node", "s1", "s2").distinct(), "forest_dense")
+    marked = classes.join(crowded.withColumn("dense", F.lit(True)), ["node", "s1", "s2"], "left").select("node", "s1", "s2", "sig", F.coalesce("dense", F.lit(False)).alias("dense"))
+    groups = members.drop("dense").join(marked, ["node", "s1", "s2"]).withColumns({"side": F.lit(0), "component": F.lit(0).cast("long")})
+    rows = _candidates(groups)
     # one pass over the texts serves both phases
-    needed = rows.select("node", "s1", "s2").union(members.filter(F.col("size") > BLOCK).select("node", "s1", "s2")).distinct()
+    needed = rows.select("node", "s1", "s2").union(crowded).distinct()
     sets = materialize(_sets(docs, needed), "forest_sets")
     links = materialize(_confirm(rows, sets, percent), "forest_links")
     found = components(links)
-    if not members.filter(F.col("size") > BLOCK).isEmpty():
-        more = materialize(_confirm(_candidates(_rest(members, found)), sets, percent), "forest_links")
+    if not crowded.isEmpty():
+        more = materialize(_confirm(_candidates(_rest(crowded, classes, sets, found, percent)), sets, percent), "forest_links")
         found = components(links.union(more))
     # rows of one doc_id are linked: their classes may differ in name only if another class is smaller
     shared = named.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).filter("x != y")

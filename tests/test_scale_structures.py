@@ -269,7 +269,9 @@ def test_references_follow_the_rules_of_html_5(spark):
     assert [(texts[r.k], r.d) for r in got if r.d != html.unescape(texts[r.k])] == []
 
 
-def test_overlapping_keywords_are_all_found(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_overlapping_keywords_are_all_found(spark, few, monkeypatch):
+    monkeypatch.setattr(K, "FEW", few)
     rng = random.Random(9)
     words = ["".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(60)] + ["a.b", "c(", "é", "data breach", "breach"]
     texts = ["".join(rng.choices("abc.( é", k=rng.randint(0, 40))) for _ in range(150)] + ["a Data Breach", "", None]
@@ -287,7 +289,7 @@ def test_overlapping_keywords_are_all_found(spark):
         assert hits[k] == len(alnum) + len({w for w in words if not re.fullmatch("[a-z0-9]+", w) and w in low})
 
 
-def test_many_keywords_cost_little_more_than_few(spark):
+def test_many_keywords_cost_little_more_than_few(spark, monkeypatch):
     rng = random.Random(6)
     text = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(4000))
     df = session.materialize(spark.range(60).select("id", F.concat(F.lit(text), "id").alias("t")).coalesce(1), "texts")
@@ -298,5 +300,56 @@ def test_many_keywords_cost_little_more_than_few(spark):
         df.select(K.keyword_match_struct(F.col("t"), {"a": words[:n // 2], "b": words[n // 2:n]})).write.format("noop").mode("overwrite").save()
         return time.time() - began
 
+    monkeypatch.setattr(K, "FEW", 0)  # by one pattern, however few there are
     seconds(20), seconds(1000)
-    assert min(seconds(1000) for _ in range(3)) < 2 * min(seconds(20) for _ in range(3)) + 0.2
+    assert min(seconds(1000) for _ in range(3)) < 2 * min(seconds(20) for _ in range(3)) + 0.5
+
+
+def test_language_model_on_held_out_texts(spark):
+    from vigil.operators import language as LG
+
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang").repartition(8)
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 0
+    model = LG.fit(d.filter(~held))
+    found = LG.detect(d.filter(held), model, "doc_id").join(d.select("doc_id", "lang"), "doc_id")
+    n, right = found.agg(F.count(F.lit(1)), F.sum((F.col("language") == F.col("lang")).cast("int"))).first()
+    assert n > 2000 and right / n >= 0.98 and model.languages == ["de", "en", "es", "fr"]
+
+
+def test_language_model_of_many_languages_and_odd_texts(spark):
+    from vigil.operators import language as LG
+
+    rows = [(k, chr(0x430 + k % 30) * 3 + " word", f"l{k % 30:02d}") for k in range(90)] + [(900, None, "xx"), (901, "text", None)]
+    model = LG.fit(spark.createDataFrame(rows, "id long, text string, lang string"))
+    odd = spark.createDataFrame([(0, chr(0x435) * 9), (1, None), (2, ""), (3, "12 34"), (4, "\u4e00\u4e00\u4e00"), (5, "a"), (6, "word")], "id long, text string")
+    got = {r.id: (r.language, round(r.confidence, 3)) for r in LG.detect(odd, model, "id").collect()}
+    assert len(model.languages) == 30 and got[0][0] == "l05" and got[0][1] > 0.9 and got[6][0] == "l00"
+    assert all(got[k] == ("unknown", 0.0) for k in (1, 2, 3, 4, 5))
+    assert LG.detect(odd, LG.fit(spark.createDataFrame([], "id long, text string, lang string")), "id").filter("language = 'unknown'").count() == 7
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_density_clusters_equal_brute_force(spark, monkeypatch, block):
+    from vigil.operators import density as DE
+
+    monkeypatch.setattr(DE, "BLOCK", block)
+    rng = random.Random(8)
+    kinds = [[rng.randrange(40) for _ in range(6)] for _ in range(9)]
+    rows = []
+    for k in range(130):
+        at = sorted(set(rng.sample(range(40), 4) + (rng.choice(kinds) if k % 3 else [])))
+        w = [rng.random() + 0.1 for _ in at]
+        rows.append((k, at, w))
+    rows += [(200 + k, rows[k % 2][1], rows[k % 2][2]) for k in range(6)] + [(300, [], []), (301, [], []), (302, [39], [5.0])]
+    unit = [(k, at, [x / math.sqrt(sum(y * y for y in w)) for x in w]) for k, at, w in rows]
+    vectors = spark.createDataFrame(unit, "id long, at array<int>, w array<double>").repartition(4)
+    for eps, least in ((0.35, 3), (0.2, 2), (0.6, 5), (0.35, 1)):
+        dense = {k: dict(zip(at, w, strict=True)) for k, at, w in unit}
+        near = {a: [b for b in dense if a == b or round(1 - sum(x * dense[b].get(f, 0) for f, x in dense[a].items()), DE.DIGITS) <= eps] for a in dense if dense[a]}
+        core = {a for a in near if len(near[a]) >= least}
+        comp = union_find([(a, b) for a in core for b in near[a] if b in core], core)
+        number = {c: i for i, c in enumerate(sorted(set(comp.values())))}
+        want = {a: number[comp[a]] if a in core else min((number[comp[b]] for b in near.get(a, []) if b in core), default=None) for a in dense}
+        got = {r.id: r.cluster_id for r in DE.density_clusters(vectors, eps, least).collect()}
+        assert got == want and len(set(want.values())) > 1
+    assert DE.density_clusters(vectors.limit(0), 0.5, 3).count() == 0

@@ -42,11 +42,16 @@ def trie_pattern(keywords: Sequence[str]) -> str:
     return pattern(root)
 
 
+FEW = 100  # up to so many keywords, a plain search for each is faster than one pattern's look at every place
+
+
 def found_keywords(lower_text: Column, keywords: Sequence[str]) -> Column:
-    """Distinct longest keywords that begin somewhere in the text, by one scan; overlapping ones are all found."""
+    """Distinct keywords that stand in the text, at least the longest of those that begin at one place; overlapping ones are all found."""
     kws = sorted({k for k in keywords if k})
     if not kws:
         return F.array().cast("array<string>")
+    if len(kws) <= FEW:
+        return F.filter(_kw_array(kws), lambda k: F.contains(lower_text, k))
     return F.array_distinct(F.regexp_extract_all(lower_text, F.lit(f"(?s)(?=({trie_pattern(kws)}))"), 1))
 
 
@@ -118,26 +123,29 @@ def merge_keywords(primary: Mapping[str, Sequence[str]], extra: Mapping[str, Seq
 
 
 def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:
-    """Number of distinct (lower-cased, stripped) keywords hit by the text.
+    """Number of distinct (lower-cased, stripped) keywords hit by the text."""
+    return keyword_hits_by_label(text, {"": keywords})[0]
+
 
-    Alphanumeric keywords count as whole words: one regex scan finds every
-    such keyword occurrence (word boundaries as look-arounds), and the
-    distinct matches are counted; other keywords are substring tests.
+def keyword_hits_by_label(text: Column, label_keywords: Mapping[str, Sequence[str]]) -> Column:
+    """Per label (in configured order) the number of its distinct (lower-cased, stripped) keywords hit by the text.
+
+    Alphanumeric keywords count as whole words: one scan with the keywords of all labels finds every such occurrence (word boundaries as
+    look-arounds); other keywords count as substrings, found by one scan as well.
     """
-    lt = F.lower(text)
-    distinct: list[str] = []
-    for k in keywords:
-        kk = k.lower().strip()
-        if kk and kk not in distinct:
-            distinct.append(kk)
-    if not distinct:
-        return F.lit(0)
-    words = [k for k in distinct if re.fullmatch(r"[a-z0-9]+", k)]
-    others = [k for k in distinct if k not in words]
-    total = F.lit(0)
-    if words:
-        pattern = f"(?<!{WORD}){trie_pattern(words)}(?!{WORD})"
-        total = total + F.size(F.array_distinct(F.regexp_extract_all(lt, F.lit(pattern), 0)))
-    if others:
-        total = total + F.transform(F.array(found_keywords(lt, others)), lambda f: F.size(_held(f, others)))[0]
-    return F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(total)
+    cleaned = [list(dict.fromkeys(k.lower().strip() for k in kws if k.strip())) for kws in label_keywords.values()]
+    every = list(dict.fromkeys(k for kws in cleaned for k in kws))
+    words = [k for k in every if re.fullmatch(r"[a-z0-9]+", k)]
+    others = [k for k in every if k not in words]
+    lt, none = F.lower(text), F.array().cast("array<string>")
+    whole = F.array_distinct(F.regexp_extract_all(lt, F.lit(f"(?<!{WORD}){trie_pattern(words)}(?!{WORD})"), 0)) if words else none
+    found = F.struct(whole.alias("whole"), found_keywords(lt, others).alias("parts"))
+
+    def hits(f: Column, kws: list[str]) -> Column:
+        own = [k for k in kws if k in words]
+        count = F.size(F.array_intersect(f["whole"], _kw_array(own))) if own else F.lit(0)
+        rest = [k for k in kws if k not in words]
+        return count + (F.size(_held(f["parts"], rest)) if rest else F.lit(0))
+
+    counts = F.transform(F.array(found), lambda f: F.array(*[hits(f, kws) for kws in cleaned]))[0]
+    return F.when(text.isNull() | (text == ""), F.array(*[F.lit(0)] * len(cleaned))).otherwise(counts)

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,17 +35,25 @@ def text_vectors(docs: DataFrame, id_col: str, text_col: str, max_features: int,
     rows = features.term_rows(docs, id_col, text_col, **kw)
     n_docs = docs.count()
     vocab = features.vocabulary(features.term_counts(rows), n_docs, max_features).orderBy("term").collect()  # at most max_features
-    idf = [math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0 for r in vocab]
-    table = pa.table({"term": pa.array([r["term"] for r in vocab], pa.string()), "at": pa.array(range(len(vocab)), pa.int32()), "idf": pa.array(idf, pa.float64())})
-    lookup = F.broadcast(docs.sparkSession.createDataFrame(table))
-    weights = features.term_counts(rows).join(lookup, "term").select("doc", F.struct("at", (F.col("tf") * F.col("idf")).alias("w")).alias("x"))
-    v = weights.groupBy("doc").agg(F.sort_array(F.collect_list("x")).alias("x"))  # the terms of one text
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    v = v.select("doc", F.transform("x", lambda x: x["at"]).alias("at"), F.transform("x", lambda x: x["w"] / norm).alias("w"))
-    none_at, none_w = F.array().cast("array<int>"), F.array().cast("array<double>")
-    out = docs.select(F.col(id_col).alias("id")).join(v, F.col("id") == F.col("doc"), "left").select(
-        "id", _batch(F.col("id")).alias("batch"), F.coalesce("at", none_at).alias("at"), F.coalesce("w", none_w).alias("w"))
-    return materialize(out, "text_vectors")
+    names = pa.array([r["term"] for r in vocab], pa.string())
+    idf = np.array([math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0 for r in vocab])
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms, tf = b.column(2), b.column(3)
+            at = pc.index_in(terms.flatten(), value_set=names)
+            known = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+            at = at.take(pa.array(known)).to_numpy(zero_copy_only=False).astype(np.int32)
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(terms).to_numpy(zero_copy_only=False))[known]
+            w = tf.flatten().to_numpy()[known] * idf[at] if len(at) else np.zeros(0)
+            norm = np.sqrt(np.bincount(row, w * w, b.num_rows))
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(at)),
+                                              pa.ListArray.from_arrays(ends, pa.array(w / norm[row] if len(row) else w))], names=["id", "batch", "at", "w"])
+
+    kind = dict(rows.dtypes)["doc"]
+    flat = rows.select(F.col("doc").alias("id"), _batch(F.col("doc")).alias("batch"), F.col("tfs.term").alias("term"), F.col("tfs.tf").alias("tf"))
+    return materialize(flat.mapInArrow(vectors, f"id {kind}, batch int, at array<int>, w array<double>"), "text_vectors")
 
 
 def _batch(c):

@@ -41,12 +41,14 @@ def terms(text: Column, ngram_max: int = 2, stop_words: Sequence[str] = CLUSTER_
 
 
 def term_rows(docs: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:
-    """(doc, tfs): each row's distinct terms with their counts, as one sorted array; written once, no shuffle.
+    """(doc, tfs): each row's distinct terms with their counts, as one sorted array, empty without terms; written once, no shuffle.
 
     Counting is a run-length over the row's sorted terms, so a term table of the corpus is never grouped by document.
     """
-    t = docs.select(F.col(id_col).alias("doc"), F.sort_array(terms(F.col(text_col), **kw)).alias("t")).filter(F.size("t") > 0)
-    first = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    none = F.array().cast("array<string>")
+    t = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.sort_array(terms(F.col(text_col), **kw)), none).alias("t"))
+    places = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - 1)).otherwise(F.array().cast("array<int>"))
+    first = F.filter(places, lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
     t = t.withColumn("first", first)
     tfs = F.transform("first", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("first", k + 1), F.size("t")) - i).cast("long").alias("tf")))
     return materialize(t.select("doc", tfs.alias("tfs")), "terms")

@@ -188,19 +188,23 @@ ioc AS (
   FROM ioc_hits)"""
 
 
-def cte_clusters(max_features: int = V.TEST_FEATURES, src: str = "norm", text: str = "clean_text", k: int = 10) -> str:
-    """Mini-batch k-means over the TF-IDF rows of single words, seeds and batches drawn from hashes (k: the automatic number for 30 rows and more)."""
-    def distance(n2: str, c2: str, dot: str) -> str:
-        return f"round(sqrt(greatest({n2} + {c2} - 2 * {dot}, 0)), {K.DIGITS})"
-
-    ctes = [f"""tfc AS (
+def cte_vectors(max_features: int, src: str, text: str) -> str:
+    """vec (doc, term, w): unit TF-IDF rows over the most frequent single words."""
+    return f"""tfc AS (
   SELECT doc, term, count(*) AS tf FROM (
     SELECT event_id AS doc, unnest(list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 2)) AS term FROM {src})
   GROUP BY doc, term),
 tdf AS (SELECT term, count(*) AS df FROM tfc GROUP BY term ORDER BY sum(tf) DESC, term LIMIT {max_features}),
 twt AS (SELECT doc, term, tf * (ln((1.0 + (SELECT count(*) FROM {src})) / (1.0 + df)) + 1.0) AS w FROM tfc JOIN tdf USING (term)),
-vec AS MATERIALIZED (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS w FROM twt),
-vrow AS MATERIALIZED (
+vec AS MATERIALIZED (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS w FROM twt)"""
+
+
+def cte_clusters(max_features: int = V.TEST_FEATURES, src: str = "norm", text: str = "clean_text", k: int = 10) -> str:
+    """Mini-batch k-means over the TF-IDF rows of single words, seeds and batches drawn from hashes (k: the automatic number for 30 rows and more)."""
+    def distance(n2: str, c2: str, dot: str) -> str:
+        return f"round(sqrt(greatest({n2} + {c2} - 2 * {dot}, 0)), {K.DIGITS})"
+
+    ctes = [cte_vectors(max_features, src, text), f"""vrow AS MATERIALIZED (
   SELECT event_id AS doc, coalesce(n2, 0.0) AS n2, ('0x' || substr(md5('{K.SEED}|batch|' || event_id), 1, 8))::BIGINT % {K.BATCHES} AS batch
   FROM {src} LEFT JOIN (SELECT doc, sum(w * w) AS n2 FROM vec GROUP BY doc) ON doc = event_id),
 smp AS MATERIALIZED (SELECT doc, n2 FROM vrow ORDER BY md5('{K.SEED}|seed|' || doc), doc LIMIT {K.SEED_ROWS}),

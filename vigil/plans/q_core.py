@@ -8,6 +8,7 @@ from vigil.functions import ioc as I
 from vigil.functions import keywords as K
 from vigil.functions import text as T
 from vigil.operators import iocs as IO
+from vigil.operators import language as LG
 from vigil.operators import suffixes as SX
 from vigil.params import IOC_PATTERNS, PUBLIC_SUFFIXES
 from vigil.plans import oracle as O
@@ -71,6 +72,24 @@ def pre_detect_language(spark, sf):
     return n.select("event_id", "language", dbl("language_confidence").alias("language_confidence"))
 
 
+@register("pre_language_model", f"""
+WITH t AS (SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g')) || ' ' AS t FROM documents),
+g AS MATERIALIZED (SELECT doc_id, lang, substr(t, i, 3) AS gram FROM t, unnest(range(1, length(t) - 1)) r(i)),
+c AS (SELECT lang, gram, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY ALL),
+l AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
+v AS (SELECT DISTINCT gram FROM c),
+m AS MATERIALIZED (
+  SELECT v.gram, l.lang, ln((coalesce(c.n, 0) + 1.0) / (l.total + (SELECT count(*) FROM v))) AS p FROM v CROSS JOIN l LEFT JOIN c ON c.gram = v.gram AND c.lang = l.lang),
+s AS (SELECT doc_id, m.lang, round(sum(k * p), 6) AS s FROM (SELECT doc_id, gram, count(*) AS k FROM g GROUP BY ALL) JOIN m USING (gram) GROUP BY ALL),
+b AS (SELECT *, max(s) OVER (PARTITION BY doc_id) AS top FROM s),
+r AS (SELECT doc_id, min(lang) FILTER (s = top) AS language, 1.0 / sum(exp(s - top)) AS confidence FROM b GROUP BY doc_id)
+SELECT d.doc_id, coalesce(language, 'unknown') AS language, {s_dbl('coalesce(confidence, 0.0)')} AS confidence FROM documents d LEFT JOIN r USING (doc_id)""")
+def pre_language_model(spark, sf):
+    """A character n-gram model learnt from the labelled documents, applied to all of them."""
+    d = read_table(spark, sf, "documents", "doc_id").select("doc_id", "text", "lang")
+    return LG.detect(d, LG.fit(d), "doc_id").select("doc_id", "language", dbl("confidence").alias("confidence"))
+
+
 @register("pre_language_filter", O.chain("norm") + "SELECT event_id, language FROM norm WHERE language IN ('en', 'fr')")
 def pre_language_filter(spark, sf):
     from vigil.operators.preprocess import normalize

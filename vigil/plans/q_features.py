@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators import classify
 from vigil.operators import clusters as K
+from vigil.operators import density as DE
 from vigil.operators import features as FE
 from vigil.plans import oracle as O
 from vigil.plans.registry import arr, dbl, register, s_arr, s_dbl
@@ -98,6 +99,28 @@ def clu_kmeans_text(spark, sf):
     return c.select("doc_id", "cluster_id", dbl("cluster_confidence").alias("cluster_confidence"))
 
 
+DENSITY_FEATURES, EPS, MIN_SAMPLES = 500, 0.5, 3
+
+
+@register("clu_dbscan", "WITH RECURSIVE src AS (SELECT doc_id AS event_id, text FROM documents),\n" + O.cte_vectors(DENSITY_FEATURES, "src", "text") + f""",
+pairs AS MATERIALIZED (SELECT x.doc AS a, y.doc AS b FROM vec x JOIN vec y USING (term) GROUP BY x.doc, y.doc HAVING round(1 - sum(x.w * y.w), {DE.DIGITS}) <= {EPS}),
+core AS MATERIALIZED (SELECT a AS node FROM pairs GROUP BY a HAVING count(*) >= {MIN_SAMPLES}),
+edges AS MATERIALIZED (SELECT a AS src, b AS dst FROM pairs SEMI JOIN core c ON c.node = a SEMI JOIN core d ON d.node = b WHERE a <> b),
+cc(node, comp) USING KEY (node) AS (
+  SELECT node, node FROM core
+  UNION
+  SELECT e.dst, min(c.comp) FROM cc c JOIN edges e ON c.node = e.src JOIN recurring.cc r ON r.node = e.dst
+  GROUP BY e.dst, r.comp HAVING min(c.comp) < r.comp),
+num AS (SELECT node, dense_rank() OVER (ORDER BY comp) - 1 AS cluster_id FROM cc),
+lab AS (SELECT node AS doc, cluster_id FROM num UNION ALL
+        SELECT a, min(cluster_id) FROM pairs JOIN num ON b = node WHERE a NOT IN (SELECT node FROM core) GROUP BY a)
+SELECT event_id AS doc_id, CAST(cluster_id AS INTEGER) AS cluster_id FROM src LEFT JOIN lab ON doc = event_id""")
+def clu_dbscan(spark, sf):
+    """Density clustering of the TF-IDF rows of single words by cosine distance."""
+    v = K.text_vectors(docs(spark, sf), "doc_id", "text", DENSITY_FEATURES, ngram_max=1, stop_words=())
+    return DE.density_clusters(v, EPS, MIN_SAMPLES).select(F.col("id").alias("doc_id"), "cluster_id")
+
+
 @register("clu_cluster_summary", "SELECT count(DISTINCT label) AS n_clusters FROM embeddings WHERE label IS NOT NULL")
 def clu_cluster_summary(spark, sf):
     e = read_table(spark, sf, "embeddings")

@@ -164,11 +164,13 @@ def _window_pairs(window: int, sig: np.ndarray, tree: np.ndarray, halo: np.ndarr
 
 
 def _block_pairs(sig: np.ndarray, side: np.ndarray, component: np.ndarray) -> np.ndarray:
-    """Index pairs of a block of classes in different components, between its two sides if it has two."""
-    fits = np.triu((sig[:, None, :] == sig[None, :, :]).sum(-1) >= MIN_AGREE, 1) & (component[:, None] != component[None, :])
-    if side.any():
-        fits &= side[:, None] != side[None, :]
-    return np.column_stack(np.nonzero(fits))
+    """Index pairs of classes in different components, one on each side of the block."""
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(a) or not len(b):
+        return np.zeros((0, 2), np.int64)
+    fits = ((sig[a][:, None, :] == sig[b][None, :, :]).sum(-1) >= MIN_AGREE) & (component[a][:, None] != component[b][None, :])
+    i, j = np.nonzero(fits)
+    return np.column_stack([a[i], b[j]])
 
 
 def _by_gid(batches):
@@ -263,8 +265,8 @@ def _rest(dense: DataFrame, classes: DataFrame, sets: DataFrame, found: DataFram
     """Groups for what the windows of dense stretches may have missed, by prefix filtering of the sets.
 
     Two sets as similar as ``percent`` share one of each one's first n - ceil(percent n) + 1 shingles, in any order of all shingles. Those that
-    few sets hold come first, so blocks by shingle are small even where most texts share a long passage. Blocks of one
-    component are done; larger blocks are dealt into parts that meet two by two.
+    few sets hold come first, so groups by shingle are small even where most texts share a long passage. In a group, what is outside its
+    largest component is compared with all of it, block by block; groups of one component are done.
     """
     placed = dense.join(found, "node", "left").select("node", "s1", "s2", F.coalesce("component", "node").alias("component"))
 
@@ -281,14 +283,17 @@ def _rest(dense: DataFrame, classes: DataFrame, sets: DataFrame, found: DataFram
     order = F.row_number().over(Window.partitionBy("node", "s1", "s2").orderBy(F.coalesce("common", F.lit(0)), "token"))  # shingles of one text
     first = held.join(common, "token", "left").withColumn("nth", order).filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     first = materialize(first.select("node", "s1", "s2", "component", "token"), "forest_first")
-    sizes = first.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-    parts = F.ceil(F.col("size") / BLOCK)
-    own = F.pmod(F.xxhash64("node"), parts)
-    met = first.join(sizes.select("token", "size"), "token").select("*", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    return met.join(classes.select("node", "s1", "s2", "sig"), ["node", "s1", "s2"]).select(
-        F.xxhash64("token", low, high).alias("gid"), F.xxhash64("node", "s1").alias("rank"), F.lit(False).alias("halo"), F.lit(-1).alias("tree"), "node", "s1", "s2", "sig",
-        F.lit(True).alias("dense"), ((low != high) & (F.col("own") == high)).cast("int").alias("side"), "component")
+    parts = first.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("token").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("size")) \
+        .select("token", F.col("m.component").alias("main"), "size", (F.col("size") - F.col("m.n")).alias("others")).filter("others > 0")
+    met = first.join(main, "token").join(classes.select("node", "s1", "s2", "sig"), ["node", "s1", "s2"])
+    blocks, other_blocks = F.ceil(F.col("size") / BLOCK), F.ceil(F.col("others") / BLOCK)
+    own, other = F.pmod(F.xxhash64("node"), blocks), F.pmod(F.xxhash64(F.lit("other"), F.col("node")), other_blocks)
+    row = ["token", "node", "s1", "s2", "sig", "component"]
+    every = met.select(*row, F.lit(0).alias("side"), own.alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), other_blocks - 1)).alias("o"))
+    outside = met.filter(F.col("component") != F.col("main")).select(*row, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("g"), other.alias("o"))
+    return every.unionByName(outside).select(F.xxhash64("token", "g", "o").alias("gid"), F.xxhash64("node", "s1").alias("rank"), F.lit(False).alias("halo"), F.lit(-1).alias("tree"),
+                                             "node", "s1", "s2", "sig", F.lit(True).alias("dense"), "side", "component")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -60,6 +60,12 @@ def _held(found: Column, keywords: Sequence[str]) -> Column:
     return F.filter(_kw_array([k.lower() for k in keywords]), lambda k: F.when(k == "", found.isNotNull()).otherwise(F.exists(found, lambda f: f.startswith(k))))
 
 
+def keyword_matches(lower_text: Column, keywords: Sequence[str]) -> Column:
+    """Keywords (in configured order) that occur as substrings of the lower-cased text."""
+    found = found_keywords(lower_text, [k.lower() for k in keywords])
+    return F.transform(F.array(found), lambda f: _held(f, keywords))[0]
+
+
 def keyword_match_struct(text: Column, label_keywords: Mapping[str, Sequence[str]]) -> Column:
     """struct<label_i: matched keywords> (configured order) of all labels, from one scan of the text; to be selected as its own column."""
     found = found_keywords(F.lower(text), [k.lower() for kws in label_keywords.values() for k in kws])

@@ -50,10 +50,15 @@ def _literal_map(pairs: dict) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(k) for k in pairs]), F.array(*[F.lit(v) for v in pairs.values()]))
 
 
+def _name_map(pairs: dict[str, str]) -> Column:
+    """As one text literal: a literal per name would be walked by every rule of the planner."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in pairs.items())), F.lit("\x02"), F.lit("\x01"))
+
+
 def decode_references(c: Column) -> Column:
     """Named and numeric character references -> characters; unknown names stay."""
-    common = _literal_map({n: NAMED_REFERENCES[n] for n in COMMON_REFERENCES})
-    named, latin = _literal_map(NAMED_REFERENCES), _literal_map(LATIN_REFERENCES)
+    common = _name_map({n: NAMED_REFERENCES[n] for n in COMMON_REFERENCES})
+    named, latin = _name_map(NAMED_REFERENCES), _literal_map(LATIN_REFERENCES)
 
     def character(digits: Column, base: int) -> Column:
         short = F.regexp_replace(F.rtrim(digits, F.lit(";")), "^0+(?=.)", "")

@@ -1,20 +1,20 @@
 """Density clustering of sparse unit vectors by cosine distance, without a table of pairs.
 
-Equal vectors are one class with its number of rows. Features are ordered from rare to common; a class stands in the blocks of its first features, as
-many as it takes until the length of the rest is under 1 - eps: two vectors as near as eps share one of these (prefix filter with
-the length bound). A pair is looked at in the block of its first common one only. A block is compared as small dense matrices; one of more than ``BLOCK`` classes is
-dealt into parts, and parts meet two by two, so a task holds two parts at most.
-
-Two passes over the blocks: the first counts neighbours (up to what makes a core), the second joins the cores of each block by
-a spanning forest and hangs border classes on the cores they touch. Connected components of the forests are the clusters, numbered
+Equal vectors are one class with its number of rows. Classes are dealt into parts, and parts meet two by two: a task holds two parts of at most ``BLOCK``
+classes and compares them tile by tile, as single-precision matrix products; a pair whose product is nearer to the limit than their
+rounding error is looked at again in double precision. So every pair is compared once a pass: the work is quadratic in the number of different vectors,
+which the near pairs are too where a corpus is dense, but a pair costs one product of a matrix and a class is sent only as often as there are parts.
+(Blocks of a prefix filter hold most classes each where the features are few and frequent, and send a class once per feature and part.)
+
+Two passes over the parts: the first counts neighbours (up to what makes a core), the second joins the cores of each pair of parts by
+a spanning forest and hangs border classes on the cores they touch; a tile whose classes are all cores of one cluster by then is not compared again. Connected components of the forests are the clusters, numbered
 by their smallest core id; a border row goes to the cluster with the smallest number among its core neighbours. Noise, and rows without a
 feature, get no cluster.
-
-What goes to the tasks (order and block sizes) has a row per feature, and the number of features is the caller's bound.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +26,11 @@ from vigil.operators.graph import component_ids, global_rank
 from vigil.operators.skew import join_per_key
 from vigil.session import materialize
 
-BLOCK = 512
+BLOCK = 16_384  # classes of a part at most
+SMALL = 1_024  # classes of a part at least, where there are more parts than it takes
+TILE = 2_048
 DIGITS = 9  # of a distance that are compared
 SAME = 2  # side of the members of a part that meets itself; 0 and 1 are the sides where two parts meet
-_MEMBERS = "key long, side int, cid long, m long, core boolean, feature int, at array<int>, w array<double>, first int"
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -49,56 +50,79 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def _near(t: pa.Table, eps: float) -> np.ndarray:
-    """Symmetric mask of the block's pairs within eps that share no earlier block and stand on the block's two sides."""
-    at = [np.asarray(x, np.int64) for x in t.column("at").to_pylist()]
-    first, feature = t.column("first").to_numpy(), t.column("feature")[0].as_py()
-    names, place = np.unique(np.concatenate(at), return_inverse=True)
-    row = np.repeat(np.arange(len(at)), [len(x) for x in at])
-    x = np.zeros((len(at), len(names)))
-    x[row, place] = np.concatenate([np.asarray(v) for v in t.column("w").to_pylist()])
-    earlier = np.zeros((len(at), len(names)), np.float32)
-    nth = np.concatenate([np.arange(len(v)) for v in at])
-    use = (nth < first[row]) & (names[place] < feature)
-    earlier[row[use], place[use]] = 1
-    ok = (np.round(1 - x @ x.T, DIGITS) <= eps) & (earlier @ earlier.T == 0)
-    np.fill_diagonal(ok, False)
+class _Rows:
+    """Classes of one side as dense rows, in single precision for all pairs and in double precision for a few."""
+
+    def __init__(self, t: pa.Table, names: np.ndarray) -> None:
+        t = t.combine_chunks()
+        self.cid, self.m, self.core = t.column("cid").to_numpy(), t.column("m").to_numpy(), t.column("core").to_numpy(zero_copy_only=False)
+        at, w = (pa.concat_arrays(t.column(c).chunks) if t.num_rows else None for c in ("at", "w"))
+        row = np.repeat(np.arange(t.num_rows), np.diff(at.offsets.to_numpy()))
+        self.exact = np.zeros((t.num_rows, len(names)))
+        self.exact[row, np.searchsorted(names, at.flatten().to_numpy())] = w.flatten().to_numpy()
+        self.fast = self.exact.astype(np.float32)
+
+
+def _sides(t: pa.Table) -> tuple[_Rows, _Rows] | None:
+    """The two sides of a pair of parts, one object where a part meets itself; None if there is nothing to compare."""
+    names = np.unique(pa.concat_arrays(t.combine_chunks().column("at").chunks).flatten().to_numpy())
     side = t.column("side").to_numpy()
-    return ok if side[0] == SAME else ok & (side[:, None] != side[None, :])
-
-
-def _blocks(classes: DataFrame, rank: np.ndarray, parts: np.ndarray, eps: float) -> DataFrame:
-    """A row per class and block it stands in, sorted by block. ``classes``: (cid, m, core, at, w)."""
-    schema = pa.schema([("key", pa.int64()), ("side", pa.int32()), ("cid", pa.int64()), ("m", pa.int64()), ("core", pa.bool_()), ("feature", pa.int32()),
-                        ("at", pa.list_(pa.int32())), ("w", pa.list_(pa.float64())), ("first", pa.int32())])
-    most = int(parts.max()) if len(parts) else 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                at, w, n = _ordered(r, rank, eps)
-                out = []
-                for f in at[:n].tolist():
-                    k = int(parts[f])
-                    own = r["cid"] % k
-                    for other in range(k):
-                        i, j = min(own, other), max(own, other)
-                        out.append(((f * most + i) * most + j, SAME if i == j else int(own == j), f))
-                rows = len(out)
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), *[pa.array([r[c]] * rows, schema.field(c).type) for c in ("cid", "m", "core")],
-                                                  pa.array([o[2] for o in out], pa.int32()), pa.array([at.tolist()] * rows, schema.field("at").type), pa.array([w.tolist()] * rows, schema.field("w").type),
-                                                  pa.array([n] * rows, pa.int32())], schema=schema)
-
-    return classes.select("cid", "m", "core", "at", "w").mapInArrow(run, _MEMBERS).repartition("key").sortWithinPartitions("key")
-
-
-def _ordered(r: dict, rank: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Features by rank, their weights, and how many come first."""
-    at, w = rank[np.asarray(r["at"], np.int64)], np.asarray(r["w"])
-    order = np.argsort(at)
-    at, w = at[order], w[order]
-    rest = np.sqrt(np.cumsum((w * w)[::-1])[::-1])  # length from each feature on
-    return at, w, int((rest >= 1 - eps - 1e-9).sum())
+    if side[0] == SAME:
+        rows = _Rows(t, names)
+        return (rows, rows) if t.num_rows > 1 else None
+    if not 0 < side.sum() < len(side):
+        return None
+    a, b = (_Rows(t.filter(pa.array(side == k)), names) for k in (0, 1))
+    return a, b
+
+
+def _near(a: _Rows, b: _Rows, i: slice, j: slice, eps: float) -> np.ndarray:
+    """Mask of the pairs within eps of the rows i of ``a`` and j of ``b``; a row is not its own neighbour."""
+    dots = a.fast[i] @ b.fast[j].T
+    limit, doubt = 1 - eps, 2.0 ** -23 * (a.fast.shape[1] + 8)  # a bound of the rounding error for unit vectors
+    ok = dots >= limit
+    x, y = np.nonzero(np.abs(dots - np.float32(limit)) <= doubt + 10.0 ** -DIGITS)
+    for k in range(0, len(x), TILE):
+        p, q = x[k:k + TILE], y[k:k + TILE]
+        ok[p, q] = np.round(1 - np.einsum("rf,rf->r", a.exact[i][p], b.exact[j][q]), DIGITS) <= eps
+    if a is b and i == j:
+        np.fill_diagonal(ok, False)
+    return ok
+
+
+def _tiles(a: _Rows, b: _Rows) -> Iterator[tuple[slice, slice]]:
+    for i in range(0, len(a.cid), TILE):
+        for j in range(i if a is b else 0, len(b.cid), TILE):
+            yield slice(i, min(i + TILE, len(a.cid))), slice(j, min(j + TILE, len(b.cid)))
+
+
+def _forest(ok: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs (row, column) that join what the mask joins, fewer than rows and columns together."""
+    seen_row, seen_col = np.zeros(ok.shape[0], bool), np.zeros(ok.shape[1], bool)
+    for start in range(ok.shape[0]):
+        front = np.array([start]) if not seen_row[start] else np.zeros(0, np.int64)
+        seen_row[start] = True
+        while len(front):
+            met = ok[front] & ~seen_col
+            cols = np.flatnonzero(met.any(0))
+            yield from zip(front[met[:, cols].argmax(0)].tolist(), cols.tolist(), strict=True)
+            seen_col[cols] = True
+            back = ok[:, cols] & ~seen_row[:, None]
+            front = np.flatnonzero(back.any(1)) if len(cols) else np.zeros(0, np.int64)
+            if len(front):
+                yield from zip(front.tolist(), cols[back[front].argmax(1)].tolist(), strict=True)
+                seen_row[front] = True
+
+
+def _blocks(classes: DataFrame, parts: int) -> DataFrame:
+    """A row per class and part that its own part meets, sorted by pair of parts; pairs are dealt out evenly. ``classes``: (cid, m, core, at, w)."""
+    own, other = F.pmod(F.xxhash64("cid"), F.lit(parts)).cast("long"), F.col("other")
+    rows = classes.select("cid", "m", "core", "at", "w", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("other"))
+    high, low = F.greatest("own", other), F.least("own", other)
+    keyed = rows.select((F.expr("greatest(own, other) * (greatest(own, other) + 1) div 2") + low).alias("key"),
+                        F.when(high == low, SAME).otherwise((F.col("own") == high).cast("int")).cast("int").alias("side"), "cid", "m", "core", "at", "w")
+    n = min(parts * (parts + 1) // 2, 4 * classes.sparkSession.sparkContext.defaultParallelism)
+    return keyed.repartitionById(n, (F.col("key") % n).cast("int")).sortWithinPartitions("key")
 
 
 def density_clusters(vectors: DataFrame, eps: float = 0.5, min_samples: int = 3) -> DataFrame:
@@ -106,41 +130,38 @@ def density_clusters(vectors: DataFrame, eps: float = 0.5, min_samples: int = 3)
     v = vectors.select("id", F.md5(F.concat(F.to_json("at"), F.lit("|"), F.to_json("w"))).alias("key"), "at", "w")
     alike = v.filter(F.size("at") > 0).groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"), F.any_value("at").alias("at"), F.any_value("w").alias("w"))
     classes = materialize(alike.withColumn("cid", F.monotonically_increasing_id()), "density_classes")
-    features = classes.select(F.explode("at").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "f").collect()  # a row per feature
-    rank = np.full(max((r["f"] for r in features), default=0) + 1, -1, np.int64)
-    rank[[r["f"] for r in features]] = np.arange(len(features))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(features), np.int64)
-        for b in batches:
-            for r in b.to_pylist():
-                at, _, first = _ordered(r, rank, eps)
-                n[at[:first]] += 1
-        f = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n[f])], names=["f", "n"])
-
-    held = np.zeros(max(len(features), 1), np.int64)
-    for r in classes.select("at", "w").mapInArrow(places, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():  # a row per feature
-        held[r["f"]] = r["n"]
-    parts = np.maximum(1, -(-held // BLOCK))
+    n_classes, slots = classes.count(), classes.sparkSession.sparkContext.defaultParallelism
+    wanted = min(math.ceil(math.sqrt(8 * slots)), -(-n_classes // SMALL))  # some tasks for each slot
+    parts = max(1, -(-n_classes // BLOCK), wanted)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_key(batches):
-            n = np.minimum(_near(t, eps) @ t.column("m").to_numpy(), min_samples) if t.num_rows > 1 else np.zeros(t.num_rows, np.int64)
-            some = np.flatnonzero(n)
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(t.column("cid").to_numpy()[some]), pa.array(n[some].astype(np.int64))], names=["cid", "n"])
+            sides = _sides(t)
+            if sides is None:
+                continue
+            a, b = sides
+            n = [np.zeros(len(x.cid), np.int64) for x in sides]
+            for i, j in _tiles(a, b):
+                ok = _near(a, b, i, j, eps).astype(np.float32)
+                n[0][i] += (ok @ np.minimum(b.m[j], min_samples).astype(np.float32)).astype(np.int64)
+                if a is not b or i != j:
+                    n[0 if a is b else 1][j] += (np.minimum(a.m[i], min_samples).astype(np.float32) @ ok).astype(np.int64)
+            for x, c in zip((a,) if a is b else (a, b), n, strict=False):
+                some = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(x.cid[some]), pa.array(np.minimum(c[some], min_samples))], names=["cid", "n"])
 
     plain = classes.withColumn("core", F.lit(False))
-    found = _blocks(plain, rank, parts, eps).mapInArrow(counts, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n"))
+    found = _blocks(plain, parts).mapInArrow(counts, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n"))
     cored = materialize(classes.join(found, "cid", "left").withColumn("core", F.col("m") + F.coalesce("n", F.lit(0)) >= min_samples), "density_cores")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_key(batches):
-            core = t.column("core").to_numpy(zero_copy_only=False)
-            if t.num_rows < 2 or not core.any():
+            sides = _sides(t)
+            if sides is None or not (sides[0].core.any() or sides[1].core.any()):
                 continue
-            near, cid = _near(t, eps), t.column("cid").to_numpy()
+            a, b = sides
+            place = (np.arange(len(a.cid)), np.arange(len(b.cid)) + (0 if a is b else len(a.cid)))  # of both sides in one list
+            cid = a.cid if a is b else np.concatenate([a.cid, b.cid])
             group = list(range(len(cid)))
 
             def root(x: int, group: list[int] = group) -> int:
@@ -149,22 +170,26 @@ def density_clusters(vectors: DataFrame, eps: float = 0.5, min_samples: int = 3)
                     x = group[x]
                 return x
 
-            a, b, border = [], [], []
-            for i, j in zip(*np.nonzero(np.triu(near & core[:, None] & core[None, :])), strict=True):
-                x, y = root(int(i)), root(int(j))
-                if x != y:
-                    group[x] = y
-                    a.append(cid[i])
-                    b.append(cid[j])
-                    border.append(False)
-            touch = {(int(i), root(int(j))) for i, j in zip(*np.nonzero(near & ~core[:, None] & core[None, :]), strict=True)}
-            for i, j in touch:
-                a.append(cid[i])
-                b.append(cid[j])
-                border.append(True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(border, pa.bool_())], names=["a", "b", "border"])
-
-    joined = materialize(_blocks(cored, rank, parts, eps).mapInArrow(links, "a long, b long, border boolean"), "density_links")
+            ends, border = [], set()
+            for i, j in _tiles(a, b):
+                rows, cols = place[0][i], place[1][j]
+                core_row, core_col = a.core[i], b.core[j]
+                if core_row.all() and core_col.all() and len({root(x) for x in (*rows.tolist(), *cols.tolist())}) == 1:
+                    continue
+                ok = _near(a, b, i, j, eps)
+                for x, y in _forest(ok & core_row[:, None] & core_col[None, :]):
+                    p, q = root(int(rows[x])), root(int(cols[y]))
+                    if p != q:
+                        group[p] = q
+                        ends.append((rows[x], cols[y]))
+                for x, y in zip(*np.nonzero(ok & (core_row[:, None] != core_col[None, :])), strict=True):
+                    border.add((rows[x], cols[y]) if core_col[y] else (cols[y], rows[x]))
+            hung = sorted({(x, root(int(y))) for x, y in border})
+            both = np.array(ends + hung, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(cid[both[:, 0]], pa.int64()), pa.array(cid[both[:, 1]], pa.int64()), pa.array([False] * len(ends) + [True] * len(hung), pa.bool_())],
+                                             names=["a", "b", "border"])
+
+    joined = materialize(_blocks(cored, parts).mapInArrow(links, "a long, b long, border boolean"), "density_links")
     roots = component_ids(joined.filter("NOT border").select("a", "b"))
     cores = cored.filter("core").join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     numbers = global_rank(cores.groupBy("root").agg(F.min("rep").alias("first")), [F.col("first")], "number").select("root", (F.col("number") - 1).cast("int").alias("cluster_id"))

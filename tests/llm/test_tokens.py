@@ -182,3 +182,12 @@ def test_token_files_rows_of_one_id_have_one_order(llm_spark):
     docs = llm_spark.createDataFrame(rows, "doc_id long, text string")
     got = [sorted(map(tuple, token_files.round_trip(docs.repartition(n), tokenizer_file("byte_bpe_50k.json"), shard_bytes=400).collect()), key=str) for n in (1, 7)]
     assert got[0] == got[1] and len(got[0]) == 600
+
+
+def test_packing_holds_few_texts_at_a_time(llm_spark, monkeypatch):
+    key, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], packing.materialize
+    before = llm_spark.conf.get(key)
+    monkeypatch.setattr(packing, "materialize", lambda df, name: (seen.append(int(llm_spark.conf.get(key))), write(df, name))[1])
+    docs = llm_spark.createDataFrame([(i, f"text {i}") for i in range(5)], "doc_id long, text string")
+    assert packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json")).count() == 5
+    assert seen == [packing.BATCH_ROWS] and packing.BATCH_ROWS < 10_000 and llm_spark.conf.get(key) == before

@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 
 from vigil.llm.arrow import slices
 from vigil.llm.tokens import encoder
-from vigil.session import materialize
+from vigil.session import arrow_rows, materialize
 
 CAPACITY = 2048
 END_ID = 0
 MAX_BROADCAST_STEPS = 200_000
+BATCH_ROWS = 2048  # texts that a worker has in memory at a time
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                      ("task", pa.int32()), ("nth", pa.int64()), ("ids", pa.binary())])
@@ -80,7 +81,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def run(batches):
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         enc, end = encoder(tokenizer_path), np.array([end_id], "<u4")
-        for b in slices(batches, 4096):
+        for b in slices(batches, BATCH_ROWS):
             rows = {f.name: [] for f in _PIECES}
             texts = [t or "" for t in b.column("text").to_pylist()]
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.ids(texts), strict=True):
@@ -101,7 +102,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) per piece."""
     spark = docs.sparkSession
-    p = materialize(pieces(docs, tokenizer_path, capacity, end_id, with_ids), "pack_pieces")
+    with arrow_rows(spark, BATCH_ROWS):
+        p = materialize(pieces(docs, tokenizer_path, capacity, end_id, with_ids), "pack_pieces")
     by_task = p.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     steps = plan_histogram(histogram, capacity)

@@ -231,11 +231,14 @@ class Encoder:
                 yield np.array(e.ids, "<u4")
             return
         units = self._units(texts)
+        ends = units.offsets.to_numpy() - units.offsets[0].as_py()
         coded = units.flatten().dictionary_encode()
+        del units  # each of these is as large as the texts
         at = self._lookup(coded.dictionary)[coded.indices.to_numpy()]
-        n = self.units.size[at]
+        del coded
+        bounds = np.concatenate(([0], np.cumsum(self.units.size[at], dtype=np.int32)))[ends]
         ids = self.units.ids(at)
-        bounds = np.concatenate(([0], np.cumsum(n, dtype=np.int32)))[units.offsets.to_numpy() - units.offsets[0].as_py()]
+        del at
         for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield ids[a:z]
 

@@ -12,6 +12,8 @@ import gc
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
+
 _KEPT: dict[Hashable, Any] = {}
 
 
@@ -20,6 +22,7 @@ def keep(key: Hashable, make: Callable[[], Any]) -> Any:
         if _KEPT:
             _KEPT.clear()
             gc.collect()
+            pa.default_memory_pool().release_unused()
             if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # freed memory goes back to the system
                 trim(0)
         _KEPT[key] = make()

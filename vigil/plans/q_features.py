@@ -31,10 +31,8 @@ def docs(spark, sf):
     return read_table(spark, sf, "documents", "doc_id").select("doc_id", "text")
 
 
-def _weighted(spark, sf, weigh):
-    d = docs(spark, sf)
-    rows, n = FE.term_rows(d, "doc_id", "text"), d.count()
-    return weigh(rows, FE.vocabulary(FE.term_counts(rows), n), n)
+def weights(spark, sf, unit=False):
+    return FE.text_weights(read_table(spark, sf, "documents"), "doc_id", "text", unit)  # which deals the texts out itself
 
 
 @register("clu_terms", TFIDF_SQL + f"SELECT doc AS doc_id, {s_arr('terms', True)} AS terms, CAST(len(terms) AS BIGINT) AS n_terms FROM t")
@@ -51,7 +49,7 @@ def clu_vocabulary(spark, sf):
 
 @register("clu_tfidf", TFIDF_SQL + f"SELECT doc AS doc_id, term, {s_dbl('weight')} AS weight FROM tfidf")
 def clu_tfidf(spark, sf):
-    return _weighted(spark, sf, FE.tfidf).select(F.col("doc").alias("doc_id"), "term", dbl("weight").alias("weight"))
+    return weights(spark, sf, unit=True).select(F.col("doc").alias("doc_id"), "term", dbl("w").alias("weight"))
 
 
 CENTRES_SQL = """WITH cd AS (
@@ -152,7 +150,7 @@ pred AS (SELECT doc, CASE WHEN p >= """ + str(MIN_CONF) + """ THEN argmax_label
 
 
 def _model(spark, sf):
-    w = _weighted(spark, sf, FE.term_weights)
+    w = weights(spark, sf)
     coefs = spark.createDataFrame(COEFS, "label string, term string, coef double")
     scores = FE.linear_scores(w, coefs, INTERCEPTS, docs(spark, sf).select(F.col("doc_id").alias("doc")))
     return w, coefs, FE.softmax_predict(scores, list(INTERCEPTS), MIN_CONF)

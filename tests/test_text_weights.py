@@ -50,3 +50,15 @@ print("whole")
 """
     done = subprocess.run([sys.executable, "-c", code, tempfile.mkdtemp()], capture_output=True, text=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=False)
     assert "left 0\nwhole" in done.stdout, done.stderr[-2000:]
+
+
+def test_the_models_predictions_are_written_before_the_stages(spark, monkeypatch):
+    from vigil.plans import q_features, views
+    from vigil.session import materialize
+
+    written = []
+    for module in (q_features, views):
+        monkeypatch.setattr(module, "materialize", lambda df, name: (written.append(name), materialize(df, name))[1])
+    views.forget()
+    assert q_features.cls_analyze_model(spark, "/root/testdata/sf0.001").count() > 0
+    assert written.index("predictions") < written.index("norm")  # so their shuffles are gone by then

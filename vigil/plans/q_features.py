@@ -11,6 +11,7 @@ from vigil.operators import features as FE
 from vigil.plans import oracle as O
 from vigil.plans.registry import arr, dbl, register, s_arr, s_dbl
 from vigil.plans.views import Chain, read_table
+from vigil.session import materialize
 
 SW = O.in_list(FE.CLUSTER_STOP_WORDS)
 
@@ -178,8 +179,8 @@ SELECT ana.event_id, coalesce(pred.label, incident_type) AS incident_type, {s_db
        sector, {s_dbl('sector_confidence')} AS sector_confidence, cluster_id FROM ana LEFT JOIN pred ON ana.event_id = 'd' || pred.doc""")
 def cls_analyze_model(spark, sf):
     """The analysis stage with a trained model for the incident type: its predictions where it has one, keywords elsewhere."""
-    c = Chain.of(spark, sf)
     _, _, p = _model(spark, sf)
-    predictions = p.select(F.concat(F.lit("d"), F.col("doc").cast("string")).alias("event_id"), "label", "confidence")
+    predictions = materialize(p.select(F.concat(F.lit("d"), F.col("doc").cast("string")).alias("event_id"), "label", "confidence"), "predictions")
+    c = Chain.of(spark, sf)
     a = classify.analyze(c.norm, c.inc, c.sec, c.clusters, incident_predictions=predictions)
     return a.select("event_id", "incident_type", dbl("incident_confidence").alias("incident_confidence"), "sector", dbl("sector_confidence").alias("sector_confidence"), "cluster_id")
